@@ -1,11 +1,19 @@
-"""Queries by name and their DuckDB equivalents."""
+"""Queries by name over the shared test tables, with DuckDB SQL of the same result."""
 
-FLAGSHIP = "T6_adjacent_similarity"
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import event_queries, table_queries, text_queries
 
-def oracle_sql() -> dict:
-    return {}
+FLAGSHIP = "adjacent_similarity_turns"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return text_queries.QUERIES | table_queries.QUERIES | event_queries.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return text_queries.ORACLE | table_queries.ORACLE | event_queries.ORACLE
