@@ -30,9 +30,9 @@ WIDE = 64
 _ROWS = 4096
 _NONE = np.int64(1) << 40
 #: Distinct chunks and words a task remembers; later ones are encoded anew each time they are met.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Text a task works on at once, in characters.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 
 
 class PairTable:
