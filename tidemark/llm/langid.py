@@ -26,6 +26,7 @@ SPECTRUM = 3
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 64
 LANDMARKS = 128
+SLICES = 64
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -119,7 +120,11 @@ def train(docs: DataFrame, usable) -> Model:
     those ``PER_LANGUAGE`` with the smallest hash of ``doc_id``, so the driver gets 2 KB each."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     keyed = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    ranked = keyed.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= PER_LANGUAGE)
+    # first within slices of a language, so that no task ranks what all others send of one language
+    ranked = keyed.withColumn("slice", F.pmod("h", F.lit(SLICES)))
+    for by in (("lang", "slice"), ("lang",)):
+        nth = F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))
+        ranked = ranked.withColumn("n", nth).where(F.col("n") <= PER_LANGUAGE)
     languages = [r["lang"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     # the chosen rows again, with their texts: at most PER_LANGUAGE * MAX_LANGUAGES ids
     chosen = ranked.where(F.col("lang").isin(languages)).select(F.col("doc_id").alias("_id")).distinct()
