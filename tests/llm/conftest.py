@@ -18,13 +18,17 @@ ROWS = [
 ]
 
 
+OWN_NAMES = ("_id", "_kept", "_marks", "_nth", "_text", "lang_pred", "n_lines", "n_removed", "posterior", "row", "votes")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd documents, with extra columns whose names operators use themselves."""
     rows = [(i, t, lang, s, len(t or ""), 1, "x", 2.0, [3]) for i, t, lang, s in ROWS]
-    return spark.createDataFrame(
+    docs = spark.createDataFrame(
         rows, "doc_id long, text string, lang string, source string, n_chars long, fp int, h string, score double, n_words array<int>"
     )
+    return docs.selectExpr("*", *(f"'own' as {c}" for c in OWN_NAMES))
 
 
 @pytest.fixture(scope="session")

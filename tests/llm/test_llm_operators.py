@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, components, htmltext, langid, lines, media, packing, quality, rules, simhash, tokens, vocab
+from tidemark.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -383,6 +384,17 @@ def test_rules_find_junk(spark, sf_dir):
 
 
 # 10 ------------------------------------------------------------------------------------------------
+def test_quality_ties(spark, sf_dir):
+    """One id with several texts: the order in which rows come doesn't matter to what is learned."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(docs.selectExpr("doc_id", "substring(text, 40) as text"))
+    found = [
+        sorted((r["doc_id"], r["score"]) for r in quality.score(docs.repartition(n).sortWithinPartitions(F.xxhash64("text", F.lit(n))), labels).collect())
+        for n in (3, 7)
+    ]
+    assert found[0] == found[1]
+
+
 def test_quality_score(spark, sf_dir, odd, empty):
     base = sf_dir.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

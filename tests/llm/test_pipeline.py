@@ -1,7 +1,9 @@
 """Stages keep their contract, and run() gives whole results."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tidemark.llm import rules, simhash
+from tidemark.llm import langid, rules, simhash
 from tidemark.llm.common import table
 
 
@@ -26,6 +28,21 @@ def test_stages(spark, sf_dir):
 
 
 def test_odd_rows_and_none(spark, sf_dir, odd, empty):
-    for _, stage in corpus_pipeline.STAGES:
+    """Rows pass through the filtering stages with all their columns, clashing names included."""
+    own = [c for c, v in odd.first().asDict().items() if v == "own"]
+    assert "_nth" in own
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
-        stage(spark, odd, sf_dir).count()
+        after = stage(spark, odd, sf_dir)
+        rows = [r.asDict() for r in after.collect()]
+        if name != "best_fit_packing":
+            assert after.columns == odd.columns, name
+            assert all(r[c] == "own" for r in rows for c in own) and all(r["score"] == 2.0 for r in rows), name
+
+
+def test_keep_known_leaves_own_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("score", F.lit(2.0)).withColumn("LANG_PRED", F.lit("own"))
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("score <> 2.0 or lang_pred <> 'own'").count() == 0
+    assert 0 < kept.count() <= docs.count()

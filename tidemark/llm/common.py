@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(taken: Iterable[str], stem: str) -> str:
+    """``stem``, with as many underscores before it as keep it apart from ``taken`` in any case."""
+    used = {c.lower() for c in taken}
+    while stem.lower() in used:
+        stem = "_" + stem
+    return stem
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use inside ``body``'s higher-order functions.
 

@@ -8,7 +8,7 @@ one matrix: scores of a batch are a presence matrix times the landmarks' times t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod
+from .common import crc32_mod, free_name
 
 BUCKETS = 1 << 14
 SPECTRUM = 3
@@ -119,6 +119,7 @@ def train(docs: DataFrame, usable) -> Model:
     """A model from rows where ``usable`` holds, ``lang`` and ``text`` not null: for each language
     those ``PER_LANGUAGE`` with the smallest hash of ``doc_id``, so the driver gets 2 KB each."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = labelled.select("doc_id", "lang", "text")
     keyed = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     # first within slices of a language, so that no task ranks what all others send of one language
     ranked = keyed.withColumn("slice", F.pmod("h", F.lit(SLICES)))
@@ -140,38 +141,42 @@ def train(docs: DataFrame, usable) -> Model:
     return fit(packed, [r["lang"] for r in sample])
 
 
-def _predict(model: Model, keep: list[str]):
+def _predict(model: Model, keep: list[str], names: Sequence[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = model.unpacked()
         for b in batches:
             for i in range(0, b.num_rows, _BATCH):
                 part = b.slice(i, _BATCH)
-                rows, lettered = presence([t or "" for t in part.column("_text").to_pylist()])
+                rows, lettered = presence([t or "" for t in part.column(text).to_pylist()])
                 p = model.scores(rows, z)
                 best = p.argmax(axis=1)
-                names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)]
+                best = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered)]
                 score = np.where(lettered, p.max(axis=1), 0.0).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"]
+                    [*(part.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score)], [*keep, *names]
                 )
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), replacing columns of these names. A null
-    text, or one without a letter, is ``und`` with score 0."""
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    with_text = docs.withColumn("_text", F.col("text").cast("string"))
-    return with_text.mapInArrow(_predict(model, docs.columns), schema)
+def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score (0 to 1) under ``names``, replacing columns called
+    so. A null text, or one without a letter, is ``und`` with score 0."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    text = "text"
+    if docs.schema["text"].dataType != T.StringType():
+        text = free_name(docs.columns, "_text")
+        docs = docs.withColumn(text, F.col("text").cast("string"))
+    return docs.mapInArrow(_predict(model, schema.names[:-2], names, text), schema)
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5, fold: int = 3, held_out: int = 1) -> DataFrame:
     """The rows of ``docs`` with a language predicted at ``min_score`` or more, trained as
     ``identify`` is; ``und`` goes."""
     model = train(docs, crc32_mod(F.col("doc_id"), fold) != held_out)
-    known = predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    lang, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    known = predict(docs, model, (lang, score)).where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score))
     return known.select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_name, settle
 
 MIN_SITES = 8
 LOG2_REGISTERS = 12
@@ -58,6 +58,28 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     * An empty table gives an empty result; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
+    kept = free_name(docs.columns, "_kept")
+    split = F.split(F.col("text"), "\n")
+    worded = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.trim(x) != "")), F.lit(0))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return with_kept_lines(docs, kept, site, min_sites, keep_first).select(
+        "doc_id", *others,
+        F.array_join(kept, "\n").alias("text"),
+        worded(split).cast("long").alias("n_lines"),
+        (worded(split) - worded(F.col(kept))).cast("long").alias("n_removed"),
+    )
+
+
+def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
+    """``docs`` with the texts of ``dedup_lines`` and its own columns, whatever their names."""
+    kept = free_name(docs.columns, "_kept")
+    return with_kept_lines(docs, kept, site, min_sites, keep_first).select(
+        *(F.array_join(kept, "\n").alias("text") if c == "text" else c for c in docs.columns)
+    )
+
+
+def with_kept_lines(docs: DataFrame, name: str, site: str, min_sites: int, keep_first: bool) -> DataFrame:
+    """``docs`` with the array of each text's lines that stay, null for a null text, as ``name``."""
     lines = settle(line_table(docs, site), "lines")
     found = boilerplate(lines, min_sites)
     here = (F.col("doc_id") == F.col("first_doc")) if keep_first else F.lit(False)
@@ -69,17 +91,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         .agg(F.map_from_entries(F.collect_set(F.struct("h", "keep"))).alias("_marks"))
     )
     split = F.split(F.col("text"), "\n")
-    doubtful = lambda x, i: F.coalesce(F.try_element_at("_marks", F.xxhash64(F.trim(x))), i) != i
+    known = free_name(docs.columns, "_marks")
+    doubtful = lambda x, i: F.coalesce(F.try_element_at(known, F.xxhash64(F.trim(x))), i) != i
     kept = F.filter(split, lambda x, i: (F.trim(x) == "") | ~doubtful(x, i))
-    worded = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.trim(x) != "")), F.lit(0))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return (
-        docs.join(marks, "doc_id", "left")
-        .withColumn("_kept", F.when(F.col("_marks").isNull(), split).otherwise(kept))
-        .select(
-            "doc_id", *others,
-            F.array_join("_kept", "\n").alias("text"),
-            worded(split).cast("long").alias("n_lines"),
-            (worded(split) - worded(F.col("_kept"))).cast("long").alias("n_removed"),
-        )
-    )
+    joined = docs.join(marks.withColumnRenamed("_marks", known), "doc_id", "left")
+    return joined.withColumn(name, F.when(F.col(known).isNull(), split).otherwise(kept))

@@ -165,7 +165,7 @@ def train(stats: DataFrame, labels: DataFrame, fold: int, held_out: int) -> Ense
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.where(crc32_mod(F.col("_id"), fold) != held_out).withColumn("_h", F.xxhash64("_id"))
     known = known.orderBy("_h", "_id", "_y").limit(MAX_TRAIN)
-    rows = stats.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).orderBy("_h", "_id", "_y").limit(2 * MAX_TRAIN).collect()
+    rows = stats.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).orderBy("_h", "_id", "_y", *FEATURES).limit(2 * MAX_TRAIN).collect()
     x = np.array([[r[c] for c in FEATURES] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["_y"] for r in rows], np.float64))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_name, settle
 from .components import component_labels
 
 SEED = 42
@@ -131,5 +131,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     as a group's and all stay."""
     chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    nth = free_name(docs.columns, "_nth")
+    kept = docs.join(chosen, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
