@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_blocks
-from .common import settle
+from .common import giving_back, settle
 from .vocab import merge_encoder
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                 [pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return run
+    return giving_back(run)
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

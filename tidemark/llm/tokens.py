@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import text_blocks
-from .common import settle, shared_dir
+from .common import giving_back, settle, shared_dir
 from .vocab import merge_encoder
 
 LAYOUT = {
@@ -47,7 +47,7 @@ def _ids(path: str, end_id: int):
                 [b.column("doc_id"), pa.array(counts.astype(np.int32)), lists], ["doc_id", "n_tokens", "ids"]
             )
 
-    return run
+    return giving_back(run)
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2) -> None:
