@@ -8,10 +8,10 @@ but two sums that tell whether the edges still change.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_name, settle
 
 
 def _star(edges: DataFrame, minima: DataFrame) -> DataFrame:
@@ -44,3 +44,16 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = (seen["n"], seen["h"])
         now = settle(_small(_large(now)), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest ``doc_id``, then text hash, of each group: ``rows(doc_id,
+    th, fp)`` are the documents' ids, ``xxhash64`` of their texts and fingerprints, ``roots(fp, root)`` the
+    groups of fingerprints. Unlike texts under one id are apart. Rows with a null id all stay."""
+    best = rows.where("doc_id is not null").join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    own, th, nth = (free_name(docs.columns, c) for c in ("_doc", "_th", "_nth"))
+    chosen = best.select(F.col("x.doc_id").alias(own), F.col("x.th").alias(th)).distinct()
+    hashed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
+    first = Window.partitionBy(own, th).orderBy(F.lit(0))
+    kept = hashed.join(chosen, [own, th], "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
