@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settle
-from .components import component_labels
+from .common import settle
+from .components import component_labels, one_of_each
 
 SEED = 42
 SHINGLE = 3
@@ -102,6 +102,14 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return light.unionByName(heavy).distinct()
 
 
+def _rooted(prints: DataFrame, bucket_limit: int) -> DataFrame:
+    """``prints(doc_id, fp, ...)`` to ``(fp, rep, root)``: each fingerprint with its smallest document
+    and the smallest fingerprint that it reaches."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    labels = component_labels(links(distinct.select("fp"), bucket_limit))
+    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, fingerprint, component_id)``, a row per input row.
 
@@ -112,11 +120,8 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     * An empty table gives an empty result.
     """
     prints = settle(fingerprints(docs), "fingerprints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = links(distinct.select("fp"), bucket_limit)
-    labels = component_labels(edges)
+    rooted = _rooted(prints, bucket_limit)
     # components are of fingerprints; each is named by the smallest document it holds
-    rooted = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(
@@ -124,13 +129,18 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     )
 
 
+def _hashed_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints = pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), prints], ["doc_id", "th", "fp"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest ``doc_id``.
 
-    Of rows with one ``doc_id``, the first by text hash stays. Rows with a null id can't be named
-    as a group's and all stay."""
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    nth = free_name(docs.columns, "_nth")
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    Unlike texts under one ``doc_id`` are documents of their own, each in its fingerprint's group; of
+    those in one group, the first by text hash stays. Rows with a null id can't be named as a group's
+    and all stay."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = settle(slim.mapInArrow(_hashed_prints, "doc_id long, th long, fp long"), "fingerprints")
+    return one_of_each(docs, rows, _rooted(rows, BUCKET_LIMIT).select("fp", "root"))
