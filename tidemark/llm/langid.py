@@ -22,15 +22,17 @@ from .common import crc32_mod, free_name
 
 BUCKETS = 1 << 14
 SPECTRUM = 3
-#: Bounds of the training sample: labelled texts of each language, languages, and landmarks in all.
+#: Bounds of the training sample: labelled texts of each language, and landmarks, at least in all and of
+#: each language. Every language found is learned; the driver holds 0.8 MB for each.
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 LANDMARKS = 128
+PER_LANGUAGE_LANDMARKS = 2
 SLICES = 64
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
 _BATCH = 64
+_FIT_BATCH = 1024
 
 
 def _letters() -> np.ndarray:
@@ -84,25 +86,32 @@ class Model:
 
 def fit(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS) -> Model:
     """Packed presence rows with their languages to a model. Landmarks are taken in turn from the
-    languages, in the order of the rows."""
+    languages, in the order of the rows; more languages get more of them."""
     languages = sorted(set(labels))
     if not languages:
         return Model([UNKNOWN], np.zeros((1, BUCKETS // 8), np.uint8), np.zeros((1, 1), np.float32))
-    queues = [[i for i, x in enumerate(labels) if x == lang] for lang in languages]
+    at = {lang: k for k, lang in enumerate(languages)}
+    own = np.array([at[x] for x in labels])
+    queues = [np.flatnonzero(own == k) for k in range(len(languages))]
     order = [q[k] for k in range(max(map(len, queues))) for q in queues if k < len(q)]
-    model = Model(languages, packed[order[:landmarks]], np.zeros((0, 0), np.float32))
+    model = Model(languages, packed[order[: max(landmarks, PER_LANGUAGE_LANDMARKS * len(languages))]], np.zeros((0, 0), np.float32))
     z = model.unpacked()
-    x = np.unpackbits(packed, axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    features = (x @ z.T).astype(np.float64) @ root
-    target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     size = np.array([len(q) for q in queues], float)
-    weight = (len(labels) / (len(languages) * size))[[languages.index(x) for x in labels]][:, None]
-    gram = features.T @ (weight * features) + RIDGE * len(labels) / features.shape[1] * np.eye(features.shape[1])
-    model.weights = (root @ np.linalg.solve(gram, features.T @ (weight * target))).astype(np.float32)
+    gram = RIDGE * len(labels) / root.shape[1] * np.eye(root.shape[1])
+    sums = np.zeros((root.shape[1], len(languages)))
+    for i in range(0, len(own), _FIT_BATCH):  # sums only, as whole rows unpacked take 64 KB each
+        x = np.unpackbits(packed[i : i + _FIT_BATCH], axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        features = (x @ z.T).astype(np.float64) @ root
+        part = own[i : i + _FIT_BATCH]
+        target = np.where(part[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
+        weight = (len(labels) / (len(languages) * size))[part][:, None]
+        gram += features.T @ (weight * features)
+        sums += features.T @ (weight * target)
+    model.weights = (root @ np.linalg.solve(gram, sums)).astype(np.float32)
     return model
 
 
@@ -126,15 +135,15 @@ def train(docs: DataFrame, usable) -> Model:
     for by in (("lang", "slice"), ("lang",)):
         nth = F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))
         ranked = ranked.withColumn("n", nth).where(F.col("n") <= PER_LANGUAGE)
-    languages = [r["lang"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    # the chosen rows again, with their texts: at most PER_LANGUAGE * MAX_LANGUAGES ids
-    chosen = ranked.where(F.col("lang").isin(languages)).select(F.col("doc_id").alias("_id")).distinct()
+    # the chosen rows again, with their texts; clashing ids must not bring more rows of a language
+    chosen = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     sample = (
-        labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
+        labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang").cast("string") == F.col("_lang")), "left_semi")
         .select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_pack, "lang string, h long, bits binary")
+        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "bits")))
+        .where(F.col("n") <= PER_LANGUAGE)
         .orderBy("h", "lang", "bits")
-        .limit(PER_LANGUAGE * MAX_LANGUAGES)
         .collect()
     )
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), BUCKETS // 8)
