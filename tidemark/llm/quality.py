@@ -20,6 +20,8 @@ from .common import crc32_mod, settle, text_or_empty
 from .rules import SYMBOLS, count_of, words_of
 
 MAX_TRAIN = 20_000
+#: A tree is grown on a seeded half of the sample, but on no more rows than these.
+MAX_TREE_ROWS = 4000
 TREES = 24
 DEPTH = 3
 LEAF = 8
@@ -115,7 +117,8 @@ class Ensemble:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, steps: int = 800) -> Ensemble:
-    """Rules from ``TREES`` boosted trees, each on its own seeded half of the rows, then lasso
+    """Rules from ``TREES`` boosted trees, each on its own seeded half of the rows (``MAX_TREE_ROWS``
+    at most), then lasso
     logistic weights by accelerated proximal gradient. One class only: its smoothed rate."""
     base = (float(y.sum()) + 1) / (len(y) + 2)
     bias = float(np.log(base / (1 - base)))
@@ -125,7 +128,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, steps: int = 800)
     found: list[Rule] = []
     f = np.full(len(y), bias)
     for _ in range(TREES):
-        rows = np.sort(draw.choice(len(y), max(2 * LEAF, min(4000, len(y) // 2)), replace=len(y) < 4 * LEAF))
+        rows = np.sort(draw.choice(len(y), max(2 * LEAF, min(MAX_TREE_ROWS, len(y) // 2)), replace=len(y) < 4 * LEAF))
         g = y - 1 / (1 + np.exp(-f))
         made: list[Rule] = []
         _tree(x, g, rows, DEPTH, (), made, np.zeros(len(y)))
