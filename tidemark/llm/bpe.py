@@ -8,7 +8,7 @@ work, whatever the word's length.
 Words of up to ``WIDE`` symbols are merged many at a time, one tree per row of an array, so that the
 point updates of thousands of words are single array operations; longer words have a tree each.
 Texts are cut at spaces that a non-space follows, where the pattern always starts a new match, and
-each distinct chunk is encoded once per task (``ChunkEncoder``).
+ids of chunks are remembered within a bound (``ChunkEncoder``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 WIDE = 64
 _ROWS = 4096
 _NONE = np.int64(1) << 40
-#: Distinct chunks and words a task remembers; later ones are encoded anew each time they are met.
-REMEMBERED = 300_000
+#: Distinct chunks, and words, of 64 bytes at most that a task remembers; others are encoded anew each
+#: time they are met.
+REMEMBERED = 340_000
 #: Text a task works on at once, in characters.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 class PairTable:
@@ -208,9 +210,18 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: Letters that the patterns take as one run whatever stands around it, and that no normaliser composes.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+
+
 class ByteCoder:
     """Ids of a rank file's vocabulary, as the library that reads such files gives them."""
 
+    #: A space before a run of letters belongs to the run's match.
+    takes_space = True
+    #: Strings in a text that have an id of their own.
+    special: dict[str, int] = {}
+
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -230,133 +241,240 @@ class ByteCoder:
     def symbols(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self.start[raw]
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def plain(self, text: str) -> str:
+        """A text as the pattern sees it."""
+        return text
+
+    def plain_letters(self, runs: pa.Array) -> pa.Array:
+        """``plain`` of runs of ``_LETTERS``."""
+        return runs
+
+    def words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of matches of the pattern, concatenated, and how many each has."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        whole = np.array([self.ranks.get(w, -1) for w in raw], np.int64)
-        todo = np.flatnonzero(whole < 0)
-        lengths = np.array([len(raw[i]) for i in todo], np.int64)
-        symbols = self.symbols(np.frombuffer(b"".join(raw[i] for i in todo), np.uint8), lengths)
-        merged, n = merge(symbols, lengths, self.table)
-        counts = np.ones(len(raw), np.int64)
-        counts[todo] = n
+        edges, raw = _bytes(words)
+        counts = np.ones(len(words), np.int64)
+        todo, whole = np.arange(len(words)), None
+        if self.ranks:
+            whole = np.array(list(map(self.ranks.get, words.cast(pa.large_binary()).to_pylist(), itertools.repeat(-1))), np.int64)
+            todo = np.flatnonzero(whole < 0)
+        lengths = np.diff(edges)[todo]
+        symbols = self.symbols(raw[spread(edges[todo], lengths)], lengths)
+        merged, counts[todo] = merge(symbols, lengths, self.table)
+        if whole is None:
+            return merged, counts
         starts = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int64)
         out[starts[whole >= 0]] = whole[whole >= 0]
-        out[spread(starts[todo], n)] = merged
+        out[spread(starts[todo], counts[todo])] = merged
         return out, counts
 
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Matches of the pattern in all strings, and how many each string has."""
-        found = list(map(self.pieces.findall, texts))
-        return [w for ws in found for w in ws], np.fromiter(map(len, found), np.int64, len(found))
-
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Whole strings to their concatenated ids and the count of each; words are remembered."""
-        flat, per_text = self.split(texts)
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids, starts, counts = self.memory.look_up(coded.dictionary.to_pylist())
-        n = counts[index]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return ids[spread(starts[index], n)], np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
+    def encode_many(self, values: pa.LargeStringArray, spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Strings, each after a space if ``spaced``, to their concatenated ids and the count of each.
+        Runs of letters are a match as they are; others go through the pattern. Words are remembered."""
+        before = " " if spaced and self.takes_space else ""
+        lettered = pc.match_substring_regex(values, _LETTERS)
+        runs = self.plain_letters(values.filter(lettered))
+        if before:
+            runs = pc.binary_join_element_wise(pa.scalar(before, pa.large_string()), runs, pa.scalar("", pa.large_string()))
+        lettered = lettered.to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~lettered)
+        found = [self.pieces.findall(self.plain(before + t)) for t in values.take(pa.array(rest)).to_pylist()]
+        flat = pa.concat_arrays([runs, pa.array([w for ws in found for w in ws], pa.large_string())])
+        ids, starts, n = self.memory.look_up(flat)
+        ids = ids[spread(starts, n)]
+        # places of the values' ids in the order that they were looked up in
+        per = np.concatenate([np.ones(len(runs), np.int64), np.fromiter(map(len, found), np.int64, len(found))])
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(per)] if len(per) else per
+        counts = np.empty(len(values), np.int64)
+        starts = np.empty(len(values), np.int64)
+        order = np.concatenate([np.flatnonzero(lettered), rest])
+        counts[order] = np.diff(ends, prepend=0)
+        starts[order] = ends - counts[order]
+        return ids[spread(starts, counts)], counts
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0].tolist()
+        return self.encode_many(pa.array([text], pa.large_string()))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _bytes(values: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the strings, from 0, and their bytes with 16 more."""
+    edges = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    raw = values.buffers()[2]
+    raw = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None else np.empty(0, np.uint8)
+    return edges - edges[0], np.concatenate([raw, np.zeros(16, np.uint8)])
+
+
 _SPACE = re.compile(r"\s")
 #: First bytes of white space in UTF-8, and of characters some of which are white space.
 _SPACE_BYTES = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a string that is its own key in the table of a memory, and of the longest that is remembered.
+_SHORT, _LONG = 15, 64
 
 
 class _Memory:
-    """Ids of strings by slot; ``REMEMBERED`` strings stay, others are encoded anew."""
+    """Ids of strings by place; the first ``REMEMBERED`` of up to ``_LONG`` bytes stay, others are
+    encoded anew.
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    Strings of up to 15 bytes are their own keys, two words of bytes and length, in an
+    open-addressing table that whole arrays are looked up in; longer ones are in a dictionary."""
+
+    def __init__(self, encode_many: Callable[[pa.LargeStringArray], tuple[np.ndarray, np.ndarray]]):
         self.encode_many = encode_many
-        self.slots: dict[str, int] = {}
-        self.ids, self.starts, self.counts = [np.empty(0, np.int64) for _ in range(3)]
+        self.bits = max(4, (REMEMBERED * 3 // 2).bit_length())
+        self.rows = np.zeros((1 << self.bits, 3), np.uint64)  # first bytes, other bytes and length, place
+        self.long: dict[str, int] = {}
+        self.ids = np.empty(0, np.int32)
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    @staticmethod
+    def _keys(values: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edges, raw = _bytes(values)
+        start, length = edges[:-1], np.diff(edges)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        low = eight[start] & _MASK[np.minimum(length, 8)]
+        high = eight[start + 8] & _MASK[np.clip(length - 8, 0, 7)]
+        return low, high | (np.minimum(length, 254) + 1).astype(np.uint64) << np.uint64(56), length
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed ^= mixed >> np.uint64(29)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        slot = self._slot(low, high)
+        row = self.rows[slot]
+        same = (row[:, 0] == low) & (row[:, 1] == high)
+        out = np.where(same, row[:, 2].astype(np.int64), -1)
+        wrong = np.flatnonzero(~same & (row[:, 1] != 0))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
+            row = self.rows[slot[wrong]]
+            same = (row[:, 0] == low[wrong]) & (row[:, 1] == high[wrong])
+            out[wrong[same]] = row[same, 2].astype(np.int64)
+            wrong = wrong[~same & (row[:, 1] != 0)]
+        return out
 
-    def look_up(self, strings: list[str], prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all slots in use now, and the start and count of each of ``strings``."""
-        kept, slots = len(self.counts), self.slots
-        at = np.array([slots.get(c, -1) for c in strings], np.int64)
+    def _put(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        left, slot = np.arange(len(low)), self._slot(low, high)
+        while len(left):
+            free = left[self.rows[slot[left], 1] == 0]
+            self.rows[slot[free]] = np.stack([low[free], high[free], place[free].astype(np.uint64)], axis=1)
+            row = self.rows[slot[left]]
+            left = left[(row[:, 0] != low[left]) | (row[:, 1] != high[left])]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def look_up(self, values: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all places in use now, and the start and count of each of ``values``."""
+        low, high, length = self._keys(values)
+        at = self._find(low, high)
+        longer = np.flatnonzero(length > _SHORT)
+        if len(longer):
+            names = values.take(pa.array(longer)).to_pylist()
+            at[longer] = np.fromiter(map(self.long.get, names, itertools.repeat(-1)), np.int64, len(names))
         ids, starts, counts = self.ids, self.starts, self.counts
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            names = [strings[i] for i in new.tolist()]
-            more, n = self.encode_many([prefix + c for c in names] if prefix else names)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            coded = values.take(pa.array(missing)).dictionary_encode()
+            names, kept = coded.dictionary, len(counts)
+            more, n = self.encode_many(names)
             starts = np.concatenate([starts, len(ids) + np.cumsum(n) - n])
-            counts, ids = np.concatenate([counts, n]), np.concatenate([ids, more])
-            at[new] = np.arange(kept, kept + len(new))
-            room = min(len(new), max(0, REMEMBERED - len(slots)))
-            slots.update(zip(names[:room], range(kept, kept + room)))
-            end = kept + room
-            self.starts, self.counts = starts[:end], counts[:end]
-            self.ids = ids[: int(starts[end - 1] + counts[end - 1])] if end else ids[:0]
+            counts, ids = np.concatenate([counts, n]), np.concatenate([ids, more.astype(np.int32)])
+            at[missing] = kept + coded.indices.to_numpy()
+            self._keep(names.slice(0, max(0, REMEMBERED - kept)), ids, starts, counts)
         return ids, starts[at], counts[at]
 
+    def _keep(self, names: pa.LargeStringArray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        end = len(self.counts) + len(names)
+        if not len(names):
+            return
+        low, high, length = self._keys(names)
+        place = np.arange(len(self.counts), end)
+        short, longer = length <= _SHORT, (length > _SHORT) & (length <= _LONG)
+        self._put(low[short], high[short], place[short])
+        if longer.any():
+            self.long.update(zip(names.filter(pa.array(longer)).to_pylist(), place[longer].tolist()))
+        self.starts, self.counts = starts[:end], counts[:end]
+        self.ids = ids[: int(starts[end - 1] + counts[end - 1])]
+
 
 class ChunkEncoder:
-    """Ids of whole texts from ids of their distinct chunks between single spaces.
+    """Ids of whole texts from ids of their chunks between single spaces.
 
-    ``encode_many`` takes strings to concatenated ids and counts. A text is cut before each space
-    only if a non-space follows every space in it; other texts are encoded as they are.
+    A text is cut before each space only if a non-space follows every space in it, or if the coder's
+    matches hold no white space at all; other texts are encoded as they are. Special strings are cut
+    out of a text before all else.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_many = encode_many
-        self.spaced = _Memory(encode_many)
+    def __init__(self, coder: ByteCoder):
+        self.coder = coder
+        self.spaced = _Memory(lambda values: coder.encode_many(values, spaced=True))
+        self.special = re.compile("|".join(map(re.escape, sorted(coder.special, key=len, reverse=True)))) if coder.special else None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of all texts (no nulls) and how many each has."""
         if not len(texts):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        texts = texts.cast(pa.large_string())
+        spaces = texts if self.coder.takes_space else pc.replace_substring(texts, "\n", " ")
+        lists = pc.split_pattern(spaces, " ")
         edges = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        chunks = lists.values.slice(edges[0], edges[-1] - edges[0])
         edges -= edges[0]
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        odd = np.zeros(len(distinct), bool)
-        at = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(distinct) + 1]
-        raw = np.frombuffer(coded.dictionary.buffers()[2] or b"", np.uint8)
-        filled = np.diff(at) > 0
-        odd[~filled] = True
-        for i in np.flatnonzero(filled)[_SPACE_BYTES[raw[at[:-1][filled]]]].tolist():
-            odd[i] = _SPACE.match(distinct[i]) is not None
         first = edges[:-1]
-        bad = odd[index]
-        bad[first] = False
-        slow = np.flatnonzero(np.add.reduceat(bad, first) > 0).tolist()
-        # the first chunk of a text has no space before it; of an odd text it stands for the whole
-        heads = [distinct[i] for i in index[first].tolist()]
-        for i in slow:
-            heads[i] = texts[i].as_py()
-        head_ids, head_counts = self.encode_many(heads)
-        ids, starts, counts = self.spaced.look_up(distinct, " ")
-        starts, counts = starts[index], counts[index]
+        marked = np.zeros(len(texts), bool)
+        for s in self.coder.special:
+            marked |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        slow = marked | self._odd(chunks, first) if self.coder.takes_space else marked
+        whole = np.flatnonzero(slow)
+        ids, starts, counts = self.spaced.look_up(chunks)
+        # the first chunk of a text has no space before it; of a slow text it stands for the whole
+        heads = chunks.take(pa.array(first)).to_pylist()
+        for i in whole.tolist():
+            heads[i] = "" if marked[i] else texts[i].as_py()
+        head_ids, head_counts = self.coder.encode_many(pa.array(heads, pa.large_string()))
         starts[first] = len(ids) + np.cumsum(head_counts) - head_counts
         counts[first] = head_counts
-        for i in slow:
-            counts[edges[i] + 1 : edges[i + 1]] = 0
-        return np.concatenate([ids, head_ids])[spread(starts, counts)], np.add.reduceat(counts, first)
+        parts = [ids, head_ids]
+        counts[spread(first[whole] + 1, np.diff(edges)[whole] - 1)] = 0
+        for i in np.flatnonzero(marked).tolist():
+            own = self._with_special(texts[i].as_py())
+            starts[first[i]], counts[first[i]] = sum(map(len, parts)), len(own)
+            parts.append(own)
+        return np.concatenate(parts)[spread(starts, counts)].astype(np.int32, copy=False), np.add.reduceat(counts, first)
+
+    def _odd(self, chunks: pa.LargeStringArray, first: np.ndarray) -> np.ndarray:
+        """Texts with a chunk, not their first, that is empty or begins with white space."""
+        at, raw = _bytes(chunks)
+        odd = np.diff(at) == 0
+        doubtful = np.flatnonzero(~odd & _SPACE_BYTES[raw[at[:-1]]])
+        odd[doubtful] = [_SPACE.match(c) is not None for c in chunks.take(pa.array(doubtful)).to_pylist()]
+        odd[first] = False
+        return np.add.reduceat(odd.astype(np.int64), first) > 0
+
+    def _with_special(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*self.coder.encode(text[at : m.start()]), self.coder.special[m[0]]]
+            at = m.end()
+        return np.array([*out, *self.coder.encode(text[at:])], np.int32)
 
 
 @functools.lru_cache(maxsize=2)
 def byte_encoder(path: str, pattern: str) -> tuple[ByteCoder, ChunkEncoder]:
     coder = ByteCoder(path, pattern)
-    return coder, ChunkEncoder(coder.encode_many)
+    return coder, ChunkEncoder(coder)
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows in runs of about ``size`` characters, so that long texts don't add up."""
     for b in batches:
         lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        run = (np.cumsum(lengths) - lengths) // size
+        total = int(lengths.sum())
+        run = (np.cumsum(lengths) - lengths) * max(1, -(-total // size)) // max(1, total)
         edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(run)]
         for i, j in zip(edges, edges[1:]):
             if j > i:
@@ -389,7 +507,7 @@ def _ids(path: str, pattern: str):
         for b in text_blocks(batches):
             ids, counts = encoder.encode(b.column("text"))
             edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
 
     return run

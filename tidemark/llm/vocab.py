@@ -1,7 +1,8 @@
-"""Vocabularies of merge files: the ids that the library reading them gives, without its parser.
+"""Vocabularies of merge files: the ids that the library reading them gives, without its encoder.
 
 Both kinds reuse the merging of ``bpe``: a table of pairs by merge order, start symbols, and a
-pattern that splits a string into words. ``tests/llm`` holds their ids against the library's.
+pattern that splits a string into words. Pattern, normalisers and special strings are those of the
+file. ``tests/llm`` holds the ids against the library's.
 """
 
 from __future__ import annotations
@@ -9,15 +10,17 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .bpe import ByteCoder, ChunkEncoder, PairTable, _Memory
 
-#: The split patterns of the two vocabularies.
+#: Fixed value: the pattern that a byte-level splitter uses where its file names none.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 def byte_characters() -> list[str]:
@@ -28,12 +31,45 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+def _lower(text: str) -> str:
+    # a final sigma is lowered by its surroundings in Python, not in the library
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+
+def _normaliser(spec: dict | None) -> list[Callable[[str], str]]:
+    if spec is None:
+        return []
+    kind = spec["type"]
+    if kind == "Sequence":
+        return [step for part in spec["normalizers"] for step in _normaliser(part)]
+    if kind == "NFC":
+        return [lambda t: t if t.isascii() else unicodedata.normalize("NFC", t)]
+    if kind == "Lowercase":
+        return [_lower]
+    if kind == "Replace" and spec["pattern"] == {"Regex": r"\s+"} and spec["content"] == " ":
+        return []  # the pattern below drops white space of any kind
+    raise ValueError(f"normaliser {spec} is not supported")
+
+
+def _pattern(spec: dict) -> tuple[str, bool]:
+    """The pattern of matches, and whether they can hold white space."""
+    if spec["type"] == "ByteLevel" and spec["use_regex"] and not spec["add_prefix_space"]:
+        return BYTE_LEVEL, True
+    if spec["type"] == "Sequence" and [p["type"] for p in spec["pretokenizers"]] == ["Split", "ByteLevel"]:
+        cut, level = spec["pretokenizers"]
+        if cut["behavior"] == "Removed" and cut["invert"] and not level["use_regex"] and not level["add_prefix_space"]:
+            return cut["pattern"]["Regex"], False
+    raise ValueError(f"splitter {spec} is not supported")
+
+
 class MergeCoder(ByteCoder):
-    """Ids by a merge list; with a word-end suffix, strings are normalised and lower-cased first."""
+    """Ids by a merge list. Special strings in a text get their own ids, as the library gives them
+    by default; with ``special`` false they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         ids, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # a merged symbol keeps the suffix of its right part only
@@ -43,7 +79,15 @@ class MergeCoder(ByteCoder):
         self.start = np.array([ids[c] for c in byte_characters()], np.int64)
         self.last = np.array([ids[c + self.suffix] for c in byte_characters()], np.int64)
         self.ranks, self.bytes_of = {}, [b""] * (max(ids.values()) + 1)
-        self.pieces = regex.compile(WORD_LEVEL if self.suffix else BYTE_LEVEL)
+        pattern, self.takes_space = _pattern(whole["pre_tokenizer"])
+        self.steps = _normaliser(whole["normalizer"])
+        if self.takes_space and whole["normalizer"]:
+            raise ValueError("a normaliser before a pattern that keeps white space is not supported")
+        added = whole["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens with conditions are not supported")
+        self.special = {t["content"]: t["id"] for t in added if special or not t["special"]}
+        self.pieces = regex.compile(pattern)
         self.memory = _Memory(self.words)
 
     def symbols(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -53,17 +97,15 @@ class MergeCoder(ByteCoder):
             out[last] = self.last[raw[last]]
         return out
 
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        return super().split([self._plain(t) for t in texts] if self.suffix else texts)
+    def plain(self, text: str) -> str:
+        for step in self.steps:
+            text = step(text)
+        return text
 
-    @staticmethod
-    def _plain(text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    def plain_letters(self, runs: pa.Array) -> pa.Array:
+        return pc.utf8_lower(runs) if _lower in self.steps else runs
 
 
 @functools.lru_cache(maxsize=2)
-def merge_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(MergeCoder(path).encode_many)
+def merge_encoder(path: str, special: bool = True) -> ChunkEncoder:
+    return ChunkEncoder(MergeCoder(path, special))
