@@ -1,18 +1,21 @@
 """Operator 5: main text of web pages by a tree-structured graphical model.
 
-Each DOM node is content or not. A logistic model of the node's own features gives its potential,
-and a table by kind of tag gives the potential of a parent and child; sum-product messages up and
-down the tree give exact marginals in two passes. Both are trained on labelled pages. The tables
-hold none, so ``labelled_pages`` writes a bounded, seeded set: page skeletons in many variants whose
-containers carry the label.
+Each DOM node is content or not. A logistic model of the node's own features gives its potential:
+its kind of tag, its size, links and sentences, and the words of its class, id and role, whose weights
+are learned like all others. A table by kind of tag gives the potential of a parent and child;
+sum-product messages up and down the tree give exact marginals in two passes. Both are trained on
+labelled pages. The tables hold none, so ``labelled_pages`` writes a bounded, seeded set: skeletons
+in many variants, with and without names, whose containers carry the label.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,25 +27,18 @@ from pyspark.sql import functions as F
 from .bpe import text_blocks
 from .htmltree import Node, Tree, parse
 
-TRAIN_PAGES = 300
-#: Words in class, id and role names that speak against or for main text.
-AGAINST = frozenset(
-    "nav navbar navigation menu menubar foot footer bottom header head masthead banner top side sidebar aside rail widget ad ads "
-    "adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus "
-    "discussion cookie cookies consent gdpr notice notices alert popup modal overlay dialog share sharing social related recommended "
-    "recommend breadcrumb breadcrumbs crumbs pager pagination search login signup register newsletter subscribe subscription form "
-    "toolbar tools copyright legal disclaimer hidden tags tag categories byline meta author skip contentinfo complementary feedback "
-    "rating reviews links list toc outbrain taboola".split()
-)
-IN_FAVOUR = frozenset("article content entry main post story text body prose page paragraph blog document".split())
-GROUPS = ("page", "main", "paragraph", "heading", "box", "list", "item", "table", "quote", "nav", "form", "inline", "raw")
+TRAIN_PAGES = 600
+#: Pages of the training set that a name must be on to get a weight.
+NAMED_PAGES = 4
+GROUPS = ("page", "main", "paragraph", "heading", "box", "list", "item", "table", "cell", "quote", "nav", "form", "control", "link", "inline", "raw")
 _GROUP_OF = {
     **dict.fromkeys(("#page", "html", "body"), "page"), **dict.fromkeys(("article", "main"), "main"),
     **dict.fromkeys(("p", "address", "center"), "paragraph"), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), "heading"),
     **dict.fromkeys(("div", "section", "details", "summary", "figure", "header"), "box"), **dict.fromkeys(("ul", "ol", "dl", "menu"), "list"),
-    **dict.fromkeys(("li", "dt", "dd"), "item"), **dict.fromkeys(("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "table"),
+    **dict.fromkeys(("li", "dt", "dd"), "item"), **dict.fromkeys(("table", "thead", "tbody", "tfoot", "tr"), "table"),
+    **dict.fromkeys(("td", "th", "caption"), "cell"),
     **dict.fromkeys(("blockquote", "pre", "figcaption"), "quote"), **dict.fromkeys(("nav", "footer", "aside", "search"), "nav"),
-    **dict.fromkeys(("form", "fieldset", "legend", "button", "label", "select", "option", "dialog"), "form"),
+    **dict.fromkeys(("form", "fieldset", "legend", "dialog"), "form"), **dict.fromkeys(("button", "label", "select", "option"), "control"), "a": "link",
     **dict.fromkeys(("head", "script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "noembed", "noframes", "xmp"), "raw"),
 }
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -50,9 +46,15 @@ _GROUP_INDEX = {g: i for i, g in enumerate(GROUPS)}
 
 
 @functools.lru_cache(maxsize=4096)
-def _names(value: str) -> tuple[bool, bool]:
-    words = {w.lower() for w in _NAME.findall(value)}
-    return bool(words & AGAINST), bool(words & IN_FAVOUR)
+def _words(value: str) -> tuple[str, ...]:
+    return tuple(sorted({w.lower() for w in _NAME.findall(value)}))
+
+
+def names(node: Node) -> tuple[str, ...]:
+    """A node's tag, and the words of its class, id and role."""
+    if not node.attrs:
+        return (f"<{node.tag}>",)
+    return (f"<{node.tag}>", *_words(" ".join((node.attrs.get("class", ""), node.attrs.get("id", ""), node.attrs.get("role", "")))))
 
 
 def _group(node: Node) -> int:
@@ -60,40 +62,46 @@ def _group(node: Node) -> int:
 
 
 def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all nodes and their tag groups."""
+    """Feature rows of all nodes, names apart, and their tag groups."""
     n = len(tree.nodes)
-    links, stops, texts = [0] * n, [0] * n, [0] * n
-    for _, node, t in tree.runs:
-        texts[node] += len(t.strip())
+    links, stops, texts, marks = [0] * n, [0] * n, [0] * n, [0.0] * n
+    before, seen = [-1] * n, 0
+    for _, node, t, linked in tree.runs:
+        size = len(t.strip())
+        texts[node] += size
+        links[node] += size if linked else 0
         stops[node] += t.count(". ") + t.count(".\n") + t.rstrip().endswith((".", "!", "?", "…", "。"))
-    for i, node in enumerate(tree.nodes):
-        if node.tag in ("li", "nav") or "href" in node.attrs:
-            links[i] = texts[i]
-    own_stops, below = stops[:], texts[:]
+        marks[node] = max(marks[node], float("©" in t))
+        before[node] = seen if before[node] < 0 else before[node]
+        seen += size
+    own_stops, below, first = stops[:], texts[:], before[:]
     for i in range(n - 1, 0, -1):
         parent = tree.nodes[i].parent
         below[parent] += below[i]
         stops[parent] += stops[i]
         links[parent] += links[i]
-    total = max(1, below[0])
+        marks[parent] = max(marks[parent], 0.5 * marks[i])
+        if first[i] >= 0 and (first[parent] < 0 or first[i] < first[parent]):
+            first[parent] = first[i]
+    total, prose = max(1, below[0]), max(1, below[0] - links[0])
     rows, groups = [], []
-    inside: list[tuple[bool, bool]] = []  # within something named or tagged in favour, against
+    form, hidden, linky = [False] * n, [False] * n, [0.0] * n
     for i, node in enumerate(tree.nodes):
-        against, favour = _names(" ".join((node.attrs.get("class", ""), node.attrs.get("id", ""), node.attrs.get("role", "")))) if node.attrs else (False, False)
+        up = node.parent if i else 0
         style = node.attrs.get("style", "").replace(" ", "").lower() if node.attrs else ""
-        hidden = "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+        hidden[i] = (i > 0 and hidden[up]) or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         g = _group(node)
-        shunned = (against and not (favour and node.tag in ("article", "main"))) or hidden or GROUPS[g] in ("nav", "form", "raw")
-        wanted = GROUPS[g] == "main" or (favour and not against and i > 0)
-        inside.append((inside[node.parent][0] or wanted, inside[node.parent][1] or shunned) if i else (False, False))
+        form[i] = (i > 0 and form[up]) or GROUPS[g] == "form"
+        size = below[i]
+        linky[i] = links[i] / max(1, size)
         row = [0.0] * len(GROUPS)
         row[g] = 1.0
-        size = below[i]
         rows.append(row + [
-            float(shunned), float(favour and not against), float(hidden), float(inside[i][0]), float(inside[i][1]),
-            float(inside[i][0] and not inside[i][1]),
-            math.log1p(size) / 8, size / total, min(1.0, links[i] / max(1, size)), min(1.0, 60 * stops[i] / max(60, size)),
-            float(own_stops[i] > 0), math.log1p(texts[i]) / 8, float(node.tag == "header"), 1.0,
+            float(hidden[i]), float(form[i]), float(GROUPS[g] == "control" and form[i]), float(node.tag in ("header", "address")), float(len(names(node)) > 1),
+            math.log1p(size) / 8, size / total, (size - links[i]) / prose, linky[i], linky[up], float(linky[i] > 0.6), min(1.0, 60 * stops[i] / max(60, size)),
+            float(own_stops[i] > 0), math.log1p(texts[i]) / 8, float(texts[i] > 0 and size < 40), marks[i],
+            float(node.tag == "a" and linky[up] > 0.6), float(node.tag == "a" and 2 * texts[up] < below[up]), float(node.tag == "a" and texts[up] == 0),
+            max(0, first[i]) / total, float(first[i] + size >= 0.97 * total and size < 0.2 * total), float(size == 0), 1.0,
         ])
         groups.append(g)
     return np.array(rows), np.array(groups)
@@ -103,11 +111,25 @@ def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     pair: np.ndarray  # group of the child x parent's state x child's state, log
+    named: dict[str, tuple[float, float]]  # weights of a name, on the node itself and on one around it
+
+    def unary(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of content of each node by itself, and the nodes' groups."""
+        x, groups = features(tree)
+        around, named = [0.0] * len(groups), np.zeros(len(groups))
+        for i, node in enumerate(tree.nodes):
+            on, below = 0.0, around[node.parent] if i else 0.0
+            named[i] = below
+            for w in names(node):
+                a, b = self.named.get(w, (0.0, 0.0))
+                on, below = on + a, below + b
+            named[i] += on
+            around[i] = below
+        return np.clip(x @ self.weights + named, -30, 30), groups
 
     def marginals(self, tree: Tree) -> np.ndarray:
         """Probability of content of every node: messages from the leaves to the root and back."""
-        x, groups = features(tree)
-        unary = np.clip(x @ self.weights, -30, 30)
+        unary, groups = self.unary(tree)
         odds = unary.tolist()  # log-odds of content from the node and what is below it
         pair = self.pair.tolist()
         n, parents, gs = len(odds), [v.parent for v in tree.nodes], groups.tolist()
@@ -132,6 +154,8 @@ def train(pages: list[str]) -> Model:
     """A model from pages whose elements carry ``data-y`` (0 or 1), which holds for all below that
     have none of their own; a node without text of its own takes the majority below it."""
     xs, gs, ys, parents, offset = [], [], [], [], 0
+    words: list[tuple[str, ...]] = []
+    on_pages: Counter[str] = Counter()
     for page in pages:
         tree = parse(page)
         x, g = features(tree)
@@ -146,79 +170,163 @@ def train(pages: list[str]) -> Model:
         xs.append(x), gs.append(g), ys.append(label)
         parents.append([v.parent + offset if i else -1 for i, v in enumerate(tree.nodes)])
         offset += len(g)
+        own = [names(v) for v in tree.nodes]
+        words += own
+        on_pages.update({w for ws in own for w in ws})
     x, g, y, up = np.concatenate(xs), np.concatenate(gs), np.concatenate(ys), np.concatenate(parents)
+    column = {w: x.shape[1] + i for i, w in enumerate(sorted(w for w, k in on_pages.items() if k >= NAMED_PAGES))}
+    k, m = x.shape[1], len(column)
+    x = np.concatenate([x, np.zeros((len(x), 2 * m))], axis=1)
+    for i, ws in enumerate(words):
+        x[i, [column[w] for w in ws if w in column]] = 1.0
+        if up[i] >= 0:
+            x[i, k + m :] = x[up[i], k : k + m] + x[up[i], k + m :]
     pair = np.full((len(GROUPS), 2, 2), 1.0)
     has = up >= 0
     np.add.at(pair, (g[has], y[up[has]], y[has]), 1.0)
     prior = pair.sum(axis=1, keepdims=True)
     pair = np.log(pair / pair.sum(axis=2, keepdims=True)) - np.log(prior / prior.sum(axis=2, keepdims=True))
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's steps of a ridge logistic regression
+    for _ in range(15):  # Newton's steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 1.0 * w
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(len(w)), grad)
-    return Model(w, pair)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-2:
+            break
+    return Model(w[:k], pair, {c: (float(w[i]), float(w[i + m])) for c, i in column.items()})
 
 
 _SYLLABLES = "an be cha do en fil gor ha in ka lor mi na ol per qui ra st tu ver wen xi yo zu é ü ñ ç ка но 日 の".split()
 
 
+#: Names that sites give to parts of a page, and names that any part can have.
+PART_NAMES = {
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense outbrain taboola",
+    "notice": "cookie cookies cookie-notice consent notice notices alert gdpr popup modal overlay privacy-banner",
+    "side": "sidebar side-bar side rail widget related recommended secondary more-stories related-posts trending popular",
+    "comments": "comments comment-list reader-comments discussion replies responses disqus respond comment feedback reviews",
+    "form": "search newsletter subscribe login signup register search-form subscription newsletter-signup contact-form",
+    "crumbs": "breadcrumb breadcrumbs crumbs share sharing social social-share tags byline meta post-meta author-box pagination pager categories",
+    "menu": "nav navbar navigation menu menubar main-menu toolbar site-nav links toc topnav",
+    "head": "header masthead site-header top branding page-header topbar",
+    "foot": "footer foot bottom site-footer copyright legal colophon disclaimer page-footer",
+    "main": "article content entry main post story article-body entry-content post-content prose page-content blog-post document text body",
+    "any": "page container wrapper wrap inner outer row col column box section block list items steps note lead intro table figure left right center clearfix grid layout group",
+}
+
+
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
-    """Seeded pages in varied skeletons; ``data-y`` marks main text and all else."""
+    """Seeded pages in varied skeletons; ``data-y`` marks main text and all else. A third of them have
+    few names or none: there only tags, links and sentences tell the parts from each other."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
+    pick = rng.choice
+    word = lambda: "".join(pick(_SYLLABLES) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    sentence = lambda a=3, b=25: words(a, b).capitalize() + rng.choice(".....!?")
-    para = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 8, 14))))
+    sentence = lambda a=3, b=25: words(a, b).capitalize() + pick(".....!?")
+
+    def para() -> str:
+        if rng.random() < 0.08:  # text without sentences
+            return pick((words(20, 200), " ".join([word()] * rng.randint(5, 400)), words(1, 2)))
+        return " ".join(sentence() for _ in range(pick((1, 1, 2, 4, 8, 14, 40))))
+
     maybe = lambda p, make: make() if rng.random() < p else ""
-    pick = rng.choice
+    bare = False  # whether the page at hand names its parts
 
     def links(k: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k)) + "</ul>"
+        one = lambda: f'<a href="/{word()}">{words(1, 4)}</a>'
+        shape = pick(("<ul>{}</ul>", "<ul>{}</ul>", "{}", "<p>{}</p>", "<ol>{}</ol>"))
+        joint = pick((" | ", " ", "<br>", " &middot; "))
+        return shape.format("".join(f"<li>{one()}</li>" for _ in range(k)) if "l>" in shape else joint.join(one() for _ in range(k)))
 
-    def named(names: str) -> str:
-        name = pick(names.split())
-        return pick((f'class="{name}"', f'id="{name}"', f'class="{word()} {name}-{rng.randint(1, 9)}"', f'class="{name} {word()}"'))
+    turns = {part: itertools.cycle(rng.sample(ns.split(), len(ns.split()))) for part, ns in PART_NAMES.items()}
+
+    def named(part: str) -> str:
+        name = next(turns[part])
+        return " " + pick((f'class="{name}"', f'id="{name}"', f'class="{word()} {name}-{rng.randint(1, 9)}"', f'class="{name} {word()}"', f'class="{pick(PART_NAMES["any"].split())} {name}"'))
+
+    def any_name() -> str:
+        return maybe(0.5, lambda: f' class="{pick((word(), pick(PART_NAMES["any"].split())))}"')
+
+    def box(part: str, inside: str, tags: str = "div", sure: str = "") -> str:
+        """A part that isn't main text: by a name, or in a bare page by the tag ``sure`` of such parts."""
+        if bare:
+            return f'<{sure} data-y="0">{inside}</{sure}>' if sure else ""
+        tag = pick(tags.split())
+        return f'<{tag}{named(part)} data-y="0">{inside}</{tag}>'
 
     def inline(t: str) -> str:
         ws = t.split(" ")
-        if len(ws) > 4 and rng.random() < 0.3:
+        if len(ws) > 4 and rng.random() < 0.35:
             i = rng.randrange(len(ws))
-            ws[i] = pick((f"<b>{ws[i]}</b>", f'<a href="/{word()}">{ws[i]}</a>', f"<em>{ws[i]}</em>", f'<span class="{word()}">{ws[i]}</span>'))
+            ws[i] = pick((
+                f"<b>{ws[i]}</b>", f'<a href="/{word()}">{ws[i]}</a>', f"<em>{ws[i]}</em>", f'<span class="{word()}">{ws[i]}</span>', f"<label>{ws[i]}</label>",
+                f"<button>{ws[i]}</button>", f'<span class="{pick(PART_NAMES["any"].split())}">{ws[i]}</span>', f'<a class="{word()}" href="/">{ws[i]}</a>', f'<code class="{word()}">{ws[i]}</code>',
+            ))
         return " ".join(ws)
 
-    def off(p: float, make) -> str:
-        return maybe(p, lambda: make().replace(">", ' data-y="0">', 1))
-
-    ad = lambda: pick(("<div {}>{}</div>", "<aside {}>{}</aside>", "<p {}>{}</p>", "<section {}>{}</section>")).format(named("ad ads advert sponsored promo banner advertisement"), pick((sentence(), para(), f'<p>{sentence()}</p><a href="/x">{words(1, 3)}</a>')))
-    notice = lambda: f"<div {named('cookie cookie-notice consent notice alert gdpr popup')}>{pick((para(), f'<p>{para()}</p>'))}{maybe(0.5, lambda: f'<button>{word()}</button>')}</div>"
-    sidebar = lambda: pick(("<aside{}>{}</aside>", "<div {}>{}</div>")).format(" " + named("sidebar side-bar widget related rail"), f"<h3>{words(1, 3)}</h3>" + pick((links(4), f"<p>{para()}</p>", f"<p>{sentence()}</p>" + links(3))))
-    comments = lambda: f"<{(t := pick(('section', 'div', 'ol')))} {named('comments comment-list reader-comments discussion replies')}>{maybe(0.6, lambda: f'<h3>{words(1, 3)}</h3>')}" + "".join(pick((f'<div class="comment"><p>{para()}</p></div>', f"<article {named('comment reply')}><b>{word()}</b><p>{para()}</p></article>", f"<li><p>{para()}</p></li>", f"<p>{para()}</p>")) for _ in range(rng.randint(1, 5))) + f"</{t}>"
-    form = lambda: f'<form {named("search newsletter subscribe login")}><label>{words(1, 4)}</label><input name="q"><p>{sentence()}</p><button>{word()}</button></form>'
-    crumbs = lambda: f"<div {named('breadcrumbs share social tags byline meta pagination')}>{pick((words(2, 8), links(3), sentence()))}</div>"
+    def content() -> str:
+        lists = lambda item: "".join(f"<li>{item()}</li>" for _ in range(rng.randint(2, 5)))
+        kinds = [f"<p{maybe(0.1, any_name)}>{inline(para())}</p>"] * 9 + [
+            f"<h2>{words(1, 6)}</h2>", f"<h3{any_name()}>{words(1, 6)}</h3>", f"<blockquote><p>{para()}</p></blockquote>", f"<blockquote>{para()}</blockquote>",
+            f"<ul{any_name()}>{lists(sentence)}</ul>", f"<ol{any_name()}>{lists(lambda: words(2, 9))}</ol>", f"<ul{any_name()}>{lists(lambda: inline(para()))}</ul>",
+            f"<dl><dt>{words(1, 3)}</dt><dd>{sentence()}</dd></dl>", f"<div{any_name()}>{inline(para())}</div>", f"<div{any_name()}>{para()}</div>", f"<pre>{words(3, 20)}</pre>",
+            f"<table{any_name()}><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>",
+            f"<p><b>{sentence()}<br>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<section{any_name()}><h3>{words(1, 5)}</h3><p>{para()}</p></section>",
+            f"{para()}<br><br>{para()}<br>",
+        ]
+        return pick(kinds)
+
+    def comments() -> str:
+        each = lambda: pick((f'<div class="comment"><p>{para()}</p></div>', f"<article{named('comments')}><b>{word()}</b><p>{para()}</p></article>", f"<li><p>{para()}</p></li>", f"<p>{para()}</p>"))
+        return box("comments", maybe(0.6, lambda: f"<h3>{words(1, 3)}</h3>") + "".join(each() for _ in range(rng.randint(1, 5))), "section div ol")
+
+    ad = lambda: box("ad", pick((sentence(), para(), f'<p>{sentence()}</p><a href="/x">{words(1, 3)}</a>')), "div div aside p section")
+    notice = lambda: box("notice", pick((para(), f"<p>{para()}</p>")) + maybe(0.5, lambda: f"<button>{word()}</button>"))
+    side = lambda: box("side", f"<h3>{words(1, 3)}</h3>" + pick((links(4), f"<p>{para()}</p>", f"<p>{sentence()}</p>" + links(3))), "aside div div section", "aside")
+    crumbs = lambda: box("crumbs", pick((words(2, 8), links(3), sentence())), "div p ul span")
+    menu = lambda: box("menu", links(rng.randint(3, 9)), "div div ul nav", pick(("nav", "div", "div")))
+    form = lambda: f'<form{"" if bare else named("form")} data-y="0"><label>{words(1, 4)}</label><input name="q"><p>{sentence()}</p><select><option>{word()}</option></select><button>{word()}</button></form>'
+    rights = lambda: pick((f"&copy; {rng.randint(1998, 2026)} {words(1, 3)}. {sentence()}", f"© {word()}", f"&copy; {word()} &middot; {para()}"))
     out = []
-    for _ in range(n):
+    for k in range(n):
+        bare = k % 3 == 0
         body = [maybe(0.8, lambda: f"<h1>{words(2, 12)}</h1>")]
-        for _ in range(pick((1, 1, 2, 4, 7, 12))):
-            body.append(pick((f"<p>{inline(para())}</p>",) * 9 + (
-                f"<h2>{words(1, 6)}</h2>", f"<blockquote><p>{para()}</p></blockquote>", f"<blockquote>{para()}</blockquote>",
-                f"<ul><li>{sentence()}</li><li>{sentence()}</li><li>{words(2, 6)}</li></ul>", f"<div>{inline(para())}</div>", f"<pre>{words(3, 20)}</pre>",
-                f"<table><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>",
-                f"<p><b>{sentence()}<br>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<section><h3>{words(1, 5)}</h3><p>{para()}</p></section>",
-            )))
-            body.append(off(0.06, ad) + off(0.03, notice) + off(0.02, crumbs) + off(0.02, form))
+        for _ in range(pick((1, 2, 2, 4, 7, 12))):
+            body.append(content())
+            body.append(maybe(0.06, ad) + maybe(0.03, notice) + maybe(0.03, crumbs) + maybe(0.02, form))
         if rng.random() < 0.08:
             body[0] = f"<header>{body[0] or f'<h1>{words(2, 6)}</h1>'}</header>"
-        tail = off(0.15, comments) + off(0.08, crumbs)
-        tag, name = pick((("article", ""),) * 6 + (("main", ""), ("article", ' class="post"'), ("div", ' class="article-body"'), ("div", ' id="content"'), ("section", ' class="entry-content"'), ("div", ' class="story"'), ("main", ' id="main"')))
-        main = f'<{tag}{name} data-y="1">{"".join(body)}{tail}</{tag}>'
-        main = pick((main, main, f"<main>{main}</main>", f'<div class="{pick(("page", "container", "wrapper", word()))}">{main}</div>'))
-        top = [maybe(0.7, lambda: f"<nav>{links(rng.randint(3, 8))}</nav>"), maybe(0.4, lambda: f"<header {named('site-header masthead top')}><p>{pick((sentence(), words(1, 5)))}</p>{maybe(0.5, lambda: f'<nav>{links(4)}</nav>')}</header>"), maybe(0.2, lambda: f"<header><a href='/'>{words(1, 3)}</a><p>{sentence()}</p></header>"), maybe(0.6, ad), maybe(0.3, notice), maybe(0.2, form), maybe(0.2, crumbs), maybe(0.2, lambda: f"<div {named('menu nav navigation')}>{links(5)}</div>")]
-        rng.shuffle(top)
-        end = [maybe(0.4, sidebar), maybe(0.3, comments), maybe(0.3, ad), maybe(0.2, notice), maybe(0.15, form), maybe(0.2, crumbs)]
-        rng.shuffle(end)
-        foot = maybe(0.8, lambda: pick(("<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="site-footer"><p>{}</p></div>')).format(pick((f"&copy; {word()} &middot; {sentence()}", para(), links(4) + sentence()))))
-        out.append(f'<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style><script>var t="</p>";</script></head><body>{"".join(top)}{main}{"".join(end)}{foot}' + maybe(0.9, lambda: "</body></html>"))
+        tail = maybe(0.15, comments) + maybe(0.08, crumbs)
+        inner = "".join(body) + tail
+        if bare:
+            shape = pick(("{}", "{}", "<div{n}>{}</div>", "<div><div>{}</div></div>", "<article>{}</article>", "<main>{}</main>", "<section>{}</section>"))
+            main = f'<body data-y="1">{inner}' if shape == "{}" else '<body data-y="0">' + shape.replace("{n}", any_name()).format(inner).replace(">", ' data-y="1">', 1)
+        else:
+            tag, name = pick((("article", ""),) * 4 + (("main", ""),) + (("article", named("main")), ("div", named("main")), ("div", named("main")), ("section", named("main")), ("main", named("main"))))
+            main = f'<{tag}{name} data-y="1">{inner}</{tag}>'
+            main = pick((main, main, f"<main>{main}</main>", f"<div{any_name()}>{main}</div>", f"<div{any_name()}><div{any_name()}>{main}</div></div>"))
+        link_box = lambda: f'<div data-y="0">{links(rng.randint(1, 9))}</div>'
+        hidden = lambda: pick(('<div style="display:none" data-y="0">{}</div>', '<p hidden data-y="0">{}</p>', '<ul aria-hidden="true" data-y="0"><li>{}</li></ul>')).format(pick((para(), sentence(), words(1, 4))))
+        loose = lambda: pick((" | ", " ", "<br>")).join(f'<a href="/{word()}" data-y="0">{words(1, 3)}</a>' for _ in range(rng.randint(1, 4)))
+        head = lambda: pick(("<header{} data-y=\"0\">{}</header>", "<div{} data-y=\"0\">{}</div>")).format(named("head"), pick((f"<p>{sentence()}</p>", f"<a href='/'>{words(1, 3)}</a>", f"<p>{words(1, 5)}</p><nav>{links(4)}</nav>", f"<h2>{words(1, 3)}</h2>")))
+        if bare:
+            if shape == "{}" and rng.random() < 0.3:  # a column of links in a table
+                main = f'<body data-y="0"><table><tr><td data-y="0">{links(rng.randint(3, 9))}</td><td data-y="1">{inner}</td></tr></table>'
+            top = [maybe(0.1, hidden), maybe(0.15, loose), maybe(0.3, lambda: f'<nav data-y="0">{links(rng.randint(3, 8))}</nav>'), maybe(0.35, link_box), maybe(0.15, form)]
+            end = [maybe(0.2, loose), maybe(0.3, link_box), maybe(0.2, side), maybe(0.1, form)]
+            foot = pick(("", f'<footer data-y="0">{rights()}</footer>', f'<p data-y="0">{rights()}</p>', f'<div data-y="0">{rights()}</div>', f'<hr><div data-y="0">{links(4)} {rights()}</div>'))
+        else:
+            top = [maybe(0.1, hidden), maybe(0.1, loose), maybe(0.7, lambda: f'<nav data-y="0">{links(rng.randint(3, 8))}</nav>'), maybe(0.4, head), maybe(0.15, lambda: f"<header data-y=\"0\"><a href='/'>{words(1, 3)}</a><p>{sentence()}</p></header>"), maybe(0.6, ad), maybe(0.4, notice), maybe(0.2, form), maybe(0.3, crumbs), maybe(0.4, menu)]
+            end = [maybe(0.5, side), maybe(0.4, comments), maybe(0.3, ad), maybe(0.3, notice), maybe(0.15, form), maybe(0.3, crumbs), maybe(0.1, menu)]
+            foot = maybe(0.8, lambda: pick(('<footer data-y="0">{}</footer>', '<footer data-y="0">{}</footer>', "<div" + named("foot") + ' data-y="0">{}</div>', "<div" + named("foot") + ' data-y="0"><p>{}</p></div>')).format(pick((rights(), rights(), para(), links(4) + sentence()))))
+        rng.shuffle(top), rng.shuffle(end)
+        page = "".join(top) + (main[main.index(">") + 1 :] if bare else main) + "".join(end) + foot
+        start = main[: main.index(">") + 1] if bare else "<body>"
+        if bare and k % 4 == 0:  # a fragment, without a head or body
+            out.append(f'<p data-y="1">{para()}</p>' * rng.randint(0, 2) + "".join(x.replace(">", ' data-y="1">', 1) for x in body if x.startswith("<p") and "<b>" not in x) + maybe(0.5, link_box))
+            continue
+        out.append(f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style><script>var t=\"</p>\";</script></head>{start}{page}" + maybe(0.9, lambda: "</body></html>"))
     return out
 
 
@@ -234,13 +342,13 @@ def extract(page: str | None, model: Model | None = None) -> str:
         return ""
     tree = parse(page)
     content = (model or default_model()).marginals(tree) > 0.5
-    raw = np.array([_group(v) == _GROUP_INDEX["raw"] or _group(v) == _GROUP_INDEX["form"] for v in tree.nodes])
+    raw = np.array([_group(v) == _GROUP_INDEX["raw"] for v in tree.nodes])
     for i, node in enumerate(tree.nodes):
         if i and raw[node.parent]:
             raw[i] = True
     keep = content & ~raw
     blocks: dict[int, list[str]] = {}
-    for block, node, t in tree.runs:
+    for block, node, t, _ in tree.runs:
         if keep[node]:
             blocks.setdefault(block, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())

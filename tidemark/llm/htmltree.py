@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -21,6 +21,8 @@ BLOCK = frozenset(
     "blockquote pre figure figcaption table caption thead tbody tfoot tr td th form fieldset legend details summary dialog "
     "center hr menu search".split()
 )
+#: Inline elements that are nodes of their own even without a name.
+NODES = frozenset(("a", "button", "label", "select", "option", "svg"))
 CLOSES_P = BLOCK - {"html", "head", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend", "summary", "figcaption"}
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -37,13 +39,12 @@ class Node:
     parent: int
     depth: int
     own: int = 0  # characters of text directly inside, inline elements without names included
-    runs: list[tuple[int, str]] = field(default_factory=list)
 
 
 @dataclass
 class Tree:
     nodes: list[Node]
-    runs: list[tuple[int, int, str]]  # (block number, node, decoded text), in page order
+    runs: list[tuple[int, int, str, bool]]  # (block number, node, decoded text, within a link), in page order
 
 
 def parse(page: str) -> Tree:
@@ -51,19 +52,20 @@ def parse(page: str) -> Tree:
     it. A block number stands for a run of inline content that no block interrupts."""
     nodes = [Node("#page", {}, -1, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # tag and node it belongs to
-    runs: list[tuple[int, int, str]] = []
-    block, at, n = 0, 0, len(page)
+    runs: list[tuple[int, int, str, bool]] = []
+    block, at, n, links = 0, 0, len(page), 0
 
     def text(raw: str) -> None:
         if raw:
             t = html.unescape(raw) if "&" in raw else raw
             node = stack[-1][1]
             nodes[node].own += len(t)
-            runs.append((block, node, t))
+            runs.append((block, node, t, links > 0))
 
     def cut(depth: int) -> None:
         """Close the elements above ``depth``; a closed block ends its run of content."""
-        nonlocal block
+        nonlocal block, links
+        links -= sum(t == "a" for t, _ in stack[depth:])
         if any(t in BLOCK for t, _ in stack[depth:]):
             block += 1
         del stack[depth:]
@@ -71,7 +73,7 @@ def parse(page: str) -> Tree:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            text(page[at:] if page.rfind("<", at) < 0 else page[at:])
+            text(page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
@@ -108,13 +110,13 @@ def parse(page: str) -> Tree:
         if tag in BLOCK:
             block += 1
         node = stack[-1][1]
-        if tag in BLOCK or tag in RAW or attrs.keys() & {"class", "id", "role", "style", "hidden", "aria-hidden"} or tag in ("button", "label", "select", "option", "svg"):
+        if tag in BLOCK or tag in RAW or attrs.keys() & {"class", "id", "role", "style", "hidden", "aria-hidden"} or tag in NODES:
             if tag not in VOID:
                 nodes.append(Node(tag, attrs, node, len(stack)))
                 node = len(nodes) - 1
         if tag in VOID:
             if tag == "br":
-                runs.append((block, node, "\n"))
+                runs.append((block, node, "\n", False))
             continue
         if tag in RAW:  # what is inside isn't markup and isn't shown
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -122,4 +124,5 @@ def parse(page: str) -> Tree:
             continue
         if not rest.endswith("/") or tag in BLOCK:
             stack.append((tag, node))
+            links += tag == "a"
     return Tree(nodes, runs)
