@@ -26,8 +26,7 @@ SPECTRUM = 3
 #: each language. Every language found is learned; the driver holds 0.8 MB for each.
 PER_LANGUAGE = 400
 LANDMARKS = 128
-PER_LANGUAGE_LANDMARKS = 2
-SLICES = 64
+PER_LANGUAGE_LANDMARKS = 4
 RIDGE = 1e-2
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -125,25 +124,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, usable) -> Model:
-    """A model from rows where ``usable`` holds, ``lang`` and ``text`` not null: for each language
-    those ``PER_LANGUAGE`` with the smallest hash of ``doc_id``, so the driver gets 2 KB each."""
+    """A model from rows where ``usable`` holds, ``doc_id``, ``lang`` and ``text`` not null: about
+    ``PER_LANGUAGE`` distinct ones of each language, at most so many, by hash. Languages are counted
+    first, and only rows with a hash under their language's share go on, so what is sorted and what the
+    driver gets (2 KB a row) is bounded for each language at any size."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    labelled = labelled.select("doc_id", "lang", "text")
-    keyed = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    # first within slices of a language, so that no task ranks what all others send of one language
-    ranked = keyed.withColumn("slice", F.pmod("h", F.lit(SLICES)))
-    for by in (("lang", "slice"), ("lang",)):
-        nth = F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))
-        ranked = ranked.withColumn("n", nth).where(F.col("n") <= PER_LANGUAGE)
-    # the chosen rows again, with their texts; clashing ids must not bring more rows of a language
-    chosen = ranked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    labelled = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
+    share = F.lit(2.0 * PER_LANGUAGE) / F.approx_count_distinct("h", 0.02)
+    shares = hashed.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("under"))
+    few = hashed.join(F.broadcast(shares), "lang").where(F.col("h").cast("double") < F.col("under"))
     sample = (
-        labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang").cast("string") == F.col("_lang")), "left_semi")
-        .select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_pack, "lang string, h long, bits binary")
-        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "bits")))
+        few.groupBy("lang", "h")
+        .agg(F.first("text").alias("text"))
+        .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
         .where(F.col("n") <= PER_LANGUAGE)
-        .orderBy("h", "lang", "bits")
+        .select("lang", "h", "text")
+        .mapInArrow(_pack, "lang string, h long, bits binary")
+        .orderBy("h", "lang")
         .collect()
     )
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), BUCKETS // 8)
