@@ -1,11 +1,14 @@
 """Stages keep their contract, and run() gives whole results."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import langid, rules, simhash
+from tidemark.llm import langid, packing, rules
 from tidemark.llm.common import table
 
+from near import kept_ids
+
 
 def test_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -20,8 +23,8 @@ def test_stages(spark, sf_dir):
         if name == "line_dedup":
             assert after.count() == now.count()
         if name == "near_dedup":
-            groups = {r["component_id"] for r in simhash.near_duplicates(now).collect()}
-            assert {r["doc_id"] for r in after.collect()} == groups
+            rows = [(r["doc_id"], r["text"]) for r in now.collect()]
+            assert sorted(r["doc_id"] for r in after.collect()) == kept_ids(rows)
         now = after
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in now.collect()}
@@ -46,3 +49,15 @@ def test_keep_known_leaves_own_scores(spark, sf_dir):
     assert kept.columns == docs.columns
     assert kept.where("score <> 2.0 or lang_pred <> 'own'").count() == 0
     assert 0 < kept.count() <= docs.count()
+
+
+def test_run(spark, sf_dir):
+    """run() gives what its stages give one after another, a row per piece of every kept document."""
+    now = table(spark, sf_dir, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+    want = packing.pieces(now, public_tokenizers.path("byte_bpe_50k.json"))
+    got = corpus_pipeline.run(spark, sf_dir)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert {n for n, _ in corpus_pipeline.STAGES} and len(corpus_pipeline.STAGES) == 5

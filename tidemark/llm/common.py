@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``;
+    what it holds can be deleted when the application has ended.
 
-    Only where the session names none (a local test) is a temporary folder made and set.
+    Where the session names none, a session on one machine gets a temporary folder, and another one
+    an error: executors elsewhere could not read what is written here.
     """
+    return f"{_root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def _root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -39,6 +47,26 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if it holds more than one in so many rows: there can't be more hot keys than that.
+HOT_SHARE = 1000
+
+
+def split_join(big: DataFrame, small: DataFrame, hot: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, whose keys are unique: entries of the keys in ``hot``, at most
+    ``HOT_SHARE`` rows, are broadcast, so that no task gets all rows of one; others are shuffled."""
+    few = F.broadcast(hot.select(on))
+    cold = big.join(few, on, "left_anti").join(small, on, how)
+    return cold.unionByName(big.join(F.broadcast(small.join(few, on, "left_semi")), on, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,21 +1,26 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round is two grouped
-minima and two equi-joins, so hubs pre-aggregate before the shuffle and adaptive execution can
-split what is left of them. Rounds are settled in the shared folder; nothing reaches the driver
-but two sums that tell whether the edges still change.
+minima and two equi-joins, so hubs pre-aggregate before the shuffle, and a hub's edges are joined
+in ``SALT`` parts. Rounds are settled in the shared folder, each deleted when the next is there;
+nothing reaches the driver but two sums that tell whether the edges still change.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settle
+from .common import forget, settle
+
+
+#: Parts that the edges of each node are dealt into, so that a hub's do not meet in one task.
+SALT = 16
 
 
 def _star(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    return edges.join(minima, "u")
+    everywhere = minima.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(everywhere, ["u", "salt"]).drop("salt")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,29 +36,16 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` to ``(node, component)``: each node that has an edge to another node, with
-    the smallest node it reaches. Loops, repeated edges and nulls are ignored; an empty table
+    the smallest node it reaches; rounds go on until no edge changes. Loops, repeated edges and nulls are ignored; an empty table
     gives an empty result. A node that is itself the smallest has no row."""
     now = settle(edges.where("u is not null and v is not null and u <> v").distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = (seen["n"], seen["h"])
+        mark, before = (seen["n"], seen["h"]), now
         now = settle(_small(_large(now)), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def one_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest ``doc_id``, then text hash, of each group: ``rows(doc_id,
-    th, fp)`` are the documents' ids, ``xxhash64`` of their texts and fingerprints, ``roots(fp, root)`` the
-    groups of fingerprints. Unlike texts under one id are apart. Rows with a null id all stay."""
-    best = rows.where("doc_id is not null").join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x"))
-    own, th, nth = (free_name(docs.columns, c) for c in ("_doc", "_th", "_nth"))
-    chosen = best.select(F.col("x.doc_id").alias(own), F.col("x.th").alias(th)).distinct()
-    hashed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
-    first = Window.partitionBy(own, th).orderBy(F.lit(0))
-    kept = hashed.join(chosen, [own, th], "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        forget(before)

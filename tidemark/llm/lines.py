@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, settle
+from .common import HOT_SHARE, free_name, settle, split_join
 
 MIN_SITES = 8
 LOG2_REGISTERS = 12
@@ -21,7 +21,8 @@ NEAR = 0.065
 
 
 def line_table(docs: DataFrame, site: str) -> DataFrame:
-    """``(doc_id, pos, h, site)`` of every line with a word; ``h`` is of the trimmed line."""
+    """``(doc_id, pos, h, site)`` of every line that isn't empty or spaces only; ``h`` is of the line
+    without spaces at its ends. A tab is text like any other character."""
     lines = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(site).cast("string").alias("site"),
         F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"),
@@ -30,20 +31,23 @@ def line_table(docs: DataFrame, site: str) -> DataFrame:
     return lines.where(trimmed != "").select("doc_id", "pos", F.xxhash64(trimmed).alias("h"), "site")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
     """``(h, first_doc, first_pos)`` of the lines on ``min_sites`` distinct sites or more, and where
-    each stands first. A null site counts for none."""
+    each stands first; and ``(h)`` of the hot lines, boilerplate or not. A null site counts for none."""
     spread = lines.groupBy("h").agg(
         F.hll_sketch_agg("site", LOG2_REGISTERS).alias("sketch"),
         F.min(F.struct("doc_id", "pos")).alias("first"),
+        F.count(F.lit(1)).alias("n"),
     )
     margin = max(1.0, NEAR * min_sites)
-    likely = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin)
-    likely = settle(likely, "likely-lines")
-    near = likely.where(F.col("sites") <= min_sites + margin).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("exact"))
+    is_hot = F.col("n") * HOT_SHARE > F.lit(lines.count())
+    likely = spread.select("h", "first", F.hll_sketch_estimate("sketch").alias("sites"), is_hot.alias("hot"))
+    likely = settle(likely.where((F.col("sites") >= min_sites - margin) | F.col("hot")), "likely-lines")
+    hot = likely.where("hot").select("h")
+    near = likely.where(F.col("sites").between(min_sites - margin, min_sites + margin)).select("h")
+    exact = split_join(lines.select("h", "site"), near, hot, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("exact"))
     counted = likely.join(exact, "h", "left").where(F.coalesce("exact", "sites") >= min_sites)
-    return counted.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return counted.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), hot
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
@@ -81,11 +85,11 @@ def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 def with_kept_lines(docs: DataFrame, name: str, site: str, min_sites: int, keep_first: bool) -> DataFrame:
     """``docs`` with the array of each text's lines that stay, null for a null text, as ``name``."""
     lines = settle(line_table(docs, site), "lines")
-    found = boilerplate(lines, min_sites)
+    found, hot = boilerplate(lines, min_sites)
+    found = settle(found, "boilerplate")
     here = (F.col("doc_id") == F.col("first_doc")) if keep_first else F.lit(False)
     marks = (
-        lines.where("doc_id is not null")
-        .join(found, "h")
+        split_join(lines.where("doc_id is not null").select("doc_id", "h"), found, hot, "h")
         .select("doc_id", "h", F.when(here, F.col("first_pos")).otherwise(-1).alias("keep"))
         .groupBy("doc_id")
         .agg(F.map_from_entries(F.collect_set(F.struct("h", "keep"))).alias("_marks"))
@@ -94,5 +98,7 @@ def with_kept_lines(docs: DataFrame, name: str, site: str, min_sites: int, keep_
     known = free_name(docs.columns, "_marks")
     doubtful = lambda x, i: F.coalesce(F.try_element_at(known, F.xxhash64(F.trim(x))), i) != i
     kept = F.filter(split, lambda x, i: (F.trim(x) == "") | ~doubtful(x, i))
-    joined = docs.join(marks.withColumnRenamed("_marks", known), "doc_id", "left")
-    return joined.withColumn(name, F.when(F.col(known).isNull(), split).otherwise(kept))
+    marks = marks.withColumnRenamed("_marks", known)
+    named = docs.where("doc_id is not null").join(marks, "doc_id", "left").select(*docs.columns, known)
+    nameless = docs.where("doc_id is null").withColumn(known, F.lit(None).cast(marks.schema[known].dataType))
+    return named.unionByName(nameless).withColumn(name, F.when(F.col(known).isNull(), split).otherwise(kept))

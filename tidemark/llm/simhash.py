@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-from .components import component_labels, one_of_each
+from .common import HOT_SHARE, settle, split_join
+from .components import component_labels
 
 SEED = 42
 SHINGLE = 3
@@ -32,18 +32,25 @@ BUCKET_LIMIT = 64
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit SimHash of the ASCII-lower-cased word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, size: int) -> bytes:
+    """Big-endian 64-bit hashes, one after another, of the shingles of ``size`` ASCII-lower-cased words
+    in their order, repeats included; fewer words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
+        return b""
+    if len(words) < size:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(s, SEED) for s in shingles])
+    return b"".join([digest(s, SEED) for s in shingles])
+
+
+def majority(raw: bytes) -> int:
+    """Signed 64-bit SimHash of the hashes: the bits that over half of them have; 0 for none."""
     n = len(raw) // 8
+    if not n:
+        return 0
     grid = np.frombuffer(raw, np.uint8).reshape(n, 8)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, _BLOCK):
@@ -51,6 +58,10 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text, SHINGLE))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = [fingerprint(t) for t in b.column("text").to_pylist()]
@@ -102,14 +113,6 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     return light.unionByName(heavy).distinct()
 
 
-def _rooted(prints: DataFrame, bucket_limit: int) -> DataFrame:
-    """``prints(doc_id, fp, ...)`` to ``(fp, rep, root)``: each fingerprint with its smallest document
-    and the smallest fingerprint that it reaches."""
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    labels = component_labels(links(distinct.select("fp"), bucket_limit))
-    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, fingerprint, component_id)``, a row per input row.
 
@@ -117,30 +120,17 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     * ``component_id`` is the smallest ``doc_id`` reachable; null ids do not count, and a group of
       null ids alone has a null component.
     * Ties and repeated rows share a fingerprint and so a component; other columns are not read.
-    * An empty table gives an empty result.
+    * ``doc_id`` is a number or the text of one; an empty table gives an empty result.
     """
     prints = settle(fingerprints(docs), "fingerprints")
-    rooted = _rooted(prints, bucket_limit)
+    is_hot = F.col("n") * HOT_SHARE > F.lit(prints.count())
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("fp", "rep", is_hot.alias("hot"))
+    distinct = settle(distinct, "distinct")
+    labels = component_labels(links(distinct.select("fp"), bucket_limit))
+    rooted = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     # components are of fingerprints; each is named by the smallest document it holds
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
+    of_print = settle(rooted.join(named, "root").select("fp", "component_id"), "components")
+    return split_join(prints, of_print, distinct.where("hot"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def _hashed_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prints = pa.array([fingerprint(t) for t in b.column("text").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), prints], ["doc_id", "th", "fp"])
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest ``doc_id``.
-
-    Unlike texts under one ``doc_id`` are documents of their own, each in its fingerprint's group; of
-    those in one group, the first by text hash stays. Rows with a null id can't be named as a group's
-    and all stay."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = settle(slim.mapInArrow(_hashed_prints, "doc_id long, th long, fp long"), "fingerprints")
-    return one_of_each(docs, rows, _rooted(rows, BUCKET_LIMIT).select("fp", "root"))
