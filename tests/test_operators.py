@@ -89,26 +89,29 @@ def test_tiers(spark):
     assert sorted((r["f"], r["name"], r["match_tier"]) for r in out.collect()) == [(1, "notes", 1), (2, "opaque", 3), (3, "release2", 3)]
 
 
+DEBT = sections.Topic(("loan", "debt"), ("debt",), ("and", "of"))
+
+
 def line(no, t, size=10.0, bold=False, page=1):
     return (7, no, page, t, size, bold)
 
 
 @pytest.mark.parametrize("extra,want", [
     ([line(3, "LOANS AND DEBT", 12.0, True), line(4, "body of it"), line(5, "OTHER THINGS", 12.0, True)], ("font_heading", "LOANS AND DEBT", 3, 4)),
-    ([line(3, "12", 10.0, True), line(4, "DEBT NOTE", 10.0, True), line(5, "text"), line(6, "13", 10.0, True)], ("font_heading", "DEBT NOTE", 3, 5)),
+    ([line(3, "12", 10.0, True), line(4, "DEBT NOTE", 10.0, True), line(5, "text"), line(6, "13", 10.0, True)], ("font_heading", "12", 3, 5)),
     ([line(3, "the debt was paid")], ("regex_only", "the debt was paid", 3, 3)),
     ([line(3, "nothing here")], ("not_found", None, None, None)),
 ])
 def test_locator(spark, extra, want):
     rows = [line(0, "ordinary text"), line(1, "more text"), line(2, "and more"), *extra]
     df = spark.createDataFrame(rows, "doc long, line_no int, page int, text string, size double, bold boolean")
-    r = sections.locate_section(df, "doc", ["debt"]).first()
+    r = sections.locate_section(df, "doc", DEBT).first()
     assert (r["diagnostic"], r["heading"], r["start_line"], r["end_line"]) == want
 
 
 def test_bookmarks(spark):
     df = spark.createDataFrame([(1, 0, "Intro", 1), (1, 1, "Debt", 4), (1, 2, "Sub", 4), (1, 3, "Next", 9)], "doc long, seq int, title string, page int")
-    assert tuple(sections.by_bookmark(df, "doc", ["debt"]).first()) == (1, "Debt", 4, 8)
+    assert tuple(sections.by_bookmark(df, "doc", DEBT).first()) == (1, "Debt", 4, 8)
 
 
 def test_span_limits(spark):
@@ -132,9 +135,52 @@ def test_fixed_effects(spark):
 
 
 def test_gates(spark):
-    df = spark.createDataFrame([(float(i), float(i % 3), i % 4) for i in range(30)], "y double, x double, g long")
-    out = {r["test"]: r["note"] for r in stats.battery(df, "l", "y", "x", "g")}
-    assert out["pearson"] == "" and out["ols"] == "coverage_too_low"
+    df = spark.createDataFrame([(float(i), float(i % 3), i % 4, i % 2) for i in range(30)], "y double, x double, g long, h int")
+    few = [r["test"] for r in stats.battery(df.limit(9), "l", "y", "x", "g")]
+    assert few == ["coverage_too_low"]
+    tests = [r["test"] for r in stats.battery(df.where("y < 19"), "l", "y", "x", "g", ["h"], "h")]
+    assert "clustered_ols_with_controls" not in tests and "group_mann_whitney" in tests
+    low = stats.specifications({"a": df.where("g < 3"), "b": df.where("y < 10")}, "y", "x", {"none": []}, "g", 20, 4)
+    assert [(r["coef"], r["p_value"]) for r in low] == [(None, None)] * 2
+
+
+def test_locator_branches(spark):
+    """A contents list, a bookmark, merged numbered sections, running lines, lettered markers."""
+    kind = "doc long, line_no int, page int, text string, size double, bold boolean"
+    body = [line(i, f"plain words {i}", page=i // 4 % 10) for i in range(40)]
+
+    def locate(extra, bookmarks=None):
+        df = spark.createDataFrame(body + extra, kind)
+        marks = None if bookmarks is None else spark.createDataFrame(bookmarks, "doc long, seq int, title string, page int")
+        return sections.locate_section(df, "doc", DEBT, marks).first()
+
+    toc = [line(50 + 2 * i + k, t, bold=True) for i in range(3) for k, t in enumerate((str(i + 1), ("CASH", "DEBT", "TAXES")[i]))]
+    real, at = [line(69 - i, "between") for i in range(8)], 70
+    for number, title in (("2", "DEBT"), ("3", "LOANS AND DEBT"), ("4", "TAXES")):
+        real += [line(at, number, 12.0, True), line(at + 1, title, 12.0, True), *(line(at + 2 + i, f"{title.lower()} text {i}") for i in range(8))]
+        at += 10
+    r = locate(toc + real)
+    assert (r["diagnostic"], r["start_line"], r["end_line"], r["heading"]) == ("font_heading", 70, 89, "2")
+    lines = r["text"].split("\n")
+    assert len(lines) == 20 and lines[:3] == ["2", "DEBT", "debt text 0"] and lines[-1] == "loans and debt text 7"
+    r = locate(toc)
+    assert (r["diagnostic"], r["heading"], r["start_line"]) == ("regex_only", "DEBT", 53)
+    r = locate([line(50, "(o) debt", 12.0, True), line(51, "Debt", 12.0, True), line(52, "owed"), line(53, "Other matters", 12.0, True)])
+    assert (r["heading"], r["end_line"]) == ("Debt", 52)
+    r = locate([line(50, "DEBT OF", 12.0, True), line(51, "LONG TERM", 12.0, True)] + [line(52 + i, t, page=i) for i, t in enumerate(("Example Inc", "owed") * 5)] + [line(70, "OTHER MATTERS", 12.0, True)])
+    assert (r["start_line"], r["end_line"]) == (50, 61) and "Example Inc" not in r["text"] and r["text"].startswith("DEBT OF\nLONG TERM")
+    r = locate(real, [(7, 0, "Intro", 1), (7, 1, "Our debt", 3), (7, 2, "Sub", 3), (7, 3, "End", 5)])
+    assert (r["diagnostic"], r["heading"], r["start_line"]) == ("font_heading", "Our debt", None) and r["text"].split("\n")[0] == "plain words 12" and len(r["text"].split("\n")) == 8
+    assert locate([], [(7, 0, "Intro", 1)])["diagnostic"] == "not_found"
+
+
+def test_plans_without_one_task(spark):
+    """Ranks and sections need no Python, and ranks no single task over all rows."""
+    df = spark.createDataFrame([(float(i % 50), float(i % 7)) for i in range(500)], "x double, y double").repartition(4)
+    plan = stats.average_ranks(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    lines = spark.createDataFrame([line(0, "DEBT")], "doc long, line_no int, page int, text string, size double, bold boolean")
+    assert "Python" not in sections.locate_section(lines, "doc", DEBT)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_archives_and_attachments(spark, tmp_path):

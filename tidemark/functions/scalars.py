@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and their plain forms.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+@functools.cache
+def _folding() -> tuple[str, str]:
+    """Characters that compatibility decomposition turns into one character and combining marks, and
+    those characters; from the Unicode tables of Python."""
+    found, plain = [], []
+    for code in range(0xA0, 0x1F000):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables, surrogates
+            continue
+        own = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(own) == 1 and own != chr(code):
+            found.append(chr(code)), plain.append(own)
+    return "".join(found), "".join(plain)
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """The text without combining marks: characters become the one that their compatibility
+    decomposition begins with. Those that decompose into several (ligatures, fractions) stay."""
+    return F.regexp_replace(F.translate(c, *_folding()), r"\p{M}", "")
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
@@ -64,3 +77,37 @@ def bucket_by(c: Column, groups: dict[str, Sequence[str]], default: str = "Other
     for name, keywords in groups.items():
         out = F.when(contains_any(c, keywords), name) if out is None else out.when(contains_any(c, keywords), name)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+def name_matches(c: Column, patterns: Sequence[str]) -> Column:
+    """Whether any pattern is found in the text, in any case; null: false."""
+    return F.coalesce(c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+
+
+def both_reliable(before: Column, after: Column, reliable: str = "font_heading") -> Column:
+    """Whether both sides of a pair were found in the reliable way; null: false."""
+    return F.coalesce((before == reliable) & (after == reliable), F.lit(False))
+
+
+def verified(flag: Column) -> Column:
+    """A stored flag, null as false."""
+    return F.coalesce(flag.cast("boolean"), F.lit(False))
+
+
+def quarter_order(label: Column) -> Column:
+    """A number by which ``YYYYQn`` labels follow each other without gaps: 2020Q4 and 2021Q1 are neighbours."""
+    return F.substring(label, 1, 4).cast("int") * 4 + F.substring(label, 6, 1).cast("int") - 1
+
+
+def latest_period(tag: Column, has: str = "LTIMO", lacks: str = "PEN") -> Column:
+    """Whether a tag marks the current period, whatever became of its accents."""
+    return F.coalesce(F.contains(tag, F.lit(has)) & ~F.contains(tag, F.lit(lacks)), F.lit(False))
+
+
+def log_at_least(c: Column, least: float = 1.0) -> Column:
+    """Logarithm of a value raised to ``least``; null stays null."""
+    return F.when(c.isNotNull(), F.log(F.greatest(c, F.lit(least))))
+
+
+def log_if_positive(c: Column) -> Column:
+    return F.when(c > 0, F.log(c))

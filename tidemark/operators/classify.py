@@ -8,6 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import contains_any, fold_accents
+
+#: Words of attachment names, and openings of texts, that tell what a document is.
+NOTES = ("nota", "explicativ")
+STATEMENTS = ("demonstra", "financeir")
+STATEMENT_NAME = r"\bdfp\b|minuta"
+OTHER_PAPERS = (
+    "relatorio da administracao", "administracao", "projec", "parecer", "care", "sustentabil", "comentarios", "ata de reuniao", "_er_",
+    "earnings release", "release de resultados", "divulgacao de resultados",
+)
+RELEASE = r"(?i)divulga[cç][aã]o de resultados|release de resultados|teleconfer[eê]ncia|earnings release|resultados do \d[ºo] trimestre"
+
+
+def _folded(name: Column) -> Column:
+    return F.lower(fold_accents(F.coalesce(name, F.lit(""))))
+
+
+def notes_name(name: Column) -> Column:
+    """Whether an attachment's name is one of explanatory notes."""
+    return F.contains(_folded(name), F.lit(NOTES[0])) & F.contains(_folded(name), F.lit(NOTES[1]))
+
+
+def statements_name(name: Column) -> Column:
+    """Whether an attachment's name is one of financial statements or a draft of them."""
+    n = _folded(name)
+    return (F.contains(n, F.lit(STATEMENTS[0])) & F.contains(n, F.lit(STATEMENTS[1]))) | n.rlike(STATEMENT_NAME)
+
+
+def other_paper(name: Column) -> Column:
+    """Whether a name tells of a paper that is never the statements."""
+    return contains_any(name, OTHER_PAPERS)
+
+
+def release_text(head: Column) -> Column:
+    """Whether the opening of a text is an earnings release's; null: null."""
+    return head.rlike(RELEASE)
+
+
+def contamination(lines: DataFrame, keys: Sequence[str], statement: str, release: str = RELEASE, head: int = 15, body: int = 400, least_lines: int = 200) -> DataFrame:
+    """``(keys, n_lines, release, short, no_statement, clean)``: whether a document opens like a release,
+    has too few lines, or lacks the pattern ``statement`` in its first ``body`` lines. One aggregation."""
+    hit = lambda pattern, n: F.coalesce(F.bool_or((F.col("line_no") < n) & F.col("line").rlike(pattern)), F.lit(False))
+    out = lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), hit(release, head).alias("release"), (~hit(statement, body)).alias("no_statement"))
+    out = out.withColumn("short", F.col("n_lines") < least_lines)
+    return out.select(*keys, "n_lines", "release", "short", "no_statement", (~F.col("release") & ~F.col("short") & ~F.col("no_statement")).alias("clean"))
+
+
 
 def tiered_select(df: DataFrame, filing: str, size: str, tiers: Sequence[Column], excluded: Column, *ties: str) -> DataFrame:
     """All rows of the best tier a filing has, with ``match_tier`` 1..; without one, the largest row

@@ -6,56 +6,79 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .relational import first_by
+from .stats import grouped_quantiles, normal_p, quantiles
 
 
 def qcut(df: DataFrame, keys: Sequence[str], value: str, n: int, bucket: str = "bucket") -> DataFrame:
     """Buckets 0..n-1 by linear-interpolation quantiles, right-closed, ties together. Groups whose
     edges coincide (fewer than ``n`` buckets) are left out, as are null values."""
     rows = df.where(F.col(value).isNotNull())
-    shares = F.array(*(F.lit(i / n) for i in range(n + 1)))
-    edges = rows.groupBy(*keys).agg(F.percentile(value, shares).alias("_edges")) if keys else rows.agg(F.percentile(value, shares).alias("_edges"))
-    whole = edges.where(F.size(F.array_distinct("_edges")) == n + 1)
-    joined = rows.join(whole, list(keys)) if keys else rows.crossJoin(F.broadcast(whole))
+    shares = [i / n for i in range(n + 1)]
+    if not keys:
+        edges = quantiles(rows, value, shares)
+        if edges is None or len(set(edges)) <= n:
+            return rows.withColumn(bucket, F.lit(0)).where("false")
+        return rows.withColumn(bucket, sum(((F.col(value) > e).cast("int") for e in edges[1:-1]), F.lit(0)))
+    whole = grouped_quantiles(rows, keys, value, shares, "_edges").where(F.size(F.array_distinct("_edges")) == n + 1)
     inner = F.slice("_edges", 2, n - 1)
-    return joined.withColumn(bucket, F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("_edges")
+    return rows.join(whole, list(keys)).withColumn(bucket, F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("_edges")
 
 
-def active_positions(events: DataFrame, entry: str, holding: int, first: str, last: str) -> DataFrame:
+def active_positions(events: DataFrame, entry: str, holding: int | Column, first: str, last: str) -> DataFrame:
     """Each event in every month end ``m`` with ``m - holding months < entry <= m`` (month ends clamp,
     so a position may be active one month longer), between the dates ``first`` and ``last``. Months
-    are generated per event, which is linear, instead of range-joined."""
-    low, high = F.greatest(F.col(entry), F.lit(first).cast("date")), F.least(F.add_months(F.col(entry), holding + 1), F.lit(last).cast("date"))
+    are generated per event, which is linear, instead of range-joined; ``holding`` may be a column."""
+    held = F.lit(holding) if isinstance(holding, int) else holding
+    low, high = F.greatest(F.col(entry), F.lit(first).cast("date")), F.least(F.add_months(F.col(entry), held + 1), F.lit(last).cast("date"))
     months = F.transform(F.sequence(F.trunc(low, "MM"), F.trunc(high, "MM"), F.expr("interval 1 month")), F.last_day)
     spread = events.where(low <= high).withColumn("month", F.explode(months))
-    return spread.where((F.col(entry) > F.add_months("month", -holding)) & (F.col(entry) <= F.col("month")))
+    return spread.where((F.col(entry) > F.add_months("month", -held)) & (F.col(entry) <= F.col("month")))
 
 
-def monthly_spread(
-    positions: DataFrame, returns: DataFrame, key: str, score: str, n: int, min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = ()
+def grid_spread(
+    positions: DataFrame, returns: DataFrame, key: str, score: str, groups: Sequence[int], min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = ()
 ) -> DataFrame:
-    """``(extra, month, n_active, high, low, spread)``: per month, one position per key (the last by
-    ``order``), score buckets, equal-weight mean of the non-null returns, highest less lowest.
+    """``(extra, month, groups, n_active, high, low, spread)``: per month, one position per key (the last
+    by ``order``), score buckets, equal-weight mean of the non-null returns, highest less lowest, for
+    each number of ``groups``. Positions, returns and quantiles are computed once for all of them.
 
-    A month needs ``min_group * n`` positions before duplicates go; it is left out if its buckets
+    A month needs ``min_group * groups`` positions before duplicates go; it is left out if its buckets
     collapse or either end has no return.
     """
     by = [*extra, "month"]
-    counted = positions.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where(F.col("_n") >= min_group * n).drop("_n")
-    single = first_by(counted, [*by, key], [F.desc(c) for c in (order or (score,))])
-    held = qcut(single, by, score, n).join(returns, [key, "month"], "left")
-    legs = held.groupBy(*by).agg(
-        F.count("*").alias("n_active"), F.avg(F.when(F.col("bucket") == n - 1, F.col("ret"))).alias("high"), F.avg(F.when(F.col("bucket") == 0, F.col("ret"))).alias("low")
+    shares = sorted({i / n for n in groups for i in range(n + 1)})
+    # the count and the choice of rows share one shuffle by month
+    nth = F.row_number().over(W.partitionBy(*by, key).orderBy(*(F.desc(c) for c in (order or (score,)))))
+    counted = positions.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where(F.col("_n") >= min_group * min(groups))
+    single = counted.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    held = single.join(returns, [key, "month"], "left").join(grouped_quantiles(single, by, score, shares, "_edges"), by)
+    cases = []
+    for n in groups:
+        edges = F.array(*(F.col("_edges")[shares.index(i / n)] for i in range(n + 1)))
+        bucket = sum(((F.col(score) > edges[i]).cast("int") for i in range(1, n)), F.lit(0))
+        whole = (F.col("_n") >= min_group * n) & (F.size(F.array_distinct(edges)) == n + 1)
+        cases.append(F.when(whole, F.struct(F.lit(n).alias("groups"), bucket.alias("bucket"))))
+    rows = held.where(F.col(score).isNotNull()).withColumn("_case", F.explode(F.array_compact(F.array(*cases)))).select(*by, "ret", "_case.*")
+    legs = rows.groupBy(*by, "groups").agg(
+        F.count("*").alias("n_active"), F.avg(F.when(F.col("bucket") == F.col("groups") - 1, F.col("ret"))).alias("high"), F.avg(F.when(F.col("bucket") == 0, F.col("ret"))).alias("low")
     )
     return legs.where("high is not null and low is not null").withColumn("spread", F.col("high") - F.col("low"))
 
 
+def monthly_spread(
+    positions: DataFrame, returns: DataFrame, key: str, score: str, n: int, min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = ()
+) -> DataFrame:
+    """``grid_spread`` of one number of groups, without its column."""
+    return grid_spread(positions, returns, key, score, [n], min_group, order, extra).drop("groups")
+
+
 def hac_mean(series: DataFrame, value: str, order: str, keys: Sequence[str] = (), max_lags: int = 3) -> DataFrame:
-    """Mean with its Bartlett-weighted HAC standard error and t statistic, a row per key."""
+    """Mean with its Bartlett-weighted HAC standard error, t statistic and normal two-sided p, a row per key."""
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
     u = series.where(F.col(value).isNotNull()).withColumn("_u", F.col(value) - F.avg(value).over(by))
     products = [F.sum(F.col("_u") * F.col("_u")).alias("g0")]
@@ -65,20 +88,52 @@ def hac_mean(series: DataFrame, value: str, order: str, keys: Sequence[str] = ()
     sums = (u.groupBy(*keys) if keys else u.groupBy()).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *products)
     s = F.col("g0") + sum((2 * (1 - j / (max_lags + 1)) * F.col(f"g{j}") for j in range(1, max_lags + 1)), F.lit(0.0))
     out = sums.withColumn("se", F.sqrt(F.greatest(s, F.lit(0.0))) / F.col("n"))
-    return out.where("n > 0").select(*keys, "n", "mean", "se", F.try_divide("mean", "se").alias("t"), (F.pow(1 + F.col("mean"), 12) - 1).alias("annualized"))
-
-
-def size_neutral_spread(positions: DataFrame, returns: DataFrame, key: str, score: str, size: str, n: int, buckets: int = 2, min_group: int = 2, min_months: int = 5) -> DataFrame:
-    """``(month, spread)`` averaged over closed size slices of all events; a value on an edge is in
-    both slices. Slices with ``min_months`` months or fewer are left out."""
-    edges = positions.where(F.col(size).isNotNull()).agg(F.percentile(size, F.array(*(F.lit(i / buckets) for i in range(buckets + 1)))).alias("_e"))
-    slices = edges.select(F.posexplode(F.arrays_zip(F.slice("_e", 1, buckets).alias("a"), F.slice("_e", 2, buckets).alias("b"))).alias("slice", "_s"))
-    cut = positions.join(F.broadcast(slices), F.col(size).between(F.col("_s.a"), F.col("_s.b"))).drop("_s")
-    each = monthly_spread(cut, returns, key, score, n, min_group, extra=["slice"])
+    return out.where("n > 0").select(*keys, "n", "mean", "se", F.try_divide("mean", "se").alias("t"), normal_p(F.try_divide("mean", "se")).alias("p"), (F.pow(1 + F.col("mean"), 12) - 1).alias("annualized"))
+
+
+def size_neutral_spread(
+    events: DataFrame, positions: DataFrame, returns: DataFrame, key: str, score: str, size: str, n: int, buckets: int = 2, min_group: int = 2, min_months: int = 5, order: Sequence[str] = ()
+) -> DataFrame:
+    """``(month, spread, n_slices)`` averaged over closed slices of size, whose edges are quantiles over
+    ``events``; a value on an edge is in both slices. Slices with ``min_months`` months or fewer are
+    left out."""
+    edges = quantiles(events, size, [i / buckets for i in range(buckets + 1)]) or [0.0] * (buckets + 1)
+    inside = [F.when(F.col(size).between(a, b), i) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    cut = positions.withColumn("slice", F.explode(F.array_compact(F.array(*inside))))
+    each = monthly_spread(cut, returns, key, score, n, min_group, order, ["slice"])
     months = each.withColumn("_m", F.count("*").over(W.partitionBy("slice"))).where(F.col("_m") > min_months)
     return months.groupBy("month").agg(F.avg("spread").alias("spread"), F.count("*").alias("n_slices"))
 
 
+def characteristic_adjusted_spread(
+    positions: DataFrame, returns: DataFrame, key: str, score: str, controls: Sequence[str], n: int = 3, min_group: int = 3, min_names: int = 12, order: Sequence[str] = ()
+) -> DataFrame:
+    """``(month, n_active, high, low, spread)`` of returns with the part that a month's cross-section
+    explains by ``controls`` taken off.
+
+    Positions without a score or a control are dropped first; a month needs ``min_group * n`` of the
+    rest, then one per key stays (the last by ``order``) that has a return, ``min_names`` at least.
+    """
+    whole = positions.dropna(subset=["month", key, score, *controls]).withColumn("_n", F.count("*").over(W.partitionBy("month"))).where(F.col("_n") >= min_group * n)
+    single = first_by(whole, ["month", key], [F.desc(c) for c in (order or (score,))]).join(returns, [key, "month"]).where("ret is not null")
+    residuals = residual_scores(single, "month", key, "ret", controls, min_names)
+    held = qcut(residuals.join(single.select("month", key, score), ["month", key]), ["month"], score, n)
+    legs = held.groupBy("month").agg(
+        F.count("*").alias("n_active"), F.avg(F.when(F.col("bucket") == n - 1, F.col("residual"))).alias("high"), F.avg(F.when(F.col("bucket") == 0, F.col("residual"))).alias("low")
+    )
+    return legs.where("high is not null and low is not null").withColumn("spread", F.col("high") - F.col("low"))
+
+
+def concat_on(frames: Sequence[DataFrame], key: str, names: Sequence[str], value: str) -> DataFrame:
+    """Series side by side: a row per key of any frame, the ``value`` of each under its name. One
+    aggregation over their union, however many there are."""
+    tagged = [f.select(key, F.col(value).alias("_v"), F.lit(n).alias("_n")) for f, n in zip(frames, names)]
+    out = tagged[0]
+    for t in tagged[1:]:
+        out = out.unionByName(t)
+    return out.groupBy(key).agg(*(F.max(F.when(F.col("_n") == n, F.col("_v"))).alias(n) for n in names))
+
+
 def residual_scores(positions: DataFrame, month: str, key: str, outcome: str, controls: Sequence[str], min_names: int = 12) -> DataFrame:
     """``(month, key, residual)`` of monthly cross-sectional least squares of ``outcome`` on
     ``controls``; rows with a null are dropped first and months with fewer names left out."""

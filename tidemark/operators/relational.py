@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import grouped_quantiles
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by ``order``; null keys form a group. A top-one aggregation:
@@ -59,13 +61,26 @@ def value_counts(df: DataFrame, *columns: str, drop_null: bool = True) -> DataFr
     return kept.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
+def pivot_mean(df: DataFrame, keys: Sequence[str], name: str, value: str, domain: Sequence[str]) -> DataFrame:
+    """Mean per key and name, a column for each of ``domain``; empty cells are null."""
+    return df.groupBy(*keys).pivot(name, list(domain)).agg(F.avg(value))
+
+
+def valid_counts(df: DataFrame, keys: Sequence[str], value: str, holds: Column, share: str = "share") -> DataFrame:
+    """``(keys, n, n_valid, share)``: rows, non-null values, and the share of rows where ``holds`` is true."""
+    hit = F.avg(F.coalesce(holds, F.lit(False)).cast("int"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("n_valid"), hit.alias(share))
+
+
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles by linear interpolation."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"),
-        F.min(value).alias("min"), F.round(F.percentile(value, 0.25), 6).alias("p25"), F.round(F.percentile(value, 0.5), 6).alias("p50"),
-        F.round(F.percentile(value, 0.75), 6).alias("p75"), F.max(value).alias("max"),
-    )
+    sums = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+    quarters = grouped_quantiles(df, keys, value, (0.25, 0.5, 0.75), "_q")
+    named = [F.round(F.col("_q")[i], 6).alias(c) for i, c in enumerate(("p25", "p50", "p75"))]
+    same = [sums[k].eqNullSafe(quarters[k]) for k in keys]
+    return sums.join(quarters, same, "left").select(*(sums[k] for k in keys), "n", "mean", "std", "min", *named, "max")
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -99,9 +114,14 @@ def bounded_lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], max_rows: i
     return df.join(F.broadcast(dim) if small else dim, list(on), "left")
 
 
-def resolve_by_prefix(names: DataFrame, issuers: DataFrame, name: str, issuer: str, weight: str) -> DataFrame:
-    """Names without their trailing digits, matched to issuers; per issuer the name of most weight,
-    then the smallest."""
+def resolve_by_prefix(names: DataFrame, issuers: DataFrame, name: str, issuer: str, weight: str, unmatched: str = "keep") -> DataFrame:
+    """Names without their trailing digits, matched to issuers; per issuer the name of most weight, then
+    the smallest. An issuer without a name keeps a row of nulls, goes (``skip``) or is an error (``raise``)."""
     stem = F.regexp_replace(F.col(name), r"\d+$", "")
-    matched = names.withColumn(issuer, stem).join(issuers, issuer)
-    return first_by(matched, [issuer], [F.desc(weight), F.col(name)])
+    best = first_by(names.withColumn(issuer, stem), [issuer], [F.desc(weight), F.col(name)])
+    found = issuers.join(best, issuer, "left")
+    if unmatched == "raise":
+        lost = [r[0] for r in found.where(F.col(name).isNull()).select(issuer).limit(10).collect()]
+        if lost:
+            raise ValueError(f"no names for issuers {lost}")
+    return found.where(F.col(name).isNotNull()) if unmatched == "skip" else found

@@ -1,94 +1,189 @@
-"""Statistics from grouped sums: ranks, correlations, rank tests, clustered least squares, fixed effects.
+"""Statistics from grouped sums: ranks, quantiles, correlations, rank tests, least squares, fixed effects.
 
-Only moments reach the driver: k x k cross products, never rows. Ranks come from value counts, so
-ties cost one row and the running sum over distinct values is the only ordered step.
+Only moments reach the driver: k x k cross products, never rows. Ranks come from value counts: ties
+are one row, values are dealt into ranges of about equal weight, running sums stay inside a range and
+only the ranges' totals, ``RANGES`` numbers, are added up on the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import special
 
+RANGES = 64
+
+
+def value_ranks(df: DataFrame, value: str, rank: str = "rank", count: Column | None = None) -> DataFrame:
+    """``(value, t, rank)`` of the distinct non-null values: how many rows have each (or the sum of
+    ``count``), and their mean rank from 1."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if count is None else F.sum(count)).alias("t"))
+    edges = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+    edges = sorted(set(edges))
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    dealt = counts.withColumn("_range", at)
+    totals = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.sum("t").alias("n")).collect())
+    before, starts = 0, []
+    for k, n in totals:
+        starts += [F.lit(k), F.lit(before)]
+        before += n
+    offset = F.element_at(F.create_map(*starts), F.col("_range")) if starts else F.lit(0)
+    inside = F.sum("t").over(W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.select(value, "t", (offset + inside - (F.col("t") - 1) / 2.0).alias(rank))
+
 
 def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1, ties sharing their mean; nulls are left out."""
-    by = W.partitionBy(*keys) if keys else W.partitionBy()
-    tied = W.partitionBy(*keys, value)
     rows = df.where(F.col(value).isNotNull())
-    return rows.withColumn(rank, F.rank().over(by.orderBy(value)) + (F.count("*").over(tied) - 1) / 2.0)
+    if not keys:
+        return rows.join(value_ranks(rows, value, rank).drop("t"), value).select(*df.columns, rank)
+    tied = W.partitionBy(*keys, value)
+    return rows.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(tied) - 1) / 2.0)
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float] | None:
+    """Exact quantiles by linear interpolation, None for no rows. Each is bracketed by approximate
+    ones; rows below the bracket are counted and only values inside it are ordered."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if not n:
+        return None
+    places = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
+    known: dict[int, float] = {}
+    width = 0.001
+    while len(known) < len(places):
+        open_ = [k for k in places if k not in known]
+        bounds = [(max(0.0, k / n - width), min(1.0, (k + 1) / n + width)) for k in open_]
+        flat = rows.agg(F.percentile_approx("v", [b for pair in bounds for b in pair], 10_000)).first()[0]
+        brackets = [(-math.inf if lo == 0 else flat[2 * i], math.inf if hi == 1 else flat[2 * i + 1]) for i, (lo, hi) in enumerate(bounds)]
+        below = rows.agg(*(F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets))).first()
+        for i, (k, (lo, hi)) in enumerate(zip(open_, brackets)):
+            near = rows.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("t"))
+            upto = F.sum("t").over(W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+            hit = near.withColumn("c", upto + below[f"b{i}"]).where(F.col("c") > k).agg(F.min("v")).first()[0]
+            if hit is not None and below[f"b{i}"] <= k:
+                known[k] = hit
+        width *= 10
+    out = []
+    for s in shares:
+        low = known[math.floor(s * (n - 1))]
+        out.append(low + (s * (n - 1) - math.floor(s * (n - 1))) * (known[math.ceil(s * (n - 1))] - low))
+    return out
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str) -> DataFrame:
+    """``(keys, name)``: exact quantiles of each group as an array, from counts of distinct values in
+    order, so that a large group is sorted, and spills, instead of being held in memory."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_t"))
+    whole = W.partitionBy(*keys)
+    upto = F.sum("_t").over(whole.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    rows = counts.withColumn("_c", upto).withColumn("_n", F.sum("_t").over(whole))
+    low = lambda s: F.floor(F.lit(s) * (F.col("_n") - 1))
+    high = lambda s: F.ceil(F.lit(s) * (F.col("_n") - 1))
+    picks = [F.min(F.when(F.col("_c") > f(s), F.col("_v"))).alias(f"_{x}{i}") for i, s in enumerate(shares) for x, f in (("a", low), ("b", high))]
+    found = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
+    part = lambda s: F.lit(s) * (F.col("_n") - 1) - F.floor(F.lit(s) * (F.col("_n") - 1))
+    return found.select(*keys, F.array(*(F.col(f"_a{i}") + part(s) * (F.col(f"_b{i}") - F.col(f"_a{i}")) for i, s in enumerate(shares))).alias(name))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.dropna(subset=[x, y]).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    """``(n, r, p)``, p two-sided by the t statistic."""
+    return df.dropna(subset=[x, y]).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).withColumn("p", _tail(correlation_p, "n", "r"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    rows = df.dropna(subset=[x, y]).select(x, y)
-    ranked = average_ranks(average_ranks(rows, x, "_rx"), y, "_ry")
-    return ranked.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("r"))
+    """``(n, r, p)`` of the average ranks."""
+    pairs = df.dropna(subset=[x, y]).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c"))
+    rx = value_ranks(pairs, "_x", "rx", F.col("_c")).drop("t")
+    ry = value_ranks(pairs, "_y", "ry", F.col("_c")).drop("t")
+    c = F.col("_c")
+    m = pairs.join(rx, "_x").join(ry, "_y").agg(
+        F.sum(c).alias("n"), F.sum(c * F.col("rx")).alias("sx"), F.sum(c * F.col("ry")).alias("sy"), F.sum(c * F.col("rx") * F.col("rx")).alias("xx"),
+        F.sum(c * F.col("ry") * F.col("ry")).alias("yy"), F.sum(c * F.col("rx") * F.col("ry")).alias("xy"),
+    )
+    n = F.col("n")
+    r = F.try_divide(n * F.col("xy") - F.col("sx") * F.col("sy"), F.sqrt((n * F.col("xx") - F.col("sx") * F.col("sx")) * (n * F.col("yy") - F.col("sy") * F.col("sy"))))
+    return m.select("n", r.alias("r")).withColumn("p", _tail(correlation_p, "n", "r"))
 
 
 def correlation_p(n: int, r: float | None) -> float | None:
     """Two-sided p of a correlation by its t statistic."""
-    if r is None or n < 3:
+    if r is None or n is None or n < 3 or r != r:
         return None
     return 0.0 if abs(r) >= 1 else special.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
-def _tie_sum(df: DataFrame, value: str):
-    return df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
+def _tail(find, *columns) -> Column:
+    """A tail probability as a column, of results that have a row in all or one a key."""
+    return F.udf(lambda *v: None if any(x is None or x != x for x in v) else find(*v), "double")(*columns)
 
 
-def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """``(n1, n0, u, z)`` of group 1 against group 0: tie-corrected normal score with continuity."""
-    rows = df.dropna(subset=[value, group])
-    sums = average_ranks(rows, value).agg(
-        F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"), F.sum(F.when(F.col(group) == 1, F.col("rank"))).alias("r1")
+def _normal(z: float, side: str) -> float:
+    return {"two-sided": special.normal_two_sided, "less": special.normal_lower, "greater": lambda v: special.normal_lower(-v)}[side](z)
+
+
+def normal_p(z: Column | str, side: str = "two-sided") -> Column:
+    return _tail(_normal, z, F.lit(side))
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, side: str = "two-sided") -> DataFrame:
+    """``(n1, n0, u, z, p)`` of group 1 against group 0: tie-corrected normal score with continuity;
+    ``side`` is ``two-sided``, ``less`` (group 1 lower) or ``greater``."""
+    rows = df.dropna(subset=[value, group]).where(F.col(group).isin(0, 1))
+    ones = rows.groupBy(value).agg(F.count_if(F.col(group) == 1).alias("t1"))
+    sums = value_ranks(rows, value).join(ones, value).agg(
+        F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n0"), F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(F.pow("t", 3) - F.col("t")).alias("ties")
     )
     n = F.col("n1") + F.col("n0")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    mean = F.col("n1") * F.col("n0") / 2
-    var = F.col("n1") * F.col("n0") / 12 * (n + 1 - F.col("ties") / (n * (n - 1)))
-    z = F.signum(u - mean) * F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)) / F.sqrt(var)
-    return sums.crossJoin(F.broadcast(_tie_sum(rows, value))).select("n1", "n0", u.alias("u"), z.alias("z"))
+    gap = u - F.col("n1") * F.col("n0") / 2
+    var = F.col("n1") * F.col("n0") / 12 * (n + 1 - F.try_divide("ties", n * (n - 1)))
+    step = {"two-sided": F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), "less": gap + 0.5, "greater": gap - 0.5}[side]
+    return sums.select("n1", "n0", u.alias("u"), F.try_divide(step, F.sqrt(var)).alias("z")).withColumn("p", normal_p("z", side))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """``(k, n, h)``: tie-corrected H over the groups."""
+    """``(k, n, h, p)``: tie-corrected H over the groups, p by chi-squared."""
     rows = df.dropna(subset=[value, group])
-    per = average_ranks(rows, value).groupBy(group).agg(F.count("*").alias("c"), F.sum("rank").alias("r"))
+    ranks = value_ranks(rows, value)
+    cells = rows.groupBy(value, group).agg(F.count("*").alias("c")).join(ranks, value)
+    per = cells.groupBy(group).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     all_of = per.agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("c")).alias("q"))
+    ties = ranks.agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3) - n))
-    return all_of.crossJoin(F.broadcast(_tie_sum(rows, value))).select("k", "n", h.alias("h"))
+    return all_of.crossJoin(F.broadcast(ties)).select("k", "n", h.alias("h")).withColumn("p", _tail(lambda h, k: special.chi2_upper(h, k) if k else None, "h", F.col("k") - 1))
 
 
-def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, intercept: bool = True) -> list[dict]:
+def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, intercept: bool = True, weight: str | None = None, absorbed: int = 0) -> list[dict]:
     """Least squares with cluster-robust errors, factor ``G/(G-1) (N-1)/(N-K)``, normal p.
 
     Pass one sums cross products; pass two sums scores per cluster and then their outer products, so
-    the driver gets ``k * k`` numbers twice. Nulls are dropped.
+    the driver gets ``k * k`` numbers twice. Nulls are dropped. ``weight`` names a column of weights;
+    ``absorbed`` parameters, estimated before, count in K.
     """
     names = (["const"] if intercept else []) + list(x)
-    kept = df.dropna(subset=[y, *x, *([cluster] if cluster else [])])
+    kept = df.dropna(subset=[y, *x, *([cluster] if cluster else []), *([weight] if weight else [])])
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")
     rows = kept.select(
-        *([F.lit(1.0).alias("const")] if intercept else []), *(F.col(c).cast("double").alias(c) for c in x), F.col(y).cast("double").alias("_y"),
+        *([F.lit(1.0).alias("const")] if intercept else []), *(F.col(c).cast("double").alias(c) for c in x), F.col(y).cast("double").alias("_y"), w,
         *([F.col(cluster).alias("_g")] if cluster else [F.monotonically_increasing_id().alias("_g")]),
     )
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = rows.agg(
-        F.count("*").alias("n"), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs), *(F.sum(F.col(c) * F.col("_y")).alias(f"t{i}") for i, c in enumerate(names))
+        F.count("*").alias("n"), *(F.sum(F.col(names[i]) * F.col(names[j]) * F.col("_w")).alias(f"s{i}_{j}") for i, j in pairs), *(F.sum(F.col(c) * F.col("_y") * F.col("_w")).alias(f"t{i}") for i, c in enumerate(names))
     ).first()
     n = first["n"]
-    if n <= k:
+    if n <= k + absorbed:
         return []
     xx = np.zeros((k, k))
     for i, j in pairs:
@@ -97,12 +192,12 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, int
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     e = F.col("_y") - sum((F.col(c) * float(b) for c, b in zip(names, beta)), F.lit(0.0))
-    scored = rows.groupBy("_g").agg(*(F.sum(F.col(c) * e).alias(f"u{i}") for i, c in enumerate(names)))
+    scored = rows.groupBy("_g").agg(*(F.sum(F.col(c) * F.col("_w") * e).alias(f"u{i}") for i, c in enumerate(names)))
     meat_row = scored.agg(F.count("*").alias("g"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs)).first()
     meat, g = np.zeros((k, k)), meat_row["g"]
     for i, j in pairs:
         meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
-    factor = (g / (g - 1)) * (n - 1) / (n - k) if g > 1 else float("nan")
+    factor = (g / (g - 1)) * (n - 1) / (n - k - absorbed) if g > 1 else float("nan")
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
     return [
         {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s > 0 else None, "p": special.normal_two_sided(b / s) if s > 0 else None, "n": n, "clusters": g}
@@ -115,23 +210,53 @@ def demean(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), *((F.col(c) - F.avg(c).over(w)).alias(c) for c in columns))
 
 
-def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, max_periods: int = 200) -> dict:
-    """Entity and time effects by partialling out: entity-demeaned outcome and regressors on
-    entity-demeaned time dummies (exact for unbalanced panels), entity-clustered errors.
+def _outer(size: int):
+    """Sums over entities of outer products of their period counts, divided by the entity's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for b in batches:
+            for cells in b.column("cells").to_pylist():
+                at = np.array([c["t"] for c in cells])
+                n = np.array([c["c"] for c in cells], float)
+                total[np.ix_(at, at)] += np.outer(n, n) / n.sum()
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "v"])
+
+    return run
+
+
+def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str) -> dict:
+    """Entity and time effects by partialling out, exact for unbalanced panels, entity-clustered errors.
 
-    ``degenerate`` tells that the outcome never varies within an entity. Periods are bounded by
-    ``max_periods``, which bounds the driver's matrix.
+    Outcome and regressors are demeaned by entity; their time effects solve one system of periods by
+    periods, whose matrix is summed up over entities in each task. What is left of them is regressed by
+    ``ols``. The driver holds that matrix; rows and entities are not bounded. ``degenerate`` tells that
+    the outcome never varies within an entity.
     """
-    rows = df.dropna(subset=[y, *x, entity, time]).select(entity, time, F.col(y).cast("double").alias("_out"), *(F.col(c).cast("double").alias(c) for c in x))
-    periods = [r[0] for r in rows.select(time).distinct().orderBy(time).limit(max_periods + 1).collect()]
-    if len(periods) > max_periods:
-        raise ValueError(f"more than {max_periods} periods")
-    dummies = [f"_t{i}" for i in range(1, len(periods))]
-    wide = rows.select("*", *((F.col(time) == F.lit(p)).cast("double").alias(d) for p, d in zip(periods[1:], dummies)))
-    within = demean(wide, ["_out", *x, *dummies], entity)
+    rows = df.dropna(subset=[y, *x, entity, time]).select(F.col(entity).alias("_i"), F.col(time).alias("_time"), F.col(y).cast("double").alias("_out"), *(F.col(c).cast("double").alias(c) for c in x))
+    spark = df.sparkSession
+    periods = [r[0] for r in rows.select("_time").distinct().orderBy("_time").collect()]
+    if not periods:
+        return {"degenerate": True, "terms": [], "periods": 0}
+    number = spark.createDataFrame(list(zip(periods, range(len(periods)))), rows.select("_time").schema.add("_t", T.IntegerType()))
+    values = ["_out", *x]
+    within = demean(rows.join(F.broadcast(number), "_time").drop("_time"), values, "_i")
+    cells = within.groupBy("_i", "_t").agg(F.count("*").alias("c")).groupBy("_i").agg(F.collect_list(F.struct(F.col("_t").alias("t"), "c")).alias("cells"))
+    products = cells.select("cells").mapInArrow(_outer(len(periods)), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    by_time = {r["_t"]: r for r in within.groupBy("_t").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in values)).collect()}
+    system = np.diag([float(by_time[t]["n"]) for t in range(len(periods))])
+    for r in products:
+        system[r["i"], r["j"]] -= r["v"]
+    target = np.array([[by_time[t][c] for c in values] for t in range(len(periods))])
+    effect = np.zeros_like(target)  # the first period's is zero
+    effect[1:] = np.linalg.lstsq(system[1:, 1:], target[1:], rcond=None)[0]
+    effects = spark.createDataFrame([(t, *map(float, e)) for t, e in enumerate(effect)], "_t int, " + ", ".join(f"_e{k} double" for k in range(len(values))))
+    own = W.partitionBy("_i")
+    net = within.join(F.broadcast(effects), "_t")
+    net = net.select("_i", *((F.col(c) - (F.col(f"_e{k}") - F.avg(f"_e{k}").over(own))).alias(c) for k, c in enumerate(values)))
     spread = within.agg(F.sum(F.col("_out") * F.col("_out"))).first()[0] or 0.0
-    found = ols(within, "_out", [*x, *dummies], cluster=entity, intercept=False)
-    return {"degenerate": spread < 1e-18, "terms": [r for r in found if r["term"] in x], "periods": len(periods)}
+    return {"degenerate": spread < 1e-18, "terms": ols(net, "_out", x, cluster="_i", intercept=False, absorbed=len(periods) - 1), "periods": len(periods)}
 
 
 def logit(df: DataFrame, y: str, x: Sequence[str], steps: int = 25) -> list[dict]:
@@ -169,34 +294,140 @@ def logit(df: DataFrame, y: str, x: Sequence[str], steps: int = 25) -> list[dict
 
 
 def winsorize(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``value`` clipped to global quantiles, which are one broadcast row."""
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+    """``value`` clipped to its exact global quantiles."""
+    q = quantiles(df, value, (low, high))
+    return df if q is None else df.withColumn(value, F.greatest(F.least(F.col(value), F.lit(q[1])), F.lit(q[0])))
 
 
 def extreme_tail(df: DataFrame, value: str, low: float = 0.1, high: float = 0.9, flag: str = "extreme") -> DataFrame:
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(flag, (F.col(value) <= F.col("_q")[0]) | (F.col(value) >= F.col("_q")[1])).drop("_q")
+    """``flag``: at or beyond the exact global quantiles."""
+    q = quantiles(df, value, (low, high)) or (0.0, 0.0)
+    return df.withColumn(flag, (F.col(value) <= q[0]) | (F.col(value) >= q[1]))
+
+
+def leave_one_out(df: DataFrame, y: str, x: Sequence[str], group: str) -> DataFrame:
+    """``(group, term, coef)`` of least squares without each group's rows: the groups' cross products
+    are summed once and taken off the total, a small solve per group inside the tasks."""
+    names = ["_const", *x]
+    rows = df.dropna(subset=[y, *x, group]).select(F.col(group).alias("_g"), F.lit(1.0).alias("_const"), *(F.col(c).cast("double").alias(c) for c in x), F.col(y).cast("double").alias("_y"))
+    k = len(names)
+    pairs = [(names[i], names[j]) for i in range(k) for j in range(k)] + [(c, "_y") for c in names]
+    sums = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).alias("s")
+    total = rows.agg(sums).first()["s"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = np.array(total)[None, :] - np.array(b.column("s").to_pylist())
+            coefs = np.stack([np.linalg.pinv(v[: k * k].reshape(k, k)) @ v[k * k :] for v in left])
+            yield pa.RecordBatch.from_arrays([b.column("_g"), pa.array(coefs.tolist())], ["_g", "coefs"])
+
+    per = rows.groupBy("_g").agg(sums)
+    found = per.mapInArrow(solve, f"_g {per.schema['_g'].dataType.simpleString()}, coefs array<double>")
+    terms = F.arrays_zip(F.array(*(F.lit("const" if c == "_const" else c) for c in names)).alias("term"), F.col("coefs").alias("coef"))
+    return found.select(F.col("_g").alias(group), F.explode(terms).alias("e")).select(group, "e.term", "e.coef")
+
+
+def collapse(df: DataFrame, entity: str, values: Sequence[str], how: str = "mean") -> DataFrame:
+    """One row an entity: ``mean`` or ``median`` of each value, and ``n_rows``."""
+    each = {"mean": F.avg, "median": F.median}[how]
+    return df.groupBy(entity).agg(*(each(c).alias(c) for c in values), F.count("*").alias("n_rows"))
+
+
+def specifications(cuts: dict[str, DataFrame], outcome: str, predictor: str, specs: dict[str, Sequence[str]], cluster: str, min_rows: int = 20, min_clusters: int = 5) -> list[dict]:
+    """``(scenario, controls, n, coef, p_value)`` of clustered least squares for each cut and list of
+    controls, with nulls where rows or clusters are too few."""
+    out = []
+    for scenario, df in cuts.items():
+        for spec, controls in specs.items():
+            have = df.dropna(subset=[outcome, predictor, cluster, *controls])
+            size = have.agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("g")).first()
+            row = {"scenario": scenario, "controls": spec, "n": size["n"], "coef": None, "p_value": None}
+            if size["n"] >= min_rows and size["g"] >= min_clusters:
+                term = next((r for r in ols(have, outcome, [predictor, *controls], cluster) if r["term"] == predictor), None)
+                if term:
+                    row |= {"coef": term["coef"], "p_value": term["p"]}
+            out.append(row)
+    return out
+
+
+def flips(results: DataFrame, first: str, second: str, level: float = 0.05) -> DataFrame:
+    """``(scenario, p_first, p_second)`` where the second specification is below ``level`` and the first isn't."""
+    p = lambda spec: F.max(F.when(F.col("controls") == spec, F.col("p_value")))
+    wide = results.groupBy("scenario").agg(p(first).alias("p_first"), p(second).alias("p_second"))
+    return wide.where((F.col("p_first") >= level) & (F.col("p_second") < level))
+
+
+def panel_battery(
+    df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str], controls: Sequence[str], entity: str, time: str, sector: Sequence[str] = (),
+    drop_controls: dict[str, Sequence[str]] | None = None, min_rows: int = 20, min_clusters: int = 10,
+) -> list[dict]:
+    """Per outcome and predictor five p values (correlation, clustered alone, with controls, with
+    sector dummies too, two-way effects) and the least of them. ``sector`` names dummy columns;
+    ``drop_controls`` names controls that an outcome is made of."""
+    out = []
+    for y in outcomes:
+        own = [c for c in controls if c not in (drop_controls or {}).get(y, ())]
+        for x in predictors:
+            have = df.dropna(subset=[y, x])
+            r = pearson(have, x, y).first()
+            if r["n"] < min_rows:
+                continue
+            specs = {"alone": [], "controls": own, "sector": [*own, *sector]}
+            found = {s["controls"]: s for s in specifications({"": df}, y, x, specs, entity, min_rows, min_clusters)}
+            panel = df.dropna(subset=[y, x, *own])
+            size = panel.agg(F.count("*").alias("n"), F.count_distinct(entity).alias("g"), F.count_distinct(time).alias("t")).first()
+            fe = None
+            if size["n"] >= 30 and size["g"] >= 10 and size["t"] >= 2:
+                effects = two_way_fe(panel, y, [x, *own], entity, time)
+                fe = None if effects["degenerate"] else next((t["p"] for t in effects["terms"] if t["term"] == x), None)
+            ps = [r["p"], *(found[s]["p_value"] for s in specs), fe]
+            out.append({
+                "outcome": y, "predictor": x, "n": r["n"], "r": r["r"], "p_simple": ps[0], "p_clustered": ps[1], "p_controls": ps[2], "p_sector": ps[3], "p_fe": ps[4],
+                "p_least": min((p for p in ps if p is not None), default=None),
+            })
+    return out
 
 
-def battery(df: DataFrame, label: str, outcome: str, predictor: str, cluster: str, controls: Sequence[str] = (), min_rows: int = 20, min_clusters: int = 5) -> list[dict]:
-    """Correlations and regressions of one cut, each behind its coverage gate; a test that lacks
-    coverage gives a row that says so."""
+def battery(
+    df: DataFrame, label: str, outcome: str, predictor: str, cluster: str, controls: Sequence[str] = (), group: str | None = None,
+    min_rows: int = 20, min_each: int = 5, least: int = 10,
+) -> list[dict]:
+    """Up to eight tests of one cut, each behind its coverage gate: correlations of the signed and the
+    absolute outcome, clustered least squares without and with controls, Kruskal-Wallis over the
+    predictor's terciles, and for a 0/1 ``group`` its rank test and clustered regression."""
     out: list[dict] = []
-    size = df.dropna(subset=[outcome, predictor]).agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("g")).first()
-
-    def add(test: str, stat: float | None, p: float | None, note: str = "") -> None:
-        out.append({"label": label, "test": test, "n": size["n"], "clusters": size["g"], "stat": stat, "p_value": p, "note": note})
-
-    for test, make in (("pearson", pearson), ("spearman", spearman)):
-        if size["n"] < 10:
-            add(test, None, None, "coverage_too_low")
-        else:
-            r = make(df, predictor, outcome).first()["r"]
-            add(test, r, correlation_p(size["n"], r))
-    for test, x in (("ols", [predictor]), ("ols_controls", [predictor, *controls])):
-        if size["n"] < min_rows or size["g"] < min_clusters:
-            add(test, None, None, "coverage_too_low")
-        elif rows := [r for r in ols(df, outcome, x, cluster) if r["term"] == predictor]:
-            add(test, rows[0]["coef"], rows[0]["p"])
+    have = df.dropna(subset=[outcome, predictor])
+    size = have.agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("g")).first()
+
+    def add(test: str, stat: float | None, p: float | None, note: str = "", n: int | None = None) -> None:
+        out.append({"label": label, "test": test, "n": size["n"] if n is None else n, "clusters": size["g"], "stat": stat, "p_value": p, "note": note})
+
+    def term(rows: list[dict], name: str) -> dict | None:
+        return next((r for r in rows if r["term"] == name), None)
+
+    if size["n"] < least:
+        add("coverage_too_low", None, None)
+        return out
+    whole = have.withColumn("_size", F.abs(outcome))
+    for test, make, y in (("signed_pearson", pearson, outcome), ("signed_spearman", spearman, outcome), ("magnitude_pearson", pearson, "_size")):
+        r = make(whole, predictor, y).first()
+        add(test, r["r"], r["p"])
+    if t := term(ols(have, outcome, [predictor], cluster), predictor):
+        add("clustered_ols_no_controls", t["coef"], t["p"])
+    if controls:
+        full = have.dropna(subset=list(controls))
+        if (n := full.count()) >= min_rows and (t := term(ols(full, outcome, [predictor, *controls], cluster), predictor)):
+            add("clustered_ols_with_controls", t["coef"], t["p"], n=n)
+    edges = quantiles(have, predictor, (0, 1 / 3, 2 / 3, 1))
+    if len(set(edges)) == 4:
+        cut = have.withColumn("_third", (F.col(predictor) > edges[1]).cast("int") + (F.col(predictor) > edges[2]).cast("int"))
+        k = kruskal(cut, outcome, "_third").first()
+        means = {r["_third"]: r["m"] for r in cut.groupBy("_third").agg(F.avg(outcome).alias("m")).collect()}
+        add("tercile_kruskal", k["h"], k["p"], " ".join(f"{n}={means.get(i, math.nan):+.4f}" for i, n in enumerate(("low", "mid", "high"))))
+    if group:
+        sides = {r[group]: r for r in have.where(F.col(group).isin(0, 1)).groupBy(group).agg(F.count("*").alias("n"), F.avg(outcome).alias("m")).collect()}
+        if len(sides) == 2 and min(s["n"] for s in sides.values()) >= min_each:
+            add("group_mann_whitney", sides[1]["m"] - sides[0]["m"], mann_whitney(have, outcome, group).first()["p"])
+            if t := term(ols(have, outcome, [group], cluster), group):
+                add("group_clustered", t["coef"], t["p"])
     return out

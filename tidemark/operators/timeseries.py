@@ -52,13 +52,6 @@ def pct_change(value: str, key: str, at: str, fill: bool = False) -> Column:
     return F.try_divide(now, before) - 1
 
 
-def month_spine(df: DataFrame, at: str) -> DataFrame:
-    """Every month end from the first to the last date: a row per month."""
-    ends = df.agg(F.last_day(F.min(at)).alias("a"), F.last_day(F.max(at)).alias("b"))
-    months = F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))
-    return ends.where("a is not null").select(F.explode(F.transform(months, F.last_day)).alias("month"))
-
-
 def month_end_last(df: DataFrame, key: str, at: str, value: str, *ties: str) -> DataFrame:
     """Last non-null value of each key and month over the key's own range; empty months are null rows."""
     seen = df.where(F.col(value).isNotNull())
@@ -73,12 +66,12 @@ def trailing_return(series: DataFrame, key: str, at: str, value: str, year: Colu
     """Per key and year end: last value up to it over the first from ``lookback`` days before it,
     minus one; only where ``min_obs`` observations exist up to the year end in the whole history."""
     rows = series.where(F.col(value).isNotNull())
-    years = rows.select(year.alias("year")).distinct()
-    ends = years.withColumn("year_end", F.make_date("year", F.lit(12), F.lit(31)))
     # a row belongs to every later year end: running counts per key and year keep that linear
     per_year = rows.groupBy(key, year.alias("year")).agg(F.count("*").alias("n"), F.max_by(value, F.struct(at, *ties)).alias("p1"))
-    keys = rows.select(key).distinct()
-    grid = keys.join(F.broadcast(ends)).join(per_year, [key, "year"], "left")
+    # a key's years run from its first to the last of all, which is one number
+    last_year = rows.agg(F.max(year)).first()[0]
+    years = per_year.groupBy(key).agg(F.explode(F.sequence(F.min("year"), F.lit(last_year))).alias("year")) if last_year is not None else per_year.select(key, "year")
+    grid = years.join(per_year, [key, "year"], "left").withColumn("year_end", F.make_date("year", F.lit(12), F.lit(31)))
     so_far = W.partitionBy(key).orderBy("year").rowsBetween(W.unboundedPreceding, 0)
     grid = grid.withColumn("n_obs", F.sum("n").over(so_far)).withColumn("p1", F.last("p1", ignorenulls=True).over(so_far))
     start = grid.withColumn(at, F.date_sub("year_end", lookback).cast(series.schema[at].dataType)).select(key, "year", "year_end", "n_obs", "p1", at)

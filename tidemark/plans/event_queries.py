@@ -148,44 +148,83 @@ def qcut_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIRST, _LAST = "1995-01-31", "2001-11-30"
-_EVENTS = "SELECT o_orderkey, o_custkey % 40 AS k, o_totalprice AS score, o_custkey % 7 + 0.5 AS size, o_orderdate::DATE AS filed, last_day((date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE) AS entry FROM orders WHERE o_orderstatus = 'P'"
-_ACTIVE = f"""m AS (SELECT last_day(unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH))) AS month), ev AS ({_EVENTS}),
-    act AS (SELECT ev.*, month FROM ev JOIN m ON entry > month - INTERVAL 3 MONTH AND entry <= month)"""
-_MONTHLY = "ret AS (SELECT k, month, p / lag(p) OVER (PARTITION BY k ORDER BY month) - 1 AS ret FROM (SELECT l_suppkey % 40 AS k, last_day(l_shipdate) AS month, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2))"
+#: Events are returned items, names are suppliers: scored by price, sized by quantity.
+_EVENTS = "SELECT l_orderkey, l_suppkey AS k, l_extendedprice AS score, l_quantity AS size, l_discount AS discount, l_shipdate::DATE AS filed, last_day((date_trunc('month', l_shipdate) + INTERVAL 1 MONTH)::DATE) AS entry FROM lineitem WHERE l_returnflag = 'R'"
+_MONTHS = "m AS (SELECT last_day(unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH))) AS month)"
 
 
-def _spread_sql(n: int, least: int, extra: str = "", source: str = "act") -> str:
-    e, j = (f"{extra}, ", f"AND s.{extra} = g.{extra}") if extra else ("", "")
+def _active_sql(holding: int, name: str = "act") -> str:
+    return f"{name} AS (SELECT ev.*, month FROM ev JOIN m ON entry > month - INTERVAL {holding} MONTH AND entry <= month)"
+
+
+_ACTIVE = f"{_MONTHS}, ev AS ({_EVENTS}), {_active_sql(3)}"
+_MONTHLY = "ret AS (SELECT k, month, p / lag(p) OVER (PARTITION BY k ORDER BY month) - 1 AS ret FROM (SELECT l_suppkey AS k, last_day(l_shipdate) AS month, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2))"
+_ORDER = ["filed", "l_orderkey", "score", "size"]
+_ORDER_SQL = ", ".join(f"{c} DESC" for c in _ORDER)
+
+
+def _spread_sql(n: int, least: int, extra: str = "", source: str = "act", tag: str = "") -> str:
+    e = f"{extra}, " if extra else ""
     p = f"PARTITION BY {e}month"
     edges = ", ".join(f"{i}/{n}.0" for i in range(n + 1))
     bucket = " + ".join(f"(score > e[{i + 1}])::INT" for i in range(1, n))
-    return f"""c AS (SELECT *, count(*) OVER ({p}) AS cnt FROM {source}),
-        s AS (SELECT * FROM c WHERE cnt >= {least * n} QUALIFY row_number() OVER (PARTITION BY {e}month, k ORDER BY filed DESC, o_orderkey DESC) = 1),
-        q AS (SELECT {e}month, quantile_cont(score, [{edges}]) AS e FROM s GROUP BY ALL),
-        g AS (SELECT s.*, {bucket} AS b FROM s JOIN q USING ({e}month) WHERE len(list_distinct(e)) = {n + 1}),
-        sp AS (SELECT {e}g.month, count(*) AS n_active, avg(ret) FILTER (WHERE b = {n - 1}) AS high, avg(ret) FILTER (WHERE b = 0) AS low FROM g LEFT JOIN ret ON ret.k = g.k AND ret.month = g.month GROUP BY ALL)"""
+    return f"""c{tag} AS (SELECT *, count(*) OVER ({p}) AS cnt FROM {source}),
+        s{tag} AS (SELECT * FROM c{tag} WHERE cnt >= {least * n} QUALIFY row_number() OVER (PARTITION BY {e}month, k ORDER BY {_ORDER_SQL}) = 1),
+        q{tag} AS (SELECT {e}month, quantile_cont(score, [{edges}]) AS e FROM s{tag} GROUP BY ALL),
+        g{tag} AS (SELECT s{tag}.*, {bucket} AS b FROM s{tag} JOIN q{tag} USING ({e}month) WHERE len(list_distinct(e)) = {n + 1}),
+        sp{tag} AS (SELECT {e}g{tag}.month, count(*) AS n_active, avg(ret) FILTER (WHERE b = {n - 1}) AS high, avg(ret) FILTER (WHERE b = 0) AS low FROM g{tag} LEFT JOIN ret ON ret.k = g{tag}.k AND ret.month = g{tag}.month GROUP BY ALL)"""
+
+
+def _hac_sql(source: str) -> str:
+    """Mean, HAC error, t and p of ``s`` by ``month``; p by the trapezoid rule over the normal density."""
+    return f"""(WITH u AS (SELECT month, s, s - avg(s) OVER () AS u FROM ({source})),
+        l AS (SELECT s, u, lag(u, 1) OVER w AS l1, lag(u, 2) OVER w AS l2, lag(u, 3) OVER w AS l3 FROM u WINDOW w AS (ORDER BY month)),
+        a AS (SELECT count(*) AS n, avg(s) AS mean, sqrt(sum(u*u) + 1.5 * coalesce(sum(u*l1), 0) + coalesce(sum(u*l2), 0) + 0.5 * coalesce(sum(u*l3), 0)) / count(*) AS se FROM l)
+        SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t, round({_normal_p("mean / se")}, 5) AS p, round(pow(1 + mean, 12) - 1, 4) AS annualized FROM a)"""
+
+
+def _trapezoid(density: str, top: str, steps: int = 20000) -> str:
+    """The integral of ``density``, in ``x``, from 0 to ``top``."""
+    return f"list_sum(list_transform(generate_series(0, {steps}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 0.5 ELSE 1.0 END) * list_transform([i * ({top}) / {steps}.0], lambda x: {density})[1])) * ({top}) / {steps}.0"
+
+
+def _normal_p(z: str) -> str:
+    return f"(1 - 2 * {_trapezoid('exp(-x * x / 2) / sqrt(2 * pi())', f'abs({z})')})"
+
+
+def _t_p(t: str, df: str) -> str:
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * {_trapezoid(f'pow(1 + x * x / ({df}), -(({df}) + 1) / 2.0)', f'abs({t})')})"
+
+
+def _chi2_p(x: str, df: str) -> str:
+    # with x = u * u the density has no pole at 0 from two degrees of freedom on
+    return f"(1 - 2 / (pow(2, ({df}) / 2.0) * exp(lgamma(({df}) / 2.0))) * {_trapezoid(f'pow(x, ({df}) - 1) * exp(-x * x / 2)', f'sqrt({x})')})"
+
+
+def _returned(t: Tables) -> DataFrame:
+    day = F.to_date("l_shipdate")
+    return t.lineitem.where("l_returnflag = 'R'").select(
+        "l_orderkey", F.col("l_suppkey").alias("k"), F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("size"), F.col("l_discount").alias("discount"),
+        day.alias("filed"), scalars.entry_month(day).alias("entry"),
+    )
 
 
 def _positions(t: Tables, holding: int) -> DataFrame:
-    day = F.to_date("o_orderdate")
-    events = t.orders.where("o_orderstatus = 'P'").select(
-        "o_orderkey", (F.col("o_custkey") % 40).alias("k"), F.col("o_totalprice").alias("score"), (F.col("o_custkey") % 7 + 0.5).cast("double").alias("size"), day.alias("filed"), scalars.entry_month(day).alias("entry")
-    )
-    return pf.active_positions(events, "entry", holding, _FIRST, _LAST)
+    return pf.active_positions(_returned(t), "entry", holding, _FIRST, _LAST)
 
 
 def _returns(t: Tables) -> DataFrame:
-    monthly = t.lineitem.groupBy((F.col("l_suppkey") % 40).alias("k"), F.last_day(F.to_date("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("p"))
+    monthly = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), F.last_day(F.to_date("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("p"))
     return monthly.select("k", "month", ts.pct_change("p", "k", "month").alias("ret"))
 
 
 def _spreads(t: Tables, holding: int = 3, n: int = 3) -> DataFrame:
-    return pf.monthly_spread(_positions(t, holding), _returns(t), "k", "score", n, 3, ["filed", "o_orderkey"])
+    return pf.monthly_spread(_positions(t, holding), _returns(t), "k", "score", n, 3, _ORDER)
 
 
-@_R.query(f"WITH {_ACTIVE} SELECT o_orderkey, month FROM act", dates=("month",))
+@_R.query(f"WITH {_ACTIVE} SELECT l_orderkey, k, score, month FROM act", dates=("month",))
 def active_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _positions(Tables(spark, sf_dir), 3).select("o_orderkey", "month")
+    return _positions(Tables(spark, sf_dir), 3).select("l_orderkey", "k", "score", "month")
 
 
 @_R.query(f"WITH {_ACTIVE}, {_MONTHLY}, {_spread_sql(3, 3)} SELECT month, n_active, round(high, 6) AS high, round(low, 6) AS low, round(high - low, 6) AS spread FROM sp WHERE high IS NOT NULL AND low IS NOT NULL", dates=("month",))
@@ -193,61 +232,79 @@ def long_short_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_spreads(Tables(spark, sf_dir)))
 
 
-@_R.query()
+_HOLDINGS, _GROUPS = (3, 6, 12), (2, 3, 4, 5)
+
+
+def _grid_sql() -> str:
+    cases = [(h, n) for h in _HOLDINGS for n in _GROUPS]
+    ctes = [_active_sql(h, f"act{h}") for h in _HOLDINGS] + [_spread_sql(n, 3, source=f"act{h}", tag=f"_{h}_{n}") for h, n in cases]
+    rows = [f"SELECT {h} AS holding, {n} AS groups, * FROM {_hac_sql(f'SELECT month, high - low AS s FROM sp_{h}_{n} WHERE high IS NOT NULL AND low IS NOT NULL')}" for h, n in cases]
+    return f"WITH {_MONTHS}, ev AS ({_EVENTS}), {_MONTHLY}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@_R.query(_grid_sql())
 def long_short_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    out = None
-    for holding in (3, 6, 12):
-        for n in (2, 3, 4, 5):
-            row = pf.hac_mean(_spreads(t, holding, n), "spread", "month").select(F.lit(holding).alias("holding"), F.lit(n).alias("groups"), "n", "mean", "se", "t", "annualized")
-            out = row if out is None else out.unionByName(row)
-    return rounded(out)
+    events = _returned(t).withColumn("holding", F.explode(F.array(*map(F.lit, _HOLDINGS))))
+    positions = pf.active_positions(events, "entry", F.col("holding"), _FIRST, _LAST)
+    spreads = pf.grid_spread(positions, _returns(t), "k", "score", _GROUPS, 3, _ORDER, ["holding"])
+    return _hac_rounded(pf.hac_mean(spreads, "spread", "month", ["holding", "groups"]))
 
 
-@_R.query(f"""WITH {_ACTIVE}, {_MONTHLY}, sl AS (SELECT quantile_cont(size, [0, 0.5, 1]) AS z FROM act),
+def _hac_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("annualized", F.round("annualized", 4)).withColumn("p", F.round("p", 5)))
+
+
+@_R.query(f"""WITH {_ACTIVE}, {_MONTHLY}, sl AS (SELECT quantile_cont(size, [0, 0.5, 1]) AS z FROM ev),
     cut AS (SELECT act.*, i AS slice FROM act, sl, (SELECT unnest([0, 1]) AS i) WHERE size BETWEEN z[i + 1] AND z[i + 2]), {_spread_sql(3, 2, "slice", "cut")},
     k AS (SELECT slice, month, high - low AS s, count(*) OVER (PARTITION BY slice) AS m FROM sp WHERE high IS NOT NULL AND low IS NOT NULL)
     SELECT month, round(avg(s), 6) AS spread, count(*) AS n_slices FROM k WHERE m > 5 GROUP BY month""", dates=("month",))
 def size_neutral_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    cut = _positions(t, 3)
-    edges = cut.agg(F.percentile("size", F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("_e"))
-    slices = edges.select(F.explode(F.array(F.struct(F.lit(0).alias("slice"), F.col("_e")[0].alias("a"), F.col("_e")[1].alias("b")), F.struct(F.lit(1).alias("slice"), F.col("_e")[1].alias("a"), F.col("_e")[2].alias("b")))).alias("s")).select("s.*")
-    both = cut.join(F.broadcast(slices), F.col("size").between(F.col("a"), F.col("b"))).drop("a", "b")
-    each = pf.monthly_spread(both, _returns(t), "k", "score", 3, 2, ["filed", "o_orderkey"], ["slice"])
-    months = each.withColumn("_m", F.count("*").over(W.partitionBy("slice"))).where("_m > 5")
-    return rounded(months.groupBy("month").agg(F.avg("spread").alias("spread"), F.count("*").alias("n_slices")))
-
-
-@_R.query()
+    return rounded(pf.size_neutral_spread(_returned(t), _positions(t, 3), _returns(t), "k", "score", "size", 3, order=_ORDER))
+
+
+@_R.query(f"""WITH {_ACTIVE}, {_MONTHLY},
+    c AS (SELECT *, count(*) OVER (PARTITION BY month) AS cnt FROM act), f AS (SELECT * FROM c WHERE cnt >= 9 QUALIFY row_number() OVER (PARTITION BY month, k ORDER BY {_ORDER_SQL}) = 1),
+    r AS (SELECT f.*, ret.ret FROM f JOIN ret ON ret.k = f.k AND ret.month = f.month WHERE ret.ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY f.month) >= 8),
+    a AS (SELECT month, avg(ret) AS my, avg(size) AS m1, avg(discount) AS m2, var_pop(size) AS s11, var_pop(discount) AS s22, covar_pop(size, discount) AS s12, covar_pop(size, ret) AS s1y, covar_pop(discount, ret) AS s2y FROM r GROUP BY month),
+    b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM a),
+    e AS (SELECT r.month, score, ret - my - b1 * (size - m1) - b2 * (discount - m2) AS residual FROM r JOIN b USING (month)),
+    q AS (SELECT month, quantile_cont(score, [0, 1/3.0, 2/3.0, 1]) AS z FROM e GROUP BY month)
+    SELECT month, count(*) AS n_active, round(avg(residual) FILTER (WHERE score > z[3]), 6) AS high, round(avg(residual) FILTER (WHERE score <= z[2]), 6) AS low,
+           round(avg(residual) FILTER (WHERE score > z[3]) - avg(residual) FILTER (WHERE score <= z[2]), 6) AS spread
+    FROM e JOIN q USING (month) WHERE len(list_distinct(z)) = 4 GROUP BY month""", dates=("month",))
 def characteristic_adjusted_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = _positions(t, 3).join(_returns(t), ["k", "month"]).where("ret is not null").groupBy("month", "k").agg(F.max("ret").alias("ret"), F.max("score").alias("score"), F.max("size").alias("size"), F.count("*").cast("double").alias("held"))
-    residuals = pf.residual_scores(rows, "month", "k", "ret", ["size", "held"])
-    held = pf.qcut(residuals.join(rows.select("month", "k", "score"), ["month", "k"]), ["month"], "score", 3)
-    legs = held.groupBy("month").agg(F.avg(F.when(F.col("bucket") == 2, F.col("residual"))).alias("high"), F.avg(F.when(F.col("bucket") == 0, F.col("residual"))).alias("low"))
-    return rounded(legs.select("month", (F.col("high") - F.col("low")).alias("spread")))
+    return rounded(pf.characteristic_adjusted_spread(_positions(t, 3), _returns(t), "k", "score", ["size", "discount"], min_names=8, order=_ORDER))
 
 
-@_R.query(f"""WITH {_ACTIVE}, {_MONTHLY}, {_spread_sql(3, 3)}, x AS (SELECT month, high - low AS s FROM sp WHERE high IS NOT NULL AND low IS NOT NULL),
-    u AS (SELECT month, s, s - avg(s) OVER () AS u FROM x), l AS (SELECT s, u, lag(u, 1) OVER w AS l1, lag(u, 2) OVER w AS l2, lag(u, 3) OVER w AS l3 FROM u WINDOW w AS (ORDER BY month)),
-    a AS (SELECT count(*) AS n, avg(s) AS mean, sqrt(sum(u*u) + 1.5 * sum(u*l1) + sum(u*l2) + 0.5 * sum(u*l3)) / count(*) AS se FROM l)
-    SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean / se, 6) AS t, round(pow(1 + mean, 12) - 1, 4) AS annualized FROM a""")
+@_R.query(f"WITH {_ACTIVE}, {_MONTHLY}, {_spread_sql(3, 3)} SELECT * FROM {_hac_sql('SELECT month, high - low AS s FROM sp WHERE high IS NOT NULL AND low IS NOT NULL')}")
 def hac_mean_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pf.hac_mean(_spreads(Tables(spark, sf_dir)), "spread", "month")).withColumn("annualized", F.round("annualized", 4))
+    return _hac_rounded(pf.hac_mean(_spreads(Tables(spark, sf_dir)), "spread", "month"))
 
 
-@_R.query("""
+@_R.query(f"""WITH {_ACTIVE}, {_MONTHLY}, {_spread_sql(2, 3, tag="2")}, {_spread_sql(3, 3, tag="3")}, {_spread_sql(5, 3, tag="5")},
+    a AS (SELECT month, high - low AS s, 'two' AS n FROM sp2 UNION ALL SELECT month, high - low, 'three' FROM sp3 UNION ALL SELECT month, high - low, 'five' FROM sp5)
+    SELECT month, round(max(s) FILTER (WHERE n = 'two'), 6) AS two, round(max(s) FILTER (WHERE n = 'three'), 6) AS three, round(max(s) FILTER (WHERE n = 'five'), 6) AS five FROM a WHERE s IS NOT NULL GROUP BY month""", dates=("month",))
+def spreads_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    spreads = pf.grid_spread(_positions(t, 3), _returns(t), "k", "score", (2, 3, 5), 3, _ORDER)
+    return rounded(pf.concat_on([spreads.where(F.col("groups") == n) for n in (2, 3, 5)], "month", ["two", "three", "five"], "spread"))
+
+
+@_R.query(f"""
     WITH d AS (SELECT c_custkey, c_acctbal AS x, sum(o_totalprice) AS y FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
     r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM d)
-    SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r
+    SELECT n, round(a, 6) AS pearson, round(b, 6) AS spearman, round({_t_p("a * sqrt((n - 2) / (1 - a * a))", "n - 2")}, 5) AS pearson_p, round({_t_p("b * sqrt((n - 2) / (1 - b * b))", "n - 2")}, 5) AS spearman_p
+    FROM (SELECT count(*) AS n, corr(x, y) AS a, corr(rx, ry) AS b FROM r)
 """)
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     totals = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("y"))
     d = t.customer.join(totals, "c_custkey").select(F.col("c_acctbal").alias("x"), "y")
-    both = stats.pearson(d, "x", "y").withColumnRenamed("r", "pearson").join(stats.spearman(d, "x", "y").withColumnRenamed("r", "spearman"), "n")
-    return rounded(both)
+    named = lambda df, name: df.select("n", F.col("r").alias(name), F.round("p", 5).alias(f"{name}_p"))
+    return rounded(named(stats.pearson(d, "x", "y"), "pearson").join(named(stats.spearman(d, "x", "y"), "spearman"), "n"))
 
 
 _RANKED = "d AS (SELECT n_chars AS v, quality AS g FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM d)"
@@ -257,21 +314,24 @@ _RANKED = "d AS (SELECT n_chars AS v, quality AS g FROM documents JOIN labels US
     WITH {_RANKED}, t AS (SELECT sum(c*c*c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM d GROUP BY v)),
     s AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0, sum(k) FILTER (WHERE g = 1) AS r1 FROM r),
     x AS (SELECT n1, n0, r1 - n1 * (n1 + 1) / 2.0 AS u, n1 * n0 / 2.0 AS m, n1 * n0 / 12.0 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1))) AS v FROM s, t)
-    SELECT n1, n0, u, round(sign(u - m) * greatest(abs(u - m) - 0.5, 0) / sqrt(v), 6) AS z FROM x
+    SELECT n1, n0, u, round(z, 6) AS z, round({_normal_p("z")}, 5) AS p, round(0.5 - 0.5 * sign(y) * (1 - {_normal_p("y")}), 5) AS p_greater
+    FROM (SELECT *, sign(u - m) * greatest(abs(u - m) - 0.5, 0) / sqrt(v) AS z, (u - m - 0.5) / sqrt(v) AS y FROM x)
 """)
 def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return rounded(stats.mann_whitney(t.documents.join(t.labels, "doc_id").select("n_chars", "quality"), "n_chars", "quality"))
+    rows = t.documents.join(t.labels, "doc_id").select("n_chars", "quality")
+    greater = stats.mann_whitney(rows, "n_chars", "quality", "greater").select("n1", "n0", "u", F.round("p", 5).alias("p_greater"))
+    return rounded(stats.mann_whitney(rows, "n_chars", "quality").withColumn("p", F.round("p", 5)).join(greater, ["n1", "n0", "u"]))
 
 
-@_R.query("""
+@_R.query(f"""
     WITH d AS (SELECT n_chars AS v, lang AS g FROM documents), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM d),
     t AS (SELECT sum(c*c*c - c)::DOUBLE AS ties FROM (SELECT count(*) AS c FROM d GROUP BY v)), p AS (SELECT g, count(*) AS c, sum(k) AS s FROM r GROUP BY g),
     a AS (SELECT count(*) AS k, sum(c)::BIGINT AS n, sum(s * s / c) AS q FROM p)
-    SELECT k, n, round((12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)), 6) AS h FROM a, t
+    SELECT k, n, round(h, 6) AS h, round({_chi2_p("h", "k - 1")}, 5) AS p FROM (SELECT k, n, (12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - ties / (pow(n, 3) - n)) AS h FROM a, t)
 """)
 def kruskal_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.kruskal(Tables(spark, sf_dir).documents.select("n_chars", "lang"), "n_chars", "lang"))
+    return rounded(stats.kruskal(Tables(spark, sf_dir).documents.select("n_chars", "lang"), "n_chars", "lang")).withColumn("p", F.round("p", 5))
 
 
 _TERMS = "term string, coef double, se double, z double, p double, n long, clusters long"

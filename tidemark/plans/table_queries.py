@@ -104,9 +104,9 @@ def row_sums_and_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("o_custkey", F.round(rel.row_sum(["f", "p"], 1), 2).alias("total"), F.round(scalars.guarded_ratio(F.col("p"), F.col("f")), 6).alias("ratio"))
 
 
-@_R.query("""
-    WITH n AS (SELECT c_name, c_acctbal, regexp_replace(c_name, '\\d+$', '') AS issuer FROM customer)
-    SELECT issuer, c_name, c_acctbal FROM n QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY c_acctbal DESC, c_name) = 1
+@_R.query(r"""
+    WITH n AS (SELECT c_name, c_acctbal, regexp_replace(c_name, '\d+$', '') AS issuer FROM customer), i AS (SELECT unnest(['Customer#', 'Supplier#']) AS issuer)
+    SELECT issuer, c_name, c_acctbal FROM i LEFT JOIN n USING (issuer) QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY c_acctbal DESC, c_name) = 1
 """)
 def prefix_key_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = Tables(spark, sf_dir).customer.select("c_name", "c_acctbal")

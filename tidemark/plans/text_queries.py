@@ -82,7 +82,7 @@ def normalized_text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(f"""
-    WITH d AS (SELECT doc_id, lower(translate(text, '{scalars.ACCENTED}', '{scalars.PLAIN}')) AS t FROM documents)
+    WITH d AS (SELECT doc_id, lower(strip_accents(text)) AS t FROM documents)
     SELECT doc_id, ({" + ".join(f"(contains(t, '{s}'))::INT" for s in STEMS)}) AS score,
            contains(t, 'licensed') OR contains(t, 'rights') AS legal FROM d
 """)
@@ -135,16 +135,104 @@ def section_between_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.between_patterns(text.lines_of(Tables(spark, sf_dir).documents, ["doc_id"], "text"), ["doc_id"], "(?i)^the ", "(?i)licen")
 
 
-@_R.query()
+TOPIC = sections.Topic(("th", "ment", "tion", "cion"), ("ung",), ("the", "la", "der", "en", "de", "and"))
+
+
+def _contains_sql(stems: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(folded, '{s}')::INT" for s in stems)
+
+
+def _locator_sql() -> str:
+    """Sections of the pages' lines by joins and scalar lookups."""
+    lim = sections.Limits()
+    words = ", ".join(f"'{w}'" for w in TOPIC.connectors)
+    related = " OR ".join(f"starts_with(w, '{s}') OR starts_with('{s}', w)" for s in TOPIC.stems)
+    hit = lambda name, since: f"(SELECT min(pos) FROM e WHERE e.page_id = {name}.page_id AND e.pos >= {since})"
+    more = lambda name, at: f"coalesce((SELECT max(more::INT) FROM e WHERE e.page_id = {name}.page_id AND e.pos = {at}), 0) = 1"
+    return rf"""
+        WITH raw AS (SELECT page_id, regexp_replace(regexp_replace(html, '{sections.UNSHOWN}', '', 'g'), '{sections.LINE_TAGS}', chr(10) || '\0', 'g') AS h FROM pages),
+        cut AS (SELECT page_id, unnest(string_split(h, chr(10))) AS raw, generate_subscripts(string_split(h, chr(10)), 1) - 1 AS line_no FROM raw),
+        lines AS (SELECT page_id, line_no, floor(line_no / 40) + 1 AS page, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
+            CASE WHEN regexp_matches(raw, '(?i)^<h[1-6]') THEN 18.0 - regexp_extract(raw, '(?i)^<h([1-6])', 1)::DOUBLE ELSE 10.0 END AS size,
+            regexp_matches(raw, '(?i)^<h[1-6]') OR regexp_matches(raw, '(?i)<(b|strong)\b') AS bold FROM cut),
+        f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_no) - 1 AS pos, lower(strip_accents(text)) AS folded FROM lines WHERE text <> ''),
+        g AS (SELECT *, {_contains_sql(TOPIC.stems)} AS score, {_contains_sql(TOPIC.strong)} AS strong, length(regexp_replace(text, '[^A-Za-zÀ-Üà-ü]', '', 'g')) AS letters,
+            regexp_matches(text, '{sections.NUMBERED}') AS numbered, try_cast(nullif(regexp_extract(text, '{sections.BARE}', 1), '') AS INT) AS bare,
+            len(list_filter(regexp_extract_all(folded, '[a-z]+'), lambda w: w NOT IN ({words}) AND NOT ({related}))) + CASE WHEN regexp_matches(folded, '{sections.LETTERED}') THEN 2 ELSE 0 END AS impurity FROM f),
+        doc AS (SELECT page_id, count(*) AS n, count(DISTINCT page) AS pages FROM g GROUP BY 1),
+        body AS (SELECT page_id, size AS body FROM g GROUP BY page_id, size QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, min(pos)) = 1),
+        run AS (SELECT page_id, lower(text) AS k FROM g JOIN doc USING (page_id) GROUP BY page_id, lower(text), pages HAVING count(DISTINCT page) >= greatest({lim.running_pages}, floor(pages * {lim.running_share}))),
+        bold AS (SELECT page_id, pos, lag(pos) OVER (PARTITION BY page_id ORDER BY pos) AS prev FROM g WHERE bold AND bare IS NOT NULL),
+        isl AS (SELECT page_id, pos, sum((prev IS NULL OR pos - prev > {lim.toc_gap})::INT) OVER (PARTITION BY page_id ORDER BY pos) AS isl FROM bold),
+        big AS (SELECT page_id, pos FROM isl QUALIFY count(*) OVER (PARTITION BY page_id, isl) >= {lim.toc_run}),
+        toc AS (SELECT page_id, pos FROM big UNION SELECT page_id, pos + 1 FROM big),
+        x AS (SELECT g.*, n, body, run.k IS NOT NULL AS running, toc.pos IS NOT NULL AS toc, score >= {TOPIC.least} OR strong > 0 AS qualifies, text = upper(text) AND letters > 0 AS caps
+            FROM g JOIN doc USING (page_id) JOIN body USING (page_id) LEFT JOIN run ON run.page_id = g.page_id AND run.k = lower(text) LEFT JOIN toc ON toc.page_id = g.page_id AND toc.pos = g.pos),
+        y AS (SELECT *, length(text) < {lim.longest} AND letters >= {lim.least_letters} AND NOT running AND ((bold AND (size >= body + {lim.larger} OR caps OR numbered)) OR (NOT bold AND caps AND numbered)) AS shaped FROM x),
+        top AS (SELECT page_id, pos AS hp, size AS hsize, n FROM y WHERE shaped AND qualifies AND NOT toc QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY size DESC, impurity, pos) = 1),
+        hd AS (SELECT top.*, (SELECT max(bare) FROM y WHERE y.page_id = top.page_id AND y.pos = hp - 1 AND y.size = hsize AND y.bold AND NOT y.toc) AS num,
+            coalesce((SELECT min(pos) FROM y WHERE y.page_id = top.page_id AND pos > hp AND NOT (bold AND size = hsize AND length(text) < {lim.continuation})), n) AS frm FROM top),
+        e AS (SELECT y.page_id, y.pos, CASE WHEN num IS NULL THEN y.score > 0 ELSE coalesce(nx.score, y.score) > 0 END AS more FROM y JOIN hd USING (page_id) LEFT JOIN y nx ON nx.page_id = y.page_id AND nx.pos = y.pos + 1
+            WHERE NOT y.toc AND CASE WHEN num IS NULL THEN y.shaped AND y.size >= hsize AND y.score = 0 ELSE coalesce(y.bare <> num, false) AND y.size = hsize AND y.bold END),
+        e1 AS (SELECT hd.*, {hit("hd", "frm")} AS p1 FROM hd), m1 AS (SELECT e1.*, {more("e1", "p1")} AS g1 FROM e1),
+        e2 AS (SELECT m1.*, CASE WHEN g1 THEN {hit("m1", "p1 + 1")} END AS p2 FROM m1), m2 AS (SELECT e2.*, {more("e2", "p2")} AS g2 FROM e2),
+        e3 AS (SELECT m2.*, CASE WHEN g2 THEN {hit("m2", "p2 + 1")} END AS p3 FROM m2), m3 AS (SELECT e3.*, {more("e3", "p3")} AS g3 FROM e3),
+        best AS (SELECT page_id, 'font_heading' AS diagnostic, CASE WHEN num IS NULL THEN hp ELSE hp - 1 END AS a, coalesce(CASE WHEN NOT g1 THEN p1 WHEN NOT g2 THEN p2 WHEN g3 THEN p3 + 1 ELSE p3 END, n) AS b FROM m3),
+        weak AS (SELECT page_id, 'regex_only' AS diagnostic, max(pos) AS a, least(max(pos) + {lim.fallback_lines}, max(n)) AS b FROM y WHERE length(text) < {lim.longest} AND qualifies AND page_id NOT IN (SELECT page_id FROM best) GROUP BY page_id),
+        span AS (SELECT * FROM best UNION ALL SELECT * FROM weak)
+        SELECT doc.page_id, coalesce(max(span.diagnostic), 'not_found') AS diagnostic, max(y.text) FILTER (WHERE y.pos = a) AS heading, max(y.line_no) FILTER (WHERE y.pos = a) AS start_line,
+            max(y.line_no) FILTER (WHERE y.pos = b - 1) AS end_line, max(doc.n) AS n_total_lines,
+            coalesce(string_agg(y.text, chr(10) ORDER BY y.pos) FILTER (WHERE y.pos >= a AND y.pos < b AND (NOT y.running OR y.pos = a)), '') AS text
+        FROM doc JOIN y USING (page_id) LEFT JOIN span USING (page_id) GROUP BY doc.page_id
+    """
+
+
+@_R.query(_locator_sql())
 def locate_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.locate_section(sections.html_lines(Tables(spark, sf_dir).pages, "page_id", "html"), "page_id", ("th", "ment"))
+    return sections.locate_section(sections.html_lines(Tables(spark, sf_dir).pages, "page_id", "html"), "page_id", TOPIC)
 
 
-@_R.query()
+@_R.query(f"WITH s AS ({_locator_sql()}) SELECT diagnostic, count(*) AS n, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY 1")
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.extraction_quality(locate_section(spark, sf_dir))
 
 
+@_R.query("""
+    WITH p AS (SELECT source, doc_id, text, lag(doc_id) OVER w AS prev, lag(text) OVER w AS before FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+    s AS (SELECT source, prev, doc_id, string_split(before, chr(10)) AS a, string_split(text, chr(10)) AS b FROM p WHERE prev IS NOT NULL)
+    SELECT source, prev AS doc_id_prev, doc_id AS doc_id_curr, len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS removed, len(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))) AS added FROM s
+""")
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = text.adjacent_pairs(Tables(spark, sf_dir).documents, "source", "doc_id", ["text"])
+    changed = sections.changed_lines(pairs, ["source", "doc_id_prev", "doc_id_curr"], "text_prev", "text_curr")
+    return changed.select("source", "doc_id_prev", "doc_id_curr", F.size("removed").alias("removed"), F.size("added").alias("added"))
+
+
+@_R.query(rf"""
+    SELECT doc_id, n_lines, release, n_lines < 5 AS short, NOT statement AS no_statement, NOT release AND n_lines >= 5 AND statement AS clean FROM (
+        SELECT doc_id, count(*) AS n_lines, coalesce(bool_or(pos < 15 AND regexp_matches(line, 'Licensed|Released')), false) AS release,
+               coalesce(bool_or(pos < 400 AND regexp_matches(line, '(?i)\bthe\b')), false) AS statement FROM ({_LINES}) GROUP BY doc_id)
+""")
+def contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.lines_of(Tables(spark, sf_dir).documents, ["doc_id"], "text")
+    return classify.contamination(lines, ["doc_id"], r"(?i)\bthe\b", "Licensed|Released", least_lines=5)
+
+
+_PAPER = """CASE p_size % 6 WHEN 0 THEN 'Notas Explicativas ' || p_brand || '.pdf' WHEN 1 THEN 'Demonstrações Financeiras ' || p_brand WHEN 2 THEN 'DFP ' || p_brand WHEN 3 THEN 'Relatório da Administração ' || p_type
+    WHEN 4 THEN 'MGLU_ER_4T22_' || p_brand WHEN 5 THEN p_type END"""
+
+
+@_R.query(rf"""
+    WITH n AS (SELECT p_partkey, {_PAPER} AS name, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 'Release de Resultados ' || p_name ELSE p_name END AS head FROM part), f AS (SELECT *, lower(strip_accents(name)) AS t FROM n)
+    SELECT p_partkey, contains(t, 'nota') AND contains(t, 'explicativ') AS notes, (contains(t, 'demonstra') AND contains(t, 'financeir')) OR regexp_matches(t, '\bdfp\b|minuta') AS statements,
+           regexp_matches(t, '{"|".join(classify.OTHER_PAPERS)}') AS other, regexp_matches(lower(head), 'release de resultados') AS release FROM f
+""")
+def attachment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = Tables(spark, sf_dir).part.select("p_partkey", F.expr(_PAPER).alias("name"), F.expr("case p_size % 4 when 0 then null when 1 then 'Release de Resultados ' || p_name else p_name end").alias("head"))
+    n = F.col("name")
+    return named.select("p_partkey", classify.notes_name(n).alias("notes"), classify.statements_name(n).alias("statements"), classify.other_paper(n).alias("other"), classify.release_text(F.lower("head")).alias("release"))
+
+
 @_R.query("""
     WITH t AS (SELECT source, doc_id, n_chars,
         CASE WHEN contains(text, 'Licensed under') AND contains(text, 'Apache') THEN 1 WHEN contains(text, 'rights reserved') AND lang = 'es' THEN 2 ELSE 3 END AS tier,
