@@ -11,10 +11,11 @@ import binascii
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,3 +155,139 @@ def append_run(df: DataFrame, path: str, run_id: str) -> None:
 
 def write_keyed_json(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.write.mode("overwrite").partitionBy(*keys).json(path)
+
+
+def read_yearly(spark: SparkSession, path: str, member: str, columns: Sequence[str], year: str = r"(\d{4})", **options: str) -> DataFrame:
+    """``read_zip_member`` of archives of several years in one relation, ``year`` taken from the archive's name."""
+    rows = read_zip_member(spark, path, member, columns, **options)
+    return rows.withColumn("year", F.regexp_extract(F.element_at(F.split("path", "/"), -1), year, 1).cast("int"))
+
+
+def _plain(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _latin(raw: bytes) -> ElementTree.Element | None:
+    """An XML document whose declared UTF-8 is Latin-1, as such files are; None if it can't be read."""
+    try:
+        return ElementTree.fromstring(re.sub(rb"encoding=[\"']utf-8[\"']", b'encoding="ISO-8859-1"', raw, count=1, flags=re.I))
+    except ElementTree.ParseError:
+        return None
+
+
+def _field(container: ElementTree.Element, tag: str) -> bytes | None:
+    text = next((c.text for c in container if _plain(c) == tag), None)
+    try:
+        return base64.b64decode((text or "").strip()) or None
+    except binascii.Error:
+        return None
+
+
+def filing_item(package: bytes, field: str, modern: tuple[str, str, str], legacy: tuple[str, str, str, str, str]) -> bytes | None:
+    """One item's file out of a filing package, or None.
+
+    ``modern`` is the part of an XML member's name, the block and its description: the block's first
+    description holds ``field``. Else ``legacy``, the suffix of an inner archive, its member, the
+    element, and the tag and value that mark the item's."""
+    with _open(package) as z:
+        part, block, description = modern
+        name = next((n for n in z.namelist() if n.lower().endswith(".xml") and part in n.lower()), None)
+        root = _latin(z.read(name)) if name else None
+        first = next((e for e in root.iter() if _plain(e) == block), None) if root is not None else None
+        inside = next((c for c in first if _plain(c) == description), None) if first is not None else None
+        found = _field(inside, field) if inside is not None else None
+        if found is not None:
+            return found
+        suffix, member, element, tag, value = legacy
+        name = next((n for n in z.namelist() if n.lower().endswith(suffix)), None)
+        if name is None:
+            return None
+        try:
+            with _open(z.read(name)) as nested:
+                root = _latin(nested.read(member))
+        except (zipfile.BadZipFile, KeyError):
+            return None
+    for e in root.iter() if root is not None else ():
+        if _plain(e) == element and next((c.text for c in e if _plain(c) == tag), None) == value:
+            return _field(e, field)
+    return None
+
+
+def read_items(spark: SparkSession, path: str, field: str, modern: tuple[str, str, str], legacy: tuple[str, str, str, str, str]) -> DataFrame:
+    """``(path, content, error)`` of ``filing_item`` for every package under ``path``; a package without
+    the item has a null content, one that can't be opened an ``error``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, raw in zip(batch["path"], batch["content"]):
+                try:
+                    row = (p, filing_item(raw, field, modern, legacy), None)
+                except zipfile.BadZipFile:
+                    row = (p, None, "BadZipFile")
+                yield pd.DataFrame([row], columns=["path", "content", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, content binary, error string")
+
+
+def second_pass(results: DataFrame, keys: Sequence[str], again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``results`` with the rows that have an ``error`` replaced by those of ``again`` for their keys, once:
+    what still fails keeps its error."""
+    failed = results.where("error is not null").select(*keys).distinct()
+    return results.join(failed, list(keys), "left_anti").unionByName(again(failed).select(*results.columns))
+
+
+def write_table(df: DataFrame, path: str, *sort: str) -> None:
+    """Replace a table; rows of a file are sorted by ``sort``, which narrows what later filters read."""
+    (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(path)
+
+
+def materialized(spark: SparkSession, path: str, work: DataFrame, keys: Sequence[str], make: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+    """The table at ``path`` with a result for every key of ``work``: only keys that it lacks are made,
+    all of them with ``force``."""
+    try:
+        done = None if force else spark.read.parquet(path)
+    except AnalysisException:
+        done = None
+    if done is None:
+        make(work).write.mode("overwrite").parquet(path)
+    else:
+        todo = not_yet_done(work, done, keys)
+        if not todo.isEmpty():
+            make(todo).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def pdf_lines(document) -> list[tuple[int, int, str, float, bool]]:
+    """``(line_no, page, text, size, bold)`` of an open PDF of the ``pymupdf`` library: a line's spans
+    together, its largest size to one digit, bold if any span is; blank lines are left out."""
+    out: list[tuple[int, int, str, float, bool]] = []
+    for number, page in enumerate(document):
+        for block in page.get_text("dict")["blocks"]:
+            for line in block.get("lines", ()):
+                spans = line["spans"]
+                text = "".join(s["text"] for s in spans).strip()
+                if text:
+                    bold = any(s["flags"] & 16 or "bold" in s["font"].lower() for s in spans)
+                    out.append((len(out), number, text, round(max(s["size"] for s in spans), 1), bold))
+    return out
+
+
+def read_pdfs(spark: SparkSession, path: str, outline: bool = False) -> DataFrame:
+    """Lines, or with ``outline`` the entries ``(seq, level, title, page)``, of the PDFs under ``path``. Needs
+    the ``pymupdf`` library on the executors; a file that can't be read gives an ``error``."""
+    names = ["seq", "level", "title", "page"] if outline else ["line_no", "page", "text", "size", "bold"]
+    kinds = "seq int, level int, title string, page int" if outline else "line_no int, page int, text string, size double, bold boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pymupdf
+
+        for batch in batches:
+            for p, raw in zip(batch["path"], batch["content"]):
+                try:
+                    with pymupdf.open(stream=raw, filetype="pdf") as d:
+                        rows = [(i, *e[:3]) for i, e in enumerate(d.get_toc())] if outline else pdf_lines(d)
+                    yield pd.DataFrame(rows, columns=names).assign(path=p, error=None)
+                except (RuntimeError, ValueError) as e:
+                    yield pd.DataFrame([[None] * len(names)], columns=names).assign(path=p, error=type(e).__name__)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"{kinds}, path string, error string")
