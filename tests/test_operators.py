@@ -38,6 +38,13 @@ def test_normalize(spark):
     assert df.select(text.normalize(F.col("t"))).first()[0] == "a NUM b"
 
 
+def test_terms_in_one_pass(spark):
+    rows = [("A 1.234,5% b2b x_y ab12cd ... ½x Ⅷ٣ ÀÉ a.b",), ("",), (None,), ("12",), ("日本 ab\tcd\u00a0ef",)]
+    df = spark.createDataFrame(rows, "t string")
+    for r in df.select(text.terms(F.col("t")).alias("a"), text.tokens(text.normalize(F.col("t"))).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
 @pytest.mark.parametrize("values,want", [([1, 2, 2, 2, 3, 4, 5, 6], [0, 0, 0, 0, 1, 2, 2, 2]), ([1, 1, 1, 1, 1, 9], None)])
 def test_qcut(spark, values, want):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")

@@ -20,17 +20,24 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
+def terms(c: Column) -> Column:
+    """``tokens(normalize(c))`` in one pass over the text: runs of digits and of ``. , %`` are the term ``num``."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{Nd}.,%]+|[\p{L}\p{N}_&&[^\p{Nd}]]{2,}"), F.lit(0))
+    return F.transform(found, lambda t: F.when(t.rlike(r"^[\p{Nd}.,%]"), F.lit("num")).otherwise(t))
+
+
 def term_counts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """``(keys, term, tf)``; documents without a term have no row."""
-    exploded = df.select(*keys, F.explode(tokens(normalize(F.col(text)))).alias("term"))
+    exploded = df.select(*keys, F.explode(terms(F.col(text))).alias("term"))
     return exploded.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.85, max_features: int | None = None) -> DataFrame:
     """``(term, df)`` with bounds inclusive; then the ``max_features`` terms most frequent in the
     corpus, ties in term order."""
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
-    kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    # the last condition always holds; reading ``tf`` here lets all uses of the counts share one shuffle
+    found = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
+    kept = found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs) & (F.col("corpus_tf") >= F.col("df")))
     if max_features is not None:
         kept = kept.orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     return kept.select("term", "df")
