@@ -35,7 +35,7 @@ def _root(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: work above is not repeated, and a lost executor costs only the reading of
@@ -43,7 +43,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +59,30 @@ def forget(df: DataFrame) -> None:
 HOT_SHARE = 1000
 
 
+#: Rows of a narrow table, 100 bytes at most each, that are broadcast; one that is counted to have more is
+#: shuffled.
+BROADCAST_ROWS = 300_000
+
+
+def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with a settled narrow table, broadcast if it is counted to be small; else the keys in
+    ``hot`` come by broadcast, if there are any, and the others are shuffled."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how) if hot is None else split_join(big, small, hot, on, how)
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``(key, n)`` of the integer keys that hold more than one in ``HOT_SHARE`` rows: buckets of keys
+    are counted first, which shuffles little, then the keys of the buckets that are as large."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << 16))
+    sizes = settle(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
+    limit = F.lit((sizes.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE)
+    large = sizes.where(F.col("n") > limit).select("_bucket")
+    inside = df.withColumn("_bucket", bucket).join(F.broadcast(large), "_bucket", "left_semi")
+    return settle(inside.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "hot")
+
+
 def split_join(big: DataFrame, small: DataFrame, hot: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """``big`` joined with ``small``, whose keys are unique: entries of the keys in ``hot``, at most
     ``HOT_SHARE`` rows, are broadcast, so that no task gets all rows of one; others are shuffled."""

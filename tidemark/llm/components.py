@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round is two grouped
-minima and two equi-joins, so hubs pre-aggregate before the shuffle, and a hub's edges are joined
-in ``SALT`` parts. Rounds are settled in the shared folder, each deleted when the next is there;
+minima and two equi-joins, so hubs pre-aggregate before the shuffle; a small graph's joins are by
+broadcast. Rounds are settled in the shared folder, each deleted when the next is there;
 nothing reaches the driver but two sums that tell whether the edges still change.
 """
 
@@ -11,28 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle
+from .common import BROADCAST_ROWS, forget, settle
 
 
-#: Parts that the edges of each node are dealt into, so that a hub's do not meet in one task.
-SALT = 16
+def _star(edges: DataFrame, minima: DataFrame, n: int) -> DataFrame:
+    """``edges(u, v)`` with the ``m`` of their ``u``, of which there are ``2 * n`` at most: by broadcast if those are
+    few, else by a shuffle whose large partitions, a hub's among them, adaptive execution splits."""
+    return edges.join(F.broadcast(minima) if 2 * n <= BROADCAST_ROWS else minima, "u")
 
 
-def _star(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    everywhere = minima.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(everywhere, ["u", "salt"]).drop("salt")
-
-
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _star(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _star(both, low, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _star(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = _star(down, low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -47,5 +44,5 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark, before = (seen["n"], seen["h"]), now
-        now = settle(_small(_large(now)), "edges")
+        now = settle(_small(_large(now, seen["n"]), seen["n"]), "edges")
         forget(before)

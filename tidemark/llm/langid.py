@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, free_name
+from .common import crc32_mod, free_name, giving_back
 
 BUCKETS = 1 << 14
 SPECTRUM = 3
@@ -140,7 +140,7 @@ def train(docs: DataFrame, usable) -> Model:
         .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
         .where(F.col("n") <= PER_LANGUAGE)
         .select("lang", "h", "text")
-        .mapInArrow(_pack, "lang string, h long, bits binary")
+        .mapInArrow(giving_back(_pack), "lang string, h long, bits binary")
         .orderBy("h", "lang")
         .collect()
     )
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred",
     if docs.schema["text"].dataType != T.StringType():
         text = free_name(docs.columns, "_text")
         docs = docs.withColumn(text, F.col("text").cast("string"))
-    return docs.mapInArrow(_predict(model, schema.names[:-2], names, text), schema)
+    return docs.mapInArrow(giving_back(_predict(model, schema.names[:-2], names, text)), schema)
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5, fold: int = 3, held_out: int = 1) -> DataFrame:
