@@ -520,8 +520,8 @@ def _slim(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text, ...)`` to ``(doc_id, ids array<int>)``, a row per input row.
 
-    Null and empty texts have no ids; null ids and repeated rows stay as they are; other columns
-    are not read; an empty table gives an empty result."""
+    Null and empty texts have no ids; null ids and repeated rows stay as they are; ``doc_id`` is a number
+    or the text of one; other columns are not read; an empty table gives an empty result."""
     return _slim(docs).mapInArrow(_ids(path, pattern), "doc_id long, ids array<int>")
 
 

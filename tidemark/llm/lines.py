@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     * Rows of equal ``doc_id`` count as one document where a line stands first. A row with a null
       id is counted but never changed.
     * A text that is boilerplate altogether becomes empty; its row stays.
-    * An empty table gives an empty result; columns named ``n_lines`` or ``n_removed`` are replaced.
+    * ``doc_id`` is a number or the text of one. An empty table gives an empty result; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     kept = free_name(docs.columns, "_kept")

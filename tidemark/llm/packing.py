@@ -5,11 +5,13 @@ each group packs its own by best-fit decreasing and holds the number of bins aga
 from dual feasible functions. A group that meets its bound is done, but for bins under half full.
 The others keep their full bins and put the pieces of the rest into a pool, which is dealt anew:
 groups exchange documents and pack again, until the bounds are met, one group is left, or a round
-brings nothing.
+leaves as many loose pieces as the one before. ``certificate`` tells what gap to the bound of all
+pieces remains.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,6 @@ from .vocab import merge_encoder
 CAPACITY = 2048
 #: Pieces that one task packs at once.
 GROUP = 50_000
-ROUNDS = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,12 +62,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     return slim.mapInArrow(_pieces(path, end_id, capacity), PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that no packing can do without: the best of the dual feasible functions that round
-    items over ``capacity - k`` up to a bin and those under ``k`` down to nothing."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins that no packing can do without, from the number of items of each length: the best of the dual
+    feasible functions that round items over ``capacity - k`` up to a bin and those under ``k`` down to
+    nothing."""
     n, mass = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     k = np.arange(0, capacity // 2 + 1)
     big = n[-1] - n[capacity - k]
@@ -74,6 +73,10 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return int((big + -(-(mass[capacity - k] - below) // capacity)).max())
 
 
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each item, and each bin's fill; items are taken longest first, as given
     among equals. Open bins are kept by room, and a bit mask finds the tightest that fits."""
@@ -111,15 +114,15 @@ def _packer(capacity: int):
     return pack
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> DataFrame:
     """``items(doc_id, piece, start, length, ids_crc32)`` with ``sequence_id`` and ``offset``.
 
     Every row is placed once; repeated rows and null ids are items of their own; an empty table
     gives an empty result. ``length`` is 1 to ``capacity``."""
     pool = items.withColumn("at", F.monotonically_increasing_id())
     parts: list[DataFrame] = []
-    left, gained = pool.count(), None
-    for r in range(rounds):
+    left, gained, base = pool.count(), None, 0
+    for r in itertools.count():
         groups = max(1, -(-left // group))
         dealt = pool.withColumn("g", F.pmod(F.xxhash64("at", F.lit(r)), F.lit(groups)))
         packed = settle(
@@ -127,9 +130,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
                 _packer(capacity), f"{PIECES}, at long, g long, bin long, offset long, loose boolean, gap long"
             ),
             "packed",
-        ).withColumn("sequence_id", F.lit(r << 56) + F.shiftleft("g", 24) + F.col("bin"))
-        seen = packed.agg(F.count_if("loose").alias("loose"), F.coalesce(F.sum("length"), F.lit(0)).alias("mass")).first()
-        last = groups == 1 or r + 1 == rounds or seen["loose"] in (0, gained)
+        )
+        seen = packed.agg(F.count_if("loose").alias("loose"), (F.coalesce(F.max("bin"), F.lit(0)) + 1).alias("bins")).first()
+        # a round's sequences are numbered from a place of its own, and a group's within it
+        packed = packed.withColumn("sequence_id", F.lit(base) + F.col("g") * F.lit(seen["bins"]) + F.col("bin"))
+        base += groups * seen["bins"]
+        last = groups == 1 or r + 1 == rounds or seen["loose"] == 0 or (gained is not None and seen["loose"] >= gained)
         parts.append(packed if last else packed.where("not loose"))
         if last:
             break
@@ -140,7 +146,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """``sequences`` used, the ``bound`` that no packing of all pieces can go below, and the ``gap``; the
+    driver gets a count per length, ``capacity`` at most."""
+    counts = {r["length"]: r["n"] for r in packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = bound_of_counts(np.array([counts.get(k, 0) for k in range(capacity + 1)], np.int64), capacity)
+    used = packed.select("sequence_id").distinct().count()
+    return {"sequences": used, "bound": bound, "gap": used - bound}
+
+
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: a row per piece. Null and empty texts are the end
-    id alone; other columns are not read."""
+    id alone; a null id and repeated rows are documents of their own; ``doc_id`` is a number or the text
+    of one; other columns are not read; an empty table gives an empty result."""
     return pack(settle(pieces(docs, path, end_id, capacity), "pieces"), capacity)

@@ -55,7 +55,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2) -> None:
     ``ids`` of every document, the end id included, in ascending ``doc_id`` order.
 
     Null and empty texts are the end id alone; null ids come first; rows of equal id follow each
-    other in text order; an empty table writes a file without rows; other columns are not read."""
+    other in text order; ``doc_id`` is a number or the text of one; an empty table writes a file without
+    rows; other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     coded = ordered.mapInArrow(_ids(path, end_id), "doc_id long, n_tokens int, ids array<int>")
