@@ -18,7 +18,7 @@ ROWS = [
 ]
 
 
-OWN_NAMES = ("_id", "_kept", "_marks", "_nth", "_text", "lang_pred", "n_lines", "n_removed", "posterior", "row", "votes")
+OWN_NAMES = ("_doc", "_id", "_kept", "_marks", "_nth", "_text", "_th", "_words", "lang_pred", "mean_word", "n_lines", "n_removed", "posterior", "row", "votes")
 
 
 @pytest.fixture(scope="session")

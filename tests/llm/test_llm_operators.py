@@ -12,7 +12,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, components, htmltext, langid, lines, media, nearcopies, packing, quality, rules, simhash, tokens, vocab
+from tidemark.llm import bpe, components, htmltext, langid, lines, media, nearcopies, packing, quality, rules, simhash, tokens, vocab, webpwrite
 from tidemark.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,16 +96,32 @@ def test_keep_one(odd):
 
 # 2 -------------------------------------------------------------------------------------------------
 def test_media(odd, empty):
-    for r in media.media_round_trip(odd).collect():
-        if r["doc_id"] is None:
-            continue
-        text = next(t for i, t in texts(odd) if i == r["doc_id"])
-        want = media.payload((text or "").encode())
-        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and r["payload_bytes"] == len(want) and r["payload_bytes"] % 576 == 0
-        assert r["tail_crc32"] == zlib.crc32(want[-32:]) and r["n_bytes"] == len((text or "").encode())
+    """Every row, null and repeated ids included: values of its own text, equal for equal texts."""
+    rows = media.media_round_trip(odd).collect()
+    want = {}
+    for doc, text in ((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()):
+        read = media.payload((text or "").encode())
+        stored = webpwrite.encode_payloads([read])[0]
+        samples = np.frombuffer(read, np.uint8)
+        want.setdefault(doc, []).append((
+            doc, len((text or "").encode()), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(),
+            media.feature(samples, len(read) // 576, 192),
+        ))
+    assert len(rows) == odd.count() and all(len(r["payload_sha256"]) == 64 and r["payload_bytes"] % 576 == 0 for r in rows)
+    for r in rows:
+        assert tuple(r) in want[r["doc_id"]]
+    got = {r["doc_id"]: tuple(r)[2:] for r in rows}
+    assert got[1] == got[2] and got[3] == got[4]
     assert media.media_round_trip(empty).count() == 0
 
 
+def test_pixel_arrays(odd):
+    for r in media.pixels(media.store(odd)).collect():
+        assert r["width"] == 192 and len(bytes(r["pixels"])) == 576 * r["height"]
+    stored = media.store(odd)
+    assert by_id(media.describe(media.pixels(stored))) == by_id(media.describe_stored(stored))
+
+
 # 3 -------------------------------------------------------------------------------------------------
 def brute_lines(rows, least):
     sites, first = {}, {}
@@ -252,14 +268,19 @@ def test_page_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r for r in htmltext.extract_pages(df).collect()}
     assert got[2]["text"] == got[None]["text"] == "" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[4]["text"] == ("Long text here. " * 20000).strip()
+    twice = htmltext.extract_pages(df.unionByName(df)).collect()
+    assert len(twice) == 2 * len(got) and all(tuple(r) == tuple(got[r["page_id"]]) for r in twice)
     assert htmltext.extract_pages(df.where("false")).count() == 0
 
 
 # 6 -------------------------------------------------------------------------------------------------
 def test_packing(odd, empty):
+    """Every row's pieces, null and repeated ids included, equal the library's ids, gapless in sequences."""
     path = P.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    rows = packing.pack_documents(odd, path).collect()
+    packed = packing.pack_documents(odd, path)
+    rows = packed.collect()
     held = {}
     for r in rows:
         held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -269,14 +290,14 @@ def test_packing(odd, empty):
             assert offset == end
             end += length
         assert end <= 2048
-    for doc, text in texts(odd):
-        if doc in (None, 1):
-            continue
+    want = []
+    for doc, text in ((r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()):
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]
-        own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == doc)
-        assert sum(o[2] for o in own) == len(ids) and all(o[2] == 2048 for o in own[1:])
-        for _, s, n, crc in own:
-            assert zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == crc
+        k = -(-len(ids) // 2048)
+        cuts = [0, *range(len(ids) - (k - 1) * 2048, len(ids) + 1, 2048)]
+        want += [(doc, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted(map(str, ((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows))) == sorted(map(str, want))
+    assert packing.certificate(packed) == {"sequences": len(held), "bound": packing.lower_bound(np.array([r["length"] for r in rows])), "gap": 0}
     assert packing.pack_documents(empty, path).count() == 0
 
 
