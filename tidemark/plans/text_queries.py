@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import classify, relational, sections, text
+from ..operators import classify, diff, relational, sections, text
 from .registry import Registry, Tables
 
 _R = Registry()
@@ -208,6 +208,17 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("source", "doc_id_prev", "doc_id_curr", F.size("removed").alias("removed"), F.size("added").alias("added"))
 
 
+@_R.query()
+def line_diff_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks between each document and the one before it in its source; ids are paired before texts move."""
+    docs = Tables(spark, sf_dir).documents
+    pairs = text.adjacent_pairs(docs.select("source", "doc_id"), "source", "doc_id")
+    of = lambda side: docs.select(F.col("doc_id").alias(f"doc_id_{side}"), F.col("text").alias(f"text_{side}"))
+    whole = pairs.join(of("prev"), "doc_id_prev").join(of("curr"), "doc_id_curr")
+    hunks = diff.line_diff(whole, ["source", "doc_id_prev", "doc_id_curr"], "text_prev", "text_curr")
+    return diff.unified(hunks).drop("removed", "added")
+
+
 @_R.query(rf"""
     SELECT doc_id, n_lines, release, n_lines < 5 AS short, NOT statement AS no_statement, NOT release AND n_lines >= 5 AND statement AS clean FROM (
         SELECT doc_id, count(*) AS n_lines, coalesce(bool_or(pos < 15 AND regexp_matches(line, 'Licensed|Released')), false) AS release,
