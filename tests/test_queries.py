@@ -10,7 +10,7 @@ from tidemark.plans import catalog
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 #: Held against NumPy in ``test_statistics`` and ``difflib`` in ``test_diff``.
-BRUTE = {"line_diff_sources", "clustered_ols_controls", "two_way_fe", "logit_group", "test_battery", "specification_comparison", "specification_flips", "panel_battery"}
+BRUTE = {"line_diff_sources", "two_way_fit", "logit_clustered", "clustered_ols_controls", "two_way_fe", "logit_group", "test_battery", "specification_comparison", "specification_flips", "panel_battery"}
 
 
 def plain(v):

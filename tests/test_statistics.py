@@ -1,11 +1,13 @@
 """Statistics and registered queries without SQL against NumPy."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import special
 from tidemark.operators import portfolio, stats
 from tidemark.plans import catalog, event_queries, panel_queries
 from tidemark.plans.registry import Tables
@@ -65,6 +67,138 @@ def test_two_way_effects_of_many_periods(spark):
     close([found["terms"][0]["coef"], found["terms"][0]["se"]], [beta[0], se[0]])
 
 
+def brute_fit(pdf, entity, time, y, x):
+    """Within R2, poolability F and its degrees by dummies, without any demeaning of rows."""
+    v, d = pdf[y].to_numpy(float), dummies(pdf, entity, time, x)
+    rss = lambda m: float(((v - m @ np.linalg.lstsq(m, v, rcond=None)[0]) ** 2).sum())
+    beta = np.linalg.lstsq(d, v, rcond=None)[0][: len(x)]
+    means = pdf.groupby(entity)[[y, *x]].transform("mean")
+    off = pdf[[y, *x]].to_numpy(float) - means.to_numpy()
+    r2 = 1 - ((off[:, 0] - off[:, 1:] @ beta) ** 2).sum() / (off[:, 0] ** 2).sum()
+    rank = int(np.linalg.matrix_rank(d[:, len(x) :]))
+    num, den = rank - 1, len(v) - len(x) - rank
+    pooled = rss(np.column_stack([np.ones(len(v)), pdf[x].to_numpy(float)]))
+    return r2, (pooled - rss(d)) / num / (rss(d) / den), num, den
+
+
+def unbalanced(spark, seed, entities=14, times=11, parts=1):
+    draw = np.random.default_rng(seed)
+    rows = []
+    for e in range(entities):
+        for t in range(times):
+            if draw.random() < 0.6 and e % parts == t % parts:
+                x, w = draw.normal(size=2)
+                rows.append((e, t, float(1.5 * x - w + 0.3 * e + math.sin(t) + draw.normal()), float(x + 0.1 * e), float(w)))
+    return spark.createDataFrame(rows, "e long, t long, y double, x double, w double")
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_within_r2_and_poolability(spark, parts):
+    df = unbalanced(spark, 6, parts=parts)
+    got, pdf = stats.two_way_fe(df, "y", ["x", "w"], "e", "t"), df.toPandas()
+    r2, f, num, den = brute_fit(pdf, "e", "t", "y", ["x", "w"])
+    close([got["r2_within"], got["f_pooled"], got["df_num"], got["df_den"]], [r2, f, num, den])
+    # the tail by the sum of the density
+    grid = np.linspace(0, f, 200_001)[1:]
+    log = 0.5 * num * math.log(num / den) + math.lgamma((num + den) / 2) - math.lgamma(num / 2) - math.lgamma(den / 2)
+    density = np.exp(log + (num / 2 - 1) * np.log(grid) - (num + den) / 2 * np.log1p(num * grid / den))
+    close(got["poolability_p"], 1 - float((density[1:] + density[:-1]).sum() / 2 * (grid[1] - grid[0])), 4)
+    beta, se, _ = brute_ols(pdf["y"].to_numpy(), np.column_stack([np.ones(len(pdf)), pdf[["x", "w"]]]), pdf["e"].to_numpy())
+    close([t["coef"] for t in got["pooled"]], list(beta))
+    close([t["se"] for t in got["pooled"]], list(se))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_iterated_effects_equal_the_dense_system(spark, parts):
+    df = unbalanced(spark, 7, entities=12, times=18, parts=parts)
+    dense, iterated = (stats.two_way_fe(df, "y", ["x", "w"], "e", "t", dense_periods=n) for n in (100, 5))
+    for k in ("r2_within", "f_pooled", "poolability_p"):
+        assert iterated[k] == pytest.approx(dense[k], rel=1e-8)
+    assert [iterated[k] for k in ("periods", "entities", "df_num", "df_den")] == [dense[k] for k in ("periods", "entities", "df_num", "df_den")]
+    for a, b in zip(iterated["terms"], dense["terms"]):
+        assert (a["coef"], a["se"]) == pytest.approx((b["coef"], b["se"]), rel=1e-8)
+
+
+def test_fit_statistics_without_variation(spark):
+    flat = stats.two_way_fe(spark.createDataFrame([(1, 1, 2.0, 1.0), (1, 2, 2.0, 3.0), (2, 1, 1.0, 2.0), (2, 2, 1.0, 5.0)], "e long, t long, y double, x double"), "y", ["x"], "e", "t")
+    assert flat["degenerate"] and flat["r2_within"] is None and flat["poolability_p"] is None
+    none = stats.two_way_fe(spark.createDataFrame([], "e long, t long, y double, x double"), "y", ["x"], "e", "t")
+    assert none["degenerate"] and none["terms"] == [] and none["entities"] == 0
+
+
+def test_two_way_fit_query(spark, sf_dir):
+    panel = Tables(spark, sf_dir).lineitem.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(F.avg("l_extendedprice").alias("y"), F.avg("l_discount").alias("x"), F.avg("l_quantity").alias("w"))
+    r2, f, num, den = brute_fit(panel.toPandas(), "l_suppkey", "month", "y", ["x", "w"])
+    got = QUERIES["two_way_fit"](spark, sf_dir).first()
+    close([got["r2_within"], got["f_pooled"], got["df_num"], got["df_den"]], [r2, f, num, den], 5)
+
+
+def test_logit_with_clusters(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = t.documents.join(t.labels, "doc_id").select("source", "quality", F.log1p("n_chars").alias("size"), (F.col("lang") == "en").cast("double").alias("english")).toPandas()
+    x, y, beta = np.column_stack([np.ones(len(rows)), rows[["size", "english"]]]), rows["quality"].to_numpy(float), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        bread = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+        beta = beta + bread @ x.T @ (y - p)
+    scores = np.array([(x * (y - p)[:, None])[rows["source"] == g].sum(axis=0) for g in rows["source"].unique()])
+    g, n = len(scores), len(rows)
+    want = np.sqrt(np.diag(bread @ scores.T @ scores @ bread) * g / (g - 1) * (n - 1) / (n - 3))
+    got = QUERIES["logit_clustered"](spark, sf_dir).collect()
+    close([r["coef"] for r in got], list(beta), 4)
+    close([r["se"] for r in got], list(want), 4)
+    assert {r["clusters"] for r in got} == {g}
+    one = spark.createDataFrame([(1, 0.0, 0.5), (1, 1.0, 0.4), (1, 1.0, 0.9), (1, 0.0, 0.8)], "g long, y double, x double")
+    assert all(r["p"] is None for r in stats.logit(one, "y", ["x"], cluster="g"))
+
+
+def test_exact_rank_sums_equal_enumeration(spark):
+    for n1 in range(1, 9):
+        for n0 in range(1, 9):
+            if math.comb(n1 + n0, n1) <= 5000:
+                us = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n0 + 1), n1)]
+                assert special.rank_sum_counts(n1, n0) == tuple(us.count(u) for u in range(n1 * n0 + 1))
+    rows = [(1, 0.1), (1, 0.7), (1, 0.75), (0, 0.2), (0, 0.9), (0, 1.1), (0, 1.3)]
+    us = [sum(c) - 6 for c in itertools.combinations(range(1, 8), 3)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {side: stats.mann_whitney(df, "v", "g", side).first() for side in ("two-sided", "less", "greater")}
+    low = sum(u <= got["less"]["u"] for u in us) / len(us)
+    close([got["less"]["p"], got["greater"]["p"], got["two-sided"]["p"]], [low, sum(u >= got["less"]["u"] for u in us) / len(us), min(1, 2 * low)])
+    tied = stats.mann_whitney(spark.createDataFrame(rows + [(0, 0.1)], "g int, v double"), "v", "g").first()
+    close(tied["p"], math.erfc(abs(tied["z"]) / math.sqrt(2)))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cross_sections_and_quantiles_gather_nothing(spark):
+    draw = np.random.default_rng(3)
+    rows = [(m, k, *map(float, draw.normal(size=3)), 1.0) for m in range(4) for k in range(10 + 5 * m)] + [(None, 1, 0.0, 0.0, 0.0, 1.0), (1, 99, None, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "month long, k long, y double, a double, b double, one double")
+    got = portfolio.residual_scores(df, "month", "k", "y", ["a", "b", "one"], 12)
+    assert "FlatMapGroups" not in plan_of(got) and "SinglePartition" not in plan_of(got)
+    found = {(r["month"], r["k"]): r["residual"] for r in got.collect()}
+    pdf = df.dropna().toPandas()
+    for m in range(1, 4):
+        own = pdf[pdf["month"] == m]
+        x, y = np.column_stack([np.ones(len(own)), own[["a", "b"]]]), own["y"].to_numpy()
+        close([found[m, k] for k in own["k"]], list(y - x @ np.linalg.lstsq(x, y, rcond=None)[0]))
+    assert {m for m, _ in found} == {1, 2, 3}  # the first has ten names only
+
+
+@pytest.mark.parametrize("kind", ["few", "wild", "tied", "ends"])
+def test_quantiles_of_odd_values(spark, kind):
+    draw = np.random.default_rng(8)
+    v = {
+        "few": np.array([3.0]), "wild": np.exp(draw.normal(size=4000) * 40) * draw.choice([-1, 1], 4000),
+        "tied": draw.integers(0, 3, 5000).astype(float), "ends": np.array([-1e300, 1e300, 0.0, 1e-300, -1e-300] * 40 + [5.0]),
+    }[kind]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    shares = (0, 0.001, 0.25, 0.5, 0.77, 0.999, 1)
+    assert stats.quantiles(df, "v", shares) == pytest.approx(list(np.quantile(v, shares)), rel=1e-12)
+
+
 def test_logit(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = t.documents.join(t.labels, "doc_id").select("quality", F.log1p("n_chars").alias("size"), (F.col("lang") == "en").cast("double").alias("english")).toPandas()

@@ -1,7 +1,8 @@
-"""Tail probabilities of the normal, t, F and chi-squared distributions, without further libraries."""
+"""Tail probabilities of the normal, t, F, chi-squared and rank-sum distributions, without further libraries."""
 
 from __future__ import annotations
 
+import functools
 import math
 
 
@@ -67,3 +68,25 @@ def chi2_upper(x: float, k: float) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return front * h
+
+
+@functools.lru_cache(maxsize=32)
+def rank_sum_counts(n1: int, n0: int) -> tuple[int, ...]:
+    """How many choices of ``n1`` among ``n1 + n0`` ranks have each U, 0 to ``n1 * n0``: the coefficients of
+    the product of ``(1 - q ** (n0 + i)) / (1 - q ** i)`` over ``i`` to ``n1``."""
+    n1, n0 = sorted((n1, n0))
+    counts = [1] + [0] * (n1 * n0)
+    for i in range(1, n1 + 1):
+        for u in range(len(counts) - 1, n0 + i - 1, -1):
+            counts[u] -= counts[u - n0 - i]
+        for u in range(i, len(counts)):
+            counts[u] += counts[u - i]
+    return tuple(counts)
+
+
+def rank_sum_tail(u: float, n1: int, n0: int, side: str = "two-sided") -> float:
+    """Exact p of U without ties; two-sided is twice the smaller tail, 1 at most."""
+    counts = rank_sum_counts(n1, n0)
+    total, at = sum(counts), round(u)
+    less, greater = sum(counts[: at + 1]) / total, sum(counts[at:]) / total
+    return {"less": less, "greater": greater, "two-sided": min(1.0, 2 * min(less, greater))}[side]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .relational import first_by
+from .relational import bounded_lookup, first_by
 from .stats import grouped_quantiles, normal_p, quantiles
 
 
@@ -136,17 +136,26 @@ def concat_on(frames: Sequence[DataFrame], key: str, names: Sequence[str], value
 
 def residual_scores(positions: DataFrame, month: str, key: str, outcome: str, controls: Sequence[str], min_names: int = 12) -> DataFrame:
     """``(month, key, residual)`` of monthly cross-sectional least squares of ``outcome`` on
-    ``controls``; rows with a null are dropped first and months with fewer names left out."""
-    cols = list(controls)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        if len(pdf) < min_names:
-            return pdf.assign(residual=0.0)[[month, key, "residual"]].iloc[:0]
-        x = np.column_stack([np.ones(len(pdf)), pdf[cols].to_numpy(float)])
-        y = pdf[outcome].to_numpy(float)
-        return pdf.assign(residual=y - x @ np.linalg.lstsq(x, y, rcond=None)[0])[[month, key, "residual"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in positions.schema}
-    rows = positions.select(month, key, outcome, *cols).dropna()
-    return rows.groupBy(month).applyInPandas(fit, f"{month} {kinds[month]}, {key} {kinds[key]}, residual double")
+    ``controls``; rows with a null are dropped first and months with fewer names left out.
+
+    Months are summed, never gathered: their means, then the cross products of what is off the means. A
+    month's row of sums, ``k * k`` numbers for ``k`` controls, is solved in a batch with others (of equally
+    good coefficients the smallest), and rows get theirs by a join."""
+    values, k = [outcome, *controls], len(controls)
+    rows = positions.select(F.col(month).alias("_month"), F.col(key).alias("_key"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values))).dropna()
+    means = rows.groupBy("_month").agg(F.count("*").alias("_n"), *(F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k + 1))).where(F.col("_n") >= min_names)
+    off = bounded_lookup(rows, means, ["_month"]).where("_n is not null").select("_month", "_key", *((F.col(f"_v{i}") - F.col(f"_m{i}")).alias(f"_v{i}") for i in range(k + 1)))
+    pairs = [(i, j) for i in range(1, k + 1) for j in range(k + 1)]
+    sums = off.groupBy("_month").agg(F.array(*(F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")) for i, j in pairs)).alias("s"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column("s").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k, k + 1)
+            scale = np.sqrt(np.maximum(np.diagonal(s[:, :, 1:], axis1=1, axis2=2), 1e-300))  # so that units don't decide the rank
+            inverse = np.linalg.pinv(s[:, :, 1:] / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+            coefs = (inverse @ (s[:, :, 0] / scale)[:, :, None])[:, :, 0] / scale
+            yield pa.RecordBatch.from_arrays([b.column("_month"), pa.array(coefs.tolist(), pa.list_(pa.float64()))], ["_month", "b"])
+
+    fits = sums.mapInArrow(solve, f"_month {sums.schema['_month'].dataType.simpleString()}, b array<double>")
+    explained = sum((F.col("b")[i - 1] * F.col(f"_v{i}") for i in range(1, k + 1)), F.lit(0.0))
+    return bounded_lookup(off, fits, ["_month"]).select(F.col("_month").alias(month), F.col("_key").alias(key), (F.col("_v0") - explained).alias("residual"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import special
+from .lineage import cut
 
 RANGES = 64
 
@@ -49,33 +50,47 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[
     return rows.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(tied) - 1) / 2.0)
 
 
+BUCKETS = 1024
+
+
+def _nth(rows: DataFrame, n: int, place: int) -> float:
+    """The value at ``place``, from 0, of the ``n`` values in ascending order, by successive ranges. Approximate
+    quantiles bracket it; the bracket's values are counted in equal ranges, with their extremes, and the range
+    that holds the place is searched in the same way, until all its values are equal. No value is sorted, and
+    each turn leaves a small share of the values, wherever they lie."""
+    low, high, before = -math.inf, math.inf, 0
+    while True:
+        inside = rows.where(F.col("v").between(low, high))
+        share, margin = (place - before + 0.5) / n, 2 / BUCKETS
+        a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - margin), min(1.0, share + margin)], 10_000)).first()[0]
+        even = F.floor(F.nanvl((F.col("v") - F.lit(a)) / F.lit((b - a) or 1.0), F.lit(0.0)) * BUCKETS)
+        at = F.when(F.col("v") < a, -1).when(F.col("v") > b, BUCKETS).otherwise(F.least(even, F.lit(BUCKETS - 1)))
+        counts = inside.groupBy(at.cast("int").alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        for r in sorted(counts.collect()):
+            if before + r["n"] > place:
+                low, high, n = r["a"], r["b"], r["n"]
+                break
+            before += r["n"]
+        if low == high:
+            return low
+
+
 def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float] | None:
-    """Exact quantiles by linear interpolation, None for no rows. Each is bracketed by approximate
-    ones; rows below the bracket are counted and only values inside it are ordered."""
+    """Exact quantiles by linear interpolation, None for no rows. Values are counted in ranges, never put
+    in order: a turn is two aggregations, and the driver gets a row for each of ``BUCKETS`` ranges."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     n = rows.count()
     if not n:
         return None
-    places = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
-    known: dict[int, float] = {}
-    width = 0.001
-    while len(known) < len(places):
-        open_ = [k for k in places if k not in known]
-        bounds = [(max(0.0, k / n - width), min(1.0, (k + 1) / n + width)) for k in open_]
-        flat = rows.agg(F.percentile_approx("v", [b for pair in bounds for b in pair], 10_000)).first()[0]
-        brackets = [(-math.inf if lo == 0 else flat[2 * i], math.inf if hi == 1 else flat[2 * i + 1]) for i, (lo, hi) in enumerate(bounds)]
-        below = rows.agg(*(F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(brackets))).first()
-        for i, (k, (lo, hi)) in enumerate(zip(open_, brackets)):
-            near = rows.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("t"))
-            upto = F.sum("t").over(W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-            hit = near.withColumn("c", upto + below[f"b{i}"]).where(F.col("c") > k).agg(F.min("v")).first()[0]
-            if hit is not None and below[f"b{i}"] <= k:
-                known[k] = hit
-        width *= 10
+    known = {k: _nth(rows, n, k) for k in sorted({math.floor(s * (n - 1)) for s in shares})}
+    # what follows a place is the same value if more rows have it, else the next larger one
+    v = F.col("v")
+    follow = rows.agg(*(c for k, low in known.items() for c in (F.count_if(v <= low).alias(f"n{k}"), F.min(F.when(v > low, v)).alias(f"v{k}")))).first()
     out = []
     for s in shares:
-        low = known[math.floor(s * (n - 1))]
-        out.append(low + (s * (n - 1) - math.floor(s * (n - 1))) * (known[math.ceil(s * (n - 1))] - low))
+        k = math.floor(s * (n - 1))
+        part, low = s * (n - 1) - k, known[k]
+        out.append(low if part == 0 or follow[f"n{k}"] > k + 1 else low + part * (follow[f"v{k}"] - low))
     return out
 
 
@@ -134,9 +149,22 @@ def normal_p(z: Column | str, side: str = "two-sided") -> Column:
     return _tail(_normal, z, F.lit(side))
 
 
+#: The smaller group, and pairs of rows of both, up to which ranks without ties have an exact distribution here.
+EXACT_GROUP, EXACT_PAIRS = 8, 100_000
+
+
+def _rank_p(z: float | None, u: float | None, n1: int, n0: int, ties: float, side: str) -> float | None:
+    if z is None or u is None:
+        return None
+    if ties or min(n1, n0) > EXACT_GROUP or n1 * n0 > EXACT_PAIRS:
+        return _normal(z, side)
+    return special.rank_sum_tail(u, n1, n0, side)
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, side: str = "two-sided") -> DataFrame:
     """``(n1, n0, u, z, p)`` of group 1 against group 0: tie-corrected normal score with continuity;
-    ``side`` is ``two-sided``, ``less`` (group 1 lower) or ``greater``."""
+    ``side`` is ``two-sided``, ``less`` (group 1 lower) or ``greater``. Without ties and with
+    ``EXACT_GROUP`` rows at most in a group, p is that of the exact distribution of u."""
     rows = df.dropna(subset=[value, group]).where(F.col(group).isin(0, 1))
     ones = rows.groupBy(value).agg(F.count_if(F.col(group) == 1).alias("t1"))
     sums = value_ranks(rows, value).join(ones, value).agg(
@@ -147,7 +175,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, side: str = "two-sided")
     gap = u - F.col("n1") * F.col("n0") / 2
     var = F.col("n1") * F.col("n0") / 12 * (n + 1 - F.try_divide("ties", n * (n - 1)))
     step = {"two-sided": F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)), "less": gap + 0.5, "greater": gap - 0.5}[side]
-    return sums.select("n1", "n0", u.alias("u"), F.try_divide(step, F.sqrt(var)).alias("z")).withColumn("p", normal_p("z", side))
+    p = F.udf(_rank_p, "double")("z", "u", "n1", "n0", "ties", F.lit(side))
+    return sums.select("n1", "n0", u.alias("u"), F.try_divide(step, F.sqrt(var)).alias("z"), "ties").withColumn("p", p).drop("ties")
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -168,7 +197,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, int
 
     Pass one sums cross products; pass two sums scores per cluster and then their outer products, so
     the driver gets ``k * k`` numbers twice. Nulls are dropped. ``weight`` names a column of weights;
-    ``absorbed`` parameters, estimated before, count in K.
+    ``absorbed`` parameters, estimated before, count in K. Every term has the residual sum ``rss``.
     """
     names = (["const"] if intercept else []) + list(x)
     kept = df.dropna(subset=[y, *x, *([cluster] if cluster else []), *([weight] if weight else [])])
@@ -192,15 +221,15 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, int
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     e = F.col("_y") - sum((F.col(c) * float(b) for c, b in zip(names, beta)), F.lit(0.0))
-    scored = rows.groupBy("_g").agg(*(F.sum(F.col(c) * F.col("_w") * e).alias(f"u{i}") for i, c in enumerate(names)))
-    meat_row = scored.agg(F.count("*").alias("g"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    scored = rows.groupBy("_g").agg(F.sum(F.col("_w") * e * e).alias("rss"), *(F.sum(F.col(c) * F.col("_w") * e).alias(f"u{i}") for i, c in enumerate(names)))
+    meat_row = scored.agg(F.count("*").alias("g"), F.sum("rss").alias("rss"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs)).first()
     meat, g = np.zeros((k, k)), meat_row["g"]
     for i, j in pairs:
         meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
     factor = (g / (g - 1)) * (n - 1) / (n - k - absorbed) if g > 1 else float("nan")
     se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
     return [
-        {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s > 0 else None, "p": special.normal_two_sided(b / s) if s > 0 else None, "n": n, "clusters": g}
+        {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s > 0 else None, "p": special.normal_two_sided(b / s) if s > 0 else None, "n": n, "clusters": g, "rss": meat_row["rss"]}
         for t, b, s in zip(names, beta, se)
     ]
 
@@ -226,43 +255,136 @@ def _outer(size: int):
     return run
 
 
-def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str) -> dict:
-    """Entity and time effects by partialling out, exact for unbalanced panels, entity-clustered errors.
-
-    Outcome and regressors are demeaned by entity; their time effects solve one system of periods by
-    periods, whose matrix is summed up over entities in each task. What is left of them is regressed by
-    ``ols``. The driver holds that matrix; rows and entities are not bounded. ``degenerate`` tells that
-    the outcome never varies within an entity.
-    """
-    rows = df.dropna(subset=[y, *x, entity, time]).select(F.col(entity).alias("_i"), F.col(time).alias("_time"), F.col(y).cast("double").alias("_out"), *(F.col(c).cast("double").alias(c) for c in x))
-    spark = df.sparkSession
-    periods = [r[0] for r in rows.select("_time").distinct().orderBy("_time").collect()]
-    if not periods:
-        return {"degenerate": True, "terms": [], "periods": 0}
-    number = spark.createDataFrame(list(zip(periods, range(len(periods)))), rows.select("_time").schema.add("_t", T.IntegerType()))
-    values = ["_out", *x]
-    within = demean(rows.join(F.broadcast(number), "_time").drop("_time"), values, "_i")
-    cells = within.groupBy("_i", "_t").agg(F.count("*").alias("c")).groupBy("_i").agg(F.collect_list(F.struct(F.col("_t").alias("t"), "c")).alias("cells"))
+def _dense_effects(within: DataFrame, values: Sequence[str], periods: list) -> tuple[DataFrame, int]:
+    """Time effects ``(_time, _e0, ...)`` of the entity-demeaned ``values`` by one periods-by-periods system
+    on the driver, and the number of parts of the panel that share no entity."""
+    spark = within.sparkSession
+    number = spark.createDataFrame(list(zip(periods, range(len(periods)))), within.select("_time").schema.add("_t", T.IntegerType()))
+    numbered = within.join(F.broadcast(number), "_time")
+    cells = numbered.groupBy("_i", "_t").agg(F.count("*").alias("c")).groupBy("_i").agg(F.collect_list(F.struct(F.col("_t").alias("t"), "c")).alias("cells"))
     products = cells.select("cells").mapInArrow(_outer(len(periods)), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    by_time = {r["_t"]: r for r in within.groupBy("_t").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in values)).collect()}
+    by_time = {r["_t"]: r for r in numbered.groupBy("_t").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in values)).collect()}
     system = np.diag([float(by_time[t]["n"]) for t in range(len(periods))])
     for r in products:
         system[r["i"], r["j"]] -= r["v"]
     target = np.array([[by_time[t][c] for c in values] for t in range(len(periods))])
     effect = np.zeros_like(target)  # the first period's is zero
     effect[1:] = np.linalg.lstsq(system[1:, 1:], target[1:], rcond=None)[0]
-    effects = spark.createDataFrame([(t, *map(float, e)) for t, e in enumerate(effect)], "_t int, " + ", ".join(f"_e{k} double" for k in range(len(values))))
+    label = np.arange(len(periods))
+    for _ in periods:
+        for r in products:
+            label[r["i"]] = label[r["j"]] = min(label[r["i"]], label[r["j"]])
+        if all(label[r["i"]] == label[r["j"]] for r in products):
+            break
+    rows = [(p, *map(float, e)) for p, e in zip(periods, effect)]
+    kind = within.select("_time").schema
+    for k in range(len(values)):
+        kind = kind.add(f"_e{k}", T.DoubleType())
+    return F.broadcast(spark.createDataFrame(rows, kind)), len(set(label.tolist()))
+
+
+def _iterated_effects(within: DataFrame, values: Sequence[str], tolerance: float = 1e-12, turns: int = 2000) -> DataFrame:
+    """As ``_dense_effects``, by conjugate gradients: the system is never formed. Its product with a
+    direction takes the direction's mean within each entity off and sums what is left by period. All vectors
+    are tables of a row per period; the driver holds three numbers for each of ``values``."""
+    each = range(len(values))
+    cells = cut(within.groupBy("_i", "_time").agg(F.count("*").cast("double").alias("c")))
+    start = within.groupBy("_time").agg(F.count("*").cast("double").alias("n"), *(F.sum(c).alias(f"r{k}") for k, c in enumerate(values)))
+    state = cut(start.select("*", *(F.lit(0.0).alias(f"_e{k}") for k in each), *((F.col(f"r{k}") / F.col("n")).alias(f"p{k}") for k in each)))
+    size = lambda df: [v or 0.0 for v in df.agg(*(F.sum(F.col(f"r{k}") * F.col(f"r{k}") / F.col("n")) for k in each)).first()]
+    first = now = size(state)
+    own = W.partitionBy("_i")
+    for _ in range(turns):
+        todo = [k for k in each if now[k] > tolerance * tolerance * first[k]]
+        if not todo:
+            break
+        spread = cells.join(state.select("_time", *(f"p{k}" for k in each)), "_time")
+        mean = lambda k: F.sum(F.col("c") * F.col(f"p{k}")).over(own) / F.sum("c").over(own)
+        product = spread.select("_time", *((F.col("c") * (F.col(f"p{k}") - mean(k))).alias(f"q{k}") for k in each)).groupBy("_time").agg(*(F.sum(f"q{k}").alias(f"q{k}") for k in each))
+        both = cut(state.join(product, "_time"))
+        along = both.agg(*(F.sum(F.col(f"p{k}") * F.col(f"q{k}")) for k in each)).first()
+        step = [now[k] / along[k] if k in todo and along[k] > 0 else 0.0 for k in each]
+        moved = both.select(
+            "_time", "n", *((F.col(f"_e{k}") + step[k] * F.col(f"p{k}")).alias(f"_e{k}") for k in each), *((F.col(f"r{k}") - step[k] * F.col(f"q{k}")).alias(f"r{k}") for k in each), *(f"p{k}" for k in each)
+        )
+        later = size(moved)
+        turn = [later[k] / now[k] if step[k] else 0.0 for k in each]
+        state = moved.select("_time", "n", *(f"_e{k}" for k in each), *(f"r{k}" for k in each), *((F.col(f"r{k}") / F.col("n") + turn[k] * F.col(f"p{k}")).alias(f"p{k}") for k in each))
+        stuck = all(step[k] == 0.0 for k in todo)
+        now = [later[k] if step[k] else 0.0 for k in each]
+        if stuck:
+            break
+    return state.select("_time", *(f"_e{k}" for k in each))
+
+
+def _parts(within: DataFrame) -> int:
+    """How many parts a panel falls into that share no entity and no period: labels go from periods to
+    entities and back, the smallest first, until none changes."""
+    pairs = cut(within.select("_i", "_time").distinct())
+    labels, seen = cut(pairs.select("_time").distinct().withColumn("label", F.xxhash64("_time"))), None
+    while True:
+        sums = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count_distinct("label")).first()
+        if sums == seen:
+            return sums[1]
+        seen = sums
+        low = pairs.join(labels, "_time").groupBy("_i").agg(F.min("label").alias("label"))
+        labels = cut(pairs.join(low, "_i").groupBy("_time").agg(F.min("label").alias("label")))
+
+
+#: Periods whose square matrix the driver holds, 8 MB; more are solved by conjugate gradients over tables.
+DENSE_PERIODS = 1000
+
+
+def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, dense_periods: int = DENSE_PERIODS) -> dict:
+    """Entity and time effects by partialling out, exact for unbalanced panels, entity-clustered errors.
+
+    Outcome and regressors are demeaned by entity; their time effects solve one system of periods by
+    periods, on the driver up to ``dense_periods`` and by conjugate gradients beyond. What is left is
+    regressed by ``ols``. ``degenerate`` tells that the outcome never varies within an entity.
+
+    ``pooled`` are the terms without effects. ``r2_within`` is the share of the variation within entities that
+    the regressors explain; ``f_pooled``, on ``df_num`` and ``df_den``, tests that all effects are equal, and
+    ``poolability_p`` is its tail. They are None where the outcome is degenerate or no degrees are left.
+    """
+    rows = df.dropna(subset=[y, *x, entity, time]).select(F.col(entity).alias("_i"), F.col(time).alias("_time"), F.col(y).cast("double").alias("_out"), *(F.col(c).cast("double").alias(c) for c in x))
+    found = rows.select("_time").distinct().orderBy("_time").limit(dense_periods + 1).collect()
+    if not found:
+        return {"degenerate": True, "terms": [], "periods": 0, "entities": 0, "pooled": [], "r2_within": None, "f_pooled": None, "df_num": None, "df_den": None, "poolability_p": None}
+    values = ["_out", *x]
+    within = demean(rows, values, "_i")
+    if len(found) <= dense_periods:
+        periods = len(found)
+        effects, parts = _dense_effects(within, values, [r[0] for r in found])
+    else:
+        periods = rows.select("_time").distinct().count()
+        effects, parts = _iterated_effects(within, values), _parts(within)
     own = W.partitionBy("_i")
-    net = within.join(F.broadcast(effects), "_t")
+    net = within.join(effects, "_time")
     net = net.select("_i", *((F.col(c) - (F.col(f"_e{k}") - F.avg(f"_e{k}").over(own))).alias(c) for k, c in enumerate(values)))
-    spread = within.agg(F.sum(F.col("_out") * F.col("_out"))).first()[0] or 0.0
-    return {"degenerate": spread < 1e-18, "terms": ols(net, "_out", x, cluster="_i", intercept=False, absorbed=len(periods) - 1), "periods": len(periods)}
+    terms = ols(net, "_out", x, cluster="_i", intercept=False, absorbed=periods - 1)
+    pooled = ols(rows, "_out", x, cluster="_i")
+    rest = F.col("_out") - sum((F.col(t["term"]) * t["coef"] for t in terms), F.lit(0.0))
+    spread = within.agg(F.count("*").alias("n"), F.count_distinct("_i").alias("g"), F.sum(F.col("_out") * F.col("_out")).alias("all"), F.sum(rest * rest).alias("rest")).first()
+    out = {"degenerate": (spread["all"] or 0.0) < 1e-18, "terms": terms, "periods": periods, "entities": spread["g"], "pooled": pooled}
+    effects_rank = spread["g"] + periods - parts
+    out |= {"r2_within": None, "f_pooled": None, "df_num": effects_rank - 1, "df_den": spread["n"] - len(x) - effects_rank, "poolability_p": None}
+    if terms and pooled and not out["degenerate"]:
+        out["r2_within"] = 1 - spread["rest"] / spread["all"]
+        if out["df_num"] > 0 and out["df_den"] > 0 and terms[0]["rss"] > 0:
+            out["f_pooled"] = (pooled[0]["rss"] - terms[0]["rss"]) / out["df_num"] / (terms[0]["rss"] / out["df_den"])
+            out["poolability_p"] = special.f_upper(max(out["f_pooled"], 0.0), out["df_num"], out["df_den"])
+    return out
 
 
-def logit(df: DataFrame, y: str, x: Sequence[str], steps: int = 25) -> list[dict]:
+def logit(df: DataFrame, y: str, x: Sequence[str], steps: int = 25, cluster: str | None = None) -> list[dict]:
     """Maximum likelihood by Newton's steps, each one pass of grouped sums; z tests. Columns are
-    standardised for the steps and coefficients given in their own units."""
-    rows = df.dropna(subset=[y, *x]).select(F.col(y).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in x))
+    standardised for the steps and coefficients given in their own units.
+
+    With ``cluster`` errors are robust to it: the scores at the maximum are summed per cluster, the
+    driver gets the sum of their outer products, and the factor is that of ``ols``. One cluster alone has no
+    errors."""
+    group = [F.col(cluster).alias("_g")] if cluster else []
+    rows = df.dropna(subset=[y, *x, *([cluster] if cluster else [])]).select(F.col(y).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in x), *group)
     scale = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
     if not scale["n"]:
         return []
@@ -285,10 +407,21 @@ def logit(df: DataFrame, y: str, x: Sequence[str], steps: int = 25) -> list[dict
     for i, (m, s) in enumerate(zip(means, devs), 1):
         back[i, i] = 1 / s
         back[0, i] = -m / s
-    coef, cov = back @ beta, back @ np.linalg.pinv(hess) @ back.T
+    bread, groups = np.linalg.pinv(hess), None
+    cov = bread
+    if cluster:
+        p = 1 / (1 + F.exp(-sum((c * float(b) for c, b in zip(cols, beta)), F.lit(0.0))))
+        scored = rows.groupBy("_g").agg(*(F.sum(c * (F.col("_y") - p)).alias(f"u{i}") for i, c in enumerate(cols)))
+        r = scored.agg(F.count("*").alias("g"), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i, j in pairs)).first()
+        meat, groups = np.zeros((k, k)), r["g"]
+        for i, j in pairs:
+            meat[i, j] = meat[j, i] = r[f"m{i}_{j}"]
+        n = scale["n"]
+        cov = bread @ meat @ bread * (groups / (groups - 1) * (n - 1) / (n - k) if groups > 1 and n > k else math.nan)
+    coef, cov = back @ beta, back @ cov @ back.T
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     return [
-        {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s else None, "p": special.normal_two_sided(b / s) if s else None, "n": scale["n"]}
+        {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s > 0 else None, "p": special.normal_two_sided(b / s) if s > 0 else None, "n": scale["n"], "clusters": groups}
         for t, b, s in zip(["const", *x], coef, se)
     ]
 

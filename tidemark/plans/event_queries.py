@@ -370,6 +370,42 @@ def two_way_fe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, found["terms"]).withColumn("degenerate", F.lit(found["degenerate"]))
 
 
+@_R.query()
+def two_way_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier and month effects against none: within R2 and the test of poolability."""
+    items = Tables(spark, sf_dir).lineitem
+    panel = items.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(F.avg("l_extendedprice").alias("y"), F.avg("l_discount").alias("x"), F.avg("l_quantity").alias("w"))
+    r = stats.two_way_fe(panel, "y", ["x", "w"], "l_suppkey", "month")
+    of = lambda terms: next(({"coef": t["coef"], "p": t["p"]} for t in terms if t["term"] == "x"), {"coef": None, "p": None})
+    row = (r["entities"], r["periods"], r["df_num"], r["df_den"], of(r["pooled"])["coef"], of(r["pooled"])["p"], of(r["terms"])["coef"], of(r["terms"])["p"], r["r2_within"], r["f_pooled"], r["poolability_p"])
+    kind = "entities long, periods long, df_num long, df_den long, pooled_coef double, pooled_p double, fe_coef double, fe_p double, r2_within double, f_pooled double, poolability_p double"
+    return rounded(spark.createDataFrame([row], kind))
+
+
+@_R.query()
+def logit_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    d = t.documents.join(t.labels, "doc_id").select("source", "quality", F.log1p("n_chars").alias("size"), (F.col("lang") == "en").cast("double").alias("english"))
+    return _terms(spark, stats.logit(d, "quality", ["size", "english"], cluster="source"))
+
+
+@_R.query("""
+    WITH d AS (SELECT n_nationkey, (n_regionkey = 0)::INTEGER AS g, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (ORDER BY v) AS k FROM d),
+    s AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0, sum(k) FILTER (WHERE g = 1)::BIGINT AS r1 FROM r),
+    c AS (SELECT a.k + b.k + c.k + d.k + e.k AS r1 FROM r a JOIN r b ON a.k < b.k JOIN r c ON b.k < c.k JOIN r d ON c.k < d.k JOIN r e ON d.k < e.k),
+    t AS (SELECT count(*) FILTER (WHERE c.r1 <= s.r1) / count(*) AS low, count(*) FILTER (WHERE c.r1 >= s.r1) / count(*) AS high FROM c, s)
+    SELECT n1, n0, r1 - n1 * (n1 + 1) / 2.0 AS u, round(least(1, 2 * least(low, high)), 8) AS p, round(low, 8) AS p_less, round(high, 8) AS p_greater FROM s, t
+""")
+def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean balances of one region's nations, five, against the others': the exact distribution. The SQL
+    counts all choices of five of the nations."""
+    t = Tables(spark, sf_dir)
+    means = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", (F.col("n_regionkey") == 0).cast("int").alias("g")).agg(F.avg("c_acctbal").alias("v"))
+    found = [stats.mann_whitney(means, "v", "g", side).select("n1", "n0", "u", F.round("p", 8).alias(name)) for name, side in (("p", "two-sided"), ("p_less", "less"), ("p_greater", "greater"))]
+    return found[0].join(found[1], ["n1", "n0", "u"]).join(found[2], ["n1", "n0", "u"])
+
+
 @_R.query()
 def logit_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
