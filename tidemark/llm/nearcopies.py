@@ -10,20 +10,29 @@ Candidates come from two indexes and each pair is verified on the whole sets:
 
 Work is done on distinct sets, so exact copies cost one row. No bucket is paired off. Each draws the
 member that shares most buckets (the centre of a family) as its pivot and verifies the others against
-it; then, turn by turn, buckets that still hold several groups draw ``PIVOTS`` more, until a turn finds
-no link. As buckets of 32 bands overlap, a family has many pivots. What is still apart is verified pair
-by pair in buckets of at most ``PAIR_LIMIT`` such pairs. All steps are linear in the buckets' sizes. A
-link can be lost only between members of a larger bucket that met no pivot on a chain between them;
-the README has the measured share.
+it; ``TURNS`` more turns with ``PIVOTS`` of each large bucket in which a family stands out join most of what
+is left. That is a shortcut only: whatever is then still apart within a bucket is verified in full. Buckets of
+at most ``PAIR_LIMIT`` such pairs are paired; the sets of the others go to one exact similarity join:
+
+* A set's shingles are put in one order for all, rare ones first. Two sets of a similarity of 0.8 share a
+  shingle among the first fifth of either (prefix filter), so an equality join on those finds all.
+* Where a shingle of the prefixes meets, all earlier ones differ, so the overlap is at most what follows its
+  place. A set that can't reach 0.8 with even the smallest other set of the shingle is dropped there. Texts
+  of one template that differ in their own words go that way, in time linear in their number.
+* What remains is joined with the sets of other groups only, in blocks, under both bounds.
+
+So the only loss is a pair that meets in no band, 6e-5 at a similarity of 0.8.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +46,14 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 PIVOTS = 4
+TURNS = 2
+#: A bucket draws pivots again if its largest group has one in so many of its members.
+FAMILY = 8
 PAIR_LIMIT = 128
+#: Shingles whose counts decide their order; fewer than one in so many entries makes a shingle rare.
+COMMON = 100_000
+#: Pairs that one group of the exact join compares.
+BLOCK_PAIRS = 1 << 20
 _BLOCK = 512
 
 _DRAW = np.random.default_rng(SEED)
@@ -130,6 +146,70 @@ def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.select("key", "fp", "n", F.coalesce("component", "fp").alias("c"))
 
 
+def _prefixes(common: Broadcast, similarity: float):
+    """The first shingles of each set, those not in ``common`` first, then by count, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                tokens, sizes, lengths = [], [], []
+                for k in range(part.num_rows):
+                    own = part.column("s")[k].values.to_numpy(zero_copy_only=False)
+                    at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                    rank = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                    n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                    tokens.append(own[np.lexsort((own, rank))[:n]])
+                    sizes.append(len(own))
+                    lengths.append(len(tokens[-1]))
+                row = np.repeat(np.arange(part.num_rows), lengths)
+                place = np.concatenate([np.arange(n) for n in lengths]) if lengths else np.zeros(0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(tokens) if tokens else np.zeros(0), pa.int64()), part.column("fp").take(pa.array(row)), part.column("c").take(pa.array(row)),
+                        pa.array(np.array(sizes)[row] if lengths else [], pa.int32()), pa.array(place, pa.int32()),
+                    ],
+                    ["t", "fp", "c", "n", "at"],
+                )
+
+    return giving_back(run)
+
+
+def exact_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``sets(fp, c, s)``, distinct ``fp`` with their group and shingles, to candidates ``(u, v)`` of unlike groups
+    that hold every pair of sets of this similarity: prefix and position filter over one order of all shingles."""
+    spark = sets.sparkSession
+    total = sets.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    counts = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max(1, total // COMMON))
+    found = counts.toArrow().sort_by("t")
+    common = spark.sparkContext.broadcast((found.column("t").to_numpy(), found.column("m").to_numpy()))
+    entries = settle(sets.mapInArrow(_prefixes(common, similarity), "t long, fp long, c long, n int, at int"), "prefixes")
+    hot = hot_keys(entries, "t")
+
+    def with_stats(rows: DataFrame) -> DataFrame:
+        """``rows`` of shingles that several groups have: how many, the largest group and its share, the
+        smallest size."""
+        per = rows.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"))
+        top = F.max(F.struct("m", "c"))
+        stats = per.groupBy("t").agg(F.sum("m").alias("m"), top["m"].alias("most"), top["c"].alias("top"), F.min("low").alias("low")).where("m > most")
+        return bounded_join(rows.select("t", "fp", "c", "n", "at"), settle(stats, "stats"), "t", hot=hot)
+
+    share = similarity / (1 + similarity)
+    # an overlap of what follows a place is enough for a set of this size at most
+    reach = (F.col("n") - F.col("at")) / F.lit(share) - F.col("n") + 1e-6
+    alive = settle(with_stats(entries).where(reach >= F.col("low")).select("t", "fp", "c", "n", "at"), "alive")
+    # the largest group's members are compared with the others' only, the others with each other too
+    sized = settle(with_stats(alive).withColumn("blocks", F.ceil(F.col("m") * (F.col("m") - F.col("most")) / F.lit(float(BLOCK_PAIRS)))), "sized")
+    left = sized.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    right = sized.where("c <> top").select(
+        "t", F.col("fp").alias("v"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("at").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    enough = F.least(F.col("n") - F.col("at"), F.col("k") - F.col("to")) >= F.lit(share) * (F.col("n") + F.col("k")) - 1e-6
+    met = left.join(right, ["t", "block"]).where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("top")) | (F.col("fp") < F.col("v"))) & enough & _close(similarity, "n", "k"))
+    return met.select(F.col("fp").alias("u"), "v")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text, ...)`` to ``(doc_id, th, fp)``, a row per input row with its text's hash and
     its set's, and ``(fp, root)``: sets joined by chains of near copies share a root. Texts without
@@ -169,30 +249,47 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     alone = met.select("key", "fp", "n", "shared", F.col("fp").alias("c"))
     edges = verified(tried(alone, [F.struct("shared", "fp")]).unionByName(close))
     labels = component_labels(edges)
-    placed, turn = place(labels), 0
-    while True:
-        more = verified(tried(placed, [F.xxhash64("fp", "key", F.lit(turn * PIVOTS + i)) for i in range(PIVOTS)]))
+    placed = place(labels)
+
+    def mixed() -> DataFrame:
+        """Buckets of several groups: their members, those of the largest group, the pairs of unlike groups."""
+        parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        apart = (F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2
+        return settle(parts.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), apart.alias("pairs")).where(F.col("pairs") > 0), "mixed")
+
+    left = mixed()
+    for turn in range(TURNS):
+        # more pivots help where a family is; unlike texts of a template meet them in vain
+        again = settle(left.where((F.col("pairs") > PAIR_LIMIT) & (F.col("most") * FAMILY >= F.col("m"))).select("key"), "again")
+        if again.isEmpty():
+            break
+        draws = [F.xxhash64("fp", "key", F.lit(turn * PIVOTS + i)) for i in range(PIVOTS)]
+        more = verified(tried(settle(bounded_join(placed, again, "key", "left_semi", hot), "families"), draws))
         if more.isEmpty():
             break
-        edges, turn = edges.unionByName(more), turn + 1
+        edges = edges.unionByName(more)
         labels = component_labels(edges)
         forget(placed)
         placed = place(labels)
-    # what is left between groups of a bucket is verified wherever it is little
-    parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    apart = (F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2
-    small = parts.groupBy("key").agg(apart.alias("pairs")).where((F.col("pairs") > 0) & (F.col("pairs") <= PAIR_LIMIT)).select("key")
-    mixed = settle(bounded_join(placed, settle(small, "little"), "key", "left_semi", hot), "mixed")
-    other = mixed.select("key", F.col("fp").alias("v"), F.col("n").alias("k"), F.col("c").alias("d"))
-    near = F.least("n", "k") >= F.lit(similarity) * F.greatest("n", "k") - 1e-9
-    more = verified(mixed.join(other, "key").where((F.col("fp") < F.col("v")) & (F.col("c") != F.col("d")) & near).select(F.col("fp").alias("u"), "v"))
+        left = mixed()
+    # what is still apart within a bucket is verified in full: where it is little, as pairs
+    little = settle(bounded_join(placed, settle(left.where(F.col("pairs") <= PAIR_LIMIT).select("key"), "little"), "key", "left_semi", hot), "few")
+    other = little.select("key", F.col("fp").alias("v"), F.col("n").alias("k"), F.col("c").alias("d"))
+    pairs = little.join(other, "key").where((F.col("fp") < F.col("v")) & (F.col("c") != F.col("d")) & _close(similarity, "n", "k")).select(F.col("fp").alias("u"), "v")
+    much = settle(left.where(F.col("pairs") > PAIR_LIMIT).select("key"), "much")
+    if not much.isEmpty():  # else by the exact join of all their sets
+        crowd = settle(bounded_join(placed, much, "key", "left_semi", hot).select("fp", "c").distinct(), "crowd")
+        pairs = pairs.unionByName(exact_pairs(settle(bounded_join(shingles, crowd, ["fp"]), "crowded"), similarity))
+    more = verified(pairs)
     if not more.isEmpty():
         labels = component_labels(edges.unionByName(more))
     return rows, sets.join(labels, sets.fp == labels.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that of the smallest ``doc_id``.
+    """``docs`` with one document of each group of near copies, that of the smallest ``doc_id``. A link between
+    two texts is missed with a probability of 6e-5 at a similarity of 0.8 and less above, by chance of the bands
+    and wherever they stand; every pair that meets is verified.
 
     Unlike texts under one id are documents of their own, each in its set's group; of those in one
     group, the first by text hash stays. Texts without a word (null, empty, white space) are one group.
