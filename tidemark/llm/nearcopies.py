@@ -146,6 +146,13 @@ def _placed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.select("key", "fp", "n", F.coalesce("component", "fp").alias("c"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a batch's shingles, so that those of a family are one row each before the shuffle."""
+    for b in batches:
+        found, counts = np.unique(b.column("s").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["t", "m"])
+
+
 def _prefixes(common: Broadcast, similarity: float):
     """The first shingles of each set, those not in ``common`` first, then by count, with their places."""
 
@@ -181,7 +188,7 @@ def exact_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     that hold every pair of sets of this similarity: prefix and position filter over one order of all shingles."""
     spark = sets.sparkSession
     total = sets.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
-    counts = sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max(1, total // COMMON))
+    counts = sets.select("s").mapInArrow(_counted, "t long, m long").groupBy("t").agg(F.sum("m").alias("m")).where(F.col("m") > max(1, total // COMMON))
     found = counts.toArrow().sort_by("t")
     common = spark.sparkContext.broadcast((found.column("t").to_numpy(), found.column("m").to_numpy()))
     entries = settle(sets.mapInArrow(_prefixes(common, similarity), "t long, fp long, c long, n int, at int"), "prefixes")
