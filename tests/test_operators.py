@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import io
 import math
+import unicodedata
 import zipfile
 
 import pytest
@@ -234,3 +235,14 @@ def test_streams(spark, tmp_path):
     query = streams.vintages(stream, ["k"], "ts", "v", "2 days", "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName("wins")
     query.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("wins").count() == 4
+
+
+def test_accents_of_every_character(spark):
+    """Compatibility decomposition without marks, for all code points, in texts of many."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c]
+    texts = ["|".join(chars[i : i + 256]) for i in range(0, len(chars), 256)] + ["plain", "", "Å\u0301\u0327ﬁ½한국 ﷺ"]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", scalars.fold_accents(F.col("t")).alias("t")).collect())
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+    assert spark.createDataFrame([(None,)], "t string").select(scalars.fold_accents(F.col("t"))).first()[0] is None

@@ -139,3 +139,34 @@ def test_pdf_lines():
     span = lambda t, size=10.04, font="Times", flags=0: {"text": t, "size": size, "font": font, "flags": flags}
     pages = [Page([[span("Note "), span("12", 12.06, "Times-Bold")], [span("  ")]]), Page([[span("text", flags=16)]])]
     assert readers.pdf_lines(pages) == [(0, 0, "Note 12", 12.1, True), (1, 1, "text", 10.0, True)]
+
+
+def element(name, content, more=""):
+    return f"<u:Box><u:Name>{name}</u:Name><u:Data>{content}</u:Data>{more}</u:Box>"
+
+
+def test_xml_attachments_equal_the_parser(spark, tmp_path):
+    """Sound files by Spark's source, odd ones by the parser: the same rows, and errors of those that can't be read."""
+    b64 = lambda t: base64.b64encode(t).decode()
+    top = lambda body, code="utf-8": f"<?xml version='1.0' encoding='{code}'?><u:r xmlns:u='x'>{body}</u:r>"
+    files = {
+        "many": top("".join(element(f"n{i}", b64(b"d%d" % i), "<u:Other>7</u:Other>") for i in range(50))).encode(),
+        "plain": top(element("ação", b64(b"one")) + element("empty", "") + element("bad", "!!!") + "<u:Else/>").encode(),
+        "latin": top(element("ação", b64(b"two"))).encode("latin-1"),
+        "none": top("<u:Else/>").encode(),
+        "broken": b"<u:r><u:Box>",
+    }
+    for n, raw in files.items():
+        (tmp_path / f"{n}.xml").write_bytes(raw)
+    got = readers.read_xml_attachments(spark, str(tmp_path / "*.xml"), "Box", "Name", "Data").collect()
+    rows = sorted((r["path"].rsplit("/", 1)[-1][:-4], r["filename"], bytes(r["content"])) for r in got if r["error"] is None)
+    assert rows == sorted((n, *a) for n in ("many", "plain", "latin", "none") for a in readers.xml_attachments(files[n], "Box", "Name", "Data"))
+    assert [(r["path"].rsplit("/", 1)[-1], r["error"]) for r in got if r["error"]] == [("broken.xml", "ParseError")]
+
+
+def test_xml_rows_are_pruned(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><b><n>x</n><k>1</k></b><b><n>y</n><k>no</k></b></r>")
+    rows = readers.read_xml_rows(spark, str(tmp_path / "a.xml"), "b", "n string, k int")
+    assert sorted((r["n"], r["k"], r["_broken"] is None) for r in rows.collect()) == [("x", 1, True), ("y", None, False)]
+    plan = rows.select("n")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<n:string>" in plan

@@ -39,6 +39,28 @@ def test_ols_with_controls(spark, sf_dir):
         close([got[term]["coef"], got[term]["se"], got[term]["p"]], [beta[i], se[i], p[i]], 5)
 
 
+def test_many_models_equal_single_ones(spark):
+    """Two passes for all models and cuts: each has the rows, clusters, coefficients and errors of its own ``ols``."""
+    draw = np.random.default_rng(10)
+    rows = []
+    for i in range(300):
+        a, b, e = map(float, draw.normal(size=3))
+        rows.append(("xy"[i % 2] if i % 50 else None, int(draw.integers(0, 25)) if i % 41 else None, a - b + e, a, b if i % 3 else None, 1.0))
+    df = spark.createDataFrame(rows, "cut string, g long, y double, a double, b double, one double")
+    models = {"alone": ("y", ["a"]), "both": ("y", ["a", "b"]), "same": ("b", ["a", "one"])}
+    got = stats.ols_many(df, models, "g", "cut")
+    assert {k[0] for k in got} == {"x", "y", None}
+    for (value, name), cell in got.items():
+        own = df.where(F.col("cut").eqNullSafe(F.lit(value)))
+        want = stats.ols(own, models[name][0], models[name][1], "g")
+        assert [t["term"] for t in cell["terms"]] == [t["term"] for t in want]
+        for t, w in zip(cell["terms"], want):
+            close([t["coef"], t["se"], t["n"], t["clusters"]], [w["coef"], w["se"], w["n"], w["clusters"]])
+    assert stats.ols_many(df.where("false"), models, "g") == {}
+    few = stats.ols_many(df.limit(2), models, "g")
+    assert all(c["terms"] == [] for c in few.values())
+
+
 def dummies(rows, entity, time, x):
     es, ts = sorted(set(rows[entity])), sorted(set(rows[time]))
     return np.column_stack([rows[x], *((rows[entity] == e).astype(float) for e in es), *((rows[time] == t).astype(float) for t in ts[1:])])

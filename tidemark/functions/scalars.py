@@ -9,24 +9,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SPLIT = "\x01"
+#: Hangul syllables follow a rule: 19 leading, 21 vowel and 28 trailing letters, the first of which is none.
+_HANGUL, _LEADING, _VOWELS, _TRAILING = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A8
+
+
+def _class(codes: Sequence[int]) -> str:
+    """A pattern for any of ascending code points, as ranges."""
+    ranges: list[list[int]] = []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" if a < b else rf"\x{{{a:x}}}" for a, b in ranges) + "]"
+
+
 @functools.cache
-def _folding() -> tuple[str, str]:
-    """Characters that compatibility decomposition turns into one character and combining marks, and
-    those characters; from the Unicode tables of Python."""
-    found, plain = [], []
-    for code in range(0xA0, 0x1F000):
-        if 0xAC00 <= code < 0xE000:  # Hangul syllables, surrogates
+def _folding() -> tuple[str, str, str, str, str, str]:
+    """What compatibility decomposition without combining marks makes of each character, from the Unicode
+    tables of Python: characters that become one other and those; characters that become several, split-joined
+    results, and a pattern for them and Hangul syllables; a pattern for characters that go."""
+    found, plain, several, longer, gone = [], [], [], [], []
+    for code in range(0xA0, 0x110000):
+        if 0xD800 <= code < 0xE000 or _HANGUL[0] <= code <= _HANGUL[1]:
             continue
         own = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(own) == 1 and own != chr(code):
+        if not own:
+            gone.append(code)
+        elif len(own) > 1:
+            several.append(code), longer.append(own)
+        elif own != chr(code):
             found.append(chr(code)), plain.append(own)
-    return "".join(found), "".join(plain)
+    spread = _class(sorted([*several, *range(_HANGUL[0], _HANGUL[1] + 1)]))
+    return "".join(found), "".join(plain), "".join(map(chr, several)), _SPLIT.join(longer), spread, _class(gone)
+
+
+def _decomposed(letter: Column) -> Column:
+    """The several characters that one stands for."""
+    _, _, several, longer, _, _ = _folding()
+    code = F.ascii(letter) - _HANGUL[0]
+    letters = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
+    pick = lambda text, at: F.substr(text, F.floor(at).cast("int") + 1, F.lit(1))
+    trailing = F.when(code % 28 == 0, "").otherwise(pick(letters(_TRAILING, 27), code % 28 - 1))
+    syllable = F.concat(pick(letters(_LEADING, 19), code / (21 * 28)), pick(letters(_VOWELS, 21), code % (21 * 28) / 28), trailing)
+    looked_up = F.element_at(F.split(F.lit(longer), _SPLIT), F.position(letter, F.lit(several)))
+    return F.when(code.between(0, _HANGUL[1] - _HANGUL[0]), syllable).otherwise(looked_up)
 
 
 def fold_accents(c: Column) -> Column:
-    """The text without combining marks: characters become the one that their compatibility
-    decomposition begins with. Those that decompose into several (ligatures, fractions) stay."""
-    return F.regexp_replace(F.translate(c, *_folding()), r"\p{M}", "")
+    """The text in compatibility decomposition without combining marks: letters without their accents,
+    ligatures, fractions and syllables as the characters that they are made of. Plain ASCII is not touched, and
+    only texts that hold a character of several are taken apart."""
+    found, plain, _, _, spread, gone = _folding()
+    one = F.regexp_replace(F.translate(c, found, plain), gone, "")
+    apart = F.transform(F.split(one, ""), lambda x: F.when(x.rlike(spread), _decomposed(x)).otherwise(x))
+    whole = F.when(one.rlike(spread), F.array_join(apart, "")).otherwise(one)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), whole).otherwise(c)
 
 
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:

@@ -234,6 +234,75 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None, int
     ]
 
 
+def ols_many(df: DataFrame, models: dict[str, tuple[str, Sequence[str]]], cluster: str, by: str | None = None) -> dict[tuple, dict]:
+    """``ols`` with an intercept for every model, a name to ``(y, x)``, and every value of ``by``, in two passes
+    over the rows for all of them: ``(value, name)`` to ``{"n", "clusters", "terms"}``.
+
+    Each model drops the rows that lack one of its own columns. A model has no terms where its rows aren't
+    more than its parameters. The driver gets a row per value of ``by`` twice."""
+    wanted = sorted({c for y, x in models.values() for c in (y, *x)})
+    at = {c: f"_c{i}" for i, c in enumerate(wanted)}
+    rows = df.where(F.col(cluster).isNotNull()).select(
+        (F.col(by) if by else F.lit(0)).alias("_b"), F.col(cluster).alias("_g"), *(F.col(c).cast("double").alias(at[c]) for c in wanted)
+    )
+    parts = []  # of each model: its own rows, outcome, regressors
+    for y, x in models.values():
+        whole = F.lit(True)
+        for c in (y, *x):
+            whole = whole & F.col(at[c]).isNotNull()
+        parts.append((whole, F.col(at[y]), [F.lit(1.0), *(F.col(at[c]) for c in x)]))
+    pairs = [[(i, j) for i in range(len(cols)) for j in range(i, len(cols))] for _, _, cols in parts]
+
+    firsts, totals = [], []
+    for m, (whole, out, cols) in enumerate(parts):
+        products = [F.when(whole, cols[i] * cols[j]) for i, j in pairs[m]] + [F.when(whole, c * out) for c in cols]
+        firsts += [F.count_if(whole).alias(f"n{m}"), *(F.sum(v).alias(f"s{m}_{i}") for i, v in enumerate(products))]
+        totals += [F.sum(f"n{m}").alias(f"n{m}"), F.count_if(F.col(f"n{m}") > 0).alias(f"g{m}"), *(F.sum(f"s{m}_{i}").alias(f"s{m}_{i}") for i in range(len(products)))]
+    found: dict[tuple, dict] = {}
+    fits: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    values = []
+    for r in rows.groupBy("_b", "_g").agg(*firsts).groupBy("_b").agg(*totals).collect():
+        values.append(r["_b"])
+        for m, name in enumerate(models):
+            k = len(parts[m][2])
+            found[r["_b"], name] = {"n": r[f"n{m}"], "clusters": r[f"g{m}"], "terms": []}
+            if r[f"n{m}"] > k:
+                sums = [r[f"s{m}_{i}"] for i in range(len(pairs[m]) + k)]
+                xx = np.zeros((k, k))
+                for (i, j), v in zip(pairs[m], sums):
+                    xx[i, j] = xx[j, i] = v
+                inverse = np.linalg.pinv(xx)
+                fits[r["_b"], m] = inverse, inverse @ np.array(sums[len(pairs[m]) :])
+    if not fits:
+        return found
+    lines = [(b, *([float(v) for v in fits[b, m][1]] if (b, m) in fits else None for m in range(len(parts)))) for b in values]
+    kind = rows.select("_b").schema
+    for m in range(len(parts)):
+        kind = kind.add(f"b{m}", T.ArrayType(T.DoubleType()))
+    betas = F.broadcast(df.sparkSession.createDataFrame(lines, kind))
+    scores, meats = [], []
+    for m, (whole, out, cols) in enumerate(parts):
+        e = out - sum((c * F.col(f"b{m}")[i] for i, c in enumerate(cols)), F.lit(0.0))
+        scores += [F.sum(F.when(whole, c * e)).alias(f"u{m}_{i}") for i, c in enumerate(cols)]
+        meats += [F.sum(F.col(f"u{m}_{i}") * F.col(f"u{m}_{j}")).alias(f"m{m}_{i}_{j}") for i, j in pairs[m]]
+    for r in rows.join(betas, rows["_b"].eqNullSafe(betas["_b"])).drop(betas["_b"]).groupBy("_b", "_g").agg(*scores).groupBy("_b").agg(*meats).collect():
+        for m, (name, (_, x)) in enumerate(models.items()):
+            if (r["_b"], m) not in fits:
+                continue
+            (inverse, beta), cell = fits[r["_b"], m], found[r["_b"], name]
+            k, n, g = len(beta), cell["n"], cell["clusters"]
+            meat = np.zeros((k, k))
+            for i, j in pairs[m]:
+                meat[i, j] = meat[j, i] = r[f"m{m}_{i}_{j}"]
+            factor = g / (g - 1) * (n - 1) / (n - k) if g > 1 else math.nan
+            se = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse) * factor, 0))
+            cell["terms"] = [
+                {"term": t, "coef": float(b), "se": float(s), "z": float(b / s) if s > 0 else None, "p": special.normal_two_sided(b / s) if s > 0 else None, "n": n, "clusters": g}
+                for t, b, s in zip(["const", *x], beta, se)
+            ]
+    return found
+
+
 def demean(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     w = W.partitionBy(by)
     return df.select(*(c for c in df.columns if c not in columns), *((F.col(c) - F.avg(c).over(w)).alias(c) for c in columns))
@@ -335,7 +404,7 @@ def _parts(within: DataFrame) -> int:
 DENSE_PERIODS = 1000
 
 
-def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, dense_periods: int = DENSE_PERIODS) -> dict:
+def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str, dense_periods: int = DENSE_PERIODS, fit: bool = True) -> dict:
     """Entity and time effects by partialling out, exact for unbalanced panels, entity-clustered errors.
 
     Outcome and regressors are demeaned by entity; their time effects solve one system of periods by
@@ -344,7 +413,8 @@ def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str,
 
     ``pooled`` are the terms without effects. ``r2_within`` is the share of the variation within entities that
     the regressors explain; ``f_pooled``, on ``df_num`` and ``df_den``, tests that all effects are equal, and
-    ``poolability_p`` is its tail. They are None where the outcome is degenerate or no degrees are left.
+    ``poolability_p`` is its tail. They are None where the outcome is degenerate or no degrees are left, and
+    are not made without ``fit``.
     """
     rows = df.dropna(subset=[y, *x, entity, time]).select(F.col(entity).alias("_i"), F.col(time).alias("_time"), F.col(y).cast("double").alias("_out"), *(F.col(c).cast("double").alias(c) for c in x))
     found = rows.select("_time").distinct().orderBy("_time").limit(dense_periods + 1).collect()
@@ -362,7 +432,7 @@ def two_way_fe(df: DataFrame, y: str, x: Sequence[str], entity: str, time: str,
     net = within.join(effects, "_time")
     net = net.select("_i", *((F.col(c) - (F.col(f"_e{k}") - F.avg(f"_e{k}").over(own))).alias(c) for k, c in enumerate(values)))
     terms = ols(net, "_out", x, cluster="_i", intercept=False, absorbed=periods - 1)
-    pooled = ols(rows, "_out", x, cluster="_i")
+    pooled = ols(rows, "_out", x, cluster="_i") if fit else []
     rest = F.col("_out") - sum((F.col(t["term"]) * t["coef"] for t in terms), F.lit(0.0))
     spread = within.agg(F.count("*").alias("n"), F.count_distinct("_i").alias("g"), F.sum(F.col("_out") * F.col("_out")).alias("all"), F.sum(rest * rest).alias("rest")).first()
     out = {"degenerate": (spread["all"] or 0.0) < 1e-18, "terms": terms, "periods": periods, "entities": spread["g"], "pooled": pooled}
@@ -468,17 +538,21 @@ def collapse(df: DataFrame, entity: str, values: Sequence[str], how: str = "mean
 
 def specifications(cuts: dict[str, DataFrame], outcome: str, predictor: str, specs: dict[str, Sequence[str]], cluster: str, min_rows: int = 20, min_clusters: int = 5) -> list[dict]:
     """``(scenario, controls, n, coef, p_value)`` of clustered least squares for each cut and list of
-    controls, with nulls where rows or clusters are too few."""
+    controls, with nulls where rows or clusters are too few. All cells are found in the same two passes."""
+    needed = list(dict.fromkeys([outcome, predictor, cluster, *(c for cs in specs.values() for c in cs)]))
+    tagged = [df.select(F.lit(name).alias("_cut"), *needed) for name, df in cuts.items()]
+    rows = tagged[0]
+    for t in tagged[1:]:
+        rows = rows.unionByName(t)
+    cells = ols_many(rows, {spec: (outcome, [predictor, *controls]) for spec, controls in specs.items()}, cluster, "_cut")
     out = []
-    for scenario, df in cuts.items():
-        for spec, controls in specs.items():
-            have = df.dropna(subset=[outcome, predictor, cluster, *controls])
-            size = have.agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("g")).first()
-            row = {"scenario": scenario, "controls": spec, "n": size["n"], "coef": None, "p_value": None}
-            if size["n"] >= min_rows and size["g"] >= min_clusters:
-                term = next((r for r in ols(have, outcome, [predictor, *controls], cluster) if r["term"] == predictor), None)
-                if term:
-                    row |= {"coef": term["coef"], "p_value": term["p"]}
+    for scenario in cuts:
+        for spec in specs:
+            cell = cells.get((scenario, spec), {"n": 0, "clusters": 0, "terms": []})
+            row = {"scenario": scenario, "controls": spec, "n": cell["n"], "coef": None, "p_value": None}
+            term = next((r for r in cell["terms"] if r["term"] == predictor), None)
+            if term and cell["n"] >= min_rows and cell["clusters"] >= min_clusters:
+                row |= {"coef": term["coef"], "p_value": term["p"]}
             out.append(row)
     return out
 
@@ -496,28 +570,39 @@ def panel_battery(
 ) -> list[dict]:
     """Per outcome and predictor five p values (correlation, clustered alone, with controls, with
     sector dummies too, two-way effects) and the least of them. ``sector`` names dummy columns;
-    ``drop_controls`` names controls that an outcome is made of."""
+    ``drop_controls`` names controls that an outcome is made of. Correlations of all pairs are one
+    aggregation, their regressions two."""
+    names = list(dict.fromkeys([*outcomes, *predictors, *controls, *sector, entity, time]))
+    df = cut(df.select(*names))
+    pairs = [(y, x) for y in outcomes for x in predictors]
+    own = {y: [c for c in controls if c not in (drop_controls or {}).get(y, ())] for y in outcomes}
+    both = [F.col(y).isNotNull() & F.col(x).isNotNull() for y, x in pairs]
+    simple = df.agg(*(c for k, (y, x) in enumerate(pairs) for c in (F.count_if(both[k]).alias(f"n{k}"), F.corr(F.when(both[k], F.col(x)), F.when(both[k], F.col(y))).alias(f"r{k}")))).first()
+    models = {}
+    for y, x in pairs:
+        for spec, more in (("alone", []), ("controls", own[y]), ("sector", [*own[y], *sector])):
+            models[f"{y} {x} {spec}"] = (y, [x, *more])
+    cells = ols_many(df, models, entity)
     out = []
-    for y in outcomes:
-        own = [c for c in controls if c not in (drop_controls or {}).get(y, ())]
-        for x in predictors:
-            have = df.dropna(subset=[y, x])
-            r = pearson(have, x, y).first()
-            if r["n"] < min_rows:
-                continue
-            specs = {"alone": [], "controls": own, "sector": [*own, *sector]}
-            found = {s["controls"]: s for s in specifications({"": df}, y, x, specs, entity, min_rows, min_clusters)}
-            panel = df.dropna(subset=[y, x, *own])
-            size = panel.agg(F.count("*").alias("n"), F.count_distinct(entity).alias("g"), F.count_distinct(time).alias("t")).first()
-            fe = None
-            if size["n"] >= 30 and size["g"] >= 10 and size["t"] >= 2:
-                effects = two_way_fe(panel, y, [x, *own], entity, time)
-                fe = None if effects["degenerate"] else next((t["p"] for t in effects["terms"] if t["term"] == x), None)
-            ps = [r["p"], *(found[s]["p_value"] for s in specs), fe]
-            out.append({
-                "outcome": y, "predictor": x, "n": r["n"], "r": r["r"], "p_simple": ps[0], "p_clustered": ps[1], "p_controls": ps[2], "p_sector": ps[3], "p_fe": ps[4],
-                "p_least": min((p for p in ps if p is not None), default=None),
-            })
+    for k, (y, x) in enumerate(pairs):
+        if simple[f"n{k}"] < min_rows:
+            continue
+        found = {}
+        for spec in ("alone", "controls", "sector"):
+            cell = cells.get((0, f"{y} {x} {spec}"), {"n": 0, "clusters": 0, "terms": []})
+            enough = cell["n"] >= min_rows and cell["clusters"] >= min_clusters
+            found[spec] = next((t["p"] for t in cell["terms"] if t["term"] == x), None) if enough else None
+        panel = df.dropna(subset=[y, x, *own[y]])
+        size = panel.agg(F.count("*").alias("n"), F.count_distinct(entity).alias("g"), F.count_distinct(time).alias("t")).first()
+        fe = None
+        if size["n"] >= 30 and size["g"] >= 10 and size["t"] >= 2:
+            effects = two_way_fe(panel, y, [x, *own[y]], entity, time, fit=False)
+            fe = None if effects["degenerate"] else next((t["p"] for t in effects["terms"] if t["term"] == x), None)
+        ps = [correlation_p(simple[f"n{k}"], simple[f"r{k}"]), *found.values(), fe]
+        out.append({
+            "outcome": y, "predictor": x, "n": simple[f"n{k}"], "r": simple[f"r{k}"], "p_simple": ps[0], "p_clustered": ps[1], "p_controls": ps[2], "p_sector": ps[3], "p_fe": ps[4],
+            "p_least": min((p for p in ps if p is not None), default=None),
+        })
     return out
 
 
@@ -529,38 +614,38 @@ def battery(
     absolute outcome, clustered least squares without and with controls, Kruskal-Wallis over the
     predictor's terciles, and for a 0/1 ``group`` its rank test and clustered regression."""
     out: list[dict] = []
-    have = df.dropna(subset=[outcome, predictor])
+    needed = list(dict.fromkeys([outcome, predictor, cluster, *controls, *([group] if group else [])]))
+    have = cut(df.dropna(subset=[outcome, predictor]).select(*needed))
     size = have.agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("g")).first()
 
     def add(test: str, stat: float | None, p: float | None, note: str = "", n: int | None = None) -> None:
         out.append({"label": label, "test": test, "n": size["n"] if n is None else n, "clusters": size["g"], "stat": stat, "p_value": p, "note": note})
 
-    def term(rows: list[dict], name: str) -> dict | None:
-        return next((r for r in rows if r["term"] == name), None)
-
     if size["n"] < least:
         add("coverage_too_low", None, None)
         return out
-    whole = have.withColumn("_size", F.abs(outcome))
-    for test, make, y in (("signed_pearson", pearson, outcome), ("signed_spearman", spearman, outcome), ("magnitude_pearson", pearson, "_size")):
-        r = make(whole, predictor, y).first()
-        add(test, r["r"], r["p"])
-    if t := term(ols(have, outcome, [predictor], cluster), predictor):
+    r = have.agg(F.corr(predictor, outcome).alias("signed"), F.corr(predictor, F.abs(outcome)).alias("size")).first()
+    ranks = spearman(have, predictor, outcome).first()
+    add("signed_pearson", r["signed"], correlation_p(size["n"], r["signed"]))
+    add("signed_spearman", ranks["r"], ranks["p"])
+    add("magnitude_pearson", r["size"], correlation_p(size["n"], r["size"]))
+    models = {"alone": (outcome, [predictor])} | ({"controls": (outcome, [predictor, *controls])} if controls else {}) | ({"group": (outcome, [group])} if group else {})
+    fits = ols_many(have, models, cluster)
+    term = lambda model, name: next((t for t in fits.get((0, model), {"terms": []})["terms"] if t["term"] == name), None)
+    if t := term("alone", predictor):
         add("clustered_ols_no_controls", t["coef"], t["p"])
-    if controls:
-        full = have.dropna(subset=list(controls))
-        if (n := full.count()) >= min_rows and (t := term(ols(full, outcome, [predictor, *controls], cluster), predictor)):
-            add("clustered_ols_with_controls", t["coef"], t["p"], n=n)
+    if controls and (t := term("controls", predictor)) and t["n"] >= min_rows:
+        add("clustered_ols_with_controls", t["coef"], t["p"], n=t["n"])
     edges = quantiles(have, predictor, (0, 1 / 3, 2 / 3, 1))
     if len(set(edges)) == 4:
-        cut = have.withColumn("_third", (F.col(predictor) > edges[1]).cast("int") + (F.col(predictor) > edges[2]).cast("int"))
-        k = kruskal(cut, outcome, "_third").first()
-        means = {r["_third"]: r["m"] for r in cut.groupBy("_third").agg(F.avg(outcome).alias("m")).collect()}
+        thirds = have.withColumn("_third", (F.col(predictor) > edges[1]).cast("int") + (F.col(predictor) > edges[2]).cast("int"))
+        k = kruskal(thirds, outcome, "_third").first()
+        means = {r["_third"]: r["m"] for r in thirds.groupBy("_third").agg(F.avg(outcome).alias("m")).collect()}
         add("tercile_kruskal", k["h"], k["p"], " ".join(f"{n}={means.get(i, math.nan):+.4f}" for i, n in enumerate(("low", "mid", "high"))))
     if group:
         sides = {r[group]: r for r in have.where(F.col(group).isin(0, 1)).groupBy(group).agg(F.count("*").alias("n"), F.avg(outcome).alias("m")).collect()}
         if len(sides) == 2 and min(s["n"] for s in sides.values()) >= min_each:
             add("group_mann_whitney", sides[1]["m"] - sides[0]["m"], mann_whitney(have, outcome, group).first()["p"])
-            if t := term(ols(have, outcome, [group], cluster), group):
+            if t := term("group", group):
                 add("group_clustered", t["coef"], t["p"])
     return out

@@ -136,6 +136,45 @@ def read_attachments(spark: SparkSession, path: str, tag: str, name: str, conten
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ATTACHMENTS)
 
 
+def read_xml_rows(spark: SparkSession, path: str, tag: str, schema: str, encoding: str = "UTF-8", corrupt: str = "_broken") -> DataFrame:
+    """A row per ``tag`` element of the XML files under ``path``, however large: files are split between
+    elements and only the named columns are parsed. Of Spark's two parsers it takes the older one, which
+    splits files and keeps to ``encoding``, whatever a file declares. Name spaces are ignored. An element that doesn't parse or
+    doesn't fit ``schema`` is a row with its text in ``corrupt`` and nulls otherwise."""
+    reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("encoding", encoding).option("useLegacyXMLParser", True)
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).schema(f"{schema}, {corrupt} string").load(path)
+
+
+def read_xml_attachments(spark: SparkSession, path: str, tag: str, name: str, content: str) -> DataFrame:
+    """``ATTACHMENTS`` of plain XML files: a row per ``tag`` element with content, decoded by Spark's XML
+    source and column functions. Bytes are read as Latin-1, which no file breaks, and names then as UTF-8, unless
+    one of their file isn't. Files with a broken element or without any are read again, whole, by
+    ``xml_attachments``; those that can't be read at all are a row with an ``error``."""
+    rows = read_xml_rows(spark, path, tag, f"`{name}` string, `{content}` string", "ISO-8859-1").withColumn("path", F.col("_metadata.file_path"))
+    utf8 = F.try_validate_utf8(F.encode(name, "ISO-8859-1").cast("string"))
+    # Spark doesn't read the column of broken elements alone, so that the name is asked for with it
+    broken = F.col("_broken").isNotNull() & F.coalesce(F.length(name) >= 0, F.lit(True))
+    read = rows.groupBy("path").agg(F.max(broken).alias("odd"), F.max(F.col(name).isNotNull() & utf8.isNull()).alias("latin"))
+    files = spark.read.format("binaryFile").load(path)
+    state = files.select("path").join(read, "path", "left")
+    sound = rows.join(state.where("not odd"), "path")
+    named = F.coalesce(F.when(F.col("latin"), F.col(name)).otherwise(utf8), F.lit(""))
+    decoded = F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64"))
+    good = sound.select("path", named.alias("filename"), decoded.alias("content"), F.lit(None).cast("string").alias("error")).where(F.length("content") > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, raw in zip(batch["path"], batch["content"]):
+                try:
+                    out = [(p, n, c, None) for n, c in xml_attachments(raw, tag, name, content)]
+                except ElementTree.ParseError as e:
+                    out = [(p, None, None, type(e).__name__)]
+                yield pd.DataFrame(out, columns=["path", "filename", "content", "error"])
+
+    again = files.join(state.where("coalesce(odd, true)").select("path"), "path", "left_semi").select("path", "content")
+    return good.unionByName(again.mapInPandas(run, ATTACHMENTS))
+
+
 def literal_map(spark: SparkSession, *parts: dict[int, str]) -> DataFrame:
     """Literal ``(entity_id, name)`` relations; a later part wins."""
     merged = {k: v for part in parts for k, v in part.items()}
