@@ -32,25 +32,39 @@ def term_counts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return exploded.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.85, max_features: int | None = None) -> DataFrame:
-    """``(term, df)`` with bounds inclusive; then the ``max_features`` terms most frequent in the
-    corpus, ties in term order."""
+def corpus_terms(counts: DataFrame) -> DataFrame:
+    """``(term, df, corpus_tf)``: in how many documents a term is, and how often in all."""
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
+
+
+def bounded_terms(found: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.85, max_features: int | None = None) -> DataFrame:
+    """``(term, df)`` of ``corpus_terms`` with bounds inclusive; then the ``max_features`` terms most frequent
+    in the corpus, ties in term order."""
     # the last condition always holds; reading ``tf`` here lets all uses of the counts share one shuffle
-    found = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("corpus_tf"))
     kept = found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs) & (F.col("corpus_tf") >= F.col("df")))
     if max_features is not None:
         kept = kept.orderBy(F.desc("corpus_tf"), "term").limit(max_features)
     return kept.select("term", "df")
 
 
-def tfidf(counts: DataFrame, keys: Sequence[str], n_docs: int, **bounds) -> DataFrame:
+def vocabulary(counts: DataFrame, n_docs: int, **bounds) -> DataFrame:
+    """``bounded_terms`` of ``term_counts``."""
+    return bounded_terms(corpus_terms(counts), n_docs, **bounds)
+
+
+def weighted(counts: DataFrame, keys: Sequence[str], terms: DataFrame, n_docs: int) -> DataFrame:
     """``(keys, term, weight)``: raw counts times ``ln((1 + n) / (1 + df)) + 1``, rows of unit length."""
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
-    raw = counts.join(vocabulary(counts, n_docs, **bounds), "term").withColumn("w", F.col("tf") * idf)
+    raw = counts.join(terms, "term").withColumn("w", F.col("tf") * idf)
     norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf(counts: DataFrame, keys: Sequence[str], n_docs: int, **bounds) -> DataFrame:
+    """``weighted`` counts of the terms within ``bounds``."""
+    return weighted(counts, keys, vocabulary(counts, n_docs, **bounds), n_docs)
+
+
 def adjacent_pairs(df: DataFrame, entity: str, period: str, carry: Sequence[str] = ()) -> DataFrame:
     """Each row with the one before it in its entity, whatever the gap; first rows have no pair."""
     back = W.partitionBy(entity).orderBy(period)
@@ -74,6 +88,11 @@ def adjacent_similarity(
     weights = tfidf(term_counts(corpus, keys, text), keys, n_docs, min_df=min_df, max_df=max_df, max_features=max_features)
     sized = corpus.select(entity, period, *carry, F.length(text).alias("chars"))
     pairs = adjacent_pairs(sized, entity, period, [*carry, "chars"])
+    return pair_cosines(pairs, weights, entity, period, digits)
+
+
+def pair_cosines(pairs: DataFrame, weights: DataFrame, entity: str, period: str, digits: int = 4) -> DataFrame:
+    """``adjacent_pairs`` with the ``cosine_similarity`` of their texts' weights, 0 without a common term."""
     now = weights.select(F.col(entity), F.col(period).alias(f"{period}_curr"), "term", F.col("weight").alias("w1"))
     before = weights.select(F.col(entity), F.col(period).alias(f"{period}_prev"), "term", F.col("weight").alias("w2"))
     ids = [entity, f"{period}_prev", f"{period}_curr"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import classify, diff, relational, sections, text
+from ..operators import classify, diff, incremental, lineage, relational, sections, text
 from .registry import Registry, Tables
 
 _R = Registry()
@@ -42,6 +44,19 @@ def adjacent_similarity_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.adjacent_similarity(Tables(spark, sf_dir).conversations, "conv_id", "turn", "text")
 
 
+_INCREMENTS = ((0, 2), (3, 5), (6, 1_000_000))
+
+
+@_R.query(" UNION ALL ".join(
+    f"SELECT * FROM ({_similarity_sql(f'(FROM conversations WHERE turn <= {b})', 'conv_id', 'turn', 0, None)}) WHERE turn_curr >= {a}" for a, b in _INCREMENTS
+))
+def similarity_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns added in three increments; the SQL reads everything up to each of them anew."""
+    turns, folder = Tables(spark, sf_dir).conversations, f"{lineage.shared_folder(spark)}/similarity-{uuid.uuid4().hex}"
+    found = [incremental.add_periods(turns.where(F.col("turn").between(a, b)), folder, "conv_id", "turn", "text") for a, b in _INCREMENTS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @_R.query(_similarity_sql("documents", "source", "doc_id", 100, 50_000))
 def adjacent_similarity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.adjacent_similarity(Tables(spark, sf_dir).documents, "source", "doc_id", "text", min_chars=100, max_features=50_000)
