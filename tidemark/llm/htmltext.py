@@ -221,8 +221,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
     few names or none: there only tags, links and sentences tell the parts from each other."""
     rng = random.Random(seed)
     pick = rng.choice
-    word = lambda: "".join(pick(_SYLLABLES) for _ in range(rng.randint(1, 4)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    known = ["".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(5000)]
+    word = lambda: pick(known)
+    words = lambda a, b: " ".join(rng.choices(known, k=rng.randint(a, b)))
     sentence = lambda a=3, b=25: words(a, b).capitalize() + pick(".....!?")
 
     def para() -> str:
@@ -267,15 +268,15 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
 
     def content() -> str:
         lists = lambda item: "".join(f"<li>{item()}</li>" for _ in range(rng.randint(2, 5)))
-        kinds = [f"<p{maybe(0.1, any_name)}>{inline(para())}</p>"] * 9 + [
-            f"<h2>{words(1, 6)}</h2>", f"<h3{any_name()}>{words(1, 6)}</h3>", f"<blockquote><p>{para()}</p></blockquote>", f"<blockquote>{para()}</blockquote>",
-            f"<ul{any_name()}>{lists(sentence)}</ul>", f"<ol{any_name()}>{lists(lambda: words(2, 9))}</ol>", f"<ul{any_name()}>{lists(lambda: inline(para()))}</ul>",
-            f"<dl><dt>{words(1, 3)}</dt><dd>{sentence()}</dd></dl>", f"<div{any_name()}>{inline(para())}</div>", f"<div{any_name()}>{para()}</div>", f"<pre>{words(3, 20)}</pre>",
-            f"<table{any_name()}><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>",
-            f"<p><b>{sentence()}<br>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<section{any_name()}><h3>{words(1, 5)}</h3><p>{para()}</p></section>",
-            f"{para()}<br><br>{para()}<br>",
+        kinds = [lambda: f"<p{maybe(0.1, any_name)}>{inline(para())}</p>"] * 9 + [
+            lambda: f"<h2>{words(1, 6)}</h2>", lambda: f"<h3{any_name()}>{words(1, 6)}</h3>", lambda: f"<blockquote><p>{para()}</p></blockquote>", lambda: f"<blockquote>{para()}</blockquote>",
+            lambda: f"<ul{any_name()}>{lists(sentence)}</ul>", lambda: f"<ol{any_name()}>{lists(lambda: words(2, 9))}</ol>", lambda: f"<ul{any_name()}>{lists(lambda: inline(para()))}</ul>",
+            lambda: f"<dl><dt>{words(1, 3)}</dt><dd>{sentence()}</dd></dl>", lambda: f"<div{any_name()}>{inline(para())}</div>", lambda: f"<div{any_name()}>{para()}</div>", lambda: f"<pre>{words(3, 20)}</pre>",
+            lambda: f"<table{any_name()}><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>",
+            lambda: f"<p><b>{sentence()}<br>", lambda: f"<figure><figcaption>{sentence()}</figcaption></figure>", lambda: f"<section{any_name()}><h3>{words(1, 5)}</h3><p>{para()}</p></section>",
+            lambda: f"{para()}<br><br>{para()}<br>",
         ]
-        return pick(kinds)
+        return pick(kinds)()
 
     def comments() -> str:
         each = lambda: pick((f'<div class="comment"><p>{para()}</p></div>', f"<article{named('comments')}><b>{word()}</b><p>{para()}</p></article>", f"<li><p>{para()}</p></li>", f"<p>{para()}</p>"))
