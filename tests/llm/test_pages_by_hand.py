@@ -116,3 +116,39 @@ def test_main_text_of_unnamed_layouts():
     items = '<ul class="list"><li>First item text here.</li><li>Second item.</li></ul>'
     assert htmltext.extract(f"<article><h1>T</h1><p>{p}</p>{items}</article>").endswith("First item text here.\nSecond item.")
     assert htmltext.extract("<article><p>Press <label>the red key</label> or <button>OK</button> now.</p></article>") == "Press the red key or OK now."
+
+
+A, B = LONG[:2]
+ENTRIES = (("Ann", "I liked this very much."), ("Bob", "Not true at all. Read it again."), ("Cid", "Thanks for the text."))
+
+
+def unnamed(before="", after=""):
+    return htmltext.extract(f'<html><body>{before}<div class="k"><h1>Bridge</h1><p>{A}</p><p>{B}</p></div>{after}</body></html>')
+
+
+def test_parts_without_names_go_by_their_structure():
+    """Comments, notices, forms and menus whose names say nothing, of three layouts each."""
+    main = f"Bridge\n{A}\n{B}"
+    divs = "".join(f'<div class="c"><b>{n}</b><p>{t}</p></div>' for n, t in ENTRIES)
+    items = "".join(f"<li><strong>{n}</strong> <time>{k} May</time><p>{t}</p></li>" for k, (n, t) in enumerate(ENTRIES))
+    for after in (f'<div id="kommentare"><h3>3 replies</h3>{divs}</div>', f"<section><h2>4 comments</h2><ul>{items}</ul></section>", f"<div><h3>3 answers</h3><div>{divs}</div></div>"):
+        assert unnamed(after=after) == main
+    cookies = "We use cookies to improve this site."
+    for asked in (f'<div class="x1">{cookies} <button>Accept</button></div>', f"<div><p>{cookies}</p> <button>Yes</button> <a href=/p>More</a></div>", '<div class="x2">Subscribe to our weekly letter. <input name="e"><button>Send</button></div>'):
+        assert unnamed(before=asked) == unnamed(after=asked) == main
+    assert unnamed(before='<div class="css-9x"><a href="/">Home</a><a href="/n">News</a></div>') == main
+    cell = '<td><a href="a">A</a><br><a href="b">B</a><br><a href="c">C</a></td>'
+    assert htmltext.extract(f"<html><body><table><tr>{cell}<td><h1>Bridge</h1><p>{A}</p><p>{B}</p></td></tr></table></body></html>") == main
+    toc = '<div id="t1"><ul><li><a href="#h">1 History</a></li><li><a href="#u">2 Use</a></li><li><a href="#s">3 See also</a></li></ul></div>'
+    assert htmltext.extract(f'<html><body><div id="content"><h1>Bridge</h1><p>{A}</p>{toc}<h2>History</h2><p>{B}</p></div></body></html>') == f"Bridge\n{A}\nHistory\n{B}"
+
+
+def test_main_text_that_looks_alike_stays():
+    """Questions with answers, glossaries and buttons within the article."""
+    asked = "".join(f"<div><b>{q}</b><p>{t}</p></div>" for q, t in (("How long?", "Two days at most."), ("How much?", "Ten euros for all."), ("Who?", "Everyone may come and see.")))
+    for start, end in (("<article>", "</article>"), ("<div>", "</div>")):
+        text = htmltext.extract(f"<html><body>{start}<h1>FAQ</h1><p>{A}</p>{asked}<p>{B}</p>{end}</body></html>")
+        assert text == f"FAQ\n{A}\nHow long?\nTwo days at most.\nHow much?\nTen euros for all.\nWho?\nEveryone may come and see.\n{B}"
+    terms = "".join(f"<li><b>{n}</b> the {k} <i>letter</i></li>" for n, k in (("Alpha", "first"), ("Beta", "second"), ("Gamma", "third")))
+    assert "Beta the second letter" in htmltext.extract(f"<html><body><main><h1>Words</h1><p>{A}</p><ul>{terms}</ul><p>{B}</p></main></body></html>")
+    assert "Press OK to go on. Then wait." in htmltext.extract(f"<html><body><div><h1>How</h1><p>Press <button>OK</button> to go on. Then wait.</p><p>{A}</p><p>{B}</p></div></body></html>")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe import text_blocks
 from .htmltree import Node, Tree, parse
 
-TRAIN_PAGES = 600
+TRAIN_PAGES = 1000
 #: Pages of the training set that a name must be on to get a weight.
 NAMED_PAGES = 4
 GROUPS = ("page", "main", "paragraph", "heading", "box", "list", "item", "table", "cell", "quote", "nav", "form", "control", "link", "inline", "raw")
@@ -43,6 +43,7 @@ _GROUP_OF = {
 }
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _GROUP_INDEX = {g: i for i, g in enumerate(GROUPS)}
+_ENTRIES = {_GROUP_INDEX[g] for g in ("box", "item", "main")}
 
 
 @functools.lru_cache(maxsize=4096)
@@ -61,6 +62,25 @@ def _group(node: Node) -> int:
     return _GROUP_INDEX[_GROUP_OF.get(node.tag, "inline")]
 
 
+_CONTROLS = ("button", "input", "select", "textarea")
+_SIGNED = ("b", "strong", "span", "a", "cite", "time", "img", "em", "i", "small")
+
+
+def _signals(tree: Tree) -> tuple[list[int], list[float]]:
+    """Of each node how many controls are in it, and how many of its siblings are signed entries like it: the same
+    tag and children, the first of them a name or mark, with text or blocks after it. Four are a full 1."""
+    n = len(tree.nodes)
+    controls = [int(v.tag in _CONTROLS) for v in tree.nodes]
+    tags: list[list[str]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        tags[tree.nodes[i].parent].append(tree.nodes[i].tag)
+    for i in range(n - 1, 0, -1):
+        controls[tree.nodes[i].parent] += controls[i]
+    shapes = [(v.parent, v.tag, *tags[i]) if i and len(tags[i]) > 1 and tags[i][0] in _SIGNED and _group(v) in _ENTRIES else None for i, v in enumerate(tree.nodes)]
+    count = Counter(s for s in shapes if s)
+    return controls, [min(1.0, (count[s] - 1) / 3) if s else 0.0 for s in shapes]
+
+
 def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of all nodes, names apart, and their tag groups."""
     n = len(tree.nodes)
@@ -83,7 +103,11 @@ def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
         marks[parent] = max(marks[parent], 0.5 * marks[i])
         if first[i] >= 0 and (first[parent] < 0 or first[i] < first[parent]):
             first[parent] = first[i]
+    controls, twins = _signals(tree)
     total, prose = max(1, below[0]), max(1, below[0] - links[0])
+    entries = [False] * n  # whether signed entries are among a node's children
+    for i in range(1, n):
+        entries[tree.nodes[i].parent] |= twins[i] > 0
     rows, groups = [], []
     form, hidden, linky = [False] * n, [False] * n, [0.0] * n
     for i, node in enumerate(tree.nodes):
@@ -101,6 +125,7 @@ def features(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
             math.log1p(size) / 8, size / total, (size - links[i]) / prose, linky[i], linky[up], float(linky[i] > 0.6), min(1.0, 60 * stops[i] / max(60, size)),
             float(own_stops[i] > 0), math.log1p(texts[i]) / 8, float(texts[i] > 0 and size < 40), marks[i],
             float(node.tag == "a" and linky[up] > 0.6), float(node.tag == "a" and 2 * texts[up] < below[up]), float(node.tag == "a" and texts[up] == 0),
+            float(controls[i] > 0 and size < 300), float(controls[up] > 0 and below[up] < 300), twins[i], twins[up], float(i > 0 and entries[up]),
             max(0, first[i]) / total, float(first[i] + size >= 0.97 * total and size < 0.2 * total), float(size == 0), 1.0,
         ])
         groups.append(g)
@@ -216,7 +241,7 @@ PART_NAMES = {
 }
 
 
-def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = TRAIN_PAGES, seed: int = 12) -> list[str]:
     """Seeded pages in varied skeletons; ``data-y`` marks main text and all else. A third of them have
     few names or none: there only tags, links and sentences tell the parts from each other."""
     rng = random.Random(seed)
@@ -275,15 +300,31 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
             lambda: f"<table{any_name()}><tr><th>{words(1, 2)}</th><td>{words(1, 6)}</td></tr><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>",
             lambda: f"<p><b>{sentence()}<br>", lambda: f"<figure><figcaption>{sentence()}</figcaption></figure>", lambda: f"<section{any_name()}><h3>{words(1, 5)}</h3><p>{para()}</p></section>",
             lambda: f"{para()}<br><br>{para()}<br>",
+            lambda: "".join(f"<div{any_name()}><b>{sentence(3, 9)}</b><p>{para()}</p></div>" for _ in range(rng.randint(2, 5))),
+            lambda: f"<ul>{lists(lambda: f'<b>{words(1, 3)}</b> {sentence()} <i>{words(1, 3)}</i>')}</ul>",
         ]
         return pick(kinds)()
 
     def comments() -> str:
+        if bare:  # signed entries of one shape, without a name
+            tag, sign = pick(("div", "div", "li", "section", "article")), pick(("<b>{}</b>", "<strong>{}</strong>", "<span>{}</span>", '<a href="/u">{}</a>', "<b>{}</b><small>{}</small>", "<b>{}</b> <time>{}</time>"))
+            entry = lambda: f"<{tag}>{sign.format(words(1, 2), rng.randint(1, 28))}<p>{para()}</p></{tag}>"
+            entries = "".join(entry() for _ in range(rng.randint(2, 6)))
+            entries = f"<ul>{entries}</ul>" if tag == "li" else pick((entries, entries, f"<div>{entries}</div>"))
+            level, wrap = pick(("h2", "h3", "h3", "h4", "p")), pick(("div", "div", "section"))
+            title = maybe(0.75, lambda: f"<{level}>{maybe(0.6, lambda: str(rng.randint(2, 40)))} {words(1, 2)}</{level}>")
+            return f'<{wrap} data-y="0">{title}{entries}</{wrap}>'
         each = lambda: pick((f'<div class="comment"><p>{para()}</p></div>', f"<article{named('comments')}><b>{word()}</b><p>{para()}</p></article>", f"<li><p>{para()}</p></li>", f"<p>{para()}</p>"))
         return box("comments", maybe(0.6, lambda: f"<h3>{words(1, 3)}</h3>") + "".join(each() for _ in range(rng.randint(1, 5))), "section div ol")
 
     ad = lambda: box("ad", pick((sentence(), para(), f'<p>{sentence()}</p><a href="/x">{words(1, 3)}</a>')), "div div aside p section")
-    notice = lambda: box("notice", pick((para(), f"<p>{para()}</p>")) + maybe(0.5, lambda: f"<button>{word()}</button>"))
+    def asked() -> str:
+        """A notice or a form without a name: a few words and what to press or to fill in."""
+        more = pick((f"<button>{word()}</button>", f'<button>{word()}</button> <a href="/p">{words(1, 3)}</a>', f'<input name="e"><button>{word()}</button>', '<input type="text"> <input type="submit">'))
+        text = " ".join(sentence(3, 14) for _ in range(rng.randint(1, 3)))
+        return f'<div data-y="0">{pick((text, f"<p>{text}</p>", f"<span>{text}</span>"))} {more}</div>'
+
+    notice = lambda: asked() if bare else box("notice", pick((para(), f"<p>{para()}</p>")) + maybe(0.5, lambda: f"<button>{word()}</button>"))
     side = lambda: box("side", f"<h3>{words(1, 3)}</h3>" + pick((links(4), f"<p>{para()}</p>", f"<p>{sentence()}</p>" + links(3))), "aside div div section", "aside")
     crumbs = lambda: box("crumbs", pick((words(2, 8), links(3), sentence())), "div p ul span")
     menu = lambda: box("menu", links(rng.randint(3, 9)), "div div ul nav", pick(("nav", "div", "div")))
@@ -298,6 +339,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
             body.append(maybe(0.06, ad) + maybe(0.03, notice) + maybe(0.03, crumbs) + maybe(0.02, form))
         if rng.random() < 0.08:
             body[0] = f"<header>{body[0] or f'<h1>{words(2, 6)}</h1>'}</header>"
+        if bare:  # what ends a page can be text as well
+            body += [f'<{t}>{" ".join(sentence(3, 12) for _ in range(rng.randint(1, 4)))}</{t}>' for t in rng.choices(("div", "p", "div"), k=pick((0, 0, 1, 2)))]
         tail = maybe(0.15, comments) + maybe(0.08, crumbs)
         inner = "".join(body) + tail
         if bare:
@@ -314,8 +357,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
         if bare:
             if shape == "{}" and rng.random() < 0.3:  # a column of links in a table
                 main = f'<body data-y="0"><table><tr><td data-y="0">{links(rng.randint(3, 9))}</td><td data-y="1">{inner}</td></tr></table>'
-            top = [maybe(0.1, hidden), maybe(0.15, loose), maybe(0.3, lambda: f'<nav data-y="0">{links(rng.randint(3, 8))}</nav>'), maybe(0.35, link_box), maybe(0.15, form)]
-            end = [maybe(0.2, loose), maybe(0.3, link_box), maybe(0.2, side), maybe(0.1, form)]
+            top = [maybe(0.1, hidden), maybe(0.15, loose), maybe(0.25, asked), maybe(0.3, lambda: f'<nav data-y="0">{links(rng.randint(3, 8))}</nav>'), maybe(0.35, link_box), maybe(0.15, form)]
+            end = [maybe(0.2, loose), maybe(0.3, link_box), maybe(0.2, side), maybe(0.1, form), maybe(0.25, asked), maybe(0.3, comments)]
             foot = pick(("", f'<footer data-y="0">{rights()}</footer>', f'<p data-y="0">{rights()}</p>', f'<div data-y="0">{rights()}</div>', f'<hr><div data-y="0">{links(4)} {rights()}</div>'))
         else:
             top = [maybe(0.1, hidden), maybe(0.1, loose), maybe(0.7, lambda: f'<nav data-y="0">{links(rng.randint(3, 8))}</nav>'), maybe(0.4, head), maybe(0.15, lambda: f"<header data-y=\"0\"><a href='/'>{words(1, 3)}</a><p>{sentence()}</p></header>"), maybe(0.6, ad), maybe(0.4, notice), maybe(0.2, form), maybe(0.3, crumbs), maybe(0.4, menu)]
