@@ -238,8 +238,10 @@ def test_page():
 
 
 def test_pages_held_out():
-    model, wrong, seen = htmltext.default_model(), 0, 0
-    for page in htmltext.labelled_pages(60, 5):
+    """Every third page has no names: there notices, forms and comments are told by structure alone."""
+    model, wrong, seen = htmltext.default_model(), [0, 0], [0, 0]
+    for k, page in enumerate(htmltext.labelled_pages(60, 5)):
+        bare = int(k % 3 == 0)
         tree = htmltext.parse(page)
         label = []
         for i, node in enumerate(tree.nodes):
@@ -247,8 +249,8 @@ def test_pages_held_out():
         content = model.marginals(tree) > 0.5
         for _, node, t, _ in tree.runs:
             if t.strip():
-                seen, wrong = seen + 1, wrong + (content[node] != label[node])
-    assert wrong <= 0.02 * seen
+                seen[bare], wrong[bare] = seen[bare] + 1, wrong[bare] + (content[node] != label[node])
+    assert wrong[0] <= 0.015 * seen[0] and wrong[1] <= 0.06 * seen[1]
 
 
 def test_marginals_against_enumeration():
