@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .relational import bounded_lookup, first_by
 from .stats import grouped_quantiles, normal_p, quantiles
 
@@ -116,6 +117,7 @@ def characteristic_adjusted_spread(
     """
     whole = positions.dropna(subset=["month", key, score, *controls]).withColumn("_n", F.count("*").over(W.partitionBy("month"))).where(F.col("_n") >= min_group * n)
     single = first_by(whole, ["month", key], [F.desc(c) for c in (order or (score,))]).join(returns, [key, "month"]).where("ret is not null")
+    single = cut(single.select("month", key, score, "ret", *(c for c in controls if c != score)))
     residuals = residual_scores(single, "month", key, "ret", controls, min_names)
     held = qcut(residuals.join(single.select("month", key, score), ["month", key]), ["month"], score, n)
     legs = held.groupBy("month").agg(

@@ -79,10 +79,11 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]
     """Exact quantiles by linear interpolation, None for no rows. Values are counted in ranges, never put
     in order: a turn is two aggregations, and the driver gets a row for each of ``BUCKETS`` ranges."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    n = rows.count()
+    n, least, most = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not n:
         return None
-    known = {k: _nth(rows, n, k) for k in sorted({math.floor(s * (n - 1)) for s in shares})}
+    ends = {0: least, n - 1: most}
+    known = {k: ends[k] if k in ends else _nth(rows, n, k) for k in sorted({math.floor(s * (n - 1)) for s in shares})}
     # what follows a place is the same value if more rows have it, else the next larger one
     v = F.col("v")
     follow = rows.agg(*(c for k, low in known.items() for c in (F.count_if(v <= low).alias(f"n{k}"), F.min(F.when(v > low, v)).alias(f"v{k}")))).first()
