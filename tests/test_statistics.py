@@ -209,12 +209,13 @@ def test_cross_sections_and_quantiles_gather_nothing(spark):
     assert {m for m, _ in found} == {1, 2, 3}  # the first has ten names only
 
 
-@pytest.mark.parametrize("kind", ["few", "wild", "tied", "ends"])
+@pytest.mark.parametrize("kind", ["few", "wild", "tied", "ends", "lump", "far"])
 def test_quantiles_of_odd_values(spark, kind):
     draw = np.random.default_rng(8)
     v = {
-        "few": np.array([3.0]), "wild": np.exp(draw.normal(size=4000) * 40) * draw.choice([-1, 1], 4000),
-        "tied": draw.integers(0, 3, 5000).astype(float), "ends": np.array([-1e300, 1e300, 0.0, 1e-300, -1e-300] * 40 + [5.0]),
+        "few": np.array([3.0]), "wild": np.exp(draw.normal(size=9000) * 40) * draw.choice([-1, 1], 9000),
+        "tied": draw.integers(0, 3, 9000).astype(float), "lump": np.concatenate([draw.normal(size=9000), np.zeros(3000), np.full(4000, 0.7)]),
+        "far": np.concatenate([np.linspace(0, 1, 30000) ** 9, [1e200]]), "ends": np.array([-1e300, 1e300, 0.0, 1e-300, -1e-300] * 40 + [5.0]),
     }[kind]
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
     shares = (0, 0.001, 0.25, 0.5, 0.77, 0.999, 1)

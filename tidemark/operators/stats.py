@@ -7,7 +7,9 @@ only the ranges' totals, ``RANGES`` numbers, are added up on the driver.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -51,47 +53,92 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[
 
 
 BUCKETS = 1024
+#: Rows of a range up to which its values are counted one by one.
+FEW = 4096
 
 
-def _nth(rows: DataFrame, n: int, place: int) -> float:
-    """The value at ``place``, from 0, of the ``n`` values in ascending order, by successive ranges. Approximate
-    quantiles bracket it; the bracket's values are counted in equal ranges, with their extremes, and the range
-    that holds the place is searched in the same way, until all its values are equal. No value is sorted, and
-    each turn leaves a small share of the values, wherever they lie."""
-    low, high, before = -math.inf, math.inf, 0
-    while True:
-        inside = rows.where(F.col("v").between(low, high))
-        share, margin = (place - before + 0.5) / n, 2 / BUCKETS
-        a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - margin), min(1.0, share + margin)], 10_000)).first()[0]
-        even = F.floor(F.nanvl((F.col("v") - F.lit(a)) / F.lit((b - a) or 1.0), F.lit(0.0)) * BUCKETS)
-        at = F.when(F.col("v") < a, -1).when(F.col("v") > b, BUCKETS).otherwise(F.least(even, F.lit(BUCKETS - 1)))
-        counts = inside.groupBy(at.cast("int").alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
-        for r in sorted(counts.collect()):
-            if before + r["n"] > place:
-                low, high, n = r["a"], r["b"], r["n"]
-                break
-            before += r["n"]
-        if low == high:
-            return low
+def _order(v: float) -> tuple[int, float]:
+    """Numbers in Spark's order, where NaN follows all."""
+    return (1, 0.0) if v != v else (0, v)
+
+
+def _slots(brackets: Sequence[tuple[float, float]]) -> Column:
+    """Ranges of ``v``, numbered upwards: each bracket in ``BUCKETS`` even parts, and what lies between."""
+    merged: list[tuple[float, float]] = []
+    for a, b in sorted(brackets, key=lambda x: (_order(x[0]), _order(x[1]))):
+        if merged and _order(a) <= _order(merged[-1][1]):
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1], key=_order))
+        else:
+            merged.append((a, b))
+    v, at, slot = F.col("v"), None, 0
+    for a, b in merged:
+        even = F.floor(F.nanvl((v - F.lit(a)) / F.lit((b - a) or 1.0), F.lit(0.0)) * BUCKETS)
+        inside = F.least(even, F.lit(BUCKETS - 1)) + slot + 1
+        at = (F.when if at is None else at.when)(v < F.lit(a), F.lit(slot)).when(v <= F.lit(b), inside)
+        slot += BUCKETS + 1
+    return at.otherwise(F.lit(slot)).cast("int")
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float] | None:
-    """Exact quantiles by linear interpolation, None for no rows. Values are counted in ranges, never put
-    in order: a turn is two aggregations, and the driver gets a row for each of ``BUCKETS`` ranges."""
+    """Exact quantiles by linear interpolation, None for no rows, by successive ranges for all places at once.
+    Approximate quantiles bracket the places; values are counted in even ranges of the brackets, with their
+    extremes, and the ranges that hold places are searched in the same way, until a range has one value or
+    ``FEW`` rows, whose values are counted. No value is sorted, each turn leaves a small share of the values,
+    and the driver gets a row for each range."""
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    n, least, most = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    v, margin = F.col("v"), 2 / BUCKETS
+    clip = lambda share: min(1.0, max(0.0, share))
+    around = sorted({clip(s + d) for s in shares for d in (-margin, margin)})
+    r = rows.agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile_approx(v, around, 10_000).alias("near")).first()
+    n = r["n"]
     if not n:
         return None
-    ends = {0: least, n - 1: most}
-    known = {k: ends[k] if k in ends else _nth(rows, n, k) for k in sorted({math.floor(s * (n - 1)) for s in shares})}
-    # what follows a place is the same value if more rows have it, else the next larger one
-    v = F.col("v")
-    follow = rows.agg(*(c for k, low in known.items() for c in (F.count_if(v <= low).alias(f"n{k}"), F.min(F.when(v > low, v)).alias(f"v{k}")))).first()
+    known = {0: r["low"], n - 1: r["high"]}
+    places = sorted({f(s * (n - 1)) for s in shares for f in (math.floor, math.ceil)})
+    near = dict(zip(around, r["near"]))
+    brackets = [[(near[clip(s - margin)], near[clip(s + margin)]) for s in shares]]
+    ranges = [(r["low"], r["high"], 0, n)] if any(k not in known for k in places) else []  # ends, rows before and inside
+
+    def held(low: float, high: float) -> Column:
+        return v.between(F.lit(low), F.lit(high))
+
+    def within(before: int, size: int) -> list[int]:
+        return [k for k in places if k not in known and before <= k < before + size]
+
+    while ranges:
+        few, ranges = [x for x in ranges if x[3] <= FEW], [x for x in ranges if x[3] > FEW]
+        if few:
+            counted = rows.where(functools.reduce(operator.or_, (held(a, b) for a, b, _, _ in few))).groupBy("v").agg(F.count("*").alias("n")).collect()
+            counted.sort(key=lambda r: _order(r["v"]))
+            for low, high, before, _ in few:
+                for r in counted:
+                    if _order(low) <= _order(r["v"]) <= _order(high):
+                        known |= dict.fromkeys(within(before, r["n"]), r["v"])
+                        before += r["n"]
+        if not ranges:
+            break
+        if brackets is None:
+            near_to = [[[clip((k - before + 0.5) / size + d) for d in (-margin, margin)] for k in within(before, size)] for _, _, before, size in ranges]
+            found = rows.agg(*(F.percentile_approx(F.when(held(a, b), v), [s for pair in pairs for s in pair], 10_000).alias(f"q{i}") for i, ((a, b, _, _), pairs) in enumerate(zip(ranges, near_to)))).first()
+            brackets = [list(zip(q[::2], q[1::2])) for q in found]
+        which, at = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, ((a, b, _, _), own) in enumerate(zip(ranges, brackets)):
+            which, at = F.when(held(a, b), F.lit(i)).otherwise(which), F.when(held(a, b), _slots(own)).otherwise(at)
+        tagged = rows.select("v", which.alias("i"), at.alias("at")).where("i is not null")
+        counts = sorted(tagged.groupBy("i", "at").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect())
+        before, found = [x[2] for x in ranges], []
+        for r in counts:
+            if own := within(before[r["i"]], r["n"]):
+                if _order(r["a"]) == _order(r["b"]):
+                    known |= dict.fromkeys(own, r["a"])
+                else:
+                    found.append((r["a"], r["b"], before[r["i"]], r["n"]))
+            before[r["i"]] += r["n"]
+        ranges, brackets = found, None
     out = []
     for s in shares:
-        k = math.floor(s * (n - 1))
-        part, low = s * (n - 1) - k, known[k]
-        out.append(low if part == 0 or follow[f"n{k}"] > k + 1 else low + part * (follow[f"v{k}"] - low))
+        low, high = known[math.floor(s * (n - 1))], known[math.ceil(s * (n - 1))]
+        out.append(low if low == high else low + (s * (n - 1) - math.floor(s * (n - 1))) * (high - low))
     return out
 
 
