@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, settle, split_join
+from .common import HOT_SHARE, hot_keys, settle, split_join
 from .components import component_labels
 
 SEED = 42
@@ -85,7 +85,10 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
                 | ((if(k < 32, fp, shiftrightunsigned(fp, 32)) & 4294967295L) & ~(1L << (k % 32))))
         """)).alias("key"),
     )
-    sized = variants.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
+    # a segment that a large share of all has is one key: its members are counted before a shuffle and all crowded
+    hot = settle(hot_keys(variants, "key").where(F.col("n") > bucket_limit).select("key"), "hot-variants")
+    cold = variants.join(F.broadcast(hot), "key", "left_anti")
+    sized = cold.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
     light = (
         sized.where(F.col("n") <= bucket_limit)
         .groupBy("key")
@@ -97,7 +100,8 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
         """)).alias("e"))
         .select("e.u", "e.v")
     )
-    crowded = sized.where(F.col("n") > bucket_limit).select("fp").distinct()
+    warm = variants.join(F.broadcast(hot), "key", "left_semi").select("fp")
+    crowded = sized.where(F.col("n") > bucket_limit).select("fp").unionByName(warm).distinct()
     pairs = crowded.select(
         "fp",
         F.explode(F.expr("""
@@ -105,7 +109,7 @@ def links(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
                 struct(i * 64 + j as at, fp & ~((1L << i) | (1L << j)) as rest))))
         """)).alias("node"),
     ).select("fp", "node.*")
-    heavy = (
+    heavy = (  # no more than the four values of two bits share a place and the rest
         pairs.withColumn("v", F.expr("min(fp) over (partition by at, rest)"))
         .where("fp <> v")
         .select(F.col("fp").alias("u"), "v")
@@ -127,10 +131,10 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).select("fp", "rep", is_hot.alias("hot"))
     distinct = settle(distinct, "distinct")
     labels = component_labels(links(distinct.select("fp"), bucket_limit))
-    rooted = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    rooted = settle(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "rooted")
     # components are of fingerprints; each is named by the smallest document it holds
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_print = settle(rooted.join(named, "root").select("fp", "component_id"), "components")
+    of_print = settle(split_join(rooted, named, hot_keys(rooted, "root"), "root").select("fp", "component_id"), "components")
     return split_join(prints, of_print, distinct.where("hot"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
