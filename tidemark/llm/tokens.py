@@ -1,6 +1,6 @@
 """Operator 7: token ids as Parquet list columns, in document order, read back selectively.
 
-Texts are dealt by ranges of ``doc_id`` and sorted before they are encoded, so that a task writes
+Texts are dealt by ranges of ``doc_id`` and text hash and sorted before they are encoded, so that a task writes
 its range as it goes and the files are in global order. The ids are 32-bit list elements; the
 writer tries a dictionary and falls back to delta encoding (format version 2), with set sizes of
 row groups and pages and with page indexes, which let readers skip by ``doc_id`` and read counts
@@ -55,10 +55,12 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 2) -> None:
     ``ids`` of every document, the end id included, in ascending ``doc_id`` order.
 
     Null and empty texts are the end id alone; null ids come first; rows of equal id follow each
-    other in text order; ``doc_id`` is a number or the text of one; an empty table writes a file without
+    other in the order of their texts' hashes, so that ranges also part the rows of an id that many
+    texts share; ``doc_id`` is a number or the text of one; an empty table writes a file without
     rows; other columns are not read."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     coded = ordered.mapInArrow(_ids(path, end_id), "doc_id long, n_tokens int, ids array<int>")
     coded.select(F.monotonically_increasing_id().alias("at"), "*").write.options(**LAYOUT).parquet(out)
 
