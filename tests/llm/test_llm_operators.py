@@ -83,6 +83,18 @@ def test_simhash_links(spark, limit):
     assert got == want
 
 
+def test_simhash_links_of_one_segment(spark):
+    """A family that shares a segment, a key that a third of all variants would have, beside others."""
+    draw = np.random.default_rng(4)
+    family = [int(draw.integers(0, 1 << 32)) << 32 | 0x0F0F1234 for _ in range(200)]
+    near = [p ^ (1 << int(draw.integers(32, 64))) ^ (1 << int(draw.integers(0, 64))) for p in family[::3]]
+    prints = list(dict.fromkeys([*family, *near, *(int(p) for p in draw.integers(0, 1 << 63, 200))]))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    labels = {r["node"]: r["component"] for r in components.component_labels(edges).collect()}
+    assert [labels.get(p, p) for p in signed] == groups(prints, signed)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     out = dict(components.component_labels(spark.createDataFrame(chain, "u long, v long")).collect())
@@ -119,7 +131,7 @@ def test_pixel_arrays(odd):
     for r in media.pixels(media.store(odd)).collect():
         assert r["width"] == 192 and len(bytes(r["pixels"])) == 576 * r["height"]
     stored = media.store(odd)
-    assert by_id(media.describe(media.pixels(stored))) == by_id(media.describe_stored(stored))
+    assert by_id(media.describe(media.pixels(stored))) == by_id(media.media_round_trip(odd))
 
 
 # 3 -------------------------------------------------------------------------------------------------
@@ -323,6 +335,23 @@ def test_lower_bound():
 
 
 # 7 -------------------------------------------------------------------------------------------------
+def test_token_files_of_one_id(spark, tmp_path):
+    """Texts under one id are dealt over several tasks and keep their places."""
+    texts_of = [(7 if i % 4 else None if i % 8 else i, f"text {i} of many") for i in range(400)]
+    docs = spark.createDataFrame(texts_of, "doc_id long, text string")
+    path, out = P.path("word_bpe_49k.json"), str(tmp_path / "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_ids(docs, path, out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per = [r["count"] for r in tokens.read_ids(spark, out).where("doc_id = 7").selectExpr("shiftright(at, 33) AS task").groupBy("task").count().collect()]
+    assert len(per) > 2 and max(per) < 200 and sum(per) == 300
+    rows = sorted(tokens.index(tokens.read_ids(spark, out)).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
+    assert [r["doc_id"] or -1 for r in rows] == sorted(r["doc_id"] or -1 for r in rows)
+
+
 def test_token_files(odd, empty, spark, tmp_path):
     path = P.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)

@@ -86,21 +86,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(arrays: DataFrame) -> DataFrame:
     """Digests and a feature of a table of pixel arrays."""
-    return arrays.mapInArrow(_digest, DIGEST)
-
-
-def describe_stored(stored: DataFrame) -> DataFrame:
-    """``describe(pixels(stored))`` in one pass: the arrays go from the decoder to the digests as a column in
-    memory, without a way through the files or the JVM between."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(giving_back(lambda batches: _digest(_decode(batches))), DIGEST)
+    return arrays.mapInArrow(giving_back(_digest), DIGEST)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text of ``docs(doc_id, text, ...)`` as media in the shared folder, read the files back to
-    pixel arrays, and describe those: a row per input row.
+    """Store every text of ``docs(doc_id, text, ...)`` as media in the shared folder, read the files back,
+    write their pixel arrays, and describe those: a row per input row.
 
     Null and empty texts are one unit of padding; equal texts give equal values; null ids and
     repeated rows stay as they are; other columns are not read; ``doc_id`` is a number or the text of
     one; an empty table gives an empty result.
     """
-    return describe_stored(settle(store(docs), "media"))
+    return describe(settle(pixels(settle(store(docs), "media")), "pixels"))
