@@ -25,14 +25,21 @@ from .lineage import cut
 RANGES = 64
 
 
+def _edges_below(value: Column, edges: Sequence, first: int = 0) -> Column:
+    """How many of the ascending ``edges`` are smaller than ``value``, by halving, in generated code."""
+    if not edges:
+        return F.lit(first)
+    half = len(edges) // 2
+    return F.when(value > F.lit(edges[half]), _edges_below(value, edges[half + 1 :], first + half + 1)).otherwise(_edges_below(value, edges[:half], first))
+
+
 def value_ranks(df: DataFrame, value: str, rank: str = "rank", count: Column | None = None) -> DataFrame:
     """``(value, t, rank)`` of the distinct non-null values: how many rows have each (or the sum of
     ``count``), and their mean rank from 1."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if count is None else F.sum(count)).alias("t"))
     edges = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
     edges = sorted(set(edges))
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
-    dealt = counts.withColumn("_range", at)
+    dealt = counts.withColumn("_range", _edges_below(F.col(value), edges))
     totals = sorted((r["_range"], r["n"]) for r in dealt.groupBy("_range").agg(F.sum("t").alias("n")).collect())
     before, starts = 0, []
     for k, n in totals:
