@@ -97,4 +97,4 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     repeated rows stay as they are; other columns are not read; ``doc_id`` is a number or the text of
     one; an empty table gives an empty result.
     """
-    return describe(settle(pixels(settle(store(docs), "media")), "pixels"))
+    return describe(settle(pixels(settle(store(docs), "media")), "pixels", compression="zstd"))
