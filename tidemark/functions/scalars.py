@@ -87,6 +87,11 @@ def size_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(F.least(a, b).cast("double"), F.greatest(a, b))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles by the floating-point standard: by 0 it is infinite, 0 by 0 not a number; null if either is."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def degenerate_score(score: Column) -> Column:
     return (score >= 0.999) | (score <= 0.001)
 

@@ -3,35 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import guarded_ratio
-from .timeseries import asof_backward, asof_forward, nth_following
+from ..functions.scalars import guarded_ratio, ratio
+from .timeseries import asof_backward, asof_forward
 
 
 def abnormal_return(events: DataFrame, prices: DataFrame, benchmark: DataFrame, key: str, at: str, price: str, n: int) -> DataFrame:
-    """Return from the first price at or after an event to the ``n``-th after it, less the
-    benchmark's over the same days; events without either are left out.
+    """Return from the first row of prices at or after an event to the ``n``-th after it, less the
+    benchmark's over the same days; events without either row are left out. From a price of 0 it is
+    infinite. Days without a price count as rows; a return from or to one is null.
 
     ``benchmark(at, price)`` has a row a day. Its first and last levels inside the span are as-of
-    lookups too; a span with fewer than two benchmark days has no return.
+    lookups too; a span with fewer than two benchmark days is left out, one without a level has none.
     """
-    ahead = nth_following(prices, key, at, price, n)
-    legs = ahead.select(key, at, F.col(price).alias("p0"), F.col(f"{at}_n").alias("t1"), F.col(f"{price}_n").alias("p1"))
+    ahead = W.partitionBy(key).orderBy(at)
+    legs = prices.select(key, at, F.col(price).alias("p0"), F.lead(at, n).over(ahead).alias("t1"), F.lead(price, n).over(ahead).alias("p1"))
     hit = asof_forward(events, legs, key, at, ["p0", "t1", "p1"]).where("t1 is not null").withColumnRenamed("obs_at", "t0")
     one = F.lit(1).alias("_one")
-    level = benchmark.where(F.col(price).isNotNull()).select(one, F.col(at), F.col(price).alias("level"))
+    traded = benchmark.select(one, F.col(at), F.col(price).alias("level"))
+    level = traded.where("level is not null")
     spans = hit.select(*events.columns, "t0", "p0", "t1", "p1").withColumnRenamed(at, "_event_at")
     # the benchmark is one series: a day has one level, so lookups are equi-joins on days made dense
-    days = level.agg(F.min(at).alias("a"), F.max(at).alias("b")).select(F.explode(F.sequence("a", "b")).alias(at)).withColumn("_one", F.lit(1))
-    dense = asof_forward(days, level, "_one", at, ["level"]).select(F.col(at).alias("t0"), F.col("obs_at").alias("first_day"), F.col("level").alias("b0"))
-    dense_back = asof_backward(days, level, "_one", at, ["level"]).select(F.col(at).alias("t1"), F.col("obs_at").alias("last_day"), F.col("level").alias("b1"))
-    joined = spans.join(dense, "t0").join(dense_back, "t1").where("first_day < last_day")
+    days = traded.agg(F.min(at).alias("a"), F.max(at).alias("b")).select(F.explode(F.sequence("a", "b")).alias(at)).withColumn("_one", F.lit(1))
+    dense = asof_forward(asof_forward(days, traded, "_one", at, []).withColumnRenamed("obs_at", "first_day"), level, "_one", at, ["level"])
+    dense_back = asof_backward(asof_backward(days, traded, "_one", at, []).withColumnRenamed("obs_at", "last_day"), level, "_one", at, ["level"])
+    opening = dense.select(F.col(at).alias("t0"), "first_day", F.col("obs_at").alias("b0_at"), F.col("level").alias("b0"))
+    closing = dense_back.select(F.col(at).alias("t1"), "last_day", F.col("obs_at").alias("b1_at"), F.col("level").alias("b1"))
+    joined = spans.join(opening, "t0").join(closing, "t1").where("first_day < last_day")
+    own = ratio(F.col("p1"), F.col("p0"))
+    common = F.when((F.col("b0_at") <= F.col("t1")) & (F.col("b1_at") >= F.col("t0")), ratio(F.col("b1"), F.col("b0")))
     return joined.withColumnRenamed("_event_at", at).select(
-        *events.columns, "t0", "t1",
-        (F.col("p1") / F.col("p0") - 1).alias("stock_return"), (F.col("b1") / F.col("b0") - 1).alias("benchmark_return"),
-        ((F.col("p1") / F.col("p0")) - (F.col("b1") / F.col("b0"))).alias("abnormal_return"),
-    )
+        *events.columns, "t0", "t1", (own - 1).alias("stock_return"), (common - 1).alias("benchmark_return"), (own - common).alias("abnormal_return")
+    )
 
 
 def bracket_revision(events: DataFrame, estimates: DataFrame, key: str, at: str, value: str, window_days: int = 140) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def _asof(events: DataFrame, series: DataFrame, key: str, at: str, values: Sequence[str], forward: bool, inclusive: bool) -> DataFrame:
-    """``events`` with ``obs_at`` and the values of the nearest observation on one side."""
+    """``events`` with ``obs_at`` and the values of the nearest observation on one side. A null key or time has none."""
     seen = F.struct(F.col(at).alias("obs_at"), *values)
     left = events.withColumn("_obs", F.lit(None)).withColumn("_event", F.struct(*events.columns)).select(key, at, "_event", "_obs")
     right = series.select(key, at, F.lit(None).alias("_event"), seen.alias("_obs")).where(F.col(at).isNotNull())
@@ -23,7 +23,8 @@ def _asof(events: DataFrame, series: DataFrame, key: str, at: str, values: Seque
     is_event = F.col("_event").isNotNull().cast("int")
     order = [F.desc(at) if forward else F.col(at), is_event if inclusive else -is_event]
     window = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    carried = both.withColumn("_obs", F.last("_obs", ignorenulls=True).over(window)).where("_event is not null")
+    placed = F.col(key).isNotNull() & F.col(at).isNotNull()
+    carried = both.withColumn("_obs", F.when(placed, F.last("_obs", ignorenulls=True).over(window))).where("_event is not null")
     return carried.select("_event.*", "_obs.*")
 
 
