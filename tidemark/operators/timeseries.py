@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
+
 
 def _asof(events: DataFrame, series: DataFrame, key: str, at: str, values: Sequence[str], forward: bool, inclusive: bool) -> DataFrame:
     """``events`` with ``obs_at`` and the values of the nearest observation on one side. A null key or time has none."""
@@ -46,11 +48,11 @@ def nth_following(series: DataFrame, key: str, at: str, value: str, n: int, *tie
 
 
 def pct_change(value: str, key: str, at: str, fill: bool = False) -> Column:
-    """Change against the row before; null if either is null, or with gaps filled forward first."""
+    """Change against the row before; null if either is null, or with gaps filled forward first; from 0 it is infinite."""
     order = W.partitionBy(key).orderBy(at)
     now = F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)) if fill else F.col(value)
     before = F.last(value, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)) if fill else F.lag(value).over(order)
-    return F.try_divide(now, before) - 1
+    return ratio(now, before) - 1
 
 
 def month_end_last(df: DataFrame, key: str, at: str, value: str, *ties: str) -> DataFrame:
@@ -78,7 +80,7 @@ def trailing_return(series: DataFrame, key: str, at: str, value: str, year: Colu
     start = grid.withColumn(at, F.date_sub("year_end", lookback).cast(series.schema[at].dataType)).select(key, "year", "year_end", "n_obs", "p1", at)
     first = asof_forward(start, rows.groupBy(key, at).agg(F.min_by(value, F.struct(*ties) if ties else F.col(value)).alias("p0")), key, at, ["p0"])
     guarded = first.where((F.col("n_obs") >= min_obs) & (F.to_date("obs_at") <= F.col("year_end")))
-    return guarded.select(key, "year", (F.col("p1") / F.col("p0") - 1).alias("trailing_return"))
+    return guarded.select(key, "year", (ratio(F.col("p1"), F.col("p0")) - 1).alias("trailing_return"))
 
 
 def volatility(daily: DataFrame, key: str, at: str, value: str, min_obs: int = 50, days: int = 252) -> DataFrame:
