@@ -30,7 +30,7 @@ def odd_events(tmp_path_factory, sf_dir):
     return folder
 
 
-@pytest.mark.parametrize("name", ["abnormal_return", "ffill_pct_change"])
+@pytest.mark.parametrize("name", ["abnormal_return", "ffill_pct_change", "pct_change_daily"])
 def test_returns_from_zero_and_without_a_price(spark, odd_events, name):
     got = compare(spark, odd_events, name)
     assert any("inf" in row for row in got) and any(None in row for row in got)
