@@ -35,7 +35,8 @@ def _edges_below(value: Column, edges: Sequence, first: int = 0) -> Column:
 
 def value_ranks(df: DataFrame, value: str, rank: str = "rank", count: Column | None = None) -> DataFrame:
     """``(value, t, rank)`` of the distinct non-null values: how many rows have each (or the sum of
-    ``count``), and their mean rank from 1."""
+    ``count``), and their mean rank from 1. To join the ranks with ``df`` by value, ``cut`` it before: values
+    that were summed may differ in the last bit when they are summed anew in another order of rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if count is None else F.sum(count)).alias("t"))
     edges = df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
     edges = sorted(set(edges))
@@ -54,6 +55,7 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[
     """Ranks from 1, ties sharing their mean; nulls are left out."""
     rows = df.where(F.col(value).isNotNull())
     if not keys:
+        rows = cut(rows)
         return rows.join(value_ranks(rows, value, rank).drop("t"), value).select(*df.columns, rank)
     tied = W.partitionBy(*keys, value)
     return rows.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(tied) - 1) / 2.0)
@@ -171,7 +173,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """``(n, r, p)`` of the average ranks."""
-    pairs = df.dropna(subset=[x, y]).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c"))
+    pairs = cut(df.dropna(subset=[x, y]).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_c")))
     rx = value_ranks(pairs, "_x", "rx", F.col("_c")).drop("t")
     ry = value_ranks(pairs, "_y", "ry", F.col("_c")).drop("t")
     c = F.col("_c")
@@ -221,8 +223,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, side: str = "two-sided")
     ``side`` is ``two-sided``, ``less`` (group 1 lower) or ``greater``. Without ties and with
     ``EXACT_GROUP`` rows at most in a group, p is that of the exact distribution of u."""
     rows = df.dropna(subset=[value, group]).where(F.col(group).isin(0, 1))
-    ones = rows.groupBy(value).agg(F.count_if(F.col(group) == 1).alias("t1"))
-    sums = value_ranks(rows, value).join(ones, value).agg(
+    ones = cut(rows.groupBy(value).agg(F.count("*").alias("_c"), F.count_if(F.col(group) == 1).alias("t1")))
+    sums = value_ranks(ones, value, count=F.col("_c")).join(ones, value).agg(
         F.sum("t1").alias("n1"), F.sum(F.col("t") - F.col("t1")).alias("n0"), F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(F.pow("t", 3) - F.col("t")).alias("ties")
     )
     n = F.col("n1") + F.col("n0")
@@ -236,9 +238,9 @@ def mann_whitney(df: DataFrame, value: str, group: str, side: str = "two-sided")
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """``(k, n, h, p)``: tie-corrected H over the groups, p by chi-squared."""
-    rows = df.dropna(subset=[value, group])
-    ranks = value_ranks(rows, value)
-    cells = rows.groupBy(value, group).agg(F.count("*").alias("c")).join(ranks, value)
+    counts = cut(df.dropna(subset=[value, group]).groupBy(value, group).agg(F.count("*").alias("c")))
+    ranks = value_ranks(counts, value, count=F.col("c"))
+    cells = counts.join(ranks, value)
     per = cells.groupBy(group).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("rank")).alias("r"))
     all_of = per.agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("c")).alias("q"))
     ties = ranks.agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
