@@ -1,11 +1,13 @@
 """Queries against their SQL on tables with zeros, nulls and prices of many digits."""
 
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import stats
 from tidemark.plans import catalog
 
@@ -48,3 +50,12 @@ def test_ranks_of_values_that_differ_when_summed_anew(spark):
     assert sum(stats.mann_whitney(df, "y", "g").first()[c] for c in ("n1", "n0")) == 500
     assert stats.kruskal(df, "y", "g").first()["n"] == 500
     assert stats.average_ranks(df, "y").count() == 500
+
+
+def test_texts_are_folded_once(spark):
+    """A text is folded once for all keywords, and plain characters are told by one look."""
+    df = spark.createDataFrame([(1, "Ünïcode ½ licensed ﬁn. \U0001f600한글"), (2, None)], "i int, t string")
+    both = df.select("i", scalars.keyword_score(F.col("t"), ("ing", "fin", "1⁄2", "uni")).alias("a"), scalars.contains_any(F.col("t"), ("none", "licens")).alias("b"))
+    assert [tuple(r) for r in both.orderBy("i").collect()] == [(1, 3, True), (2, 0, False)]
+    assert both._jdf.queryExecution().analyzed().toString().count("translate(") == 2
+    assert len(re.findall(r"\[\\x", scalars._class(range(0x300, 0x3000, 2)))) > 100

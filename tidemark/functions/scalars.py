@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,39 +15,47 @@ _HANGUL, _LEADING, _VOWELS, _TRAILING = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A8
 
 
 def _class(codes: Sequence[int]) -> str:
-    """A pattern for any of ascending code points, as ranges."""
+    """A pattern for any of ascending code points beyond U+009F, as ranges. A class is tried range by range, so
+    ranges are found by halving, and plain characters are left at once."""
     ranges: list[list[int]] = []
     for code in codes:
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" if a < b else rf"\x{{{a:x}}}" for a, b in ranges) + "]"
+
+    def halved(some: list[list[int]]) -> str:
+        if len(some) <= 8:
+            return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" if a < b else rf"\x{{{a:x}}}" for a, b in some) + "]"
+        half = len(some) // 2
+        return rf"(?:(?=[\x{{a0}}-\x{{{some[half - 1][1]:x}}}]){halved(some[:half])}|(?![\x{{0}}-\x{{{some[half - 1][1]:x}}}]){halved(some[half:])})"
+
+    return r"(?![\x{0}-\x{9f}])" + halved(ranges)
 
 
 @functools.cache
-def _folding() -> tuple[str, str, str, str, str, str]:
+def _folding() -> tuple[str, str, str, str, str]:
     """What compatibility decomposition without combining marks makes of each character, from the Unicode
-    tables of Python: characters that become one other and those; characters that become several, split-joined
-    results, and a pattern for them and Hangul syllables; a pattern for characters that go."""
+    tables of Python: characters that become one other, with those that go at the end, and what they become;
+    characters that become several, split-joined results, and a pattern for them and Hangul syllables."""
     found, plain, several, longer, gone = [], [], [], [], []
     for code in range(0xA0, 0x110000):
         if 0xD800 <= code < 0xE000 or _HANGUL[0] <= code <= _HANGUL[1]:
             continue
         own = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if not own:
-            gone.append(code)
+            gone.append(chr(code))
         elif len(own) > 1:
             several.append(code), longer.append(own)
         elif own != chr(code):
             found.append(chr(code)), plain.append(own)
     spread = _class(sorted([*several, *range(_HANGUL[0], _HANGUL[1] + 1)]))
-    return "".join(found), "".join(plain), "".join(map(chr, several)), _SPLIT.join(longer), spread, _class(gone)
+    return "".join(found + gone), "".join(plain), "".join(map(chr, several)), _SPLIT.join(longer), spread
 
 
 def _decomposed(letter: Column) -> Column:
     """The several characters that one stands for."""
-    _, _, several, longer, _, _ = _folding()
+    _, _, several, longer, _ = _folding()
     code = F.ascii(letter) - _HANGUL[0]
     letters = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
     pick = lambda text, at: F.substr(text, F.floor(at).cast("int") + 1, F.lit(1))
@@ -60,27 +68,34 @@ def _decomposed(letter: Column) -> Column:
 def fold_accents(c: Column) -> Column:
     """The text in compatibility decomposition without combining marks: letters without their accents,
     ligatures, fractions and syllables as the characters that they are made of. Plain ASCII is not touched, and
-    only texts that hold a character of several are taken apart."""
-    found, plain, _, _, spread, gone = _folding()
-    one = F.regexp_replace(F.translate(c, found, plain), gone, "")
-    apart = F.transform(F.split(one, ""), lambda x: F.when(x.rlike(spread), _decomposed(x)).otherwise(x))
-    whole = F.when(one.rlike(spread), F.array_join(apart, "")).otherwise(one)
+    only texts that hold a character of several are taken apart, before each of those."""
+    found, plain, _, _, spread = _folding()
+    first = lambda x: F.concat(_decomposed(F.substr(x, F.lit(1), F.lit(1))), F.substr(x, F.lit(2)))
+    apart = lambda one: F.transform(F.split(one, f"(?={spread})"), lambda x: F.when(x.rlike(f"^{spread}"), first(x)).otherwise(x))
+    whole = let(F.translate(c, found, plain), lambda one: F.when(one.rlike(spread), F.array_join(apart(one), "")).otherwise(one))
     return F.when(c.rlike(r"[^\x00-\x7F]"), whole).otherwise(c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_any(c: Column, keywords: Sequence[str]) -> Column:
     """Whether the accent-free lower-cased text has any keyword; null and empty: false."""
-    folded = F.lower(fold_accents(c))
-    found = F.lit(False)
-    for k in keywords:
-        found = found | F.contains(folded, F.lit(k))
-    return F.coalesce(found, F.lit(False))
+
+    def search(folded: Column) -> Column:
+        found = F.lit(False)
+        for k in keywords:
+            found = found | F.contains(folded, F.lit(k))
+        return found
+
+    return F.coalesce(let(F.lower(fold_accents(c)), search), F.lit(False))
 
 
 def keyword_score(c: Column, stems: Sequence[str]) -> Column:
     """How many stems occur in the accent-free lower-cased text."""
-    folded = F.lower(fold_accents(F.coalesce(c, F.lit(""))))
-    return sum((F.contains(folded, F.lit(s)).cast("int") for s in stems), F.lit(0))
+    return let(F.lower(fold_accents(F.coalesce(c, F.lit("")))), lambda folded: sum((F.contains(folded, F.lit(s)).cast("int") for s in stems), F.lit(0)))
 
 
 def size_ratio(a: Column, b: Column) -> Column:
