@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contains_any, fold_accents
+from ..functions.scalars import contains_any, fold_accents, let
 
 #: Words of attachment names, and openings of texts, that tell what a document is.
 NOTES = ("nota", "explicativ")
@@ -27,13 +27,12 @@ def _folded(name: Column) -> Column:
 
 def notes_name(name: Column) -> Column:
     """Whether an attachment's name is one of explanatory notes."""
-    return F.contains(_folded(name), F.lit(NOTES[0])) & F.contains(_folded(name), F.lit(NOTES[1]))
+    return let(_folded(name), lambda n: F.contains(n, F.lit(NOTES[0])) & F.contains(n, F.lit(NOTES[1])))
 
 
 def statements_name(name: Column) -> Column:
     """Whether an attachment's name is one of financial statements or a draft of them."""
-    n = _folded(name)
-    return (F.contains(n, F.lit(STATEMENTS[0])) & F.contains(n, F.lit(STATEMENTS[1]))) | n.rlike(STATEMENT_NAME)
+    return let(_folded(name), lambda n: (F.contains(n, F.lit(STATEMENTS[0])) & F.contains(n, F.lit(STATEMENTS[1]))) | n.rlike(STATEMENT_NAME))
 
 
 def other_paper(name: Column) -> Column:
