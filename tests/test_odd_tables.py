@@ -42,6 +42,18 @@ def test_returns_from_zero_and_without_a_price(spark, odd_events, name):
     assert any("inf" in row for row in got) and any(None in row for row in got)
 
 
+@pytest.mark.parametrize("name", ["pct_change_daily", "ffill_pct_change"])
+def test_changes_halfway_between_two_roundings(spark, tmp_path, name):
+    """9.73 / 6.4 - 1 is just under 0.5203125 times a million, though its shortest text is that number."""
+    prices = [(6.4, 3.17), (6.4, 9.63), (6.4, 9.73), (6.4, 12.81), (6.4, 19.27), (1.28, 1.29)]
+    rows = ", ".join(f"({u}, timestamp '2024-01-0{d + 1}', {p}::double)" for u, pair in enumerate(prices) for d, p in enumerate(pair))
+    duckdb.sql(f"copy (select * from (values {rows}) t(user_id, ts, value)) to '{tmp_path}/events.parquet'")
+    got = {(r["user_id"], r["change"]) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view events as from '{tmp_path}/events.parquet'")
+    assert got == set(con.sql(f"select user_id, change from ({catalog.oracle_sql()[name]})").fetchall())
+
+
 def test_ranks_of_values_that_differ_when_summed_anew(spark):
     """The last bits of a sum follow the order of its rows; no row may be lost between ranks and values."""
     near = F.udf(lambda v: v * (1 + random.choice((0, 1, 2)) * 2.0**-52), "double").asNondeterministic()

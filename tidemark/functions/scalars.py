@@ -107,6 +107,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
 
 
+def nearest(c: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does: its product with a power of ten goes to the nearest whole number, half away
+    from 0. ``F.round`` rounds the shortest decimal text instead, so that ties such as 9.73 / 6.4 - 1 go elsewhere."""
+    scale = F.lit(10.0**digits)
+    return F.when(F.abs(c) < 1e300, F.round(c * scale, 0) / scale).otherwise(c)
+
+
 def degenerate_score(score: Column) -> Column:
     return (score >= 0.999) | (score <= 0.001)
 

@@ -95,13 +95,13 @@ def _grid(t: Tables) -> DataFrame:
 
 @_R.query(f"{_SPINE} SELECT user_id, day, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY day) - 1, 6) AS change FROM g", dates=("day",))
 def pct_change_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(Tables(spark, sf_dir)).select("user_id", "day", F.round(ts.pct_change("value", "user_id", "day"), 6).alias("change"))
+    return _grid(Tables(spark, sf_dir)).select("user_id", "day", scalars.nearest(ts.pct_change("value", "user_id", "day"), 6).alias("change"))
 
 
 @_R.query(f"""{_SPINE}, f AS (SELECT user_id, day, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day) AS v FROM g)
     SELECT user_id, day, round(v / lag(v) OVER (PARTITION BY user_id ORDER BY day) - 1, 6) AS change FROM f""", dates=("day",))
 def ffill_pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(Tables(spark, sf_dir)).select("user_id", "day", F.round(ts.pct_change("value", "user_id", "day", fill=True), 6).alias("change"))
+    return _grid(Tables(spark, sf_dir)).select("user_id", "day", scalars.nearest(ts.pct_change("value", "user_id", "day", fill=True), 6).alias("change"))
 
 
 @_R.query("""

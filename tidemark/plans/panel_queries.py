@@ -73,7 +73,7 @@ def market_to_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     equity = panels.accounts(_statements(t), ["entity", "fiscal_year"], "code", "value", "basis", _ORDER, {"N1": "total_equity"}).withColumnRenamed("fiscal_year", "year")
     ends = panels.year_end_prices(prices, shares.select("year").distinct(), "entity", "day", "price")
     found = panels.market_to_book(ends, shares, equity, "entity", "price", ["common", "preferred"], "l_orderkey", "l_extendedprice", "common")
-    return found.select("entity", "year", "total_shares", F.round("market_cap", 4).alias("market_cap"), F.round("market_to_book", 6).alias("market_to_book"))
+    return found.select("entity", "year", "total_shares", scalars.nearest(F.col("market_cap"), 4).alias("market_cap"), scalars.nearest(F.col("market_to_book"), 6).alias("market_to_book"))
 
 
 _FILED = "SELECT o_orderkey, o_custkey, date_trunc('month', o_orderdate)::DATE + 30 AS period, o_orderstatus, o_orderkey AS version FROM orders"

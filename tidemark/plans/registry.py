@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import nearest
+
 
 class Registry:
     def __init__(self) -> None:
@@ -46,4 +48,4 @@ class Tables:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that engines that add in another order agree."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(nearest(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

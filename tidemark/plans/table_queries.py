@@ -91,7 +91,7 @@ def coverage_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def share_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rel.crosstab(Tables(spark, sf_dir).events, "user_id", "event_type", TYPES)
     share = rel.share_of(["click", "view"], TYPES)
-    return counts.select("user_id", F.round(share, 6).alias("share"), F.coalesce(share > 0, F.lit(False)).alias("has_any"))
+    return counts.select("user_id", scalars.nearest(share, 6).alias("share"), F.coalesce(share > 0, F.lit(False)).alias("has_any"))
 
 
 @_R.query("""
@@ -101,7 +101,7 @@ def share_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_sums_and_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = lambda s: F.max(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
     wide = Tables(spark, sf_dir).orders.groupBy("o_custkey").agg(best("F").alias("f"), best("P").alias("p"))
-    return wide.select("o_custkey", F.round(rel.row_sum(["f", "p"], 1), 2).alias("total"), F.round(scalars.guarded_ratio(F.col("p"), F.col("f")), 6).alias("ratio"))
+    return wide.select("o_custkey", F.round(rel.row_sum(["f", "p"], 1), 2).alias("total"), scalars.nearest(scalars.guarded_ratio(F.col("p"), F.col("f")), 6).alias("ratio"))
 
 
 @_R.query(r"""

@@ -93,7 +93,7 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.length(text.normalize(F.col("text")))
     docs = Tables(spark, sf_dir).documents.where(F.length("text") > 100)
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_chars"), F.max(size).alias("max_chars"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), scalars.nearest(F.avg(size), 6).alias("mean_chars"), F.max(size).alias("max_chars"))
 
 
 @_R.query(f"""
@@ -115,7 +115,7 @@ def accent_folded_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_consistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = text.adjacent_pairs(Tables(spark, sf_dir).documents, "source", "doc_id", ["n_chars"])
     ratio = scalars.size_ratio(F.col("n_chars_prev"), F.col("n_chars_curr"))
-    return pairs.where(ratio >= 0.7).select("source", "doc_id_prev", "doc_id_curr", F.round(ratio, 6).alias("ratio"))
+    return pairs.where(ratio >= 0.7).select("source", "doc_id_prev", "doc_id_curr", scalars.nearest(ratio, 6).alias("ratio"))
 
 
 _LINES = """SELECT doc_id, source, trim(line) AS line, pos FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
