@@ -246,3 +246,20 @@ def test_accents_of_every_character(spark):
     got = dict(df.select("i", scalars.fold_accents(F.col("t")).alias("t")).collect())
     assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
     assert spark.createDataFrame([(None,)], "t string").select(scalars.fold_accents(F.col("t"))).first()[0] is None
+
+
+def test_terms_are_counted_inside_rows(spark, monkeypatch):
+    """Only keys are shuffled for counts; repeated keys are put together; terms beyond those broadcast are not lost."""
+    rows = [(1, 1, "ab cd ab 12 ef"), (1, 2, "ab cd é 3,4 gh gh"), (1, 3, "zz ab gh cd"), (2, 1, "cd ef"), (2, 2, ""), (2, 3, None)]
+    df = spark.createDataFrame(rows, "e int, p int, t string")
+    counts = text.term_counts(df, ["e", "p"], "t")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r["term"], r["tf"]) for r in counts.where("e = 1 and p = 1").collect()} == {("ab", 2), ("cd", 1), ("ef", 1), ("num", 1)}
+    again = text.term_counts(df.select(F.lit(1).alias("k"), "t"), ["k"], "t")
+    assert {(r["term"], r["tf"]) for r in again.collect()} == {("ab", 4), ("cd", 4), ("ef", 2), ("num", 2), ("gh", 3), ("zz", 1)}
+    run = lambda: sorted(tuple(r) for r in text.adjacent_similarity(df, "e", "p", "t", min_chars=-1, max_df=1.0).collect())
+    weigh = lambda: sorted((*r[:3], round(r[3], 9)) for r in text.tfidf(counts, ["e", "p"], 6, min_df=1).collect())
+    whole = run(), weigh()
+    assert [r[-1] > 0 for r in whole[0]] == [True, True, False]
+    monkeypatch.setattr(text, "BROADCAST_TERMS", 2)
+    assert (run(), weigh()) == whole

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: So many terms, the most frequent ones, are broadcast; rows with others are shuffled.
+BROADCAST_TERMS = 300_000
+
 
 def normalize(c: Column) -> Column:
     """Lower case, runs of digits and of ``. , %`` as `` NUM ``, white space collapsed and trimmed."""
@@ -26,10 +31,51 @@ def terms(c: Column) -> Column:
     return F.transform(found, lambda t: F.when(t.rlike(r"^[\p{Nd}.,%]"), F.lit("num")).otherwise(t))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counted(found: Column) -> Column:
+    """Distinct terms of an array in order, each with its number, as ``(term, tf)``: runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        length = lambda b, i, k: F.coalesce(F.get(b, k + 1), F.size(s)) - i
+        return _let(starts, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), length(b, i, k).cast("long").alias("tf"))))
+
+    return _let(F.sort_array(found), runs)
+
+
+def counted_both(now: Column, before: Column) -> Column:
+    """Terms of two arrays, each with its numbers in them, as ``(term, a, b)``."""
+    one = lambda c, side: F.transform(counted(c), lambda x: F.struct(x["term"].alias("term"), F.lit(side).alias("side"), x["tf"].alias("tf")))
+
+    def joined(m: Column) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            after = F.get(m, i + 1)
+            b = F.when(x["side"] == 1, x["tf"]).when(after["term"] == x["term"], after["tf"]).otherwise(F.lit(0))
+            again = (x["side"] == 1) & (i > 0) & F.coalesce(F.get(m, i - 1)["term"] == x["term"], F.lit(False))
+            return F.struct(x["term"].alias("term"), F.when(x["side"] == 0, x["tf"]).otherwise(F.lit(0)).alias("a"), b.alias("b"), again.alias("again"))
+
+        return F.filter(F.transform(m, row), lambda x: ~x["again"])
+
+    return F.transform(_let(F.sort_array(F.concat(one(now, 0), one(before, 1))), joined), lambda x: F.struct(x["term"], x["a"], x["b"]))
+
+
+def whole_texts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``(keys, text)``, a row per key. Rows are left where they are if no key repeats, which shuffles the keys alone;
+    else texts of one key are put together, line by line, so that no term runs over their ends."""
+    rows = df.select(*keys, text)
+    if not rows.groupBy(*keys).count().where("count > 1").limit(1).count():
+        return rows
+    return rows.groupBy(*keys).agg(F.array_join(F.collect_list(text), "\n").alias(text))
+
+
 def term_counts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """``(keys, term, tf)``; documents without a term have no row."""
-    exploded = df.select(*keys, F.explode(terms(F.col(text))).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """``(keys, term, tf)``; documents without a term have no row. Terms are counted inside each row."""
+    return whole_texts(df, keys, text).select(*keys, F.inline(counted(terms(F.col(text)))))
 
 
 def corpus_terms(counts: DataFrame) -> DataFrame:
@@ -52,12 +98,27 @@ def vocabulary(counts: DataFrame, n_docs: int, **bounds) -> DataFrame:
     return bounded_terms(corpus_terms(counts), n_docs, **bounds)
 
 
+def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` whose ``term`` is in ``terms(term, df)``, with its ``df``. Rows with one of the ``BROADCAST_TERMS`` terms of most
+    documents, which are most rows, stay where they are; those with other terms are shuffled."""
+    known = cut(terms)
+    if known.count() <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(known), "term")
+    common = cut(known.orderBy(F.desc("df"), "term").limit(BROADCAST_TERMS))
+    few = F.broadcast(common.select("term"))
+    rest = rows.join(few, "term", "left_anti").join(known.join(few, "term", "left_anti"), "term")
+    return rows.join(F.broadcast(common), "term").unionByName(rest)
+
+
+def idf(n_docs: int) -> Column:
+    return F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
+
+
 def weighted(counts: DataFrame, keys: Sequence[str], terms: DataFrame, n_docs: int) -> DataFrame:
     """``(keys, term, weight)``: raw counts times ``ln((1 + n) / (1 + df)) + 1``, rows of unit length."""
-    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
-    raw = counts.join(terms, "term").withColumn("w", F.col("tf") * idf)
-    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = with_terms(counts, terms).select(*keys, "term", (F.col("tf") * idf(n_docs)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys)))
+    return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf(counts: DataFrame, keys: Sequence[str], n_docs: int, **bounds) -> DataFrame:
@@ -79,16 +140,29 @@ def adjacent_similarity(
 ) -> DataFrame:
     """Cosine of TF-IDF rows of adjacent periods; the corpus is every text longer than ``min_chars``.
 
-    A text without a term in the vocabulary has similarity 0. The dot product is an equi-join of
-    weights on (pair, term) and a sum, so no document matrix is gathered anywhere.
+    A text without a term in the vocabulary has similarity 0. The texts of a pair are shuffled to it, not their
+    terms; these are counted for both inside the row, and a pair's dot product and norms are sums over them.
     """
     corpus = df.where(F.length(text) > min_chars)
     n_docs = corpus.count()
     keys = [entity, period]
-    weights = tfidf(term_counts(corpus, keys, text), keys, n_docs, min_df=min_df, max_df=max_df, max_features=max_features)
+    whole = whole_texts(corpus, keys, text)
+    counts = whole.select(*keys, F.inline(counted(terms(F.col(text)))))
+    kept = vocabulary(counts, n_docs, min_df=min_df, max_df=max_df, max_features=max_features)
     sized = corpus.select(entity, period, *carry, F.length(text).alias("chars"))
     pairs = adjacent_pairs(sized, entity, period, [*carry, "chars"])
-    return pair_cosines(pairs, weights, entity, period, digits)
+    ids = [entity, f"{period}_prev", f"{period}_curr"]
+    side = lambda name, to: whole.select(F.col(entity), F.col(period).alias(f"{period}_{name}"), F.col(text).alias(to))
+    texts = pairs.select(*ids).distinct().join(side("curr", "_now"), [entity, f"{period}_curr"]).join(side("prev", "_before"), [entity, f"{period}_prev"])
+    found = with_terms(texts.select(*ids, F.inline(counted_both(terms(F.col("_now")), terms(F.col("_before"))))), kept)
+    squared = lambda x, y: F.sum(F.col(x) * F.col(y) * idf(n_docs) * idf(n_docs))
+    sums = found.groupBy(*ids).agg(squared("a", "b").alias("ab"), squared("a", "a").alias("aa"), squared("b", "b").alias("bb"))
+    dots = sums.select(*ids, F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")).alias("dot"))
+    return _rounded_dots(pairs, dots, ids, digits)
+
+
+def _rounded_dots(pairs: DataFrame, dots: DataFrame, ids: Sequence[str], digits: int) -> DataFrame:
+    return pairs.join(dots, list(ids), "left").withColumn("cosine_similarity", F.round(F.coalesce("dot", F.lit(0.0)), digits)).drop("dot")
 
 
 def pair_cosines(pairs: DataFrame, weights: DataFrame, entity: str, period: str, digits: int = 4) -> DataFrame:
@@ -100,7 +174,7 @@ def pair_cosines(pairs: DataFrame, weights: DataFrame, entity: str, period: str,
         pairs.select(*ids).join(now, [entity, f"{period}_curr"]).join(before, [entity, f"{period}_prev", "term"])
         .groupBy(*ids).agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
     )
-    return pairs.join(dots, ids, "left").withColumn("cosine_similarity", F.round(F.coalesce("dot", F.lit(0.0)), digits)).drop("dot")
+    return _rounded_dots(pairs, dots, ids, digits)
 
 
 def lines_of(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
