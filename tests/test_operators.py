@@ -263,3 +263,15 @@ def test_terms_are_counted_inside_rows(spark, monkeypatch):
     assert [r[-1] > 0 for r in whole[0]] == [True, True, False]
     monkeypatch.setattr(text, "BROADCAST_TERMS", 2)
     assert (run(), weigh()) == whole
+
+
+def test_trailing_return_sorts_no_days(spark):
+    """Days are only added up; what is ordered in a window is a row per key and year."""
+    days = [(1, dt.date(2000, 12, 15), 2.0), (1, dt.date(2000, 12, 16), 4.0), (1, dt.date(2001, 12, 31), 6.0), (2, dt.date(2000, 3, 1), 5.0), (2, dt.date(2000, 4, 1), 0.0), (3, dt.date(2002, 1, 1), 0.0), (3, dt.date(2002, 1, 2), 1.0)]
+    df = spark.createDataFrame(days, "k int, day date, p double")
+    out = timeseries.trailing_return(df, "k", "day", "p", F.year("day"), min_obs=2)
+    # 2000-12-16 is the first of 380 days before the end of 2001, 2000-12-15 is not
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2000, 1.0), (1, 2001, 0.5), (1, 2002, 0.0), (2, 2000, -1.0), (3, 2002, math.inf)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "_event" not in plan
+    assert timeseries.trailing_return(df.where("false"), "k", "day", "p", F.year("day")).count() == 0

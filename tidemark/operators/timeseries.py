@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .lineage import cut
 
 
 def _asof(events: DataFrame, series: DataFrame, key: str, at: str, values: Sequence[str], forward: bool, inclusive: bool) -> DataFrame:
@@ -67,19 +68,24 @@ def month_end_last(df: DataFrame, key: str, at: str, value: str, *ties: str) ->
 
 def trailing_return(series: DataFrame, key: str, at: str, value: str, year: Column, lookback: int = 380, min_obs: int = 200, *ties: str) -> DataFrame:
     """Per key and year end: last value up to it over the first from ``lookback`` days before it,
-    minus one; only where ``min_obs`` observations exist up to the year end in the whole history."""
-    rows = series.where(F.col(value).isNotNull())
-    # a row belongs to every later year end: running counts per key and year keep that linear
-    per_year = rows.groupBy(key, year.alias("year")).agg(F.count("*").alias("n"), F.max_by(value, F.struct(at, *ties)).alias("p1"))
+    minus one; only where ``min_obs`` observations exist up to the year end in the whole history. ``ties`` order rows of
+    one time. A row adds to its year and to the year ends within ``lookback`` days, in one aggregation without a sort."""
+    day, own = F.to_date(at), F.col("_own")
+    rows = series.where(F.col(value).isNotNull()).withColumn("_own", year)
+    end = lambda y: F.make_date(y, F.lit(12), F.lit(31))
+    reached = F.filter(F.sequence(F.year(day), F.year(F.date_add(day, lookback))), lambda y: end(y) <= F.date_add(day, lookback))
+    each = rows.withColumn("year", F.explode(F.array_union(F.array(own), F.coalesce(reached, F.array(own)))))
+    # a plain time as the order leaves the sums to a hash aggregation, a struct would have all rows sorted
+    order, mine = F.struct(at, *ties) if ties else F.col(at), F.col("year") == own
+    inside = end(F.col("year")).between(day, F.date_add(day, lookback))
+    per_year = cut(each.groupBy(key, "year").agg(F.count(F.when(mine, 1)).alias("n"), F.max_by(value, F.when(mine, order)).alias("p1"), F.min_by(value, F.when(inside, order)).alias("p0")))
     # a key's years run from its first to the last of all, which is one number
-    last_year = rows.agg(F.max(year)).first()[0]
-    years = per_year.groupBy(key).agg(F.explode(F.sequence(F.min("year"), F.lit(last_year))).alias("year")) if last_year is not None else per_year.select(key, "year")
-    grid = years.join(per_year, [key, "year"], "left").withColumn("year_end", F.make_date("year", F.lit(12), F.lit(31)))
+    seen = per_year.where("n > 0")
+    last_year = seen.agg(F.max("year")).first()[0]
+    years = seen.groupBy(key).agg(F.explode(F.sequence(F.min("year"), F.lit(last_year))).alias("year")) if last_year is not None else seen.select(key, "year")
     so_far = W.partitionBy(key).orderBy("year").rowsBetween(W.unboundedPreceding, 0)
-    grid = grid.withColumn("n_obs", F.sum("n").over(so_far)).withColumn("p1", F.last("p1", ignorenulls=True).over(so_far))
-    start = grid.withColumn(at, F.date_sub("year_end", lookback).cast(series.schema[at].dataType)).select(key, "year", "year_end", "n_obs", "p1", at)
-    first = asof_forward(start, rows.groupBy(key, at).agg(F.min_by(value, F.struct(*ties) if ties else F.col(value)).alias("p0")), key, at, ["p0"])
-    guarded = first.where((F.col("n_obs") >= min_obs) & (F.to_date("obs_at") <= F.col("year_end")))
+    grid = years.join(per_year, [key, "year"], "left").withColumn("n_obs", F.sum("n").over(so_far)).withColumn("p1", F.last("p1", ignorenulls=True).over(so_far))
+    guarded = grid.where((F.col("n_obs") >= min_obs) & F.col("p0").isNotNull())
     return guarded.select(key, "year", (ratio(F.col("p1"), F.col("p0")) - 1).alias("trailing_return"))
 
 
