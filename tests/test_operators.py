@@ -270,8 +270,24 @@ def test_trailing_return_sorts_no_days(spark):
     days = [(1, dt.date(2000, 12, 15), 2.0), (1, dt.date(2000, 12, 16), 4.0), (1, dt.date(2001, 12, 31), 6.0), (2, dt.date(2000, 3, 1), 5.0), (2, dt.date(2000, 4, 1), 0.0), (3, dt.date(2002, 1, 1), 0.0), (3, dt.date(2002, 1, 2), 1.0)]
     df = spark.createDataFrame(days, "k int, day date, p double")
     out = timeseries.trailing_return(df, "k", "day", "p", F.year("day"), min_obs=2)
-    # 2000-12-16 is the first of 380 days before the end of 2001, 2000-12-15 is not
-    assert sorted(tuple(r) for r in out.collect()) == [(1, 2000, 1.0), (1, 2001, 0.5), (1, 2002, 0.0), (2, 2000, -1.0), (3, 2002, math.inf)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1 and "_event" not in plan
+    # 2000-12-16 is the first of 380 days before the end of 2001, 2000-12-15 is not
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2000, 1.0), (1, 2001, 0.5), (1, 2002, 0.0), (2, 2000, -1.0), (3, 2002, math.inf)]
     assert timeseries.trailing_return(df.where("false"), "k", "day", "p", F.year("day")).count() == 0
+
+
+def test_spreads_count_months_without_gathering_them(spark):
+    """Events of one name and entry go into one row with their number; spreads stay what they are of all positions."""
+    rows = [(k, dt.date(2000, 1 + (k + j) % 4, 28), float(k * 7 % 11 + j), k * 10 + j) for k in range(9) for j in range(3)]
+    events = spark.createDataFrame([(1, *r) for r in rows], "one int, k int, entry date, score double, id int").withColumn("entry", F.last_day("entry"))
+    returns = spark.createDataFrame([(k, m, 0.01 * k) for k in range(9) for m in (1, 2, 3, 4)], "k int, m int, ret double").select("k", F.last_day(F.make_date(F.lit(2000), "m", F.lit(1))).alias("month"), "ret")
+    hold = lambda e: portfolio.active_positions(e, "entry", 2, "2000-01-31", "2000-04-30")
+    whole = portfolio.grid_spread(hold(events), returns, "k", "score", (2, 3), 3, ["id", "score"])
+    few = portfolio.latest_events(events, ["k", "entry"], ["id", "score"])
+    assert sorted(map(tuple, few.select("k", "weight").collect())) == [(k, 1) for k in range(9) for _ in range(3)]
+    double = portfolio.latest_events(events.unionByName(events), ["k", "entry"], ["id", "score"])
+    assert {r["weight"] for r in double.collect()} == {2} and double.count() == 27
+    want = sorted(map(tuple, whole.collect()))
+    assert want and sorted(map(tuple, portfolio.grid_spread(hold(few), returns, "k", "score", (2, 3), 3, ["id", "score"], weight="weight").collect())) == want
+    assert "windowspecdefinition(month#" not in whole._jdf.queryExecution().analyzed().toString()

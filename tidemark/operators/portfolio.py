@@ -41,23 +41,31 @@ def active_positions(events: DataFrame, entry: str, holding: int | Column, first
     return spread.where((F.col(entry) > F.add_months("month", -held)) & (F.col(entry) <= F.col("month")))
 
 
+def latest_events(events: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str = "weight") -> DataFrame:
+    """``(keys, order, weight)``: the last event by ``order`` of those with equal keys, and how many they are. Events of one
+    name and entry are held in the same months, so that the others count there but are never chosen."""
+    last = events.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"), F.count("*").alias(weight))
+    return last.select(*keys, "_last.*", weight)
+
+
 def grid_spread(
-    positions: DataFrame, returns: DataFrame, key: str, score: str, groups: Sequence[int], min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = ()
+    positions: DataFrame, returns: DataFrame, key: str, score: str, groups: Sequence[int], min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """``(extra, month, groups, n_active, high, low, spread)``: per month, one position per key (the last
     by ``order``), score buckets, equal-weight mean of the non-null returns, highest less lowest, for
     each number of ``groups``. Positions, returns and quantiles are computed once for all of them.
 
     A month needs ``min_group * groups`` positions before duplicates go; it is left out if its buckets
-    collapse or either end has no return.
+    collapse or either end has no return. ``weight`` names the number of positions that a row stands for. Months
+    are counted by partial sums and rows are dealt out by month and key, so no task gets a month.
     """
     by = [*extra, "month"]
     shares = sorted({i / n for n in groups for i in range(n + 1)})
-    # the count and the choice of rows share one shuffle by month
+    sizes = cut(positions.groupBy(*by).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).where(F.col("_n") >= min_group * min(groups)))
     nth = F.row_number().over(W.partitionBy(*by, key).orderBy(*(F.desc(c) for c in (order or (score,)))))
-    counted = positions.withColumn("_n", F.count("*").over(W.partitionBy(*by))).where(F.col("_n") >= min_group * min(groups))
-    single = counted.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    held = single.join(returns, [key, "month"], "left").join(grouped_quantiles(single, by, score, shares, "_edges"), by)
+    single = positions.withColumn("_nth", nth).where("_nth = 1").select(*by, key, score)
+    single = cut(bounded_lookup(single, sizes, by).where("_n is not null"))
+    held = bounded_lookup(single.join(returns, [key, "month"], "left"), cut(grouped_quantiles(single, by, score, shares, "_edges")), by)
     cases = []
     for n in groups:
         edges = F.array(*(F.col("_edges")[shares.index(i / n)] for i in range(n + 1)))
@@ -72,10 +80,10 @@ def grid_spread(
 
 
 def monthly_spread(
-    positions: DataFrame, returns: DataFrame, key: str, score: str, n: int, min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = ()
+    positions: DataFrame, returns: DataFrame, key: str, score: str, n: int, min_group: int = 3, order: Sequence[str] = (), extra: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """``grid_spread`` of one number of groups, without its column."""
-    return grid_spread(positions, returns, key, score, [n], min_group, order, extra).drop("groups")
+    return grid_spread(positions, returns, key, score, [n], min_group, order, extra, weight).drop("groups")
 
 
 def hac_mean(series: DataFrame, value: str, order: str, keys: Sequence[str] = (), max_lags: int = 3) -> DataFrame:

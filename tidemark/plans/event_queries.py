@@ -213,13 +213,17 @@ def _positions(t: Tables, holding: int) -> DataFrame:
     return pf.active_positions(_returned(t), "entry", holding, _FIRST, _LAST)
 
 
+def _latest(t: Tables) -> DataFrame:
+    return pf.latest_events(_returned(t), ["k", "entry"], _ORDER)
+
+
 def _returns(t: Tables) -> DataFrame:
     monthly = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), F.last_day(F.to_date("l_shipdate")).alias("month")).agg(F.avg("l_extendedprice").alias("p"))
     return monthly.select("k", "month", ts.pct_change("p", "k", "month").alias("ret"))
 
 
 def _spreads(t: Tables, holding: int = 3, n: int = 3) -> DataFrame:
-    return pf.monthly_spread(_positions(t, holding), _returns(t), "k", "score", n, 3, _ORDER)
+    return pf.monthly_spread(pf.active_positions(_latest(t), "entry", holding, _FIRST, _LAST), _returns(t), "k", "score", n, 3, _ORDER, weight="weight")
 
 
 @_R.query(f"WITH {_ACTIVE} SELECT l_orderkey, k, score, month FROM act", dates=("month",))
@@ -245,9 +249,9 @@ def _grid_sql() -> str:
 @_R.query(_grid_sql())
 def long_short_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    events = _returned(t).withColumn("holding", F.explode(F.array(*map(F.lit, _HOLDINGS))))
+    events = _latest(t).withColumn("holding", F.explode(F.array(*map(F.lit, _HOLDINGS))))
     positions = pf.active_positions(events, "entry", F.col("holding"), _FIRST, _LAST)
-    spreads = pf.grid_spread(positions, _returns(t), "k", "score", _GROUPS, 3, _ORDER, ["holding"])
+    spreads = pf.grid_spread(positions, _returns(t), "k", "score", _GROUPS, 3, _ORDER, ["holding"], "weight")
     return _hac_rounded(pf.hac_mean(spreads, "spread", "month", ["holding", "groups"]))
 
 
@@ -289,7 +293,7 @@ def hac_mean_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT month, round(max(s) FILTER (WHERE n = 'two'), 6) AS two, round(max(s) FILTER (WHERE n = 'three'), 6) AS three, round(max(s) FILTER (WHERE n = 'five'), 6) AS five FROM a WHERE s IS NOT NULL GROUP BY month""", dates=("month",))
 def spreads_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    spreads = pf.grid_spread(_positions(t, 3), _returns(t), "k", "score", (2, 3, 5), 3, _ORDER)
+    spreads = pf.grid_spread(pf.active_positions(_latest(t), "entry", 3, _FIRST, _LAST), _returns(t), "k", "score", (2, 3, 5), 3, _ORDER, weight="weight")
     return rounded(pf.concat_on([spreads.where(F.col("groups") == n) for n in (2, 3, 5)], "month", ["two", "three", "five"], "spread"))
 
 
