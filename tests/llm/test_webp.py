@@ -253,6 +253,79 @@ def test_longest_codes():
     assert webpwrite.code_lengths([5, 1]) == [1, 1]
 
 
+def some_counts():
+    draw = np.random.default_rng(3)
+    counts = draw.integers(0, 4, (60, 344)) * draw.integers(0, 300, (60, 344)) * (draw.random((60, 344)) < draw.random((60, 1)))
+    counts[0], counts[1], counts[2] = 0, 0, 0
+    counts[1, 300], counts[2, [5, 9]], counts[3, :40] = 7, 4, [int(1.5**k) + 1 for k in range(40)]
+    counts[:5, 280:] *= [[0], [1], [0], [0], [0]]
+    return counts
+
+
+def test_codes_of_many_rows_equal_those_of_one():
+    counts = some_counts()
+    rows = webpwrite.code_lengths_of(counts)
+    assert (rows == [webpwrite._lengths(c) for c in counts]).all()
+    assert (webpwrite.code_lengths_of(counts[:, :19], 7) == [webpwrite._lengths(c, 7) for c in counts[:, :19]]).all()
+    sizes = np.where((rows[:, 280:] > 0).any(axis=1), 344, 280)
+    row, value, width = webpwrite.put_codes(rows, sizes)
+    streams = []
+    for i, lengths in enumerate(rows):
+        one, all_of_them = webpwrite.Writer(), webpwrite.Writer()
+        webpwrite.put_code(one, lengths[: sizes[i]])
+        for v, n in zip(value[row == i].tolist(), width[row == i].tolist()):
+            all_of_them.put(v, n)
+        assert (one.value, one.size) == (all_of_them.value, all_of_them.size)
+        streams.append(one.value.to_bytes(one.size // 8 + 1, "little"))
+    joined = webp._Joined(streams)
+    pos = joined.begin.copy()
+    read = webp._lengths_in_step(joined, pos, sizes)
+    for i, data in enumerate(streams):
+        bits = webp.Bits(data)
+        assert bytes(read[i, : sizes[i]]) == webp._read_code(bits, int(sizes[i])).key and bits.at == pos[i] - joined.begin[i]
+
+
+def test_lengths_that_repeat_are_read_in_step():
+    """The encoder never repeats a length by symbol 16; others do."""
+    w = webpwrite.Writer()
+    own = np.zeros(19, np.int64)
+    own[[3, 16, 17]] = 1, 2, 2
+    words = webpwrite.code_words(own).tolist()
+    w.put(0, 1), w.put(15, 4)
+    for k in webp.LENGTH_ORDER:
+        w.put(int(own[k]), 3)
+    w.put(0, 1)
+    for symbol, more, n in ((3, 0, 0), (16, 3, 2), (3, 0, 0), (17, 7, 3), (17, 7, 3), (17, 7, 3), (17, 1, 3)):
+        w.put(words[symbol], int(own[symbol])), w.put(more, n)
+    joined = webp._Joined([w.value.to_bytes(40, "little")] * 2)
+    pos = joined.begin.copy()
+    read = webp._lengths_in_step(joined, pos, np.array([42, 42]))
+    assert read.tolist() == [[3] * 8 + [0] * 34] * 2 and (pos - joined.begin == w.size).all()
+    assert webp._read_code(webp.Bits(w.value.to_bytes(40, "little")), 42).key == bytes(read[0])
+
+
+def test_cut_streams_are_errors_in_step():
+    (file,) = webpwrite.encode_payloads([media.payload(b"a stream that is cut somewhere, " * 30 + bytes(range(256)))])
+    (stream,) = webp._split(file)
+    for n in (len(stream) // 8, len(stream) // 2, len(stream) - 8):
+        with pytest.raises(ValueError):
+            webp.decode_streams([stream[:n], stream])
+        with pytest.raises(ValueError):
+            webp.decode_streams([stream[:n]])
+
+
+def test_codes_are_made_for_many_images(monkeypatch):
+    """No code of a plain image is built or read by itself."""
+    payloads = [media.payload(f"text {i} of a few words, number {i * i}".encode() * 40) for i in range(30)]
+    files = webpwrite.encode_payloads(payloads)
+    assert all(not webp.uses(s) & {"palette", "predictor", "cross-colour"} for m in files for s in webp._split(m))
+    calls = []
+    for module, name in ((webpwrite, "code_lengths"), (webpwrite, "put_code"), (webp, "_read_code")):
+        monkeypatch.setattr(module, name, lambda *a, _own=getattr(module, name), _name=name: calls.append(_name) or _own(*a))
+    assert webpwrite.encode_payloads(payloads) == files and [joined(x) for x in webp.decode_all(files)] == payloads
+    assert not calls
+
+
 def test_stored_documents_use_the_format(spark, sf_dir):
     """Streams of the documents use each feature that makes some of them smaller, and are under half of them.
     Relative to green none is, so no text has the cross-colour transform (see the next test)."""

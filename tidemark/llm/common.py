@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import urllib.parse
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,10 +48,15 @@ def settle(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_of(df: DataFrame) -> list[str]:
+    """Paths of the files of a settled table, which Spark names as addresses, with blanks and the like in code."""
+    return sorted(map(urllib.parse.unquote, df.inputFiles()))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in files_of(df)}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

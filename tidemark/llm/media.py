@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp, webpwrite
-from .bpe import text_blocks
-from .common import giving_back, settle
+from .bpe import BLOCK, text_blocks
+from .common import files_of, forget, giving_back, settle
 
 UNIT = 3 * webp.WIDTH  # 576
+#: Runs over the media in which pixel arrays are written, described and deleted.
+WAVES = 3
 STORED = "doc_id long, n_bytes long, media binary"
 ARRAYS = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, height int, width int, pixels binary"
 DIGEST = (
@@ -50,7 +53,7 @@ def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in text_blocks(batches, "media"):
+    for b in text_blocks(batches, "media", 2 * BLOCK):
         doc, n, media = (b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))
         rows = [
             (d, k, len(m), hashlib.sha256(m).hexdigest(), sum(map(len, images)), images[0].shape[1], b"".join(i.tobytes() for i in images))
@@ -89,12 +92,27 @@ def describe(arrays: DataFrame) -> DataFrame:
     return arrays.mapInArrow(giving_back(_digest), DIGEST)
 
 
+def _waves(stored: DataFrame, n: int) -> list[DataFrame]:
+    """A settled table as up to ``n`` tables, by its files."""
+    spark, files = stored.sparkSession, files_of(stored)
+    own = [files[i::n] for i in range(min(n, len(files)))]
+    return [spark.read.schema(stored.schema).parquet(*part) for part in own] or [stored]
+
+
 def media_round_trip(docs: DataFrame) -> DataFrame:
     """Store every text of ``docs(doc_id, text, ...)`` as media in the shared folder, read the files back,
     write their pixel arrays, and describe those: a row per input row.
 
+    The media stay in the folder. Arrays are larger than the texts, so they are written and described in
+    ``WAVES`` runs over the files of media, and those of a run are deleted before the next one.
+
     Null and empty texts are one unit of padding; equal texts give equal values; null ids and
     repeated rows stay as they are; other columns are not read; ``doc_id`` is a number or the text of
     one; an empty table gives an empty result.
     """
-    return describe(settle(pixels(settle(store(docs), "media")), "pixels", compression="zstd"))
+    described = []
+    for wave in _waves(settle(store(docs), "media", compression="zstd"), WAVES):
+        arrays = settle(pixels(wave), "pixels", compression="zstd")
+        described.append(settle(describe(arrays), "digests", compression="zstd"))
+        forget(arrays)
+    return functools.reduce(DataFrame.unionByName, described)

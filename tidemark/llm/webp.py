@@ -9,6 +9,7 @@ arrays. Written from the public format description, RFC 9649; ``webpwrite`` is t
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -313,10 +314,16 @@ def decode_stream(data: bytes) -> np.ndarray:
     return argb
 
 
-#: Streams are read in step as long as their tables have so many entries, and they so many pixels, together.
-_ENTRIES, _PIXELS = 1 << 23, 1 << 21
+#: Streams are read in step as long as their tables have so many entries, and they so many pixels and
+#: number so many, together.
+_ENTRIES, _PIXELS, _STREAMS = 1 << 23, 1 << 22, 1 << 12
 _FAR = np.array([0, *(0 for _ in NEIGHBOURS)], np.int64), np.array([0, *(0 for _ in NEIGHBOURS)], np.int64)
 _FAR[0][1:], _FAR[1][1:] = np.array(NEIGHBOURS).T
+#: Turns after which streams are looked at for their end, and spare bytes that these can't read past.
+_TURNS, _SPARE = 64, 2048
+#: Least repeats and their extra bits of the symbols of a code of lengths.
+_LEAST = np.array([1] * 16 + [3, 3, 11], np.int64)
+_MORE = np.array([0] * 16 + [2, 3, 7], np.int64)
 
 
 def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
@@ -328,62 +335,151 @@ def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
         bits = Bits(data)
         coded, height, undo = _head(bits)
         cache = bits.read(4) if bits.read(1) else 0
-        if not bits.read(1):
-            codes = _codes(bits, (1 << cache) if cache else 0)
-            if codes[3].only is not None:
-                ready.append((coded * height, i, data, bits.at, coded, height, undo, cache, codes))
-                continue
-        out[i] = decode_stream(data)
+        if bits.read(1):
+            out[i] = decode_stream(data)
+        else:
+            ready.append((coded * height, i, data, bits.at, coded, height, undo, cache))
     ready.sort(key=lambda r: -r[0])
     while ready:
-        wide = max([c.most for r in ready for c in r[8] if c.only is None], default=1)
-        k = int(np.searchsorted(np.cumsum([r[0] for r in ready]), _PIXELS)) + 1
-        k = min(k, max(1, _ENTRIES >> wide))
+        k = min(int(np.searchsorted(np.cumsum([r[0] for r in ready]), _PIXELS)) + 1, _STREAMS)
         group, ready = ready[:k], ready[k:]
-        for (_, i, _, _, coded, height, undo, _, _), argb in zip(group, _in_step(group, wide)):
-            argb = argb.reshape(height, coded)
-            for step, *rest in undo:
-                argb = step(argb, *rest)
-            out[i] = argb
+        for part, pixels in _in_steps(group):
+            for (_, i, data, _, coded, height, undo, _), argb in zip(part, pixels):
+                if argb is None:
+                    out[i] = decode_stream(data)
+                    continue
+                argb = argb.reshape(height, coded)
+                for step, *rest in undo:
+                    argb = step(argb, *rest)
+                out[i] = argb
     return out
 
 
-def _codes(bits: Bits, cache: int) -> list[Code]:
-    """The five codes of a prefix group. Where the bits of one are those of the one before, so is the code."""
-    codes, before, size = [], None, 0
-    for k, n in enumerate(ALPHABETS):
-        start = bits.at
-        if k in (2, 3) and before is not None and bits.span(start, size) == before:
-            bits.at += size
-            codes.append(codes[-1])
-            continue
-        codes.append(_read_code(bits, n + (cache if k == 0 else 0)))
-        size = bits.at - start
-        before = bits.span(start, size)
-    return codes
-
-
-def _in_step(group: list[tuple], wide: int) -> list[np.ndarray]:
+class _Joined:
+    """Streams one after another, with the bits of each from its place on."""
+
+    def __init__(self, streams: list[bytes]):
+        sizes = np.array([len(s) for s in streams], np.int64)
+        self.begin = 8 * (np.cumsum(sizes) - sizes)
+        self.stop = self.begin + 8 * sizes
+        raw = np.frombuffer(b"".join(streams) + bytes(_SPARE), np.uint8)
+        self.eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+    def peek(self, p: np.ndarray) -> np.ndarray:
+        """At least 57 bits from each place on."""
+        return self.eight[p >> 3] >> (p & 7).astype(np.uint64)
+
+    def part(self, p: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return self.peek(p).view(np.int64) & ((1 << n) - 1)
+
+
+def _entries(lengths: np.ndarray, bits: int) -> np.ndarray:
+    """``Code.entries`` of each row of lengths, one row after another."""
+    used = (lengths > 0).sum(axis=1)
+    n_rows = len(lengths)
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    size = np.where(used[row] > 1, np.int64(1) << np.maximum(bits - n, 0), 1 << bits)
+    n[used[row] < 2] = 0
+    if (n > bits).any() or (np.bincount(row, weights=size, minlength=n_rows)[used > 0] != 1 << bits).any():
+        raise ValueError("prefix code is not complete")
+    order = np.argsort((row << 4 | n).astype(np.uint32 if n_rows > 4095 else np.uint16), kind="stable")
+    out = np.zeros((n_rows, 1 << bits), np.uint16)
+    flat = np.repeat((symbol << 4 | n).astype(np.uint16)[order], size[order]).reshape(-1, 1 << bits)
+    out[np.flatnonzero(used)[:, None], _reversed(bits)] = flat
+    return out.ravel()
+
+
+def _lengths_in_step(joined: _Joined, pos: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Lengths of a code's symbols at a place of each stream, for alphabets of these sizes; places move on."""
+    n, stop = len(pos), joined.stop
+    lengths = np.zeros((n, int(sizes.max())), np.uint8)
+    head = joined.peek(pos).view(np.int64)
+    brief = (head & 1) == 1
+    who, h = np.flatnonzero(brief), head[brief]
+    two, wide = h >> 1 & 1, np.where(h >> 2 & 1, 8, 1)
+    first, second = h >> 3 & ((1 << wide) - 1), h >> (3 + wide) & 255
+    if (first >= sizes[who]).any() or (second >= sizes[who])[two == 1].any():
+        raise ValueError("symbol out of its alphabet")
+    lengths[who, first] = 1
+    lengths[who[two == 1], second[two == 1]] = 1
+    pos[who] += 3 + wide + 8 * two
+    live = np.flatnonzero(~brief)
+    if not len(live):
+        return lengths
+    count = 4 + (head[live] >> 1 & 15)
+    three = (joined.peek(pos[live] + 5).view(np.int64)[:, None] >> (3 * np.arange(19)) & 7) * (np.arange(19) < count[:, None])
+    own = np.zeros((len(live), 19), np.uint8)
+    own[:, list(LENGTH_ORDER)] = three
+    table = _entries(own, 7)
+    p = pos[live] + 5 + 3 * count
+    partly = joined.part(p, 1)
+    bits = 2 + 2 * joined.part(p + 1, 3)
+    left = np.where(partly, 2 + joined.part(p + 4, bits), sizes[live])
+    p += np.where(partly, 4 + bits, 1)
+    base, size = np.arange(len(live), dtype=np.int64) << 7, sizes[live]
+    at, before = np.zeros(len(live), np.int64), np.full(len(live), 8)
+    again = []  # runs of a length that is repeated
+    while len(live):
+        if (p > stop[live]).any():
+            raise ValueError("image data ends early")
+        window = joined.peek(p).view(np.int64)
+        entry = table[base + (window & 127)].astype(np.int64)
+        symbol, used = entry >> 4, entry & 15
+        more = _MORE[symbol]
+        run = _LEAST[symbol] + (window >> used & ((1 << more) - 1))
+        if (at + run > size).any():
+            raise ValueError("code lengths run over")
+        plain = symbol < 16
+        lengths[live, at] = np.where(plain, symbol, 0)
+        same = symbol == 16
+        if same.any():
+            again.append((live[same], at[same], run[same], before[same]))
+        before = np.where(plain & (symbol > 0), symbol, before)
+        p += used + more
+        at += run
+        left -= 1
+        pos[live] = p
+        going = (at < size) & (left > 0)
+        if not going.all():
+            live, p, at, before, left, base, size = (x[going] for x in (live, p, at, before, left, base, size))
+    for who, start, run, value in again:
+        for r, s, k, v in zip(who.tolist(), start.tolist(), run.tolist(), value.tolist()):
+            lengths[r, s : s + k] = v
+    return lengths
+
+
+def _in_steps(group: list[tuple]) -> Iterator[tuple[list[tuple], list[np.ndarray | None]]]:
+    """Parts of a group of streams, longest first, and the pixels of each; None for a stream of several alphas."""
+    joined = _Joined([r[2] for r in group])
+    pos = joined.begin + np.array([r[3] for r in group], np.int64)
+    cache = np.array([r[7] for r in group], np.int64)
+    codes = [_lengths_in_step(joined, pos, np.full(len(group), n) if k else n + np.where(cache, 1 << cache, 0)) for k, n in enumerate(ALPHABETS)]
+    opaque = (codes[3] > 0).sum(axis=1) < 2
+    if not opaque.all():
+        other = [r for r, single in zip(group, opaque.tolist()) if not single]
+        yield other, [None] * len(other)
+    rows = np.flatnonzero(opaque)
+    if not len(rows):
+        return
+    wide = max(1, *(int((x * ((x > 0).sum(axis=1) > 1)[:, None]).max()) for x in (codes[k][rows] for k in (0, 1, 2, 4))))
+    most = max(1, _ENTRIES >> wide)
+    for i in range(0, len(rows), most):
+        own = rows[i : i + most]
+        part = [group[r] for r in own.tolist()]
+        yield part, _in_step(part, joined, own, pos[own], [c[own] for c in codes], wide)
+
+
+def _in_step(group: list[tuple], joined: _Joined, own: np.ndarray, pos: np.ndarray, codes: list[np.ndarray], wide: int) -> list[np.ndarray]:
     """Pixels of streams, longest first, as ARGB words; a pixel of each stream in a turn."""
     u64, i64 = np.uint64, np.int64
     n = len(group)
     sizes = np.array([r[0] for r in group], i64)
-    bytes_of = np.array([len(r[2]) for r in group], i64)
-    from_byte = np.cumsum(bytes_of) - bytes_of
-    raw = np.frombuffer(b"".join(r[2] for r in group) + bytes(16), np.uint8)
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    pos = 8 * from_byte + np.array([r[3] for r in group], i64)
-    stop = 8 * (from_byte + bytes_of)
-    made: dict[bytes, np.ndarray] = {}
-
-    def table_of(code: Code) -> np.ndarray:
-        if code.key not in made:
-            made[code.key] = code.entries(wide)
-        return made[code.key]
-
-    greens, reds, blues, fars = (np.concatenate([table_of(r[8][k]) for r in group]) for k in (0, 1, 2, 4))
+    stop, peek = joined.stop[own], joined.peek
+    greens, reds, fars = (_entries(codes[k], wide) for k in (0, 1, 4))
+    blues = reds if np.array_equal(codes[1], codes[2]) else _entries(codes[2], wide)
     mask, table = u64((1 << wide) - 1), np.arange(n, dtype=i64) << wide
-    alpha = np.array([r[8][3].only << 24 for r in group], i64)
+    alpha = codes[3].argmax(axis=1).astype(i64) << 24
     width = np.array([r[4] for r in group], i64)
     caches = np.array([r[7] for r in group], i64)
     cached = bool(caches.any())
@@ -395,21 +491,19 @@ def _in_step(group: list[tuple], wide: int) -> list[np.ndarray]:
     left, far = np.zeros(n, i64), np.zeros(n, i64)
     live = np.arange(n)
 
-    def peek(p: np.ndarray) -> np.ndarray:
-        return eight[p >> 3] >> (p & 7).astype(u64)
-
     def number(symbol: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
         more = (window & ((u64(1) << extra.astype(u64)) - u64(1))).view(i64)
         return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + more + 1), extra
 
-    copying = 0
+    copying = turn = 0
     while len(live):
+        turn += 1
+        if turn % _TURNS == 0 and (pos > stop).any():
+            raise ValueError("image data ends early")
         here = live if not copying else live[left[live] == 0]
         if len(here):
             p, t = pos[here], table[here]
-            if (p >= stop[here]).any() and (p > stop[here]).any():
-                raise ValueError("image data ends early")
             window = peek(p)
             g = greens[t + (window & mask).view(i64)].astype(i64)
             size, symbol = g & 15, g >> 4

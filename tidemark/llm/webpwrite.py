@@ -4,7 +4,7 @@ For each image the cheaper of several forms is taken, by the bits that it is est
 pixels as they are, predicted from the pixel above or to the left, with red and blue relative to
 green, or a palette for images of few colours. The pixels then are literals, back-references or
 colour-cache entries under prefix codes of their own. All pixels of a block of images are searched,
-counted and packed by whole arrays; only codes are built one by one. An image's bytes depend on its
+counted and packed by whole arrays, and so are the codes and their tables. An image's bytes depend on its
 own pixels only.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -63,6 +64,67 @@ def code_lengths(counts: list[int], longest: int = LONGEST_CODE) -> list[int]:
         counts = [c // 2 + 1 for c in counts]
 
 
+def code_lengths_of(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
+    """``code_lengths`` of each row of counts, 0 for unused symbols; a symbol alone has 1.
+
+    Counts in order and merged ones, which come in order too, are two queues, of whose heads the
+    smaller is taken: a merge of each row in a turn.
+    """
+    used = (counts > 0).sum(axis=1)
+    out = (counts > 0).astype(np.int64)
+    rows = np.flatnonzero(used > 1)
+    todo = counts[rows]
+    while len(rows):
+        by_use = np.argsort(-used[rows], kind="stable")  # rows in work are always the first ones
+        rows, todo = rows[by_use], todo[by_use]
+        depth = _depths(todo, used[rows])
+        out[rows] = depth
+        over = depth.max(axis=1) > longest
+        rows, todo = rows[over], todo[over]
+        todo = np.where(todo > 0, todo // 2 + 1, 0)
+    return out
+
+
+def _depths(counts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Depth of each symbol in its row's tree; rows have two symbols or more, and fall by their number."""
+    n, most = len(counts), int(used[0])
+    none = np.iinfo(np.int64).max
+    order = np.argsort(np.where(counts > 0, counts, none), axis=1, kind="stable")[:, :most]
+    leaves = np.full((n, most + 2), none)
+    leaves[:, :most] = np.take_along_axis(counts, order, axis=1)
+    leaves[:, :most][np.arange(most) >= used[:, None]] = none
+    merged = np.full((n, most + 1), none)
+    queues = np.concatenate([leaves, merged], axis=1)  # one row: leaves, then merged nodes
+    wide = queues.shape[1]
+    queues = queues.ravel()
+    up = np.zeros(len(queues), np.int64)
+    leaf = np.arange(n) * wide
+    node = leaf + most + 2
+    first = node.copy()
+    alive = np.searchsorted(-used, -np.arange(1, most), side="left")  # rows with a merge left, for each turn
+    for turn, k in enumerate(alive.tolist()):
+        total = 0
+        for _ in range(2):
+            a, b = queues[leaf[:k]], queues[node[:k]]
+            small = a <= b
+            up[np.where(small, leaf[:k], node[:k])] = turn
+            total = total + np.where(small, a, b)
+            leaf[:k] += small
+            node[:k] += ~small
+        queues[first[:k] + turn] = total
+    depth = np.zeros((n, most), np.int64)
+    flat, start = depth.ravel(), np.arange(n) * most
+    for turn in range(most - 3, -1, -1):  # the last merge is the root
+        k = int(alive[turn + 1])
+        flat[start[:k] + turn] = flat[start[:k] + up[first[:k] + turn]] + 1
+    leaf_up = up.reshape(n, wide)[:, :most]
+    found = np.take_along_axis(depth, leaf_up, axis=1) + 1
+    found[np.arange(most) >= used[:, None]] = 0
+    out = np.zeros(counts.shape, np.int64)
+    np.put_along_axis(out, order, found, axis=1)
+    return out
+
+
 _REVERSED = np.array([int(format(v, "015b")[::-1], 2) for v in range(1 << 15)], np.int64)
 
 
@@ -147,6 +209,65 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
     w.put(int(bits or "0", 2), len(bits))
 
 
+def put_codes(lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``put_code`` of each row of lengths, of which so many are the alphabet: row, value and number of bits
+    of each piece, in the order of rows."""
+    n = len(lengths)
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=n)
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    before = np.where(first, -1, np.concatenate([[-1], symbol[:-1]])) if len(row) else symbol
+    last = np.zeros(n, np.int64)
+    last[row] = symbol
+    brief = (used <= 2) & (last < 256)
+    low = np.zeros(n, np.int64)
+    low[row[first]] = symbol[first]
+    two = used == 2
+    short = np.flatnonzero(brief)
+    pieces = [(short, (5 | two << 1 | low << 3 | np.where(two, last, 0) << 11)[short], (11 + 8 * two)[short], np.zeros(len(short), np.int64))]
+
+    keep = ~brief[row]
+    row, symbol, gap = row[keep], symbol[keep], (symbol - before - 1)[keep]
+    full, left = gap // 138, gap % 138
+    long_runs = full + (left >= 11)
+    left = np.where(left >= 11, 0, left)
+    run = (left >= 3).astype(np.int64)
+    each = long_runs + run + np.where(run, 0, left) + 1
+    entry = np.repeat(np.arange(len(row)), each)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(each) - each, each)
+    is_long, is_run, is_last = nth < long_runs[entry], (nth == long_runs[entry]) & (run[entry] > 0), nth == each[entry] - 1
+    kind = np.where(is_long, 18, np.where(is_run, 17, np.where(is_last, lengths[row, symbol][entry], 0)))
+    more = np.where(is_long, np.where(nth < full[entry], 138, (gap % 138)[entry]) - 11, np.where(is_run, left[entry] - 3, 0))
+    n_more = np.where(is_long, 7, np.where(is_run, 3, 0))
+    row = row[entry]
+    many = np.bincount(row, minlength=n)
+    whole = ~brief & (many + 2 > sizes)  # too little to leave out: the rest of the alphabet is written
+    rest = np.repeat(np.arange(n), np.where(whole, sizes - last - 1, 0))
+    if len(rest):
+        order = np.argsort(np.concatenate([row, rest]), kind="stable")
+        nothing = np.zeros(len(rest), np.int64)
+        row, kind, more, n_more = (np.concatenate(x)[order] for x in ((row, rest), (kind, nothing), (more, nothing), (n_more, nothing)))
+
+    counts = np.bincount(row * 19 + kind, minlength=n * 19).reshape(n, 19)
+    own = code_lengths_of(counts, 7)
+    words = code_words_of(own)
+    stored = own[:, list(LENGTH_ORDER)]
+    count = np.maximum(19 - (stored[:, ::-1] > 0).argmax(axis=1), 4)
+    head = (count - 4) << 1 | (stored << (5 + 3 * np.arange(19))).sum(axis=1)
+    least = many - 2
+    need = np.maximum(1, (np.searchsorted(1 << np.arange(16), least, side="right") + 1) >> 1)
+    tail = np.where(whole, 0, 1 | (need - 1) << 1 | least << 4)
+    table = np.flatnonzero(~brief)
+    pieces.append((table, head[table], (5 + 3 * count)[table], np.zeros(len(table), np.int64)))
+    pieces.append((table, tail[table], np.where(whole, 1, 4 + 2 * need)[table], np.ones(len(table), np.int64)))
+    own[(counts > 0).sum(axis=1) == 1] = 0  # a code of one word has no bits
+    bits = own[row, kind]
+    pieces.append((row, words[row, kind] | more << bits, bits + n_more, np.full(len(row), 2)))
+    row, value, width, part = (np.concatenate(x) for x in zip(*pieces))
+    order = np.argsort(row * 3 + part, kind="stable")
+    return row[order], value[order], width[order]
+
+
 def _number(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbols of lengths or distances, their extra bits and how many."""
     v = values - 1
@@ -254,9 +375,9 @@ class Image:
             for k in range(4):
                 w.put(codes[k][0][c[k]], codes[k][1][c[k]])
 
-    def plain(self) -> None:
+    def plain(self, words: np.ndarray) -> None:
         self.writer.put(0, 1)
-        self.pixels = _argb(self.rgb)
+        self.pixels = words
 
     def transform(self, kind: int) -> None:
         w = self.writer
@@ -302,26 +423,40 @@ def _lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
     return out
 
 
+def _guesses(images: list[np.ndarray], flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Pixels of all images after each transform of ``_transformed``, in its order; 0 is none."""
+    yield flat
+    wide = np.array([rgb.shape[1] for rgb in images])[owner]
+    inside = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner]
+    left = np.concatenate([np.zeros((1, 3), np.uint8), flat[:-1]])
+    left[inside == 0] = 0
+    above = flat[np.maximum(np.arange(len(flat)) - wide, 0)]
+    yield flat - np.where((inside < wide)[:, None], left, above)
+    yield flat - np.where(((inside % wide == 0) & (inside > 0))[:, None], above, left)
+    yield _transformed(flat, 3)
+
+
 def _prepared(images: list[np.ndarray]) -> list[Image]:
     """Images with the transform of the least estimated bits of literals."""
     out = [Image(rgb) for rgb in images]
     sizes = np.array([rgb.shape[0] * rgb.shape[1] for rgb in images])
     owner = np.repeat(np.arange(len(images)), sizes)
+    twice = np.repeat(owner, 2)
     costs = np.zeros((4, len(images)))
-    for kind in range(4):
-        flat = np.concatenate([(_transformed(rgb, kind) if kind else rgb).reshape(-1, 3) for rgb in images])
-        costs[kind] = _cost(owner, flat[:, 1], len(images), 256) + _cost(np.repeat(owner, 2), flat[:, ::2].ravel(), len(images), 256)
+    flat = np.concatenate([rgb.reshape(-1, 3) for rgb in images])
+    for kind, changed in enumerate(_guesses(images, flat, owner, sizes)):
+        costs[kind] = _cost(owner, changed[:, 1], len(images), 256) + _cost(twice, changed[:, ::2].ravel(), len(images), 256)
     costs[1:] += 90  # the transform itself
     best = costs.argmin(axis=0)
-    for image, kind in zip(out, best.tolist()):
-        words = _argb(image.rgb)
-        first = np.unique(words[: 4 * WIDTH])
-        if len(first) <= COLOURS:
+    every = _argb(flat)
+    for image, kind, end, size in zip(out, best.tolist(), np.cumsum(sizes).tolist(), sizes.tolist()):
+        words = every[end - size : end]
+        if len(set(words[: 4 * COLOURS].tolist())) <= COLOURS and len(np.unique(words[: 4 * WIDTH])) <= COLOURS:
             colours, index = np.unique(words, return_inverse=True)
             if len(colours) <= COLOURS:
                 image.palette(colours, index.reshape(image.rgb.shape[:2]))
                 continue
-        image.transform(kind) if kind else image.plain()
+        image.transform(kind) if kind else image.plain(words)
     return out
 
 
@@ -346,8 +481,8 @@ def encode_images(images: list[np.ndarray]) -> list[bytes]:
     covered = np.cumsum(copied[:-1]) > 0
     slot, held = _cached(owner, pixel)
 
-    token = np.flatnonzero(~covered)  # literals and cache entries, then copies, in the order of pixels
-    token = np.sort(np.concatenate([token, start]))
+    covered[start] = False
+    token = np.flatnonzero(~covered)  # literals and cache entries, and the starts of copies
     is_copy = np.zeros(len(pixel), bool)
     is_copy[start] = True
     own = owner[token]
@@ -374,18 +509,11 @@ def encode_images(images: list[np.ndarray]) -> list[bytes]:
     others = np.bincount(np.concatenate([own[literal] * 256 + red[literal], own[literal] * 256 + blue[literal]]), minlength=n * 256).reshape(n, 256)
     fars = np.bincount(own[kind] * 40 + far_symbol, minlength=n * 40).reshape(n, 40)
     # red and blue have one code, as neighbouring bytes of a text are alike
-    lengths = [np.array([_lengths(row) for row in counts]) for counts in (greens, others, fars)]
-    alpha = np.where(np.arange(256) == 255, 1, 0)
-    for i, image in enumerate(prepared):
-        w = image.writer
-        w.put(int(use[i]), 1)
-        if use[i]:
-            w.put(CACHE_BITS, 4)
-        w.put(0, 1)
-        put_code(w, lengths[0][i] if use[i] else lengths[0][i, :_GREEN])
-        put_code(w, lengths[1][i], 2)
-        put_code(w, alpha)
-        put_code(w, lengths[2][i])
+    every = np.zeros((3 * n, size), np.int64)
+    every[:n], every[n : 2 * n, :256], every[2 * n :, :40] = greens, others, fars
+    every = code_lengths_of(every)
+    lengths = [every[:n], every[n : 2 * n, :256], every[2 * n :, :40]]
+    head = _heads(every, use)
     tables = []
     for own_lengths in lengths:
         words = code_words_of(own_lengths)
@@ -393,40 +521,62 @@ def encode_images(images: list[np.ndarray]) -> list[bytes]:
         words[alone], own_lengths[alone] = 0, 0
         tables.append((words, own_lengths))
 
-    value, width = tables[0][0][own, symbol], tables[0][1][own, symbol]
+    place = own * size + symbol
+    value, width = (x.ravel().take(place) for x in tables[0])
     word, wide = tables[1]
+    word, wide, at = word.ravel(), wide.ravel(), np.flatnonzero(literal)
     for channel in (red, blue):
-        value[literal] |= word[own[literal], channel[literal]] << width[literal]
-        width[literal] += wide[own[literal], channel[literal]]
+        place = own[at] * 256 + channel[at]
+        value[at] |= word.take(place) << width[at]
+        width[at] += wide.take(place)
     for more, n_more in ((length_extra, length_bits), (tables[2][0][own[kind], far_symbol], tables[2][1][own[kind], far_symbol]), (far_extra, far_bits)):
         value[kind] |= more << width[kind]
         width[kind] += n_more
-    return _packed(prepared, own, value, width)
-
-
-def _packed(prepared: list[Image], own: np.ndarray, value: np.ndarray, width: np.ndarray) -> list[bytes]:
-    """Files of the headers followed by the tokens' bits."""
+    return _packed(prepared, [head, (own, value, width)])
+
+
+def _heads(lengths: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands between an image's transforms and its tokens, as image, value and number of bits of each
+    piece: use of the cache, no prefix groups, and the five codes. ``lengths``: greens, others, then distances."""
+    n, image = len(use), np.arange(len(use))
+    sizes = np.concatenate([np.where(use, lengths.shape[1], _GREEN), np.full(n, 256), np.full(n, 40)])
+    row, value, width = put_codes(lengths, sizes)
+    green, other, far = (slice(*np.searchsorted(row, [k * n, (k + 1) * n])) for k in range(3))
+    pieces = [
+        (image, np.where(use, 1 | CACHE_BITS << 1, 0), np.where(use, 6, 2)),
+        (row[green], value[green], width[green]),
+        *[(row[other] - n, value[other], width[other])] * 2,
+        (image, np.full(n, 5 | 255 << 3), np.full(n, 11)),  # alpha is 255 alone
+        (row[far] - 2 * n, value[far], width[far]),
+    ]
+    order = np.argsort(np.concatenate([8 * p[0] + k for k, p in enumerate(pieces)]), kind="stable")
+    image, value, width = (np.concatenate(x)[order] for x in zip(*pieces))
+    return image, value, width
+
+
+def _packed(prepared: list[Image], runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """Files of the headers followed by the bits of each run: image, value and number of bits of its pieces."""
     head = np.array([i.writer.size for i in prepared], np.int64)
-    data = np.bincount(own, weights=width, minlength=len(prepared)).astype(np.int64)
-    words = (head + data + 63) // 64 + 1
+    sizes = [np.bincount(own, weights=width, minlength=len(prepared)).astype(np.int64) for own, _, width in runs]
+    bits = head + sum(sizes)
+    words = (bits + 63) // 64 + 1
     base = np.cumsum(words) - words
-    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-    inside = np.cumsum(width) - width
-    offset = np.zeros(len(prepared), np.int64)
-    offset[own[first]] = inside[first]
-    at = 64 * base[own] + head[own] + inside - offset[own]
-    place, shift = at >> 6, (at & 63).astype(np.uint64)
     out = np.zeros(int(words.sum()), np.uint64)
-    v = value.astype(np.uint64)
-    low = v << shift
-    high = np.where(shift > 0, v >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    for part, to in ((low, place), (high, place + 1)):
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
-        out[to[edge]] |= np.bitwise_or.reduceat(part, edge)
+    begin = 64 * base + head
+    for (own, value, width), size in zip(runs, sizes):
+        at = (begin - (np.cumsum(size) - size))[own] + np.cumsum(width) - width
+        begin += size
+        place, shift = at >> 6, (at & 63).astype(np.uint64)
+        v = value.astype(np.uint64)
+        low = v << shift
+        high = np.where(shift > 0, v >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        for part, to in ((low, place), (high, place + 1)):
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
+            out[to[edge]] |= np.bitwise_or.reduceat(part, edge)
     raw = out.astype("<u8").tobytes()
     files = []
     for i, image in enumerate(prepared):
-        n = int(head[i] + data[i] + 7) // 8
+        n = int(bits[i] + 7) // 8
         k = 8 * int(base[i])
         lead = (int(head[i]) + 7) // 8
         mine = bytearray(raw[k : k + n])
