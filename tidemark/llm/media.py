@@ -92,11 +92,11 @@ def describe(arrays: DataFrame) -> DataFrame:
     return arrays.mapInArrow(giving_back(_digest), DIGEST)
 
 
-def _waves(stored: DataFrame, n: int) -> list[DataFrame]:
-    """A settled table as up to ``n`` tables, by its files."""
+def _waves(stored: DataFrame) -> list[DataFrame]:
+    """A settled table as up to ``WAVES`` tables, by its files; each has files for all cores, as far as they go."""
     spark, files = stored.sparkSession, files_of(stored)
-    own = [files[i::n] for i in range(min(n, len(files)))]
-    return [spark.read.schema(stored.schema).parquet(*part) for part in own] or [stored]
+    n = max(1, min(WAVES, len(files) // spark.sparkContext.defaultParallelism))
+    return [spark.read.schema(stored.schema).parquet(*files[i::n]) for i in range(n)] if n > 1 else [stored]
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
@@ -104,14 +104,15 @@ def media_round_trip(docs: DataFrame) -> DataFrame:
     write their pixel arrays, and describe those: a row per input row.
 
     The media stay in the folder. Arrays are larger than the texts, so they are written and described in
-    ``WAVES`` runs over the files of media, and those of a run are deleted before the next one.
+    ``WAVES`` runs over the files of media, if there are enough of them, and those of a run are deleted
+    before the next one.
 
     Null and empty texts are one unit of padding; equal texts give equal values; null ids and
     repeated rows stay as they are; other columns are not read; ``doc_id`` is a number or the text of
     one; an empty table gives an empty result.
     """
     described = []
-    for wave in _waves(settle(store(docs), "media", compression="zstd"), WAVES):
+    for wave in _waves(settle(store(docs), "media", compression="zstd")):
         arrays = settle(pixels(wave), "pixels", compression="zstd")
         described.append(settle(describe(arrays), "digests", compression="zstd"))
         forget(arrays)
